@@ -20,12 +20,66 @@ def _bucket(mod: int):
     return F.crc32(F.col("doc_id").cast("string")) % mod
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.decontamination import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT item_id, least(len(w), 13) AS n, array_to_string(w[s:s + 12], ' ') AS t FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+grams AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n)),
+m AS (SELECT g.doc_id, g.p, g.n, win.item_id FROM grams g JOIN win ON g.n = win.n AND g.t = win.t),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+#: Made up for the pages, which have no fetch times: page k was fetched k * 7919 minutes after 2023, within two years.
+CAPTURES = "page_id, url, timestampadd(MINUTE, CAST((page_id * 7919) % 1051200 AS INT), TIMESTAMP_NTZ '2023-01-01 00:00:00') AS fetched_at"
+#: And for the list, which has dates by the digest of the host: a third of all hosts listed, later allowed or dropped; and two domains.
+ENTRIES = """
+WITH h AS (SELECT DISTINCT regexp_extract(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS host FROM pages),
+k AS (SELECT host, ascii(substr(md5(host), 1, 1)) % 6 AS a, ascii(substr(md5(host), 2, 1)) * 7 % 365 AS b, ascii(substr(md5(host), 3, 1)) * 5 % 365 + 1 AS c FROM h WHERE host <> '')
+SELECT host AS pattern, 'block' AS action, {first} AS since FROM k WHERE a < 2
+UNION ALL SELECT host, CASE WHEN a = 0 THEN 'allow' ELSE 'drop' END, {second} FROM k WHERE a < 2
+UNION ALL SELECT * FROM (VALUES ('example.org', 'block', TIMESTAMP{ntz} '2023-06-01 00:00:00'), ('example.org', 'drop', TIMESTAMP{ntz} '2024-02-01 00:00:00'), ('tionsh.example.net', 'block', TIMESTAMP{ntz} '2024-03-01 00:00:00'), ('example.net', 'allow', TIMESTAMP{ntz} '2024-01-01 00:00:00')) v
+"""
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.url_filters import url_filters
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    first, second = (f"timestampadd(DAY, CAST({x} AS INT), TIMESTAMP_NTZ '2023-01-01 00:00:00')" for x in ("b", "b + c"))
+    entries = spark.sql(ENTRIES.format(first=first, second=second, ntz="_NTZ").replace("FROM pages", "FROM {pages}"), pages=pages)
+    return url_filters(spark.sql(f"SELECT {CAPTURES} FROM {{pages}}", pages=pages), entries).drop("since")
+
+
+OP4_SQL = """
+WITH e AS MATERIALIZED (""" + ENTRIES.format(first="TIMESTAMP '2023-01-01' + b * INTERVAL 1 DAY", second="TIMESTAMP '2023-01-01' + (b + c) * INTERVAL 1 DAY", ntz="") + """),
+v AS (SELECT pattern, since, action, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM (SELECT pattern, since, max(action) AS action FROM e GROUP BY 1, 2)),
+c AS (SELECT page_id, nullif(regexp_extract(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '') AS host,
+  TIMESTAMP '2023-01-01' + ((page_id * 7919) % 1051200) * INTERVAL 1 MINUTE AS fetched_at FROM pages),
+m AS (SELECT c.page_id, arg_max({'action': v.action, 'pattern': v.pattern}, length(v.pattern)) AS best
+  FROM c JOIN v ON (c.host = v.pattern OR (ends_with(c.host, '.' || v.pattern) AND contains(v.pattern, '.')))
+    AND v.since <= c.fetched_at AND (v.until IS NULL OR c.fetched_at < v.until) AND v.action <> 'drop' GROUP BY 1)
+SELECT c.page_id, c.host, coalesce(best.action, 'keep') AS verdict, best.pattern AS pattern FROM c LEFT JOIN m USING (page_id)
+"""
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.chat_format import chat_format, read_back
 
@@ -77,6 +131,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_bucket(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.ngram_jaccard import ngram_jaccard
+
+    return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality_rules import quality_rules
 
@@ -84,10 +144,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op4_url_filters": op4_url_filters,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op4_url_filters": OP4_SQL, "op5_chat_formatting": OP5_SQL}
