@@ -15,13 +15,21 @@ from quarry.llm.common import cut
 
 
 def ends(pointers: DataFrame) -> DataFrame:
-    """(v, p) where p is what following (v, p) ends at; every p that isn't its own end is a v too."""
+    """(v, p) where p is what following (v, p) ends at, kept in the shared folder.
+
+    The steps between are cached only; if a part of one is lost it is computed again.
+    """
+    held = []
     while True:
         up = pointers.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        step = cut(pointers.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p"), (F.coalesce("q", "p") != F.col("p")).alias("moved")))
+        step = pointers.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p"), (F.coalesce("q", "p") != F.col("p")).alias("moved")).persist()
+        held.append(step)
         pointers = step.select("v", "p")
-        if not step.filter("moved").limit(1).count():
-            return pointers
+        if not step.agg(F.max("moved")).first()[0]:
+            out = cut(pointers)
+            for x in held:
+                x.unpersist()
+            return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,8 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("p"))
-        roots = ends(cut(least))
-        forest = roots if forest is None else cut(forest.alias("f").join(roots.alias("r"), F.col("f.p") == F.col("r.v"), "left").select("f.v", F.coalesce("r.p", "f.p").alias("p")))
+        roots = ends(least)
+        forest = roots if forest is None else (forest.alias("f").join(roots.alias("r"), F.col("f.p") == F.col("r.v"), "left").select("f.v", F.coalesce("r.p", "f.p").alias("p")))
         ra, rb = roots.select(F.col("v").alias("a"), F.col("p").alias("pa")), roots.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         left = cut(left.join(ra, "a").join(rb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).filter("a <> b").distinct())
-    return forest if forest is not None else edges.sparkSession.range(0).select(F.col("id").alias("v"), F.col("id").alias("p"))
+    return cut(forest) if forest is not None else edges.sparkSession.range(0).select(F.col("id").alias("v"), F.col("id").alias("p"))

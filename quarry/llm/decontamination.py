@@ -103,7 +103,8 @@ def matches(docs: DataFrame, anchors: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 20, block: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """For every document its words, the words inside matches, the items matched and whether it is contaminated.
 
-    contaminated: some word is hit and share * n_hit >= n_words. items is the list of matched items.
+    contaminated: some word is hit and share * n_hit >= n_words. items is the list of matched items,
+    key the hash of the text (xxhash64).
     """
     rows = id_text(docs, id_col, text_col)
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
@@ -132,6 +133,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 2
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "items",
+        "key",
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"),
     ).drop("_copy")
 

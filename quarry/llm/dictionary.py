@@ -75,12 +75,12 @@ def head_of(sent) -> Head:
     return _heads[id(data)]
 
 
-def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, extra: Callable[[], Callable[[list[bytes], bytes | None], tuple]], kinds: str, names: tuple[str, str] = ("a", "b"), missing: tuple[float, int] = (0.0, 0)) -> DataFrame:
+def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, extra: Callable[[], Callable[[list[list[bytes]], list[bytes | None]], list[tuple]]], kinds: str, names: tuple[str, str] = ("a", "b"), missing: tuple[float, int] = (0.0, 0)) -> DataFrame:
     """For each row (doc_id, text), the sums over its words of the values a (double) and b (long).
 
     values: (word, n, a, b), computed already (cut), as it is read several times.
-    extra: makes, in a worker, a function of a document's words and text whose results
-    are kept in columns of the given kinds. Rows that repeat id and text are summed
+    extra: makes, in a worker, a function of some documents' words and texts that gives
+    a tuple for each, kept in columns of the given kinds. Rows that repeat id and text are summed
     together and come out as often as they came in.
     """
     spark = rows.sparkSession
@@ -99,13 +99,13 @@ def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, ext
         known, more = head_of(sent), extra()
         for ids, texts in slices(batches):
             rows_out: list[tuple] = []
-            for i, t in zip(ids, texts, strict=True):
-                own = words(t)
+            each = [words(t) for t in texts]
+            for i, t, own, add in zip(ids, texts, each, more(each, texts), strict=True):
                 key = xxhash.xxh3_64_intdigest(t or b"") - (1 << 63)
                 at = np.fromiter(map(known.at.get, own, repeat(-1)), dtype=np.int64, count=len(own))
                 hit = at[at >= 0]
                 # A word has no space, so this one meets nothing and lies anywhere.
-                rows_out.append((i, key, b" %d" % key, 0, float(known.a[hit].sum()), int(known.b[hit].sum()), 1, *more(own, t)))
+                rows_out.append((i, key, b" %d" % key, 0, float(known.a[hit].sum()), int(known.b[hit].sum()), 1, *add))
                 if len(hit) < len(own):
                     for w, k in Counter(own[j] for j in np.flatnonzero(at < 0).tolist()).items():
                         rows_out.append((i, key, w, k, 0.0, 0, 0, *[None] * len(spread)))

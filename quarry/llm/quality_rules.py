@@ -170,5 +170,21 @@ def quality_rules(docs: DataFrame, model: str, bands: dict[str, Band] | None = N
     return id_bytes(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
+def quality_filter(docs: DataFrame, model: str, bands: dict[str, Band] | None = None, text_col: str = "text") -> DataFrame:
+    """docs without the rows that quality_rules doesn't keep, all columns as they are, in one pass."""
+    used, at = BANDS | (bands or {}), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(model)
+        for batch in batches:
+            kept: list[bool] = []
+            for _, texts in slices(iter([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at).cast(pa.binary())], names=["id", "text"])])):
+                pieces.learn({w for t in texts if t for w in t.split()})
+                kept += [measure(t, pieces, used)[6] for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 KINDS = [{"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in SCHEMA.split(", ")][1:]

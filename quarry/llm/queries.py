@@ -23,7 +23,7 @@ def _bucket(mod: int):
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.decontamination import decontaminate
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "key")
 
 
 OP1_SQL = r"""
@@ -47,6 +47,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.lm_scoring import lm_scoring
+
+    found = lm_scoring(table(spark, sf_dir, "documents"), _bucket(7) == 2)
+    return found.select("doc_id", F.coalesce(_bucket(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: Made up for the pages, which have no fetch times: page k was fetched k * 7919 minutes after 2023, within two years.
 CAPTURES = "page_id, url, timestampadd(MINUTE, CAST((page_id * 7919) % 1051200 AS INT), TIMESTAMP_NTZ '2023-01-01 00:00:00') AS fetched_at"
 #: And for the list, which has dates by the digest of the host: a third of all hosts listed, later allowed or dropped; and two domains.
@@ -131,6 +138,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_bucket(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.secret_scans import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    places = F.array_join(F.transform("secrets", lambda s: s["place"].cast("string")), ",")
+    return found.select("doc_id", "n_candidates", "n_secrets", places.alias("places"), F.sha2(F.array_join(F.transform("secrets", lambda s: s["value"]), "\n"), 256).alias("values_sha256"), F.length("redacted").cast("long").alias("redacted_chars"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.ngram_jaccard import ngram_jaccard
 
@@ -146,10 +161,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_url_filters": op4_url_filters,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
+    "op8_secret_scans": op8_secret_scans,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality_rules": op10_quality_rules,
 }

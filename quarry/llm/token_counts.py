@@ -52,6 +52,6 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, most_sent:
     """
     rows = id_bytes(docs, id_col, text_col)
     values = cut(pieces(word_counts(rows, words_of), tokenizer))
-    size = lambda: lambda words, text: (len(text or b""),)
+    size = lambda: lambda words, texts: [(len(t or b""),) for t in texts]
     found = summed(rows, words_of, values, most_sent, size, "n_bytes long", ("a", "n_tokens"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
