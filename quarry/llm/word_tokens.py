@@ -9,30 +9,77 @@ before needs no second tokenisation.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 
+#: Plain words that are tokenised as one text.
+JOINED = 256
+
+
+#: Letters of ASCII and from U+00C0 to U+00FF, then full stops or commas. Such letters are one pre-token, and
+#: their normal form is themselves but for case.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)[.,]*").fullmatch
+
+
 class WordIds:
-    """Ids of white-space words under a tokeniser file, kept for the words seen last; bounded."""
+    """Ids of white-space words under a tokeniser file, kept for the words seen last; bounded.
+
+    A word of letters followed by full stops or commas has the ids of the one and then
+    of the others, as letters and marks are different pre-tokens.
+    """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.most = most
 
     def learn(self, texts: list[bytes | None]) -> None:
         """Makes sure that the words of these texts are known; at most one slice of texts at a time."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list({w for t in texts if t for w in t.split()}.difference(self.known))
-        for w, e in zip(new, self.encode(new), strict=True):
-            self.known[w] = np.array(e, dtype="<u4").tobytes()
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        letters: set[bytes] = set()
+        marked: list[tuple[bytes, bytes, bytes]] = []
+        other: set[bytes] = set()
+        for w in {w for t in texts if t for w in t.split()}.difference(known):
+            if m := PLAIN(w):
+                core = m[1]
+                if core not in known:
+                    letters.add(core)
+                if core != w:
+                    marked.append((w, core, w[len(core) :]))
+            else:
+                other.add(w)
+        other.update({marks for _, _, marks in marked}.difference(known))
+        self.learn_letters(list(letters))
+        rest = list(other)
+        for w, ids in zip(rest, self.encode(rest), strict=True):
+            known[w] = np.array(ids, dtype="<u4").tobytes()
+        for w, core, marks in marked:
+            known[w] = known[core] + known[marks]
+
+    def learn_letters(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), JOINED * 16):
+            groups = [slice(k, k + JOINED) for k in range(at, min(at + JOINED * 16, len(words)), JOINED)]
+            for g, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(words[g]).decode() for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                stops = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+                if len(stops) != len(words[g]):
+                    raise ValueError("a word of letters is more than one pre-token here; this tokeniser can't be used word by word")
+                data, start = ids.tobytes(), 0
+                for w, stop in zip(words[g], stops, strict=True):
+                    self.known[w] = data[start:stop]
+                    start = stop
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
