@@ -1,7 +1,8 @@
 """Token counts by a dictionary of pre-tokens.
 
 White-space words are the pre-tokens (no token crosses white space, see
-word_tokens). Their distinct forms are found over the corpus; each is tokenised
+word_tokens), with a full stop or comma after a letter and before white space taken
+as one of its own, and ASCII texts in lower case, as the tokeniser has it. Their distinct forms are found over the corpus; each is tokenised
 once and gives a number of pieces. A document's count is the sum of those numbers
 over its words: by a table in the workers for frequent words, by a join for the
 others (see dictionary). Ids are never made for a document.
@@ -13,6 +14,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +29,15 @@ from quarry.llm.dictionary import summed, word_counts
 MOST_SENT = 600_000
 
 
+#: A mark that is a pre-token of its own: a letter of ASCII or from U+00C0 to U+00FF before it, white space behind.
+MARK = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[ \t\n\r\x0b\x0c])")
+
+
 def words_of(text: bytes | None) -> list[bytes]:
-    return text.split() if text else []
+    if not text:
+        return []
+    # Case counts in the names of special tokens, and beyond ASCII for how marks combine.
+    return MARK.sub(rb" \1", text.lower() if text.isascii() and b"<|" not in text else text).split()
 
 
 def pieces(words: DataFrame, tokenizer: str) -> DataFrame:
