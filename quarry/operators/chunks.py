@@ -5,14 +5,17 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators.symbols import nodes_of
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SCHEMA = "id string, compat_id string, type string, name string, file string, content string, line_start int, line_end int, metadata map<string,string>"
 COLUMNS = ["id", "compat_id", "type", "name", "file", "content", "line_start", "line_end", "metadata"]
 
@@ -193,6 +196,8 @@ def chunk(files: DataFrame, strategies: dict[str, Strategy] | None = None, size:
     used = STRATEGIES if strategies is None else STRATEGIES | strategies
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for b in batches:
             rows = []
             for p, c, k in zip(b.path, b.content, b.lang, strict=True):

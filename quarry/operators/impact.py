@@ -35,6 +35,12 @@ def static_references(files: DataFrame, tags: DataFrame, symbols: list[str]) ->
     return first_by(reduce(DataFrame.unionByName, each), ["path", "line"], ["symbol"]).select("symbol", "ref_type", "path", "line", "content")
 
 
+def _mentions(word: str) -> Column:
+    """The lines (line, text, lower) that hold a word."""
+    hit = F.filter("lines", lambda s: F.contains(s["lower"], F.lit(word.lower())))
+    return F.transform(hit, lambda s: F.struct(F.lit(word).alias("keyword"), s["line"].alias("line"), s["text"].alias("text")))
+
+
 def doc_mentions(files: DataFrame, words: list[str], key: str = "path", content: str = "content", documents_only: bool = True, most: int = MOST_FILES) -> DataFrame:
     """(key, match_count, keywords, samples): documents by how many pairs of keyword and line they have, case aside.
 
@@ -43,7 +49,7 @@ def doc_mentions(files: DataFrame, words: list[str], key: str = "path", content:
     words = list(dict.fromkeys(words))[:MOST_KEYWORDS]
     rows = files.filter(X.extension(F.col(key)).isin(*DOCUMENT_EXTENSIONS)) if documents_only else files
     numbered = F.transform(X.lines(F.col(content)), lambda x, i: F.struct((i + 1).alias("line"), F.substring(F.trim(x), 1, 80).alias("text"), F.lower(x).alias("lower")))
-    each = [F.transform(F.filter("lines", lambda s, w=w: F.contains(s["lower"], F.lit(w.lower()))), lambda s, w=w: F.struct(F.lit(w).alias("keyword"), s["line"].alias("line"), s["text"].alias("text"))) for w in words]
+    each = [_mentions(w) for w in words]
     hits = rows.select(key, numbered.alias("lines")).select(key, (F.concat(*each) if each else F.array().cast("array<struct<keyword:string,line:int,text:string>>")).alias("hits")).filter(F.size("hits") > 0)
     return hits.select(key, F.size("hits").cast("long").alias("match_count"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["keyword"]))).alias("keywords"), F.slice("hits", 1, SAMPLES).alias("samples")).orderBy(F.col("match_count").desc(), key).limit(most)
 

@@ -35,6 +35,14 @@ def submatches(line: Column, regex: str) -> Column:
     return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,start:int,`end`:int>>").alias("out")).cast(kind), step, lambda a: a["out"])
 
 
+def _hits(numbered: Column, pattern: str, regex: str, plain: bool, per_file: int | None, with_submatches: bool) -> Column:
+    """The lines of a file that one pattern matches."""
+    hit = F.filter(numbered, lambda s: F.contains(s["line_content"], F.lit(pattern)) if plain else F.rlike(s["line_content"], F.lit(regex)))
+    hit = F.slice(hit, 1, per_file) if per_file else hit
+    more = (lambda s: [submatches(s["line_content"], regex).alias("submatches")]) if with_submatches else (lambda s: [])
+    return F.transform(hit, lambda s: F.struct(F.lit(pattern).alias("pattern"), s["line_number"].alias("line_number"), s["line_content"].alias("line_content"), *more(s)))
+
+
 def search(files: DataFrame, pattern: str | list[str], literal: bool = False, ignore_case: bool = False, word: bool = False, per_file: int | None = None, context: int = 0, key: str = "path", content: str = "content", with_submatches: bool = False) -> DataFrame:
     """(pattern, key, line_number, line_content) of each line of each file that a pattern matches.
 
@@ -46,14 +54,7 @@ def search(files: DataFrame, pattern: str | list[str], literal: bool = False, ig
         return files.select(F.lit("").alias("pattern"), key, F.lit(0).alias("line_number"), F.lit("").alias("line_content")).limit(0)
     rows = files.select(key, X.lines(F.col(content)).alias("lines"))
     numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("line_content")))
-    each = []
-    for p in found:
-        regex = _regex(p, literal, ignore_case, word)
-        test = (lambda x: F.contains(x, F.lit(p))) if literal and not ignore_case and not word else (lambda x, r=regex: F.rlike(x, F.lit(r)))  # noqa: B023
-        hit = F.filter(numbered, lambda s, t=test: t(s["line_content"]))
-        hit = F.slice(hit, 1, per_file) if per_file else hit
-        extra = (lambda s, r=regex: [submatches(s["line_content"], r).alias("submatches")]) if with_submatches else (lambda s: [])
-        each.append(F.transform(hit, lambda s, p=p, e=extra: F.struct(F.lit(p).alias("pattern"), s["line_number"].alias("line_number"), s["line_content"].alias("line_content"), *e(s))))
+    each = [_hits(numbered, p, _regex(p, literal, ignore_case, word), literal and not ignore_case and not word, per_file, with_submatches) for p in found]
     hits = rows.select(key, *(["lines"] if context else []), F.explode(F.concat(*each) if len(each) > 1 else each[0]).alias("h"))
     out = [F.col("h.pattern"), F.col(key), F.col("h.line_number"), F.col("h.line_content")] + ([F.col("h.submatches")] if with_submatches else [])
     if context:

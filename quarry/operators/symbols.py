@@ -5,14 +5,17 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators.search import search
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 NODES = "path string, category string, name string, type string, start_line int, end_line int, parameters array<string>, scope string, statement string"
 #: What a line of another language defines: category, type and pattern with the name.
 LINE_RULES = {
@@ -90,6 +93,8 @@ def structure(files: DataFrame, path: str = "path", content: str = "content", la
     """A row for each function, class, import and export of each file. Python's own parser is needed, so files go to workers in batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         columns = ["path", "category", "name", "type", "start_line", "end_line", "parameters", "scope", "statement"]
         for b in batches:
             rows = [(p, *n) for p, c, k in zip(b.path, b.content, b.lang, strict=True) if c is not None for n in nodes_of(c, k)]

@@ -35,7 +35,7 @@ def read_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | Non
         keep = keep & F.rlike(rel, F.lit("(?i)(?:" + "|".join(map(X.re.escape, extensions)) + ")$"))
     return found.filter(keep).select(
         rel.alias("path"),
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.decode("content", "UTF-8").alias("content"),
         X.content_hash(F.col("content")).alias("hash"),
         X.extension(rel).alias("ext"),
         X.language_of(rel).alias("lang"),
