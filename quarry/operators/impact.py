@@ -63,7 +63,8 @@ def cross_references(files: DataFrame, sources: DataFrame, kinds: tuple[str, ...
     asked = sources.select(F.col(source_key).alias("source"), F.slice("identifiers", 1, identifiers).alias("identifiers"))
     rows = files.filter(X.extension(F.col(key)).isin(*kinds)) if kinds else files
     pairs = rows.select(key, content).join(F.broadcast(asked), F.col(key).cast("string") != F.col("source").cast("string"))
-    hit = F.get(F.filter("identifiers", lambda i: F.contains(F.col(content), i)), F.lit(0))
+    each = [F.get("identifiers", F.lit(i)) for i in range(identifiers)]
+    hit = F.coalesce(*(F.when(F.contains(F.col(content), i), i) for i in each))
     found = pairs.select("source", key, hit.alias("identifier")).filter("identifier is not null")
     w = Window.partitionBy("source").orderBy(key)
     return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
@@ -73,7 +74,9 @@ def markup_references(files: DataFrame, targets: list[str]) -> DataFrame:
     """Style sheets to pages, and pages to style sheets and scripts, by shared identifiers."""
     chosen = files.filter(F.col("path").isin(*targets))
     is_css = X.extension(F.col("path")).isin(".css", ".scss", ".sass", ".less")
-    own = chosen.select("path", is_css.alias("css"), X.file_identifiers(F.col("content"), is_css).alias("identifiers"))
+    # At most ten identifiers of each target: a stated set, which the plan holds as rows of its own.
+    found = chosen.select("path", is_css.alias("css"), X.file_identifiers(F.col("content"), is_css).alias("identifiers")).collect()
+    own = files.sparkSession.createDataFrame(found, "path string, css boolean, identifiers array<string>")
     pages = cross_references(files, own.filter("css"), (".html", ".htm"))
     return pages.unionByName(cross_references(files, own.filter("not css"), (".css", ".scss", ".sass", ".less", ".js")))
 

@@ -99,7 +99,7 @@ def front_matter(files: DataFrame) -> DataFrame:
     # Of repeated keys the last holds.
     meta = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda x: entry(x)["k"])), lambda k: F.struct(k, F.element_at(F.filter(F.transform(pairs, entry), lambda e: e["k"] == k), -1)["v"])))
     rows = files.filter(X.extension(F.col("path")).isin(".md") & F.startswith(F.col("content"), F.lit("---")) & (F.size(parts) == 3))
-    found = rows.select("path", meta.alias("meta"), F.trim(parts[2]).alias("body"))
+    found = rows.select("path", meta.alias("meta"), F.btrim(parts[2], F.lit(" \n\r\t")).alias("body"))
     return found.select(F.coalesce(F.try_element_at("meta", F.lit("file")), X.file_name(F.col("path"))).alias("file"), F.coalesce(F.try_element_at("meta", F.lit("path")), F.col("path")).alias("path"), "meta", "body")
 
 

@@ -16,7 +16,7 @@ PY = "import os\n\n\nclass Calc:\n    def add(self, a, b):\n        def inner():
 @pytest.fixture(scope="module")
 def files(spark):
     rows = [("app/calc.py", PY, "python"), ("app/calc_test.py", "from app.calc import Calc\nCalc()\n", "python"), ("styles.css", ".menu { color: red; }\n#top { }\n", "css"), ("page.html", '<div class="menu wide" id="top">x</div>', "html"), ("docs/a.md", "# calc\nThe calc adds.\ncalc again\n", "unknown"), ("empty.py", "", "python"), ("null.py", None, "python")]
-    return spark.createDataFrame(rows, "path string, content string, lang string").cache()
+    return spark.createDataFrame(rows, "path string, content string, lang string")
 
 
 def test_patterns_are_bounded(files):
