@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session, with batches for Python workers small enough that two of them and the JVM share 3 GB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark
+
+
+_held: dict[tuple[str, str], tuple[Any, Any]] = {}
+
+
+def held(kind: str, slot: str, make: Callable[[], Any], token: Any = None) -> Any:
+    """What make() gives, kept in a worker process for its next tasks, as long as the token is the same.
+
+    There is one object for each slot. Whatever another kind of operator has kept goes.
+    """
+    if any(k != kind for k, _ in _held):
+        _held.clear()
+    if _held.get((kind, slot), (None, None))[0] != (token,):
+        _held[kind, slot] = ((token,), make())
+    return _held[kind, slot][1]
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def on_batches(df: DataFrame, run: Run, schema: Any) -> DataFrame:
+    """df.mapInArrow(run), with memory given back after each task."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed now and kept in the shared folder of spark.checkpoint.dir.
 
@@ -69,7 +116,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, kept for the words seen last; bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         self.known: dict[bytes, int] = {}

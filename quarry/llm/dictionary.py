@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices
+from quarry.llm.common import held, on_batches, slices
 
 Words = Callable[[bytes | None], list[bytes]]
 
@@ -40,7 +40,7 @@ def word_counts(rows: DataFrame, words: Words, most: int = 300_000) -> DataFrame
                 seen.clear()
         yield out()
 
-    return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return on_batches(rows, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def least_use(counted: DataFrame, most_sent: int) -> int:
@@ -62,26 +62,24 @@ class Head:
     b: np.ndarray
 
 
-_heads: dict[int, Head] = {}
-
-
-def head_of(sent) -> Head:
-    """From a broadcast Arrow stream; one is kept for each worker process."""
+def head_of(sent, kind: str) -> Head:
+    """From a broadcast Arrow stream."""
     data = sent.value
-    if id(data) not in _heads:
-        _heads.clear()
+
+    def make() -> Head:
         t = pa.ipc.open_stream(data).read_all()
-        _heads[id(data)] = Head(dict(zip(t.column(0).to_pylist(), range(t.num_rows), strict=True)), t.column(1).to_numpy(), t.column(2).to_numpy())
-    return _heads[id(data)]
+        return Head(dict(zip(t.column(0).to_pylist(), range(t.num_rows), strict=True)), t.column(1).to_numpy(), t.column(2).to_numpy())
+
+    return held(kind, "head", make, id(data))
 
 
-def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, extra: Callable[[], Callable[[list[list[bytes]], list[bytes | None]], list[tuple]]], kinds: str, names: tuple[str, str] = ("a", "b"), missing: tuple[float, int] = (0.0, 0)) -> DataFrame:
+def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, extra: Callable[[], Callable[[list[list[bytes]], list[bytes | None]], list[tuple]]], kinds: str, names: tuple[str, str] = ("a", "b"), missing: tuple[float, int] = (0.0, 0), kind: str = "counts") -> DataFrame:
     """For each row (doc_id, text), the sums over its words of the values a (double) and b (long).
 
     values: (word, n, a, b), computed already (cut), as it is read several times.
     extra: makes, in a worker, a function of some documents' words and texts that gives
     a tuple for each, kept in columns of the given kinds. Rows that repeat id and text are summed
-    together and come out as often as they came in.
+    together and come out as often as they came in. kind names what workers keep together.
     """
     spark = rows.sparkSession
     least = least_use(values, most_sent)
@@ -96,7 +94,7 @@ def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, ext
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known, more = head_of(sent), extra()
+        known, more = head_of(sent, kind), extra()
         for ids, texts in slices(batches):
             rows_out: list[tuple] = []
             each = [words(t) for t in texts]
@@ -114,7 +112,7 @@ def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, ext
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["doc_id", "key", "word", "k", "a0", "b0", "m", *(n for n, _ in spread)])
 
     schema = "doc_id long, key long, word binary, k long, a0 double, b0 long, m long" + (f", {kinds}" if kinds else "")
-    sent_rows = rows.mapInArrow(run, schema)
+    sent_rows = on_batches(rows, run, schema)
     tail = values.filter(F.col("n") < least).select("word", F.col("a").alias("a1"), F.col("b").alias("b1"))
     found = sent_rows.join(tail.hint("merge"), "word", "left")
     a = F.sum(F.col("a0") + F.col("k") * F.coalesce("a1", F.lit(missing[0])))

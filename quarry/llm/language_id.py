@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_bytes, slices
+from quarry.llm.common import held, id_bytes, on_batches, slices
 
 SCALE = 1 << 20
 
@@ -112,7 +112,7 @@ def learn(docs: DataFrame, label: Column, profiles: dict, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), label.cast("string").alias("label")).filter("label is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hd, sums = Profiles(**profiles), {}
+        hd, sums = held("language", "profiles", lambda: Profiles(**profiles), str(profiles)), {}
 
         def out() -> pa.RecordBatch:
             keys = [k for k in sums for _ in range(hd.dims)]
@@ -133,7 +133,7 @@ def learn(docs: DataFrame, label: Column, profiles: dict, id_col: str = "doc_id"
                 sums.clear()
         yield out()
 
-    return rows.mapInArrow(run, "label string, dim int, value long").groupBy("label", "dim").agg(F.sum("value").alias("value"))
+    return on_batches(rows, run, "label string, dim int, value long").groupBy("label", "dim").agg(F.sum("value").alias("value"))
 
 
 def prototypes(sums: DataFrame, dims: int, max_languages: int) -> tuple[list[str], np.ndarray]:
@@ -162,7 +162,7 @@ def language_id(docs: DataFrame, label: str = "lang", held_out: Column | None =
     payload = base64.b64encode(vectors.astype(np.float32).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hd = Profiles(**profiles)
+        hd = held("language", "profiles", lambda: Profiles(**profiles), str(profiles))
         proto = np.frombuffer(base64.b64decode(payload), dtype=np.float32).reshape(-1, dims)
         for ids, texts in slices(batches):
             pred, score = [], []
@@ -174,4 +174,4 @@ def language_id(docs: DataFrame, label: str = "lang", held_out: Column | None =
                 score.append(min(1.0, max(0.0, float(cos[best]))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return id_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return on_batches(id_bytes(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")

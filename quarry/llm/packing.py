@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import id_bytes, slices
+from quarry.llm.common import id_bytes, on_batches, slices
 from quarry.llm.word_tokens import word_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -163,4 +163,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
                     yield out(packer.settle(last=False))
         yield out(packer.settle(last=True))
 
-    return id_bytes(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return on_batches(id_bytes(docs, id_col, text_col), run, SCHEMA)

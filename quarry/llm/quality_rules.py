@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import id_bytes, slices
+from quarry.llm.common import held, id_bytes, on_batches, slices
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -106,7 +106,7 @@ def repeated(ids: np.ndarray, n: int = 5) -> int:
 class Pieces:
     """Token ids of white-space words under a sentencepiece model, kept for the words seen last."""
 
-    def __init__(self, model: str, most: int = 300_000):
+    def __init__(self, model: str, most: int = 200_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -161,13 +161,13 @@ def quality_rules(docs: DataFrame, model: str, bands: dict[str, Band] | None = N
     used = BANDS | (bands or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = held("quality", "pieces", lambda: Pieces(model), model)
         for ids, texts in slices(batches):
             pieces.learn({w for t in texts if t for w in t.split()})
             rows = [measure(t, pieces, used) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True))], names=NAMES)
 
-    return id_bytes(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return on_batches(id_bytes(docs, id_col, text_col), run, SCHEMA)
 
 
 def quality_filter(docs: DataFrame, model: str, bands: dict[str, Band] | None = None, text_col: str = "text") -> DataFrame:
@@ -175,7 +175,7 @@ def quality_filter(docs: DataFrame, model: str, bands: dict[str, Band] | None =
     used, at = BANDS | (bands or {}), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = held("quality", "pieces", lambda: Pieces(model), model)
         for batch in batches:
             kept: list[bool] = []
             for _, texts in slices(iter([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at).cast(pa.binary())], names=["id", "text"])])):
@@ -183,7 +183,7 @@ def quality_filter(docs: DataFrame, model: str, bands: dict[str, Band] | None =
                 kept += [measure(t, pieces, used)[6] for t in texts]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return on_batches(docs, run, docs.schema)
 
 
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

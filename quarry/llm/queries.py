@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import table, tuned
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -44,13 +44,13 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    return pack(table(tuned(spark), sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.lm_scoring import lm_scoring
 
-    found = lm_scoring(table(spark, sf_dir, "documents"), _bucket(7) == 2)
+    found = lm_scoring(table(tuned(spark), sf_dir, "documents"), _bucket(7) == 2)
     return found.select("doc_id", F.coalesce(_bucket(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -127,13 +127,13 @@ FROM e GROUP BY conv_id
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    return token_counts(table(tuned(spark), sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.language_id import language_id
 
-    docs = table(spark, sf_dir, "documents")
+    docs = table(tuned(spark), sf_dir, "documents")
     found = language_id(docs, held_out=_bucket(5) == 0)
     return found.select("doc_id", F.coalesce(_bucket(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
@@ -149,13 +149,13 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.ngram_jaccard import ngram_jaccard
 
-    return ngram_jaccard(table(spark, sf_dir, "documents"))
+    return ngram_jaccard(table(tuned(spark), sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality_rules import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+    return quality_rules(table(tuned(spark), sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

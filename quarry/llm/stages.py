@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table
+from quarry.llm.common import cut, table, tuned
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.ngram_jaccard import ngram_jaccard
 from quarry.llm.packing import pack
@@ -26,11 +26,13 @@ def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that quality rules keep."""
+    tuned(spark)
     return quality_filter(docs, public_tokenizers.path(PIECE_BPE))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, the one with the least id; of rows with that id, one."""
+    tuned(spark)
     found = cut(ngram_jaccard(docs).filter("doc_id is not null"))
     gone = cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
     again = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
@@ -57,4 +59,5 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
+    tuned(spark)
     return pack(docs, public_tokenizers.path(WORD_BPE))

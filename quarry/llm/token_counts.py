@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, id_bytes
+from quarry.llm.common import cut, id_bytes, on_batches
 from quarry.llm.dictionary import summed, word_counts
 
 #: Pre-tokens that are sent to every worker at most; about 120 bytes each there.
@@ -51,7 +51,7 @@ def pieces(words: DataFrame, tokenizer: str) -> DataFrame:
             b = [len(x) for x in ids.encode(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.cast(pa.nulls(len(b)), pa.float64()).fill_null(0.0), pa.array(b, pa.int64())], names=["word", "n", "a", "b"])
 
-    return words.mapInArrow(run, "word binary, n long, a double, b long")
+    return on_batches(words, run, "word binary, n long, a double, b long")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, most_sent: int = MOST_SENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from quarry.llm.common import held
+
 
 #: Plain words that are tokenised as one text.
 JOINED = 256
@@ -88,12 +90,6 @@ class WordIds:
         return np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), dtype="<u4") if text else np.zeros(0, dtype="<u4")
 
 
-_shared: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """One for each worker process, as workers run many tasks."""
-    if path not in _shared:
-        _shared.clear()
-        _shared[path] = WordIds(path)
-    return _shared[path]
+    return held("pack", "ids", lambda: WordIds(path), path)
