@@ -17,7 +17,7 @@ DECISIONS = """D AS (SELECT session_id, ts, event_id, risk_level, intent, list_d
 LAST = "LD AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS r FROM D) WHERE r = 1)"
 COUNTS = "count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'failure') AS failure, count(*) FILTER (outcome = 'partial') AS partial"
 SF = "count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'failure') AS failure"
-SNAPS = f"N AS (SELECT doc_id, {HASH.format('text')} AS hash FROM documents WHERE doc_id % 7 <> 1), S AS (SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN substr(sha256(h), 1, 16) ELSE h END AS hash FROM (SELECT doc_id, {HASH.format('text')} AS h FROM documents) WHERE doc_id % 7 <> 0)"
+SNAPS = f"N AS (SELECT doc_id, {HASH.format('text')} AS hash FROM documents), S AS (SELECT doc_id, CASE WHEN quality = 0 THEN substr(sha256(hash), 1, 16) ELSE hash END AS hash FROM N JOIN labels USING (doc_id) UNION ALL SELECT -1 - page_id, {HASH.format('html')} FROM pages)"
 CHANGES = "C AS (SELECT coalesce(N.doc_id, S.doc_id) AS doc_id, CASE WHEN S.hash IS NULL THEN 'added' WHEN N.hash IS NULL THEN 'deleted' WHEN N.hash <> S.hash THEN 'modified' ELSE 'unchanged' END AS change FROM N FULL JOIN S ON N.doc_id = S.doc_id)"
 NEAR = """P AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))), 6) AS distance
   FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)"""
@@ -63,17 +63,17 @@ ORACLE_SQL: dict[str, str] = {
     "cdc_diff": f"WITH {SNAPS}, {CHANGES} SELECT * FROM C",
     "cdc_summary": f"WITH {SNAPS}, {CHANGES} SELECT *, added + modified + deleted AS total_processed, added + modified + deleted > 0 AS has_changes FROM (SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change = 'unchanged') AS unchanged FROM C)",
     "dup_ids": f"SELECT min(doc_id) AS doc_id, hash FROM (SELECT doc_id, {HASH.format('text')} AS hash FROM documents) GROUP BY hash",
-    "chunk_upsert": "SELECT doc_id AS path, CASE WHEN doc_id % 7 = 2 THEN n_chars ELSE 0 END AS size FROM documents",
-    "cache_hits": f"WITH {SNAPS} SELECT N.doc_id, N.hash FROM N JOIN S ON N.doc_id = S.doc_id AND N.hash = S.hash WHERE N.doc_id % 2 = 0",
+    "chunk_upsert": "SELECT d.doc_id AS path, CASE WHEN quality = 0 THEN n_chars ELSE 0 END AS size FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "cache_hits": f"WITH {SNAPS} SELECT N.doc_id, N.hash FROM N JOIN S ON N.doc_id = S.doc_id AND N.hash = S.hash JOIN documents d ON d.doc_id = N.doc_id WHERE d.lang = 'en'",
     "index_stats": "SELECT count(*) AS files, CAST(sum(event_id % 9) AS BIGINT) AS chunks, max(ts) AS last_sync FROM events",
     "ttl_due": "SELECT user_id, epoch_us(n) - epoch_us(max(ts)) > 24 * 3600000000 AS due FROM events, (SELECT max(ts) AS n FROM events) GROUP BY user_id, n",
-    "change_merge": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'deleted' WHEN c_custkey % 2 = 0 THEN 'modified' ELSE 'added' END AS change_type, CASE WHEN c_custkey % 3 = 0 THEN 'uncommitted' WHEN c_custkey % 2 = 0 THEN 'committed' ELSE 'untracked' END AS origin FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0",
-    "keep_discard": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'keep' ELSE 'discard' END AS action FROM customer",
+    "change_merge": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'deleted' WHEN c_acctbal > 3000 THEN 'modified' ELSE 'added' END AS change_type, CASE WHEN c_mktsegment = 'BUILDING' THEN 'uncommitted' WHEN c_acctbal > 3000 THEN 'committed' ELSE 'untracked' END AS origin FROM customer WHERE c_acctbal > 3000 OR c_mktsegment = 'BUILDING' OR c_nationkey < 9",
+    "keep_discard": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'keep' ELSE 'discard' END AS action FROM customer",
     "knn_topk": f"WITH {NEAR} SELECT query_id, id AS vec_id, CAST(rank AS INT) AS rank, round(distance, 4) AS distance, round(round(1 / (1 + distance), 6), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM P) WHERE rank <= 10",
     "knn_shortcircuit": f"WITH {NEAR}, R AS (SELECT *, label = 0 AS m, row_number() OVER (PARTITION BY query_id, label = 0 ORDER BY distance, id) AS rank FROM P), T AS (SELECT query_id, coalesce(max(round(1 / (1 + distance), 6)) FILTER (m), 0) >= 0.7 AS short FROM R GROUP BY query_id) SELECT query_id, CASE WHEN short THEN 'map' ELSE 'forest' END AS source, id AS vec_id, CAST(rank AS INT) AS rank, CASE WHEN short THEN 'high' ELSE 'medium' END AS confidence FROM R JOIN T USING (query_id) WHERE (short AND m AND rank <= 5) OR (NOT short AND NOT m AND rank <= 10)",
     "similarity_rank": f"WITH {COS} SELECT vec_id, similarity, CAST(rank AS INT) AS rank FROM (SELECT vec_id, round(c, 3) AS similarity, row_number() OVER (ORDER BY round(c, 3) DESC, vec_id) AS rank FROM C) WHERE rank <= 5",
     "verdict_tiers": f"WITH {COS} SELECT vec_id, s AS similarity, CASE WHEN s >= 0.3 THEN 'FACT' ELSE 'REJECTED' END AS status, CASE WHEN s >= 0.3 AND s <= 0.6 THEN 'HIGH' END AS risk FROM (SELECT vec_id, round(c, 4) AS s FROM C)",
-    "confirm_symbols": "SELECT r.symbol, coalesce(score, 0.7) AS confidence, m.symbol IS NOT NULL AS found FROM (SELECT DISTINCT p_name AS symbol FROM part WHERE p_partkey % 5 = 0) r LEFT JOIN (SELECT p_name AS symbol, CAST(max(p_size) AS DOUBLE) / 100 AS score FROM part WHERE p_size > 25 GROUP BY 1) s USING (symbol) LEFT JOIN (SELECT DISTINCT p_name AS symbol FROM part WHERE p_partkey % 2 = 0) m ON m.symbol = r.symbol",
+    "confirm_symbols": "SELECT r.symbol, coalesce(score, 0.7) AS confidence, m.symbol IS NOT NULL AS found FROM (SELECT DISTINCT p_name AS symbol FROM part WHERE p_type = 'ECONOMY') r LEFT JOIN (SELECT p_name AS symbol, CAST(max(p_size) AS DOUBLE) / 100 AS score FROM part WHERE p_size > 45 GROUP BY 1) s USING (symbol) LEFT JOIN (SELECT DISTINCT p_name AS symbol FROM part WHERE p_brand = 'Brand#2') m ON m.symbol = r.symbol",
     "camel_split": f"SELECT p_partkey, regexp_replace(regexp_replace({CAP.format('p_name', ' ')} || 'HTTPServer', '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g') AS words FROM part",
     "base_name": f"SELECT p_partkey, CASE WHEN contains(p_name, ' ') THEN {CAP.format('p_name', ' ')} ELSE p_name END AS base FROM part",
     "css_idents": f"SELECT page_id, array_to_string(({ORDERED.format(x='a')})[1:10], ',') AS identifiers FROM (SELECT page_id, {IDENTS.format(t='html')} AS a FROM pages)",
@@ -86,7 +86,7 @@ SELECT conv_id, turn, contains(b, a) OR contains(a, b) OR list_has_any(list_filt
     "branch_names": "SELECT c_custkey, 'llm_task_s_' || c_custkey || '_from_feature__' || lower(c_mktsegment) AS branch, 's_' || c_custkey AS session_id, 'feature/' || lower(c_mktsegment) AS base_branch FROM customer",
     "safe_names": "SELECT p_partkey, p_type || '_' || p_partkey AS file_name, p_type || '____' || p_partkey AS term FROM part",
     "doc_mentions": f"WITH {LINES} SELECT doc_id, count(*) AS match_count, string_agg(DISTINCT k, ',' ORDER BY k) AS keywords FROM L, (VALUES ('token'), ('password'), ('email'), ('license')) v(k) WHERE contains(lower(line_content), k) GROUP BY doc_id ORDER BY match_count DESC, doc_id LIMIT 20",
-    "cross_refs": f"WITH I AS (SELECT page_id, ({ORDERED.format(x='a')})[1:10] AS ids FROM (SELECT page_id, {IDENTS.format(t='html')} AS a FROM pages WHERE page_id < 5)), H AS (SELECT I.page_id AS source, p.page_id, list_filter(ids[1:5], lambda i: contains(html, i))[1] AS identifier FROM pages p JOIN I ON p.page_id <> I.page_id) SELECT source, page_id, identifier FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page_id) AS r FROM H WHERE identifier IS NOT NULL) WHERE r <= 10",
+    "cross_refs": f"WITH I AS (SELECT page_id, ({ORDERED.format(x='a')})[1:10] AS ids FROM (SELECT page_id, {IDENTS.format(t='html')} AS a FROM pages WHERE page_id % 100 = 0)), H AS (SELECT I.page_id AS source, p.page_id, list_filter(ids[1:5], lambda i: contains(html, i))[1] AS identifier FROM pages p JOIN I ON p.page_id <> I.page_id) SELECT source, page_id, identifier FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page_id) AS r FROM H WHERE identifier IS NOT NULL) WHERE r <= 10",
     "naming_matches": f"""WITH F AS (SELECT DISTINCT replace(['tests/unit/{{}}Test.php', 'db/factories/{{}}.php', 'app/{{}}Seeder.php', 'app/{{}}.php'][p_partkey % 4 + 1], '{{}}', {CAP.format('p_name', ' ')}) AS path FROM part), B AS (SELECT b FROM (VALUES ('Red'), ('Blue')) v(b))
 SELECT b AS base, kind, path FROM (SELECT b, path, 'test' AS kind FROM F, B WHERE regexp_matches(path, '(^|/)[^/]*' || b || '[^/]*Test\\.[^/]*$') OR regexp_matches(path, '(^|.*/)tests/.*' || b || '[^/]*\\.[^/]*$')
 UNION SELECT b, path, 'factory' FROM F, B WHERE regexp_matches(path, '(^|/)factories/[^/]*' || b || '[^/]*\\.[^/]*$') UNION SELECT b, path, 'seeder' FROM F, B WHERE regexp_matches(path, '(^|/)[^/]*' || b || 'Seeder\\.[^/]*$'))""",
@@ -122,8 +122,8 @@ SELECT session_id, array_to_string(m, '; ') AS missing, CASE WHEN len(m) = 0 THE
 SELECT * FROM C WHERE NOT (phase = 'READY' OR (tool = 'query' AND phase IN ('EXPLORATION', 'VERIFICATION', 'IMPACT_ANALYSIS')) OR (tool = 'semantic_search' AND phase = 'SEMANTIC') OR (tool = 'submit_verification' AND phase = 'VERIFICATION') OR (tool = 'merge_to_base' AND phase = 'PRE_COMMIT'))""",
     "gate_reasons": f"""WITH {OUTCOMES}, C AS (SELECT event_id, k % 5 AS m, event_id % 4 AS r FROM O)
 SELECT event_id, r = 3 OR (r = 0 AND m IN (0, 1)) OR (r = 1 AND m = 1) OR (r = 2 AND m = 2) AS allowed FROM C""",
-    "gate_write": """WITH O AS (SELECT *, 'd' || (o_orderkey % 5) AS dir, 'f' || (o_orderkey % 11) AS name FROM orders), E AS (SELECT o_custkey, dir, name FROM O WHERE o_orderkey % 3 = 1)
-SELECT t.o_orderkey, NOT EXISTS (SELECT 1 FROM E WHERE E.o_custkey = t.o_custkey) OR EXISTS (SELECT 1 FROM E WHERE E.o_custkey = t.o_custkey AND (E.name = t.name OR (t.o_orderkey % 2 = 0 AND E.dir = t.dir))) AS allowed FROM O t WHERE t.o_orderkey % 3 = 0""",
+    "gate_write": """WITH O AS (SELECT *, 'd' || (o_orderkey % 5) AS dir, 'f' || (o_orderkey % 11) AS name FROM orders), E AS (SELECT o_custkey, dir, name FROM O WHERE o_orderstatus = 'F')
+SELECT t.o_orderkey, NOT EXISTS (SELECT 1 FROM E WHERE E.o_custkey = t.o_custkey) OR EXISTS (SELECT 1 FROM E WHERE E.o_custkey = t.o_custkey AND (E.name = t.name OR (t.o_orderkey % 2 = 0 AND E.dir = t.dir))) AS allowed FROM O t WHERE t.o_orderstatus = 'O'""",
     "verification": "SELECT source AS session_id, bool_and(toxic <> 1) AS all_confirmed, count(*) FILTER (toxic = 1) AS n_rejected FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "plan_route": """WITH F AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 4 THEN 'EXPLORE' ELSE ['IMPLEMENT', 'MODIFY', 'DELETE', 'EXPLORE'][c_custkey % 5 + 1] END AS intent FROM customer),
 M AS (SELECT *, list_filter([CASE WHEN k % 2 = 0 THEN 'target_feature' END, CASE WHEN k % 3 = 0 THEN 'trigger_condition' END, CASE WHEN k % 4 = 0 THEN 'observed_issue' END, CASE WHEN k % 5 = 0 THEN 'desired_action' END], lambda x: x IS NOT NULL) AS m FROM F),

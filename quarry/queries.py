@@ -216,10 +216,11 @@ def page_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Files now and their stored state: of every seven documents one is new, one has gone and one has changed."""
+    """All documents as files now; as their stored state those that have a label, changed where it is poor, and pages, which have gone."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), X.content_hash(F.col("text")).alias("hash"))
-    was = F.when(F.col("path") % 7 == 2, X.content_hash(F.col("hash"))).otherwise(F.col("hash"))
-    return docs.filter("path % 7 <> 1"), docs.filter("path % 7 <> 0").select("path", was.alias("hash"))
+    known = docs.join(table(spark, d, "labels").select(F.col("doc_id").alias("path"), "quality"), "path")
+    was = known.select("path", F.when(F.col("quality") == 0, X.content_hash(F.col("hash"))).otherwise(F.col("hash")).alias("hash"))
+    return docs, was.unionByName(table(spark, d, "pages").select((-1 - F.col("page_id")).alias("path"), X.content_hash(F.col("html")).alias("hash")))
 
 
 @query
@@ -248,14 +249,16 @@ def chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the stored state with those of changed documents in their place."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"))
     old = docs.select("path", F.lit(0).cast("long").alias("size"))
-    return sinks.upsert(old, docs.filter("path % 7 = 2"), ["path"])
+    changed = sync.changes(*snapshots(spark, d)).filter("change = 'modified'").select("path")
+    return sinks.upsert(old, docs.join(changed, "path"), ["path"])
 
 
 @query
 def cache_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose tags are cached for their language."""
+    """Documents whose tags are cached for the language asked for."""
     now, was = snapshots(spark, d)
-    hits, _ = symbols.cached(now, was.withColumn("language", F.when(F.col("path") % 2 == 0, "python")), "python")
+    lang = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("lang").alias("language"))
+    hits, _ = symbols.cached(now, was.join(lang, "path", "left"), "en")
     return hits.select(F.col("path").alias("doc_id"), "hash")
 
 
@@ -277,15 +280,15 @@ def ttl_due(spark: SparkSession, d: str) -> DataFrame:
 @query
 def change_merge(spark: SparkSession, d: str) -> DataFrame:
     """Committed, uncommitted and untracked changes of customers' files."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("path"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("path"), "c_acctbal", "c_mktsegment", "c_nationkey")
     of = lambda rows, kind, origin: rows.select("path", F.lit(kind).alias("change_type"), F.lit(origin).alias("origin"))
-    return sync.merge_changes(of(c.filter("path % 2 = 0"), "modified", "committed"), of(c.filter("path % 3 = 0"), "deleted", "uncommitted"), of(c.filter("path % 5 = 0"), "added", "untracked")).withColumnRenamed("path", "c_custkey")
+    return sync.merge_changes(of(c.filter("c_acctbal > 3000"), "modified", "committed"), of(c.filter("c_mktsegment = 'BUILDING'"), "deleted", "uncommitted"), of(c.filter("c_nationkey < 9"), "added", "untracked")).withColumnRenamed("path", "c_custkey")
 
 
 @query
 def keep_discard(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("path"))
-    return sync.keep_discard(c, c.filter("path % 4 = 1")).withColumnRenamed("path", "c_custkey")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("path"), "c_acctbal")
+    return sync.keep_discard(c, c.filter("c_acctbal > 0")).withColumnRenamed("path", "c_custkey")
 
 
 # --- vectors ---
@@ -328,7 +331,7 @@ def verdict_tiers(spark: SparkSession, d: str) -> DataFrame:
 def confirm_symbols(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     s = F.col("p_name").alias("symbol")
-    return vectors.confirm(p.filter("p_partkey % 5 = 0").select(s), p.filter("p_partkey % 2 = 0").select(s), p.filter("p_size > 25").groupBy(s).agg((F.max("p_size") / 100.0).alias("score")))
+    return vectors.confirm(p.filter("p_type = 'ECONOMY'").select(s), p.filter("p_brand = 'Brand#2'").select(s), p.filter("p_size > 45").groupBy(s).agg((F.max("p_size") / 100.0).alias("score")))
 
 
 # --- text ---
@@ -399,9 +402,9 @@ def doc_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cross_refs(spark: SparkSession, d: str) -> DataFrame:
-    """Other pages that hold an identifier of one of five pages, ten for each: the limits are the feature."""
+    """Other pages that hold an identifier of a page, ten for each: the limit is the feature. Every hundredth page is asked for, against all."""
     pages = table(spark, d, "pages").select("page_id", F.col("html").alias("content"))
-    own = pages.filter("page_id < 5").select("page_id", X.css_identifiers(F.col("content")).alias("identifiers"))
+    own = pages.filter("page_id % 100 = 0").select("page_id", X.css_identifiers(F.col("content")).alias("identifiers"))
     return impact.cross_references(pages, own, (), key="page_id", source_key="page_id")
 
 
@@ -603,8 +606,8 @@ def gate_write(spark: SparkSession, d: str) -> DataFrame:
     """Orders as files to write, against those explored by the same customer."""
     o = table(spark, d, "orders")
     path: Column = F.concat(F.lit("d"), F.col("o_orderkey") % 5, F.lit("/f"), F.col("o_orderkey") % 11)
-    targets = o.filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("session_id"), path.alias("path"), (F.col("o_orderkey") % 2 == 0).alias("is_new"), "o_orderkey")
-    explored = o.filter("o_orderkey % 3 = 1").select(F.col("o_custkey").alias("session_id"), path.alias("path"))
+    targets = o.filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("session_id"), path.alias("path"), (F.col("o_orderkey") % 2 == 0).alias("is_new"), "o_orderkey")
+    explored = o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("session_id"), path.alias("path"))
     return gates.write_allowed(targets, explored).select("o_orderkey", "allowed")
 
 
