@@ -133,4 +133,30 @@ SELECT k AS c_custkey, intent, array_to_string(m, ',') AS missing, array_to_stri
     "risk_level": "SELECT k AS c_custkey, CASE WHEN k % 4 <> 0 AND k % 2 = 0 AND k % 3 = 0 THEN 'HIGH' WHEN k % 4 <> 0 AND (k % 2 = 0 OR k % 3 = 0) THEN 'MEDIUM' WHEN k % 3 <> 0 AND k % 5 = 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM (SELECT c_custkey AS k FROM customer)",
     "session_windows": f"WITH G AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), H AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts {ROWS}) AS g FROM G) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM H GROUP BY user_id, g",
     "tumbling_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "front_matter": "SELECT 'agreements/' || p_partkey || '.md' AS path, 'a: b' AS file, p_name AS nl_term, 'P' || p_partkey AS symbol, 'body ' || p_type AS body FROM part",
+    "agreements": f"SELECT p_partkey, replace(p_name, ' ', '_') || '_' || replace(p_brand, '#', '') || '.md' AS file, {HASH.format('m')} AS hash FROM (SELECT p_partkey, p_name, p_brand, '---' || chr(10) || 'nl_term: ' || p_name || chr(10) || 'symbol: ' || p_brand || chr(10) || 'similarity: ' || CAST(round(p_size / 50.0, 3) AS VARCHAR) || chr(10) || 'session_id: s1' || chr(10) || 'intent: MODIFY' || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name || ' → ' || p_brand || chr(10) || chr(10) || '## Evidence' || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '## Related files' || chr(10) || chr(10) || '- a.py' || chr(10) || '- b.py' || chr(10) || chr(10) || '## Query frame' || chr(10) || chr(10) || '- target_feature: ' || p_name AS m FROM part)",
+    "tool_stream": "SELECT 'u' || user_id AS file, CAST(event_id AS INT) AS line_number, 'x' AS line_content FROM events WHERE event_type = 'click'",
+    "outcome_fan_out": f"WITH {OUTCOMES}, R AS (SELECT session_id, event_type AS nl_term, p || (k % 3) AS symbol, value, 'e' || (k % 4) AS evidence FROM O, (VALUES ('A'), ('B')) v(p) WHERE outcome = 'success') SELECT session_id, nl_term, symbol, round(max(value), 6) AS similarity, string_agg(DISTINCT evidence, '; ' ORDER BY evidence) AS code_evidence FROM R GROUP BY 1, 2, 3",
+    "missing_slots": """WITH M AS (SELECT c_custkey, c_nationkey < 5 AS x, list_filter([CASE WHEN NOT c_acctbal > 0 THEN 'target_feature' END, CASE WHEN c_nationkey <= 12 THEN 'trigger_condition' END, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'observed_issue' END, 'desired_action'], lambda s: s IS NOT NULL) AS m FROM customer)
+SELECT c_custkey, array_to_string(m, ',') AS missing,
+  array_to_string(CASE WHEN m[1] = 'target_feature' THEN ['query', 'get_symbols', 'analyze_structure'] || CASE WHEN len(m) > 2 OR m[2] <> 'desired_action' THEN ['search_text'] ELSE [] END || CASE WHEN list_contains(m, 'trigger_condition') THEN ['find_definitions'] ELSE [] END || ['find_references']
+    WHEN m[1] = 'trigger_condition' THEN ['search_text', 'find_definitions'] || CASE WHEN list_contains(m, 'observed_issue') THEN ['query'] ELSE [] END || ['find_references', 'analyze_structure']
+    WHEN m[1] = 'observed_issue' THEN ['search_text', 'query', 'find_references', 'analyze_structure'] ELSE ['find_references', 'analyze_structure'] END, ',') AS guidance,
+  array_to_string(list_filter(CASE WHEN x THEN ['target_feature', 'trigger_condition', 'observed_issue', 'desired_action'] ELSE ['target_feature', 'observed_issue', 'trigger_condition', 'desired_action'] END, lambda s: list_contains(m, s)), ',') AS priority FROM M""",
+    "doc_summaries": "SELECT p_partkey, '# ' || p_name || chr(10) || 'First ' || p_type || '.' || chr(10) || '## Size' || chr(10) || p_size AS summary FROM part",
+    "project_rules": "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'DO:' || chr(10) || '- use ' || p_name || chr(10) || chr(10) || 'DON''T:' || chr(10) || '- use ' || p_brand ELSE 'Rules:' || chr(10) || '- ' || p_name || chr(10) || '- ' || p_type END AS rules FROM part",
+    "document_changes": f"WITH {SNAPS} SELECT N.doc_id, CASE WHEN quality IS NULL THEN 'new' ELSE 'modified' END AS change FROM N LEFT JOIN labels l ON l.doc_id = N.doc_id WHERE quality IS NULL OR (toxic <> 1 AND quality = 0)",
+    "summaries_merged": f"WITH {SNAPS} SELECT N.doc_id, hash AS content_hash, coalesce('note ' || quality, '') AS extra_notes FROM N LEFT JOIN labels l ON l.doc_id = N.doc_id",
+    "languages": "SELECT p_partkey, ['python', 'composer_json', 'blade', 'filament_resource', 'migration', 'scss', 'unknown', 'tailwind_config'][p_size % 8 + 1] AS lang, p_size % 8 = 5 AS markup_only FROM part",
+    "verdicts_together": "WITH P AS (SELECT p_brand AS brand, p_name AS symbol, max(p_size) / 50.0 AS s FROM part GROUP BY 1, 2) SELECT brand, count(*) FILTER (s >= 0.3) AS n_approved, coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (s < 0.3), '') AS rejected, CASE WHEN coalesce(bool_or(s >= 0.3 AND s <= 0.6), false) THEN 'HIGH' ELSE 'LOW' END AS risk FROM P GROUP BY 1",
+    "evidence_gate": "SELECT o_orderkey, o_orderstatus <> 'F' AND o_totalprice <= 100000 AS valid, length(trim(o_orderpriority)) >= 10 AS assessed FROM orders",
+    "phase_steps": f"WITH {OUTCOMES}, P AS (SELECT *, ['EXPLORATION', 'SEMANTIC', 'VERIFICATION', 'IMPACT_ANALYSIS', 'READY', 'PRE_COMMIT', 'QUALITY_REVIEW'] AS ps FROM O) SELECT event_id, CASE WHEN k % 4 = 0 OR k > 90 THEN 'READY' ELSE 'EXPLORATION' END AS start, CASE WHEN k > 50 OR outcome = 'success' THEN ps[k % 7 + 1] WHEN k % 7 = 6 THEN 'READY' ELSE ps[k % 7 + 2] END AS next FROM P",
+    "exploration_consistency": "SELECT p_partkey, CAST(2 AS BIGINT) AS n FROM part",
+    "ready_check": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN '' ELSE 'Slot ''target_feature'' is still HYPOTHESIS.' END || CASE WHEN NOT c_acctbal > 0 AND c_nationkey <= 12 THEN ' ' ELSE '' END || CASE WHEN c_nationkey > 12 THEN '' ELSE 'Symbols ' || c_name || ' are still HYPOTHESIS.' END AS errors FROM customer",
+    "symbol_folds": f"""WITH {OUTCOMES}, U AS (SELECT session_id, event_type AS name, value, k < 5 AS fact, row_number() OVER (PARTITION BY session_id, event_type ORDER BY ts, event_id) AS i FROM O),
+F AS (SELECT *, max(CASE WHEN fact THEN i ELSE 0 END) OVER (PARTITION BY session_id, name) AS last FROM U)
+SELECT session_id, name, CASE WHEN max(last) = 0 OR arg_max(i, (value, -i)) > max(last) THEN 'HYPOTHESIS' ELSE 'FACT' END AS source, round(max(value), 6) AS confidence FROM F WHERE i >= last GROUP BY 1, 2""",
+    "cache_sizes": f"WITH {LINES} SELECT count(DISTINCT doc_id) AS files, count(*) AS tags FROM L",
+    "next_state": f"WITH {SNAPS}, {CHANGES}, {LINES}, {WINDOWS}, K AS (SELECT doc_id, count(*) AS n FROM W GROUP BY 1) SELECT C.doc_id, N.hash, CASE WHEN change = 'unchanged' THEN 'old' ELSE 'now' END AS indexed_at, CASE WHEN change = 'unchanged' THEN 1 ELSE coalesce(K.n, 0) END AS chunk_count FROM C JOIN N ON N.doc_id = C.doc_id LEFT JOIN K ON K.doc_id = C.doc_id",
+    "sliding_windows": "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1, 2",
 }

@@ -649,3 +649,157 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
 def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
     """An extension: events by hour and type."""
     return streaming.tumbling(table(spark, d, "events"), ["event_type"]).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+
+
+# --- the remaining rules, over rows made from the tables ---
+
+
+@query
+def front_matter(spark: SparkSession, d: str) -> DataFrame:
+    """Agreements as Markdown with front matter, read back."""
+    text = F.concat(F.lit("---\nnl_term: "), F.col("p_name"), F.lit("\nsymbol: P"), F.col("p_partkey"), F.lit("\nfile: a: b\n---\nbody "), F.col("p_type"))
+    docs = table(spark, d, "part").select(F.concat(F.lit("agreements/"), F.col("p_partkey"), F.lit(".md")).alias("path"), text.alias("content"))
+    found = S.front_matter(docs)
+    return found.select("path", "file", F.col("meta").getItem("nl_term").alias("nl_term"), F.col("meta").getItem("symbol").alias("symbol"), "body")
+
+
+@query
+def agreements(spark: SparkSession, d: str) -> DataFrame:
+    """Agreements of parts rendered as Markdown, and their files' names."""
+    r = {"nl_term": F.col("p_name"), "symbol": F.col("p_brand"), "similarity": F.col("p_size") / 50.0, "code_evidence": F.col("p_type"), "session_id": F.lit("s1"), "intent": F.lit("MODIFY"), "related_files": F.array(F.lit("a.py"), F.lit("b.py")), "frame": F.create_map(F.lit("target_feature"), F.col("p_name"), F.lit("desired_action"), F.lit(""))}
+    return table(spark, d, "part").select("p_partkey", sinks.agreement_file(F.col("p_name"), F.col("p_brand")).alias("file"), X.content_hash(sinks.agreement_markdown(r)).alias("hash"))
+
+
+@query
+def tool_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A search tool's JSON lines, made from events; records of another type and broken ones are skipped."""
+    line = F.concat(F.lit('{"type":"'), F.when(F.col("event_type") == "click", "match").otherwise("begin"), F.lit('","data":{"path":{"text":"u'), F.col("user_id"), F.lit('"},"line_number":'), F.col("event_id"), F.lit(',"lines":{"text":"x'), F.when(F.col("event_type") == "view", '"').otherwise(F.lit("")), F.lit('"},"submatches":[]}}'))
+    return S.tool_matches(table(spark, d, "events").select(line.alias("value"))).select("file", "line_number", "line_content")
+
+
+@query
+def outcome_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs learned from sessions that succeeded."""
+    o = outcomes(spark, d)
+    mapped = F.array(*(F.struct(F.col("event_type").alias("nl_term"), F.concat(F.lit(p), F.col("k") % 3).alias("symbol"), F.col("value").alias("confidence"), F.concat(F.lit("e"), F.col("k") % 4).alias("evidence")) for p in ("A", "B")))
+    found = logs.fan_out(o.select("session_id", "outcome", mapped.alias("mapped_symbols")))
+    return found.select("session_id", "nl_term", "symbol", F.round("similarity", 6).alias("similarity"), "code_evidence")
+
+
+@query
+def missing_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Empty slots of customers' frames, with the tools that help to fill them and the order in which to ask."""
+    slots = dict(zip(router.SLOTS, (F.when(F.col("c_acctbal") > 0, "x"), F.when(F.col("c_nationkey") > 12, "x"), F.when(F.col("c_mktsegment") == "BUILDING", "x"), F.lit("")), strict=True))
+    m = router.missing_slots(slots)
+    intent = F.when(F.col("c_nationkey") < 5, "EXPLORE").otherwise("MODIFY")
+    return table(spark, d, "customer").select("c_custkey", F.array_join(m, ",").alias("missing"), F.array_join(router.guidance_tools(m), ",").alias("guidance"), F.array_join(router.priority_slots(intent, m), ",").alias("priority"))
+
+
+@query
+def doc_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of Markdown made from parts: headers and first paragraphs, fenced code left out."""
+    text = F.concat(F.lit("# "), F.col("p_name"), F.lit("\n\nFirst "), F.col("p_type"), F.lit(".\n\nSecond.\n\n## Size\n\n"), F.col("p_size"), F.lit("\n\n```\n# no header\n```\n"))
+    return table(spark, d, "part").select("p_partkey", X.doc_summary(text).alias("summary"))
+
+
+@query
+def project_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of files made from parts: sections where there are some, else bullets."""
+    text = F.when(F.col("p_size") > 25, F.concat(F.lit("## DO\n- use "), F.col("p_name"), F.lit("\n\n## DON'T\n- use "), F.col("p_brand"), F.lit("\n"))).otherwise(F.concat(F.lit("intro\n- "), F.col("p_name"), F.lit("\n* "), F.col("p_type")))
+    return table(spark, d, "part").select("p_partkey", X.rules(text).alias("rules"))
+
+
+@query
+def document_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are new or changed against stored summaries, which labelled ones have."""
+    now, _ = snapshots(spark, d)
+    stored = table(spark, d, "labels").join(now.withColumnRenamed("path", "doc_id"), "doc_id").select(F.col("doc_id").alias("path"), F.when(F.col("toxic") == 1, "").when(F.col("quality") == 0, "old_hash").otherwise(F.col("hash")).alias("content_hash"))
+    return sync.document_changes(now, stored).withColumnRenamed("path", "doc_id")
+
+
+@query
+def summaries_merged(spark: SparkSession, d: str) -> DataFrame:
+    """New summaries with the notes of old ones."""
+    now, _ = snapshots(spark, d)
+    new = now.select("path", F.lit("s").alias("summary"), F.col("hash").alias("content_hash"))
+    old = table(spark, d, "labels").select(F.col("doc_id").alias("path"), F.concat(F.lit("note "), F.col("quality")).alias("extra_notes"))
+    return sync.merge_summaries(old, new).select(F.col("path").alias("doc_id"), "content_hash", "extra_notes")
+
+
+@query
+def languages(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of paths made from parts."""
+    ends = ["a.py", "composer.json", "v.blade.php", "Resources/UserResource.php", "migrations/1.php", "c.scss", "d.zig", "tailwind.config.ts"]
+    path = F.concat(F.lit("app/"), F.element_at(F.array(*(F.lit(e) for e in ends)), F.col("p_size") % len(ends) + 1))
+    return table(spark, d, "part").select("p_partkey", X.language_of(path).alias("lang"), X.markup_only(F.array(path, F.lit("x.css"))).alias("markup_only"))
+
+
+@query
+def verdicts_together(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols approved and rejected by brand."""
+    p = table(spark, d, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_name").alias("symbol")).agg((F.max("p_size") / 50.0).alias("similarity"))
+    v = vectors.judged_together(p, "brand")
+    return v.select("brand", F.size("approved").cast("long").alias("n_approved"), F.array_join("rejected", ",").alias("rejected"), "risk")
+
+
+@query
+def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Whether orders, as evidence, are valid, and whether an assessment of them is."""
+    tool = F.when(F.col("o_orderstatus") == "O", "search_text").when(F.col("o_orderstatus") == "F", "guess").otherwise("get_symbols")
+    e = F.struct(tool.alias("tool"), F.col("o_orderpriority").alias("target"), F.when(F.col("o_totalprice") > 100000, " ").otherwise("found").alias("result"))
+    return table(spark, d, "orders").select("o_orderkey", gates.evidence_valid(e).alias("valid"), gates.assessment_valid(F.col("o_totalprice") > 0, F.col("o_orderpriority")).alias("assessed"))
+
+
+@query
+def phase_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Where sessions start and what follows each phase."""
+    phases = list(gates.NEXT)
+    phase = F.element_at(F.array(*(F.lit(p) for p in phases)), F.col("k") % len(phases) + 1)
+    intent = F.when(F.col("k") % 4 == 0, "QUESTION").otherwise(F.col("intent"))
+    return outcomes(spark, d).select("event_id", gates.start_phase(intent, F.col("k") > 90).alias("start"), gates.next_phase(phase, F.col("outcome") == "success", F.when(F.col("k") > 50, "full").otherwise("auto")).alias("next"))
+
+
+@query
+def exploration_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """How many inconsistencies explorations made from parts have."""
+    a = F.split("p_name", " ", -1)
+    return table(spark, d, "part").select("p_partkey", F.size(gates.inconsistencies(F.concat(a, F.slice(a, 1, 1)), F.array(F.concat(a[0], F.lit(".run()")), F.lit("zzz()")), F.array(F.col("p_type")), F.array(F.lit("p")))).cast("long").alias("n"))
+
+
+@query
+def ready_check(spark: SparkSession, d: str) -> DataFrame:
+    """What keeps frames made from customers from being ready."""
+    slots = F.create_map(F.lit("target_feature"), F.when(F.col("c_acctbal") > 0, "FACT").otherwise("HYPOTHESIS"))
+    symbols_ = F.array(F.struct(F.col("c_name").alias("name"), F.when(F.col("c_nationkey") > 12, "FACT").otherwise("HYPOTHESIS").alias("source")))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(gates.ready_errors(slots, symbols_), " ").alias("errors"))
+
+
+@query
+def symbol_folds(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of sessions' symbols after all updates, in order."""
+    u = F.struct(F.col("ts"), F.col("event_id"), F.col("event_type").alias("name"), F.when(F.col("k") < 5, "FACT").otherwise("HYPOTHESIS").alias("source"), F.col("value").alias("confidence"))
+    rows = outcomes(spark, d).groupBy("session_id").agg(F.array_sort(F.collect_list(u)).alias("u"))
+    folded = gates.fold_symbols(F.transform("u", lambda x: F.struct(x["name"].alias("name"), x["source"].alias("source"), x["confidence"].alias("confidence"))))
+    return rows.select("session_id", F.explode(folded).alias("s")).select("session_id", "s.name", "s.source", F.round("s.confidence", 6).alias("confidence"))
+
+
+@query
+def cache_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Files and tags of a cache whose tags are documents' lines."""
+    return sync.cache_stats(documents(spark, d).select("doc_id", X.lines(F.col("content")).alias("tags")))
+
+
+@query
+def next_state(spark: SparkSession, d: str) -> DataFrame:
+    """The stored state after a run, with the number of each document's chunks."""
+    now, was = snapshots(spark, d)
+    old = was.select("path", "hash", F.lit(0.0).alias("mtime"), F.lit("old").alias("indexed_at"), F.lit(1).cast("long").alias("chunk_count"))
+    n = chunks.line_windows(documents(spark, d), key="doc_id").groupBy(F.col("doc_id").alias("path")).agg(F.count("*").alias("chunk_count"))
+    done = sync.next_state(old, now.withColumn("mtime", F.lit(1.0)), sync.changes(now, was), n, F.lit("now"))
+    return done.select(F.col("path").alias("doc_id"), "hash", "indexed_at", "chunk_count")
+
+
+@query
+def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    """An extension: events by overlapping hours and type."""
+    return streaming.sliding(table(spark, d, "events"), ["event_type"]).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
