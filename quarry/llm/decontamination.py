@@ -73,9 +73,10 @@ def list_lengths(docs: DataFrame, terms: DataFrame, block: int) -> DataFrame:
     return reduce(DataFrame.unionByName, (postings(docs, part).groupBy("term").agg(F.count("*").alias("n")) for part in in_blocks(terms, block)))
 
 
-def anchored(windows: DataFrame, lengths: DataFrame) -> DataFrame:
+def anchored(windows: DataFrame, lengths: DataFrame, most_sent: int) -> DataFrame:
     """windows with their rarest word and its offset, and the second rarest; those that cannot occur are left out."""
-    each = windows.select("window", F.posexplode("words").alias("off", "word")).join(F.broadcast(lengths), F.lower("word") == F.col("term"), "left")
+    known = F.broadcast(lengths) if lengths.count() <= most_sent else lengths
+    each = windows.select("window", F.posexplode("words").alias("off", "word")).join(known, F.lower("word") == F.col("term"), "left")
     ranked = each.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("off"), F.lower("word").alias("term")))).alias("r"))
     two = ranked.filter(F.col("r")[0]["n"] > 0).select("window", F.col("r")[0].alias("a"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0]).alias("b"))
     return windows.join(two, "window").select(F.col("a.term").alias("anchor"), F.col("a.off").alias("off"), F.col("b.term").alias("second"), F.col("b.off").alias("second_off"), F.size("words").alias("length"), "window", "item_ids")
@@ -111,7 +112,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 2
     windows = cut(test_windows(tests, n))
     terms = windows.select(F.explode("words").alias("word")).select(F.lower("word").alias("term")).distinct()
     lengths = cut(list_lengths(rows, terms, block))
-    anchors = cut(anchored(windows, lengths))
+    anchors = cut(anchored(windows, lengths, block))
     # Every block brings each document's own row; only the first one's counts as a copy.
     found = reduce(DataFrame.unionByName, (matches(rows, part).withColumn("own", F.lit(k == 0)) for k, part in enumerate(in_blocks(anchors.select("window", *(c for c in anchors.columns if c != "window")), block))))
     w = Window.partitionBy("doc_id", "key").orderBy("start", "length")
