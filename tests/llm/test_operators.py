@@ -268,9 +268,10 @@ def test_blocks_round_trip(keys):
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 105), (101, 105), (102, 101), (200, 201), (7, 7)]
     d = spark.createDataFrame(edges, "a long, b long").repartition(5)
-    got = {r.v: r.p for r in components.components(d).collect()}
-    assert all(got[i] == 0 for i in range(61)) and got[105] == got[102] == 100 and got[201] == 200
-    assert components.components(d.limit(0)).count() == 0
+    for small in (components.SMALL, 0):
+        got = {r.v: r.p for r in components.components(d, small).collect()}
+        assert all(got[i] == 0 for i in range(61)) and got[105] == got[102] == 100 and got[201] == 200
+        assert components.components(d.limit(0), small).count() == 0
 
 
 # --- decontamination ---
