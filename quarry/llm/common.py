@@ -116,7 +116,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, kept for the words seen last; bounded."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 120_000):
         import xxhash
 
         self.known: dict[bytes, int] = {}

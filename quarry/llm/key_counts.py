@@ -22,7 +22,7 @@ BITS = 40
 #: Keys in a part, about, and the bounds of the number of parts (as bits).
 PART_KEYS, LEAST_PARTS, MOST_PARTS = 1_500_000, 6, 20
 #: Keys that a task sorts at once.
-SORTED = 2_000_000
+SORTED = 1_000_000
 
 
 def part_bits(text_bytes: int) -> int:

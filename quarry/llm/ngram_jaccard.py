@@ -1,7 +1,8 @@
 r"""All links between documents of similar word n-grams: an exact Jaccard self-join.
 
 A document's set is its different shingles (n words; 64-bit hashes stand for them).
-Documents with one set are one class, which is joined once.
+Documents with one set are one class, which is joined once. Sets travel as 48 bits of
+each hash, which makes two of them meet by chance in one pair of a billion.
 
 1. Shingles are counted over the corpus. Those of many documents get a place at the
    end of the global order, by number; the others come first, by hash. Any order that
@@ -11,11 +12,12 @@ Documents with one set are one class, which is joined once.
 3. Prefix entries meet by shingle. Pairs have to pass the length filter, the
    positional filter and the suffix filter: sets are compared by parity bitmaps, whose
    difference is never larger than that of the sets.
-4. First, neighbours in order of length and pairs with the first of a shingle's classes
-   are verified, on their whole sets, once each. Their links make components. Then all
-   pairs whose classes are still in different components are. A pair inside a component
-   can change nothing and isn't made, so a group of near copies costs its size, not its
-   square, and no link between different components is lost.
+4. First, neighbours in order of length are verified, on their whole sets, once each.
+   Their links make components. Then each class is verified against the nearest one (by
+   bitmap) of another component, and at last all pairs whose classes are still in
+   different components are. A pair inside a component can change nothing and isn't made,
+   so a group of near copies costs its size, not its square, and no link between different
+   components is lost.
 
 Blocks of entries are handled by part of the hash range, a bounded number in each.
 What goes to the workers is bounded: the bitmap (BITMAP bits) and the frequent
@@ -25,7 +27,8 @@ Defined cases: texts with fewer than n words have their whole word sequence as o
 shingle; null texts and those without words have an empty set, n_shingles 0, and are
 linked with nothing, so component_id is their own id; repeated rows each give a row;
 rows of one id are linked if their sets are; a null id is kept, and no component is
-named by it unless all its ids are null; other columns are not read.
+named by it unless all its ids are null; a set that only such rows have is linked with
+nothing else; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import key_counts as kc
-from quarry.llm.common import FOLD, WordHashes, chained, cut, id_bytes, slices
+from quarry.llm.common import FOLD, WordHashes, chained, cut, held, id_bytes, on_batches, slices
 from quarry.llm.components import components
 
 #: Bits, as a power of two, of the bitmap of shingles that several documents have: 16 MB.
@@ -75,7 +78,7 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 class Order:
     """The global order and what is known of shingles, in a worker."""
 
-    def __init__(self, frequent: bytes, ranks: bytes, bitmap: bytes):
+    def __init__(self, frequent: bytes, ranks: bytes, bitmap: bytearray):
         self.frequent, self.ranks = np.frombuffer(frequent, dtype="<u8"), np.frombuffer(ranks, dtype="<u4")
         self.bitmap = np.frombuffer(bitmap, dtype=np.uint8)
 
@@ -102,22 +105,22 @@ def profile(rows: DataFrame, n: int, bits: int) -> DataFrame:
     """A row for each document with its class, and blocks of counted shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        hashes, kept, size = held("jaccard", "hashes", WordHashes), [], 0
         for ids, texts in slices(batches):
             out = []
             for i, t in zip(ids, texts, strict=True):
                 s = shingle_set(t, hashes, n)
                 out.append((None, None, None, i, len(s), signature(s) if len(s) else None))
-                held.append(s)
+                kept.append(s)
                 size += len(s)
             yield kc.batch(out, PROFILE)
             if size > kc.SORTED:
-                yield kc.batch([(*b, None, None, None) for b in kc.blocks(*kc.counted(held), bits)], PROFILE)
-                held, size = [], 0
+                yield kc.batch([(*b, None, None, None) for b in kc.blocks(*kc.counted(kept), bits)], PROFILE)
+                kept, size = [], 0
         if size:
-            yield kc.batch([(*b, None, None, None) for b in kc.blocks(*kc.counted(held), bits)], PROFILE)
+            yield kc.batch([(*b, None, None, None) for b in kc.blocks(*kc.counted(kept), bits)], PROFILE)
 
-    return rows.mapInArrow(run, "part int, keys binary, counts binary, doc_id long, n long, sig long")
+    return on_batches(rows, run, "part int, keys binary, counts binary, doc_id long, n long, sig long")
 
 
 def part_tables(found: DataFrame, bits: int) -> DataFrame:
@@ -140,9 +143,9 @@ def part_tables(found: DataFrame, bits: int) -> DataFrame:
 def order_of(tables: DataFrame, bits: int, most: int):
     """Broadcasts of the frequent shingles, their ranks and the bitmap."""
     least = max(8, kc.least_count(kc.histogram_of(tables), most))
-    bitmap = np.zeros((1 << bits, 1 << (BITMAP - bits - 3)), dtype=np.uint8)
-    for r in tables.select("part", "bitmap").toLocalIterator():
-        bitmap[r["part"]] = np.frombuffer(r["bitmap"], dtype=np.uint8)
+    bitmap, stretch = bytearray(1 << (BITMAP - 3)), 1 << (BITMAP - bits - 3)
+    for r in tables.select("part", "bitmap").collect():
+        bitmap[r["part"] * stretch : (r["part"] + 1) * stretch] = r["bitmap"]
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,24 +153,24 @@ def order_of(tables: DataFrame, bits: int, most: int):
                 keys, counts = np.frombuffer(k, dtype="<u8"), np.frombuffer(c, dtype="<u4")
                 yield kc.batch([(keys[counts >= least].tobytes(), counts[counts >= least].tobytes())], [("keys", pa.binary()), ("counts", pa.binary())])
 
-    got = tables.select("keys", "counts").mapInArrow(often, "keys binary, counts binary").collect()
+    got = on_batches(tables.select("keys", "counts"), often, "keys binary, counts binary").collect()
     keys = np.concatenate([np.frombuffer(r["keys"], dtype="<u8") for r in got] or [np.zeros(0, dtype="<u8")])
     counts = np.concatenate([np.frombuffer(r["counts"], dtype="<u4") for r in got] or [np.zeros(0, dtype="<u4")])
     order = np.argsort(keys)
-    return tables.sparkSession.sparkContext.broadcast((keys[order].tobytes(), counts[order].tobytes(), bitmap.tobytes()))
+    return tables.sparkSession.sparkContext.broadcast((keys[order].tobytes(), counts[order].tobytes(), bitmap))
 
 
 def entries(rows: DataFrame, n: int, percent: int, bits: int, order) -> DataFrame:
     """Blocks of prefix entries by part of the hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known, seen = WordHashes(), Order(*order.value), set()
-        held: list[tuple] = []
+        hashes, known, seen = held("jaccard", "hashes", WordHashes), Order(*order.value), set()
+        kept: list[tuple] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            key, sig, count, place = (np.concatenate([h[k] for h in held]) for k in range(4))
-            par = np.concatenate([h[4] for h in held])
+            key, sig, count, place = (np.concatenate([h[k] for h in kept]) for k in range(4))
+            par = np.concatenate([h[4] for h in kept])
             by = np.argsort(key, kind="stable")
             part = (key[by] >> np.uint64(64 - bits)).astype(np.int64)
             at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(by)]])
@@ -178,21 +181,21 @@ def entries(rows: DataFrame, n: int, percent: int, bits: int, order) -> DataFram
                 s = shingle_set(t, hashes, n)
                 if not len(s) or (sig := signature(s)) in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 50_000:
                     seen.add(sig)
                 if 100 * int(known.shared(s).sum()) < percent * len(s):
                     continue  # more shingles are its own than a link allows
                 prefix = known.prefix(s, len(s) - -(-percent * len(s) // 100) + 1)
                 place = np.flatnonzero(known.shared(prefix))
-                held.append((prefix[place], np.full(len(place), sig, dtype="<i8"), np.full(len(place), len(s), dtype="<i4"), place.astype("<i4"), np.tile(parity(s), (len(place), 1))))
+                kept.append((prefix[place], np.full(len(place), sig, dtype="<i8"), np.full(len(place), len(s), dtype="<i4"), place.astype("<i4"), np.tile(parity(s), (len(place), 1))))
                 size += len(place)
-            if size > 200_000:
+            if size > 60_000:
                 yield out()
-                held, size = [], 0
+                kept, size = [], 0
         if size:
             yield out()
 
-    return rows.mapInArrow(run, "part int, keys binary, sigs binary, ns binary, places binary, parities binary")
+    return on_batches(rows, run, "part int, keys binary, sigs binary, ns binary, places binary, parities binary")
 
 
 class Part:
@@ -228,24 +231,23 @@ class Part:
 
 
 def first_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each shingle, neighbours in order and each class with the first."""
+    """(a, b): for each shingle, neighbours in order."""
 
     def run(group: pa.Table) -> pa.Table:
         part = Part(group)
-        xs, ys = [], []
-        for a, b in part.groups:
-            row = np.arange(a + 1, b)
-            xs += [row - 1, np.full(b - a - 2, a)]
-            ys += [row, row[1:]]
-        x, y = (np.concatenate([*z, np.zeros(0, dtype=np.int64)]).astype(np.int64) for z in (xs, ys))
-        ok = part.passing(x, y, percent)
-        return part.table([x[ok]], [y[ok]])
+        x = np.arange(max(0, len(part.key) - 1))
+        x = x[part.key[x] == part.key[x + 1]]
+        x = x[part.passing(x, x + 1, percent)]
+        return part.table([x], [x + 1])
 
     return blocks.groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
 
-def crossing_pairs(blocks: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of classes that share a shingle and are in different components; labels(v, p)."""
+def crossing_pairs(blocks: DataFrame, labels: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """(a, b): pairs of classes that share a shingle and are in different components; labels(v, p).
+
+    All of them, or for each shingle and class the nearest of another component only.
+    """
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,7 +255,7 @@ def crossing_pairs(blocks: DataFrame, labels: DataFrame, percent: int) -> DataFr
                 own = np.unique(np.frombuffer(sigs, dtype="<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, dtype=np.int32)), pa.array(own)], names=["part", "v"])
 
-    placed = blocks.select("part", "sigs").mapInArrow(names, "part int, v long").join(labels, "v")
+    placed = on_batches(blocks.select("part", "sigs"), names, "part int, v long").join(labels, "v")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         part = Part(left)
@@ -263,13 +265,17 @@ def crossing_pairs(blocks: DataFrame, labels: DataFrame, percent: int) -> DataFr
         for a, b in part.groups:
             if (comp[a:b] == comp[a]).all():
                 continue
-            for x in range(a, b - 1):
-                # Classes are in order of length, so those that may match follow closely.
+            for x in range(a, b):
+                # Classes are in order of length, so those that may match lie close.
                 stop = a + int(np.searchsorted(part.n[a:b], 100 * part.n[x] // percent, side="right"))
-                y = np.arange(x + 1, stop)
+                start = a + int(np.searchsorted(part.n[a:b], -(-percent * part.n[x] // 100))) if nearest else x + 1
+                y = np.arange(start, stop)
                 y = y[comp[y] != comp[x]]
                 if len(y):
                     y = y[part.passing(np.full(len(y), x), y, percent)]
+                if nearest and len(y) > 1:
+                    y = y[[np.bitwise_count(part.par[x] ^ part.par[y]).sum(axis=1).argmin()]]
+                if len(y):
                     xs.append(np.full(len(y), x))
                     ys.append(y)
         return part.table(xs, ys)
@@ -280,31 +286,32 @@ def crossing_pairs(blocks: DataFrame, labels: DataFrame, percent: int) -> DataFr
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of classes that are linked, by their whole sets."""
     need = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes.select("sig", "doc_id"), "sig").select("doc_id"))
-    few = need.limit(MOST_SENT + 1).count() <= MOST_SENT
+    few = need.count() <= MOST_SENT
     texts = rows.join(F.broadcast(need) if few else need, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = held("jaccard", "hashes", WordHashes)
         for _, own in slices(batches):
             found = [shingle_set(t, hashes, n) for t in own]
             keep = [s for s in found if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in keep], pa.int64()), pa.array([s.tobytes() for s in keep], pa.binary())], names=["sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in keep], pa.int64()), pa.array([kc.planes(s >> np.uint64(16), 6) for s in keep], pa.binary())], names=["sig", "shingles"])
 
-    have = texts.mapInArrow(sets, "sig long, shingles binary")
+    have = on_batches(texts, sets, "sig long, shingles binary")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+            for k in range(b.num_rows):
+                x, y = (kc.unplaned(b.column(c)[k].as_buffer(), 6) for c in (2, 3))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    side = lambda c: have.select(F.col("sig").alias(c), F.col("shingles").alias(f"set_{c}"))
-    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "set_a", "set_b")
-    return cut(both.mapInArrow(judge, "a long, b long").distinct())
+    # The sets are dealt out by class once, and read from there for either end of a pair.
+    both = pairs.join(have.alias("y").hint("merge"), F.col("b") == F.col("y.sig")).select("a", "b", F.col("y.shingles").alias("set_b"))
+    both = both.join(have.alias("x").hint("merge"), F.col("a") == F.col("x.sig")).select("a", "b", F.col("x.shingles").alias("set_a"), "set_b")
+    return cut(on_batches(both, judge, "a long, b long").distinct())
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, most_frequent: int = MOST_FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,10 +328,16 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, most_frequent:
     order = order_of(tables, bits, most_frequent)
     classes = cut(own.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
     blocks = kc.Scratch(entries(rows, n, percent, bits, order))
-    links = verified(cut(first_pairs(blocks.df, percent)), rows, classes, n, percent)
-    more = cut(crossing_pairs(blocks.df, components(links), percent))
+    tested = cut(first_pairs(blocks.df, percent))
+    links = verified(tested, rows, classes, n, percent)
+    labels = components(links)
+    for nearest in (True, False):
+        more = cut(crossing_pairs(blocks.df, labels, percent, nearest).join(tested, ["a", "b"], "left_anti"))
+        found = verified(more, rows, classes, n, percent)
+        # What was a component stays one: its nodes are drawn to its name.
+        labels = components(labels.select(F.col("v").alias("a"), F.col("p").alias("b")).unionByName(found))
+        tested = tested.unionByName(more)
     blocks.drop()
-    labels = components(links.unionByName(verified(more, rows, classes, n, percent)))
     placed = classes.join(labels, classes["sig"] == labels["v"], "left").select("sig", "doc_id", F.coalesce("p", "sig").alias("p"))
     least = placed.groupBy("p").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(least, "p").select("sig", "component_id")
