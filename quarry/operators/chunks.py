@@ -79,7 +79,7 @@ def syntax_chunks(file: str, source: str, language: str) -> list[tuple]:
             doc = None
             if language == "python" and (m := re.search(r':\s*\n\s*[rRuU]?("""|\'\'\')(.*?)\1', body, re.S)):
                 doc = m[2].strip().split("\n")[0]
-            out.append(_row(f"{file}:{name}", kind, name, file, body if len(body) <= 2048 else body[:1000] + "\n... (truncated) ...\n" + body[-1000:], start, end, scope=scope or None, parameters=parameters or None, docstring=doc, **whole))
+            out.append(_row(f"{file}:{name}", kind, name, file, body if len(body) <= 2048 else body[:1000] + X.TRUNCATED + body[-1000:], start, end, scope=scope or None, parameters=parameters or None, docstring=doc, **whole))
     return out
 
 

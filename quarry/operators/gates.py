@@ -34,7 +34,7 @@ REASONS = {
 }
 ALWAYS = ("context_fragmented", "architecture_unknown")
 # Tools that can be evidence.
-EVIDENCE_TOOLS = ("find_definitions", "find_references", "search_text", "analyze_structure", "get_symbols")
+EVIDENCE_TOOLS = ("find_definitions", "find_references", "search_text", "analyze_structure", "query")
 #: (phase, necessity) to the next phase.
 NEXT = {"EXPLORATION": "SEMANTIC", "SEMANTIC": "VERIFICATION", "VERIFICATION": "IMPACT_ANALYSIS", "IMPACT_ANALYSIS": "READY", "READY": "PRE_COMMIT", "PRE_COMMIT": "QUALITY_REVIEW", "QUALITY_REVIEW": "READY"}
 

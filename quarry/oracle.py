@@ -58,7 +58,7 @@ ORACLE_SQL: dict[str, str] = {
     "func_at_line": f"WITH {LINES}, {WINDOWS} SELECT L.doc_id, L.line_number AS line, CAST(line_start AS INT) AS start_line, line_end AS end_line FROM L JOIN W ON L.doc_id = W.doc_id AND L.line_number BETWEEN line_start AND line_end WHERE contains(line_content, 'token')",
     "line_chunks": f"WITH {LINES}, {WINDOWS} SELECT doc_id, CAST(line_start AS INT) AS line_start, line_end, {HASH.format('content')} AS hash FROM W",
     "module_summary": f"WITH {LINES}, {WINDOWS}, T AS (SELECT doc_id, count(*) AS chunk_count, string_agg(DISTINCT CASE WHEN line_end - line_start < 49 THEN 'part' ELSE 'full' END, ',' ORDER BY CASE WHEN line_end - line_start < 49 THEN 'part' ELSE 'full' END) AS chunk_types FROM W GROUP BY doc_id), H AS (SELECT doc_id, string_agg(line_content, chr(10) ORDER BY line_number) AS c FROM L WHERE line_number <= 30 GROUP BY doc_id) SELECT doc_id, {HASH.format('c')} AS hash, chunk_count, chunk_types FROM T JOIN H USING (doc_id)",
-    "truncate": f"SELECT doc_id, length(t) AS chars, {HASH.format('t')} AS hash FROM (SELECT doc_id, CASE WHEN length(text) > 2048 THEN substr(text, 1, 1000) || chr(10) || '... (truncated) ...' || chr(10) || right(text, 1000) ELSE text END AS t FROM documents)",
+    "truncate": f"SELECT doc_id, length(t) AS chars, {HASH.format('t')} AS hash FROM (SELECT doc_id, CASE WHEN length(text) > 2048 THEN substr(text, 1, 1000) || chr(10) || chr(10) || '... [truncated] ...' || chr(10) || chr(10) || right(text, 1000) ELSE text END AS t FROM documents)",
     "fingerprint": f"SELECT doc_id, {HASH.format('text')} AS hash, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM documents",
     "cdc_diff": f"WITH {SNAPS}, {CHANGES} SELECT * FROM C",
     "cdc_summary": f"WITH {SNAPS}, {CHANGES} SELECT *, added + modified + deleted AS total_processed, added + modified + deleted > 0 AS has_changes FROM (SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change = 'unchanged') AS unchanged FROM C)",
@@ -130,11 +130,11 @@ M AS (SELECT *, list_filter([CASE WHEN k % 2 = 0 THEN 'target_feature' END, CASE
 T AS (SELECT *, list_filter(CASE WHEN k % 2 = 0 THEN ['find_definitions', 'search_text', 'get_symbols', 'find_references', 'analyze_structure'] ELSE ['find_references', 'search_text', 'analyze_structure'] END,
   lambda t: (k % 2 = 0 AND t IN ('find_definitions', 'search_text', 'get_symbols')) OR (k % 3 = 0 AND t IN ('find_references', 'search_text')) OR (k % 4 = 0 AND t IN ('search_text', 'analyze_structure')) OR (intent = 'EXPLORE' AND t = 'analyze_structure')) AS t FROM M)
 SELECT k AS c_custkey, intent, array_to_string(m, ',') AS missing, array_to_string(t, ',') AS tools, CASE WHEN len(m) >= 3 THEN 'HIGH' WHEN len(m) = 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, intent <> 'EXPLORE' OR k % 7 = 0 AS needs_bootstrap, CAST(CASE WHEN intent = 'EXPLORE' THEN 1 ELSE 3 END AS BIGINT) AS n_phases FROM T""",
-    "risk_level": "SELECT k AS c_custkey, CASE WHEN k % 4 <> 0 AND k % 2 = 0 AND k % 3 = 0 THEN 'HIGH' WHEN k % 4 <> 0 AND (k % 2 = 0 OR k % 3 = 0) THEN 'MEDIUM' WHEN k % 3 <> 0 AND k % 5 = 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM (SELECT c_custkey AS k FROM customer)",
+    "risk_level": "SELECT c_custkey, CASE WHEN b AND NOT i THEN 'HIGH' WHEN m = 1 AND NOT t THEN 'HIGH' WHEN m = 0 AND NOT t AND NOT i AND NOT b THEN 'HIGH' WHEN i AND short THEN 'MEDIUM' WHEN c_mktsegment = 'MACHINERY' THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM (SELECT *, c_nationkey % 3 AS m, c_acctbal > 2000 AS t, c_acctbal > 0 AS i, c_mktsegment = 'BUILDING' AS short, c_nationkey > 18 AS b FROM customer)",
     "session_windows": f"WITH G AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), H AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts {ROWS}) AS g FROM G) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM H GROUP BY user_id, g",
     "tumbling_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "front_matter": "SELECT 'agreements/' || p_partkey || '.md' AS path, 'a: b' AS file, p_name AS nl_term, 'P' || p_partkey AS symbol, 'body ' || p_type AS body FROM part",
-    "agreements": f"SELECT p_partkey, replace(p_name, ' ', '_') || '_' || replace(p_brand, '#', '') || '.md' AS file, {HASH.format('m')} AS hash FROM (SELECT p_partkey, p_name, p_brand, '---' || chr(10) || 'nl_term: ' || p_name || chr(10) || 'symbol: ' || p_brand || chr(10) || 'similarity: ' || CAST(round(p_size / 50.0, 3) AS VARCHAR) || chr(10) || 'session_id: s1' || chr(10) || 'intent: MODIFY' || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name || ' → ' || p_brand || chr(10) || chr(10) || '## Evidence' || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '## Related files' || chr(10) || chr(10) || '- a.py' || chr(10) || '- b.py' || chr(10) || chr(10) || '## Query frame' || chr(10) || chr(10) || '- target_feature: ' || p_name AS m FROM part)",
+    "agreements": f"SELECT p_partkey, replace(p_name, ' ', '_') || '_' || replace(p_brand, '#', '') || '.md' AS file, {HASH.format('m')} AS hash FROM (SELECT p_partkey, p_name, p_brand, '---' || chr(10) || 'nl_term: ' || p_name || chr(10) || 'symbol: ' || p_brand || chr(10) || 'similarity: ' || printf('%.3f', p_size / 50.0) || chr(10) || 'session_id: s1' || chr(10) || 'intent: MODIFY' || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name || ' → ' || p_brand || chr(10) || chr(10) || '## Evidence' || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '## Related files' || chr(10) || chr(10) || '- a.py' || chr(10) || '- b.py' || chr(10) || chr(10) || '## Query frame' || chr(10) || chr(10) || '- target_feature: ' || p_name AS m FROM part)",
     "tool_stream": "SELECT 'u' || user_id AS file, CAST(event_id AS INT) AS line_number, 'x' AS line_content FROM events WHERE event_type = 'click'",
     "outcome_fan_out": f"WITH {OUTCOMES}, R AS (SELECT session_id, event_type AS nl_term, p || (k % 3) AS symbol, value, 'e' || (k % 4) AS evidence FROM O, (VALUES ('A'), ('B')) v(p) WHERE outcome = 'success') SELECT session_id, nl_term, symbol, round(max(value), 6) AS similarity, string_agg(DISTINCT evidence, '; ' ORDER BY evidence) AS code_evidence FROM R GROUP BY 1, 2, 3",
     "missing_slots": """WITH M AS (SELECT c_custkey, c_nationkey < 5 AS x, list_filter([CASE WHEN NOT c_acctbal > 0 THEN 'target_feature' END, CASE WHEN c_nationkey <= 12 THEN 'trigger_condition' END, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'observed_issue' END, 'desired_action'], lambda s: s IS NOT NULL) AS m FROM customer)
@@ -149,7 +149,7 @@ SELECT c_custkey, array_to_string(m, ',') AS missing,
     "summaries_merged": f"WITH {SNAPS} SELECT N.doc_id, hash AS content_hash, coalesce('note ' || quality, '') AS extra_notes FROM N LEFT JOIN labels l ON l.doc_id = N.doc_id",
     "languages": "SELECT p_partkey, ['python', 'composer_json', 'blade', 'filament_resource', 'migration', 'scss', 'unknown', 'tailwind_config'][p_size % 8 + 1] AS lang, p_size % 8 = 5 AS markup_only FROM part",
     "verdicts_together": "WITH P AS (SELECT p_brand AS brand, p_name AS symbol, max(p_size) / 50.0 AS s FROM part GROUP BY 1, 2) SELECT brand, count(*) FILTER (s >= 0.3) AS n_approved, coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (s < 0.3), '') AS rejected, CASE WHEN coalesce(bool_or(s >= 0.3 AND s <= 0.6), false) THEN 'HIGH' ELSE 'LOW' END AS risk FROM P GROUP BY 1",
-    "evidence_gate": "SELECT o_orderkey, o_orderstatus <> 'F' AND o_totalprice <= 100000 AS valid, length(trim(o_orderpriority)) >= 10 AS assessed FROM orders",
+    "evidence_gate": "SELECT o_orderkey, o_orderstatus = 'O' AND o_totalprice <= 100000 AS valid, length(trim(o_orderpriority)) >= 10 AS assessed FROM orders",
     "phase_steps": f"WITH {OUTCOMES}, P AS (SELECT *, ['EXPLORATION', 'SEMANTIC', 'VERIFICATION', 'IMPACT_ANALYSIS', 'READY', 'PRE_COMMIT', 'QUALITY_REVIEW'] AS ps FROM O) SELECT event_id, CASE WHEN k % 4 = 0 OR k > 90 THEN 'READY' ELSE 'EXPLORATION' END AS start, CASE WHEN k > 50 OR outcome = 'success' THEN ps[k % 7 + 1] WHEN k % 7 = 6 THEN 'READY' ELSE ps[k % 7 + 2] END AS next FROM P",
     "exploration_consistency": "SELECT p_partkey, CAST(2 AS BIGINT) AS n FROM part",
     "ready_check": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN '' ELSE 'Slot ''target_feature'' is still HYPOTHESIS.' END || CASE WHEN NOT c_acctbal > 0 AND c_nationkey <= 12 THEN ' ' ELSE '' END || CASE WHEN c_nationkey > 12 THEN '' ELSE 'Symbols ' || c_name || ' are still HYPOTHESIS.' END AS errors FROM customer",

@@ -62,11 +62,13 @@ def risk(missing: Column) -> Column:
     return F.when(F.size(missing) >= 3, "HIGH").when(F.size(missing) == 2, "MEDIUM").otherwise("LOW")
 
 
-def frame_risk(intent: Column, target: Column, issue: Column, trigger: Column) -> Column:
-    """By how complete a frame is: without issue and target high, without one of them or with a short issue medium."""
-    empty = lambda c: F.length(F.coalesce(c, F.lit(""))) == 0
-    code = intent.isin("IMPLEMENT", "MODIFY")
-    return F.when(code & empty(issue) & empty(target), "HIGH").when(code & (empty(issue) | empty(target)), "MEDIUM").when(F.length(issue) < 10, "MEDIUM").otherwise("LOW")
+def frame_risk(intent: Column, slots: dict[str, Column], hypothesis: Column) -> Column:
+    """By how complete a frame is. High: an action without an issue, a change without a target, or nothing at all to
+    implement. Medium: an issue of fewer than ten characters, or slots that are hypotheses."""
+    some = {s: F.length(F.coalesce(slots[s], F.lit(""))) > 0 for s in SLOTS}
+    anything = some["target_feature"] | some["trigger_condition"] | some["observed_issue"] | some["desired_action"]
+    high = (some["desired_action"] & ~some["observed_issue"]) | ((intent == "MODIFY") & ~some["target_feature"]) | ((intent == "IMPLEMENT") & ~anything)
+    return F.when(high, "HIGH").when(some["observed_issue"] & (F.length(slots["observed_issue"]) < 10), "MEDIUM").when(hypothesis, "MEDIUM").otherwise("LOW")
 
 
 def priority_slots(intent: Column, missing: Column) -> Column:
@@ -84,7 +86,7 @@ def plan(frames: DataFrame) -> DataFrame:
     rows = rows.withColumn("tools", tools)
     steps = F.transform("tools", lambda t, i: F.struct(t.alias("tool"), (F.size("tools") - i).alias("priority")))
     code = F.col("intent") != "EXPLORE"
-    reason = F.when(code, "code_intent").when(F.col("first_query"), "first_query")
+    reason = F.when(code, F.concat(F.lit("intent_"), F.lower("intent"))).when(F.col("first_query"), "first_query")
     return rows.withColumns({"steps": steps, "required_phases": required_phases(F.col("intent")), "risk_level": risk(F.col("missing")), "needs_bootstrap": code | F.coalesce(F.col("first_query"), F.lit(False)), "bootstrap_reason": reason})
 
 

@@ -630,10 +630,11 @@ def plan_route(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def risk_level(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    some = lambda m, v: F.when(k % m != 0, v)
-    intent = F.when(k % 4 == 0, "EXPLORE").otherwise("MODIFY")
-    return table(spark, d, "customer").select("c_custkey", router.frame_risk(intent, some(2, F.lit("cart")), some(3, F.when(k % 5 == 0, "short").otherwise("a longer issue")), F.lit(None)).alias("risk"))
+    """Of customers' frames, by how complete they are."""
+    some = lambda c, v: F.when(c, v).otherwise("")
+    slots = dict(zip(router.SLOTS, (some(F.col("c_acctbal") > 2000, "cart"), F.lit(""), some(F.col("c_acctbal") > 0, F.when(F.col("c_mktsegment") == "BUILDING", "short").otherwise("a longer issue")), some(F.col("c_nationkey") > 18, "fix")), strict=True))
+    intent = F.element_at(F.array(F.lit("IMPLEMENT"), F.lit("MODIFY"), F.lit("EXPLORE")), F.col("c_nationkey") % 3 + 1)
+    return table(spark, d, "customer").select("c_custkey", router.frame_risk(intent, slots, F.col("c_mktsegment") == "MACHINERY").alias("risk"))
 
 
 # --- streaming, in batch form ---

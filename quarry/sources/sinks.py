@@ -60,7 +60,7 @@ def append_json(df: DataFrame, path: str) -> None:
 
 def agreement_markdown(r: dict[str, Column]) -> Column:
     """An agreement as Markdown with front matter; r has nl_term, symbol, similarity, code_evidence, session_id, intent, related_files and frame."""
-    front = F.concat_ws("\n", F.lit("---"), *(F.concat(F.lit(f"{k}: "), r[k].cast("string")) for k in ("nl_term", "symbol")), F.concat(F.lit("similarity: "), F.round(r["similarity"], 3).cast("string")), F.concat(F.lit("session_id: "), r["session_id"]), F.concat(F.lit("intent: "), r["intent"]), F.lit("---"))
+    front = F.concat_ws("\n", F.lit("---"), *(F.concat(F.lit(f"{k}: "), r[k].cast("string")) for k in ("nl_term", "symbol")), F.concat(F.lit("similarity: "), F.format_string("%.3f", r["similarity"])), F.concat(F.lit("session_id: "), r["session_id"]), F.concat(F.lit("intent: "), r["intent"]), F.lit("---"))
     section = lambda title, body: F.when(F.length(body) > 0, F.concat(F.lit(f"## {title}\n\n"), body))
     files = F.array_join(F.transform(r["related_files"], lambda f: F.concat(F.lit("- "), f)), "\n")
     frame = F.array_join(F.transform(F.map_entries(F.map_filter(r["frame"], lambda k, v: F.length(v) > 0)), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"])), "\n")
