@@ -79,7 +79,14 @@ def confirm(relevant: DataFrame, mapped: DataFrame, scores: DataFrame, default:
     return relevant.select("symbol").distinct().join(scores.select("symbol", "score"), "symbol", "left").join(known, "symbol", "left").select("symbol", F.coalesce("score", F.lit(default)).alias("confidence"), F.coalesce("found", F.lit(False)).alias("found"))
 
 
-def hybrid(hits: DataFrame, text_hit: Column, weights: dict[str, float]) -> DataFrame:
-    """An extension: vector and text scores weighted together."""
-    total = sum(weights.values()) or 1.0
-    return hits.withColumn("hybrid", F.round((weights.get("vector", 0.7) * F.col("score") + weights.get("text", 0.3) * text_hit.cast("double")) / total, 6))
+# How much each kind of hit counts.
+WEIGHTS = {"vector": 0.4, "keyword": 0.2, "definition": 0.3, "reference": 0.1}
+
+
+def hybrid(hits: DataFrame, found: dict[str, Column], weights: dict[str, float] | None = None) -> DataFrame:
+    """An extension: hits with the weighted sum of their score and of whether (0 to 1) they are found otherwise."""
+    w = WEIGHTS | (weights or {})
+    total = w["vector"] * F.col("score")
+    for kind, value in found.items():
+        total = total + w[kind] * value.cast("double")
+    return hits.withColumn("hybrid", F.round(total, 6))

@@ -134,7 +134,7 @@ SELECT k AS c_custkey, intent, array_to_string(m, ',') AS missing, array_to_stri
     "session_windows": f"WITH G AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), H AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts {ROWS}) AS g FROM G) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM H GROUP BY user_id, g",
     "tumbling_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "front_matter": "SELECT 'agreements/' || p_partkey || '.md' AS path, 'a: b' AS file, p_name AS nl_term, 'P' || p_partkey AS symbol, 'body ' || p_type AS body FROM part",
-    "agreements": f"SELECT p_partkey, replace(p_name, ' ', '_') || '_' || replace(p_brand, '#', '') || '.md' AS file, {HASH.format('m')} AS hash FROM (SELECT p_partkey, p_name, p_brand, '---' || chr(10) || 'nl_term: ' || p_name || chr(10) || 'symbol: ' || p_brand || chr(10) || 'similarity: ' || printf('%.3f', p_size / 50.0) || chr(10) || 'session_id: s1' || chr(10) || 'intent: MODIFY' || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name || ' → ' || p_brand || chr(10) || chr(10) || '## Evidence' || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '## Related files' || chr(10) || chr(10) || '- a.py' || chr(10) || '- b.py' || chr(10) || chr(10) || '## Query frame' || chr(10) || chr(10) || '- target_feature: ' || p_name AS m FROM part)",
+    "agreements": f"SELECT p_partkey, replace(p_name, ' ', '_') || '_' || replace(p_brand, '#', '') || '.md' AS file, {HASH.format('m')} AS hash FROM (SELECT p_partkey, p_name, p_brand, '---' || chr(10) || 'doc_type: agreement' || chr(10) || 'nl_term: ' || p_name || chr(10) || 'symbol: ' || p_brand || chr(10) || 'symbol_normalized: ' || p_brand || chr(10) || 'similarity: ' || printf('%.3f', p_size / 50.0) || chr(10) || 'session_id: s1' || chr(10) || 'intent: MODIFY' || chr(10) || 'learned_at: 2024-01-01T00:00:00' || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name || ' → ' || p_brand || chr(10) || chr(10) || '**シンボル（分解）**: ' || p_brand || chr(10) || chr(10) || '## 根拠 (Code Evidence)' || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '## 関連ファイル' || chr(10) || chr(10) || '- `a.py`' || chr(10) || '- `b.py`' || chr(10) || chr(10) || '## QueryFrame' || chr(10) || chr(10) || '- **target_feature**: ' || p_name || chr(10) AS m FROM part)",
     "tool_stream": "SELECT 'u' || user_id AS file, CAST(event_id AS INT) AS line_number, 'x' AS line_content FROM events WHERE event_type = 'click'",
     "outcome_fan_out": f"WITH {OUTCOMES}, R AS (SELECT session_id, event_type AS nl_term, p || (k % 3) AS symbol, value, 'e' || (k % 4) AS evidence FROM O, (VALUES ('A'), ('B')) v(p) WHERE outcome = 'success') SELECT session_id, nl_term, symbol, round(max(value), 6) AS similarity, string_agg(DISTINCT evidence, '; ' ORDER BY evidence) AS code_evidence FROM R GROUP BY 1, 2, 3",
     "missing_slots": """WITH M AS (SELECT c_custkey, c_nationkey < 5 AS x, list_filter([CASE WHEN NOT c_acctbal > 0 THEN 'target_feature' END, CASE WHEN c_nationkey <= 12 THEN 'trigger_condition' END, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'observed_issue' END, 'desired_action'], lambda s: s IS NOT NULL) AS m FROM customer)

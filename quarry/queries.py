@@ -667,7 +667,7 @@ def front_matter(spark: SparkSession, d: str) -> DataFrame:
 @query
 def agreements(spark: SparkSession, d: str) -> DataFrame:
     """Agreements of parts rendered as Markdown, and their files' names."""
-    r = {"nl_term": F.col("p_name"), "symbol": F.col("p_brand"), "similarity": F.col("p_size") / 50.0, "code_evidence": F.col("p_type"), "session_id": F.lit("s1"), "intent": F.lit("MODIFY"), "related_files": F.array(F.lit("a.py"), F.lit("b.py")), "frame": F.create_map(F.lit("target_feature"), F.col("p_name"), F.lit("desired_action"), F.lit(""))}
+    r = {"nl_term": F.col("p_name"), "symbol": F.col("p_brand"), "similarity": F.col("p_size") / 50.0, "code_evidence": F.col("p_type"), "session_id": F.lit("s1"), "intent": F.lit("MODIFY"), "learned_at": F.lit("2024-01-01T00:00:00"), "related_files": F.array(F.lit("a.py"), F.lit("b.py")), "frame": F.create_map(F.lit("target_feature"), F.col("p_name"), F.lit("desired_action"), F.lit(""))}
     return table(spark, d, "part").select("p_partkey", sinks.agreement_file(F.col("p_name"), F.col("p_brand")).alias("file"), X.content_hash(sinks.agreement_markdown(r)).alias("hash"))
 
 

@@ -13,9 +13,9 @@ from quarry.functions import text as X
 
 # What an incremental scan takes, and what it leaves out.
 EXTENSIONS = (".py", ".php", ".js", ".ts", ".tsx", ".jsx", ".blade.php", ".json")
-EXCLUDES = ["**/node_modules/**", "**/vendor/**", "**/.git/**", "**/__pycache__/**", "**/.venv/**"]
+EXCLUDES = ["**/node_modules/**", "**/__pycache__/**", "**/venv/**", "**/vendor/**", "**/.git/**"]
 # What a search for definitions leaves out wherever it stands in a path.
-SYMBOL_EXCLUDES = ("node_modules", "vendor", ".git", "__pycache__", "venv", "dist", "build")
+SYMBOL_EXCLUDES = ("venv", ".venv", "node_modules", "__pycache__", ".git", ".svn", "dist", "build", ".tox", ".eggs")
 # Extensions by name of a file type.
 FILE_TYPES = {"py": (".py", ".pyi"), "js": (".js", ".jsx", ".mjs"), "ts": (".ts", ".tsx"), "php": (".php",), "html": (".html", ".htm"), "css": (".css", ".scss"), "md": (".md", ".markdown"), "json": (".json",)}
 DOCUMENT_EXTENSIONS = (".md", ".markdown", ".rst", ".txt")

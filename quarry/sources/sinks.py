@@ -59,12 +59,20 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def agreement_markdown(r: dict[str, Column]) -> Column:
-    """An agreement as Markdown with front matter; r has nl_term, symbol, similarity, code_evidence, session_id, intent, related_files and frame."""
-    front = F.concat_ws("\n", F.lit("---"), *(F.concat(F.lit(f"{k}: "), r[k].cast("string")) for k in ("nl_term", "symbol")), F.concat(F.lit("similarity: "), F.format_string("%.3f", r["similarity"])), F.concat(F.lit("session_id: "), r["session_id"]), F.concat(F.lit("intent: "), r["intent"]), F.lit("---"))
-    section = lambda title, body: F.when(F.length(body) > 0, F.concat(F.lit(f"## {title}\n\n"), body))
-    files = F.array_join(F.transform(r["related_files"], lambda f: F.concat(F.lit("- "), f)), "\n")
-    frame = F.array_join(F.transform(F.map_entries(F.map_filter(r["frame"], lambda k, v: F.length(v) > 0)), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"])), "\n")
-    return F.concat_ws("\n\n", front, F.concat(F.lit("# "), r["nl_term"], F.lit(" → "), r["symbol"]), section("Evidence", r["code_evidence"]), section("Related files", files), section("Query frame", frame))
+    """An agreement as Markdown with front matter, in the format that front_matter() and the curated collection read.
+
+    r has nl_term, symbol, similarity, code_evidence, session_id, intent, learned_at, related_files and frame (a map).
+    """
+    words = X.split_camel_case(r["symbol"])
+    line = lambda key, value: F.concat(F.lit(f"{key}: "), value)
+    front = F.concat_ws("\n", F.lit("---\ndoc_type: agreement"), line("nl_term", r["nl_term"]), line("symbol", r["symbol"]), line("symbol_normalized", words), line("similarity", F.format_string("%.3f", r["similarity"])), line("session_id", r["session_id"]), line("intent", r["intent"]), line("learned_at", r["learned_at"].cast("string")), F.lit("---"))
+    or_else = lambda body, text: F.when(F.length(body) > 0, body).otherwise(text)
+    files = F.array_join(F.transform(r["related_files"], lambda f: F.concat(F.lit("- `"), f, F.lit("`"))), "\n")
+    # The headings and what stands where there is nothing.
+    body = F.concat_ws("\n\n", F.concat(F.lit("# "), r["nl_term"], F.lit(" → "), r["symbol"]), F.concat(F.lit("**シンボル（分解）**: "), words), F.lit("## 根拠 (Code Evidence)"), or_else(r["code_evidence"], "（根拠なし）"), F.lit("## 関連ファイル"), or_else(files, "（なし）"))
+    said = F.transform(F.map_entries(F.map_filter(r["frame"], lambda k, v: F.length(v) > 0)), lambda e: F.concat(F.lit("- **"), e["key"], F.lit("**: "), e["value"], F.lit("\n")))
+    frame = F.when(F.size(r["frame"]) > 0, F.concat(F.lit("\n## QueryFrame\n\n"), F.array_join(said, ""))).otherwise("")
+    return F.concat(front, F.lit("\n\n"), body, F.lit("\n"), frame)
 
 
 def agreement_file(term: Column, symbol: Column) -> Column:
