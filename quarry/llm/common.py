@@ -28,6 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tuned(spark: SparkSession) -> SparkSession:
     """The session, with batches for Python workers small enough that two of them and the JVM share 3 GB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1024")
     return spark
 
 

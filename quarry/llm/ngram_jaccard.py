@@ -50,7 +50,7 @@ BITMAP = 27
 #: Frequent shingles that are sent to the workers at most.
 MOST_FREQUENT = 1_000_000
 #: 64-bit words of a set's parity bitmap.
-PARITY = 16
+PARITY = 8
 #: Candidate classes whose ids are sent to the workers at most, to read their texts again.
 MOST_SENT = 1_000_000
 
@@ -70,7 +70,7 @@ def signature(shingles: np.ndarray) -> int:
 
 def parity(shingles: np.ndarray) -> np.ndarray:
     """PARITY words: bit b is the parity of the number of shingles that fall on b."""
-    bit = (shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)
+    bit = (shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (64 * PARITY - 1).bit_length())
     odd = np.bincount(bit.astype(np.int64), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
