@@ -42,25 +42,21 @@ BLOCK = 1 << 20
 def cuts(ends: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
     """The best cuts among rising `ends`; the last of them is always one. No gap may exceed `length`."""
     pos, pen = ends.tolist(), penalty.tolist()
-    queue_pos, queue_val, queue_at = [0], [0.0], [-1]
-    head = 0
-    back = [0] * len(pos)
+    # (position, f + position, cut) with rising values; what came before head has left the window
+    queue: list[tuple[int, float, int]] = [(0, 0.0, -1)]
+    head, back = 0, []
     for j, p in enumerate(pos):
         low = p - length
-        while queue_pos[head] < low:
+        while queue[head][0] < low:
             head += 1
-        back[j] = queue_at[head]
-        # f(j) + position(j); the position cancels against the padding
-        val = queue_val[head] + length + pen[j]
-        while len(queue_val) > head and queue_val[-1] >= val:
-            queue_pos.pop()
-            queue_val.pop()
-            queue_at.pop()
-        queue_pos.append(p)
-        queue_val.append(val)
-        queue_at.append(j)
+        _, value, at = queue[head]
+        back.append(at)
+        value += length + pen[j]
+        while len(queue) > head and queue[-1][1] >= value:
+            queue.pop()
+        queue.append((p, value, j))
         if head > 65536:
-            del queue_pos[:head], queue_val[:head], queue_at[:head]
+            del queue[:head]
             head = 0
     out, j = [], len(pos) - 1
     while j >= 0:
@@ -156,9 +152,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 7)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for ids, texts in slices(batches):
-            words.learn(texts)
-            for i, t in zip(ids, texts, strict=True):
-                packer.add(i, np.concatenate([words(t), end]))
+            each = [t.split() if t else [] for t in texts]
+            words.learn(each)
+            for i, own in zip(ids, each, strict=True):
+                packer.add(i, np.concatenate([words(own), end]))
                 if packer.size >= BLOCK:
                     yield out(packer.settle(last=False))
         yield out(packer.settle(last=True))

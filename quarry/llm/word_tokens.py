@@ -32,7 +32,7 @@ class WordIds:
     of the others, as letters and marks are different pre-tokens.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -42,19 +42,23 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        #: Words of late, and those of before; a word that comes again is taken over.
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.most = most
 
-    def learn(self, texts: list[bytes | None]) -> None:
+    def learn(self, texts: list[list[bytes]]) -> None:
         """Makes sure that the words of these texts are known; at most one slice of texts at a time."""
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
+        if len(self.known) > self.most:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         letters: set[bytes] = set()
         marked: list[tuple[bytes, bytes, bytes]] = []
         other: set[bytes] = set()
-        for w in {w for t in texts if t for w in t.split()}.difference(known):
-            if m := PLAIN(w):
+        for w in set().union(*texts).difference(known):
+            if w in before:
+                known[w] = before[w]
+            elif m := PLAIN(w):
                 core = m[1]
                 if core not in known:
                     letters.add(core)
@@ -86,8 +90,9 @@ class WordIds:
     def encode(self, words: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), dtype="<u4") if text else np.zeros(0, dtype="<u4")
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """The ids of a text, given as its words, which are known."""
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
 
 
 def word_ids(path: str) -> WordIds:

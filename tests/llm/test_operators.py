@@ -52,8 +52,9 @@ def test_word_ids_are_the_texts(text):
     test_word_ids_are_the_texts.t = whole
     want = whole.encode(text, add_special_tokens=False).ids
     ids = word_tokens.word_ids(WORD_BPE)
-    ids.learn([text.encode()])
-    assert ids(text.encode()).tolist() == want
+    own = text.encode().split()
+    ids.learn([own])
+    assert ids(own).tolist() == want
     assert sum(len(whole.encode(w.decode(), add_special_tokens=False).ids) for w in token_counts.words_of(text.encode())) == len(want)
 
 
