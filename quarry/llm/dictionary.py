@@ -73,13 +73,14 @@ def head_of(sent, kind: str) -> Head:
     return held(kind, "head", make, id(data))
 
 
-def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, extra: Callable[[], Callable[[list[list[bytes]], list[bytes | None]], list[tuple]]], kinds: str, names: tuple[str, str] = ("a", "b"), missing: tuple[float, int] = (0.0, 0), kind: str = "counts") -> DataFrame:
+def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, extra: Callable[[], Callable[[list[list[bytes]], list[bytes | None]], list[tuple]]], kinds: str, names: tuple[str, str] = ("a", "b"), missing: tuple[float, int] = (0.0, 0), kind: str = "counts", also: DataFrame | None = None) -> DataFrame:
     """For each row (doc_id, text), the sums over its words of the values a (double) and b (long).
 
     values: (word, n, a, b), computed already (cut), as it is read several times.
     extra: makes, in a worker, a function of some documents' words and texts that gives
     a tuple for each, kept in columns of the given kinds. Rows that repeat id and text are summed
-    together and come out as often as they came in. kind names what workers keep together.
+    together and come out as often as they came in. kind names what workers keep together. also: (doc_id, key, some of kinds)
+    from elsewhere, for columns that extra leaves null; key is the text's xxh3 less 2 ** 63.
     """
     spark = rows.sparkSession
     least = least_use(values, most_sent)
@@ -115,6 +116,9 @@ def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, ext
     sent_rows = on_batches(rows, run, schema)
     tail = values.filter(F.col("n") < least).select("word", F.col("a").alias("a1"), F.col("b").alias("b1"))
     found = sent_rows.join(tail.hint("merge"), "word", "left")
+    if also is not None:
+        zero = {"k": "0L", "a0": "0D", "b0": "0L", "m": "0L"}
+        found = found.unionByName(also.select("*", *(F.expr(v).alias(c) for c, v in zero.items())), allowMissingColumns=True)
     a = F.sum(F.col("a0") + F.col("k") * F.coalesce("a1", F.lit(missing[0])))
     b = F.sum(F.col("b0") + F.col("k") * F.coalesce("b1", F.lit(missing[1])))
     by = found.groupBy("doc_id", "key").agg(F.sum("m").alias("m"), a.alias("a"), b.alias("b"), *(F.max(n).alias(n) for n, _ in spread))

@@ -2,11 +2,11 @@
 
 An n-gram with count c is entered once for each level 1 .. 1 + floor(log2 c). To read
 its count, levels are probed one after the other until one is missing; counts of one
-and two words give smoothed probabilities. The filter has a fixed number of bits and
-goes to every worker; where the corpus has more n-grams than fit, those that occur
-least are left out (the least count is a power of two, chosen from the counts of all
-n-grams). It is built in stretches, by part of the hash range, from counts over all
-training documents.
+and two words give smoothed probabilities. The filter lies in stretches, by part of
+the hash range. A stretch has as many bits as the n-grams counted in its part ask
+for, so none is left out at any size of corpus. No worker has the whole filter: each
+block of documents sends its n-grams to their parts, where they are counted and then
+probed, and the levels found come back to the block, where its texts are scored.
 
 The score of a text is the log10 of an equal mixture of models that give pairs of
 words the weights WEIGHTS, times c / (c + 5) for a first word seen c times. The base
@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +35,10 @@ from quarry.llm.dictionary import summed, word_counts
 
 #: The end of a text. No word is a space.
 END = b" "
-#: Bits of the filter as a power of two (16 MB), and probes of a level.
+#: Bits of a filter as a power of two where none is given, and probes of a level.
 FILTER, PROBES = 27, 4
-#: Least counts that are tried, as powers of two.
-FLOORS = (0, 1, 2, 3, 4, 6, 8, 11, 15, 20, 30)
+#: Probes entered for each bit of a stretch, at most; three quarters of the bits are unset then.
+FULL = 0.29
 WEIGHTS = (0.0, 0.1, 0.4, 0.8)
 MOST_SENT = 400_000
 
@@ -61,113 +62,161 @@ def before(h: np.ndarray, lengths: np.ndarray, end: np.uint64) -> np.ndarray:
     return out
 
 
-def spots(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
+def spots(keys: np.ndarray, level: int, bits: int, size: int = FILTER) -> Iterator[np.ndarray]:
     """Where in the stretch of its part each of these keys is entered for a level; keys have kc.BITS bits."""
     base = mix(keys + np.uint64(level << 48))
     for k in range(PROBES):
-        yield ((base >> np.uint64(16 * k)) ^ (base << np.uint64(11 + k))) % np.uint64(1 << (FILTER - bits))
-
-
-def stretches(blocks: DataFrame, bits: int) -> DataFrame:
-    """For each part a histogram of counts and, for each of FLOORS, its stretch of the filter."""
-
-    def run(group: pa.Table) -> pa.Table:
-        keys, counts = kc.merged(group.column("keys").to_pylist(), group.column("counts").to_pylist())
-        level = np.frexp(counts.astype(np.float64))[1]
-        own, at = np.zeros(1 << (FILTER - bits), dtype=np.uint8), []
-        for low, high in reversed(list(zip(FLOORS, [*FLOORS[1:], 64], strict=True))):
-            some = (level > low) & (level <= high)
-            k, top = keys[some], level[some]
-            for j in range(1, int(top.max(initial=0)) + 1):
-                for s in spots(k[top >= j], j, bits):
-                    own[s.astype(np.int64)] = 1
-            at.append(np.packbits(own, bitorder="little").tobytes())
-        row = (group.column("part")[0].as_py(), kc.levels(counts).tolist(), at[::-1])
-        return pa.Table.from_batches([kc.batch([row], [("part", pa.int32()), ("histogram", pa.list_(pa.int64())), ("filters", pa.list_(pa.binary()))])])
-
-    return blocks.groupBy("part").applyInArrow(run, "part int, histogram array<long>, filters array<binary>")
-
-
-def ngram_blocks(rows: DataFrame, bits: int) -> DataFrame:
-    """Blocks of counted words and pairs of words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, kept, size = held("lm", "hashes", WordHashes), [], 0
-        end = hashes([END])[0]
-        names = [("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
-        for _, texts in slices(batches):
-            each = [words_of(t) for t in texts]
-            h = hashes([w for own in each for w in own])
-            kept += [unigrams(h), bigrams(before(h, np.array([len(x) for x in each]), end), h)]
-            size += 2 * len(h)
-            if size > kc.SORTED:
-                yield kc.batch(list(kc.blocks(*kc.counted(kept), bits)), names)
-                kept, size = [], 0
-        if size:
-            yield kc.batch(list(kc.blocks(*kc.counted(kept), bits)), names)
-
-    return on_batches(rows, run, "part int, keys binary, counts binary")
-
-
-def floor_of(histogram: list[int], bits: int) -> int:
-    """The place in FLOORS of the least that leaves half of the filter's bits unset."""
-    for at, low in enumerate(FLOORS):
-        if PROBES * sum(n * (b + 1) for b, n in enumerate(histogram) if b >= low) <= 0.69 * (1 << bits):
-            return at
-    return len(FLOORS) - 1
+        yield ((base >> np.uint64(16 * k)) ^ (base << np.uint64(11 + k))) % np.uint64(1 << (size - bits))
 
 
 class Model:
-    """The filter, in a worker."""
+    """A filter of 2 ** size bits, in a worker."""
 
-    def __init__(self, data: bytearray, bits: int, tokens: int, types: int):
-        self.data, self.bits = np.frombuffer(data, dtype=np.uint8), bits
+    def __init__(self, data: bytearray, bits: int, tokens: int, types: int, size: int = FILTER):
+        self.data, self.bits, self.size = np.frombuffer(data, dtype=np.uint8), bits, size
         self.total = tokens + types + 1
-        self.hashes = held("lm", "hashes", WordHashes)
-        self.end = self.hashes([END])[0]
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts by repeated probes; the middle of the last level found."""
-        keys, back = np.unique(keys >> np.uint64(64 - kc.BITS), return_inverse=True)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The last level found of each of these different keys, by repeated probes; keys have kc.BITS bits."""
         level, left = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
         while len(left) and len(self.data):
             k = keys[left]
-            start = (k >> np.uint64(kc.BITS - self.bits)) << np.uint64(FILTER - self.bits)
+            start = (k >> np.uint64(kc.BITS - self.bits)) << np.uint64(self.size - self.bits)
             there = np.ones(len(k), dtype=bool)
-            for s in spots(k, int(level[left[0]]) + 1, self.bits):
+            for s in spots(k, int(level[left[0]]) + 1, self.bits, self.size):
                 bit = start + s
                 there &= (self.data[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
             left = left[there]
             level[left] += 1
             if len(left) and level[left[0]] >= 40:
                 break
-        value = np.where(level > 1, 2.0 ** (level - 1) * 1.4142135623730951, np.minimum(level, 1))
-        return value[back]
-
-    def scores(self, each: list[list[bytes]], texts: list[bytes | None]) -> list[tuple]:
-        """(tokens, score) of each text."""
-        lengths = np.array([len(x) for x in each])
-        h = self.hashes([w for own in each for w in own])
-        prev = before(h, lengths, self.end)
-        single = self.count(unigrams(np.concatenate([h, [self.end]]).astype(np.uint64)))
-        at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        single, first = single[:-1], np.concatenate([single[-1:], single[:-2]])
-        first[at] = first[0]
-        pair = np.minimum(self.count(bigrams(prev, h)), np.minimum(first, single))
-        alone = np.minimum((single + 1) / self.total, 1.0)
-        share = np.divide(pair, first, out=np.zeros(len(h)), where=first > 0)
-        logs = []
-        for weight in WEIGHTS:
-            w = weight * first / (first + 5)
-            logs.append(np.add.reduceat(np.log10(w * share + (1 - w) * alone), at))
-        top = np.max(logs, axis=0)
-        score = top + np.log10(np.mean([10 ** (x - top) for x in logs], axis=0))
-        return list(zip(lengths.tolist(), score.tolist(), strict=True))
-
-
-def model_of(sent) -> Model:
-    data, bits, tokens, types = sent.value
-    return held("lm", "model", lambda: Model(data, bits, tokens, types), id(data))
+        return level
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of 64-bit keys."""
+        keys, back = np.unique(keys >> np.uint64(64 - kc.BITS), return_inverse=True)
+        return middle(self.levels(keys))[back]
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    """The count that stands for a level: the middle of those that reach it and no more."""
+    return np.where(level > 1, 2.0 ** (level - 1) * 1.4142135623730951, np.minimum(level, 1))
+
+
+def stretch(keys: np.ndarray, counts: np.ndarray) -> Model:
+    """The filter of one part, with all of its n-grams."""
+    level = np.frexp(counts.astype(np.float64))[1]
+    size = max(10, int(np.ceil(np.log2(max(1, PROBES * int(level.sum())) / FULL))))
+    own = np.zeros(1 << size, dtype=np.uint8)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        for s in spots(keys[level >= j], j, 0, size):
+            own[s.astype(np.int64)] = 1
+    return Model(bytearray(np.packbits(own, bitorder="little").tobytes()), 0, 0, 0, size)
+
+
+def ngrams(words: np.ndarray, at: np.ndarray, lengths: np.ndarray, end: np.uint64) -> np.ndarray:
+    """Keys of a block's n-grams: each different word, then the pair that ends at each token.
+
+    Words and the end are the top kc.BITS bits of their hashes.
+    """
+    h = words[at]
+    return np.concatenate([unigrams(words), bigrams(before(h, lengths, end), h)]) >> np.uint64(64 - kc.BITS)
+
+
+#: A row has a block's n-grams of one part, or (keys are null) its documents and what their tokens are.
+SENT = [("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("at", pa.binary())]
+SENT_SQL = "part int, block long, keys binary, counts binary, ids array<long>, texts array<long>, lengths array<long>, words binary, at binary"
+
+
+def ngram_blocks(rows: DataFrame, bits: int) -> DataFrame:
+    """Blocks of documents (doc_id, text, held_out): n-grams by part, counted where they aren't held out, and tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hashes, number = held("lm", "hashes", WordHashes), TaskContext.get().partitionId() << 32
+        end = hashes([END])[0] >> np.uint64(64 - kc.BITS)
+        ids, keys, trains, lengths, kept, size = [], [], [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            n = np.array(lengths)
+            words, at = np.unique(np.concatenate(kept) >> np.uint64(64 - kc.BITS), return_inverse=True)
+            train = np.repeat(np.array(trains, dtype=np.float64), n)
+            found, back = np.unique(ngrams(words, at, n, end), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([np.bincount(at, train, len(words)), train])).astype(np.int64)
+            sent = [(p, number, k, c, *[None] * 5) for p, k, c in kc.blocks(found, counts, bits)]
+            return kc.batch([*sent, ((number * 0x9E3779B1 >> 7) % (1 << bits), number, None, None, ids, keys, lengths, kc.planes(words, 5), pa.compress(kc.planes(at, 4), "zstd", asbytes=True))], SENT)
+
+        for batch in batches:
+            held_out = iter(batch.column(2).to_pylist())
+            for own, texts in slices(iter([batch])):
+                each = [words_of(t) for t in texts]
+                ids += own
+                keys += [xxhash.xxh3_64_intdigest(t or b"") - (1 << 63) for t in texts]
+                trains += [not next(held_out) for _ in texts]
+                lengths += map(len, each)
+                kept.append(hashes([w for x in each for w in x]))
+                size += 2 * len(kept[-1])
+                if size > kc.SORTED:
+                    yield out()
+                    ids, keys, trains, lengths, kept, size = [], [], [], [], [], 0
+                    number += 1
+        if size:
+            yield out()
+
+    return on_batches(rows, run, SENT_SQL)
+
+
+def probed(blocks: DataFrame) -> DataFrame:
+    """The same rows; for n-grams, counts are the levels that the filter of all training documents has."""
+
+    def run(group: pa.Table) -> pa.Table:
+        asked = np.asarray(group.column("keys").is_valid())
+        own, rest = group.filter(pa.array(asked)), group.filter(pa.array(~asked))
+        if not own.num_rows:
+            return rest
+        each = own.column("keys").to_pylist()
+        keys, counts = kc.merged(each, own.column("counts").to_pylist())
+        level = stretch(keys[counts > 0], counts[counts > 0]).levels(keys).astype(np.uint8)
+        answers = [level[np.searchsorted(keys, kc.unplaned(k, 5))].tobytes() for k in each]
+        answered = own.set_column(2, SENT[2][0], pa.array([b""] * len(each), pa.binary())).set_column(3, SENT[3][0], pa.array(answers, pa.binary()))
+        return pa.concat_tables([answered.cast(pa.schema(SENT)), rest.cast(pa.schema(SENT))])
+
+    return blocks.groupBy("part").applyInArrow(run, SENT_SQL)
+
+
+def scores(words: np.ndarray, at: np.ndarray, lengths: np.ndarray, level: np.ndarray, end: np.uint64, total: int) -> np.ndarray:
+    """Scores of a block's texts; level has the levels of its different n-grams, in order of their keys."""
+    _, back = np.unique(ngrams(words, at, lengths, end), return_inverse=True)
+    count = middle(level.astype(np.int64))[back]
+    single, pair, starts = count[: len(words)][at], count[len(words) :], np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    first = np.concatenate([single[:1], single[:-1]])
+    first[starts] = count[np.searchsorted(words, end)]
+    pair = np.minimum(pair, np.minimum(first, single))
+    alone = np.minimum((single + 1) / total, 1.0)
+    share = np.divide(pair, first, out=np.zeros(len(pair)), where=first > 0)
+    logs = []
+    for weight in WEIGHTS:
+        w = weight * first / (first + 5)
+        logs.append(np.add.reduceat(np.log10(w * share + (1 - w) * alone), starts))
+    top = np.max(logs, axis=0)
+    return top + np.log10(np.mean([10 ** (x - top) for x in logs], axis=0))
+
+
+def scored(answered: DataFrame, total: int) -> DataFrame:
+    """(doc_id, key, score) of every document; key is the text's hash."""
+    names = [("doc_id", pa.int64()), ("key", pa.int64()), ("score", pa.float64())]
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        (docs,) = (r for r in rows if r["keys"] is None)
+        level = np.frombuffer(b"".join(r["counts"] for r in sorted((r for r in rows if r["keys"] is not None), key=lambda r: r["part"])), dtype=np.uint8)
+        at = kc.unplaned(pa.decompress(docs["at"], 4 * sum(docs["lengths"]), "zstd", asbytes=True), 4).astype(np.int64)
+        end = WordHashes()([END])[0] >> np.uint64(64 - kc.BITS)
+        found = scores(kc.unplaned(docs["words"], 5), at, np.array(docs["lengths"]), level, end, total)
+        return pa.Table.from_arrays([pa.array(docs["ids"], pa.int64()), pa.array(docs["texts"], pa.int64()), pa.array(found)], schema=pa.schema(names))
+
+    return answered.groupBy("block").applyInArrow(run, "doc_id long, key long, score double")
 
 
 def lm_scoring(docs: DataFrame, held_out: Column, most_sent: int = MOST_SENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,14 +226,9 @@ def lm_scoring(docs: DataFrame, held_out: Column, most_sent: int = MOST_SENT, id
     train, every = rows.filter("not held_out").select("doc_id", "text"), rows.select("doc_id", "text")
     values = cut(word_counts(train, words_of).select("word", "n", F.log10(F.col("n") + 1).alias("a"), F.lit(1).cast("long").alias("b")))
     tokens, types = values.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    bits = kc.part_bits(2 * kc.text_bytes(train))
-    parts = cut(stretches(ngram_blocks(train, bits), bits))
-    at = floor_of(kc.histogram_of(parts), FILTER)
-    whole, stretch = bytearray(1 << (FILTER - 3)), 1 << (FILTER - bits - 3)
-    for r in parts.select("part", F.col("filters")[at].alias("filter")).collect():
-        whole[r["part"] * stretch : (r["part"] + 1) * stretch] = r["filter"]
-    sent = spark.sparkContext.broadcast((whole, bits, tokens, types))
-    more: Callable = lambda: model_of(sent).scores
-    found = summed(every, words_of, values, most_sent, more, "n_tokens long, score double", ("known_log", "n_known"), kind="lm")
+    bits = kc.part_bits(2 * kc.text_bytes(every))
+    also = scored(probed(ngram_blocks(rows, bits)), tokens + types + 1)
+    lengths: Callable = lambda: lambda each, _: [(len(x), None) for x in each]
+    found = summed(every, words_of, values, most_sent, lengths, "n_tokens long, score double", ("known_log", "n_known"), kind="lm", also=also)
     total = float(np.log10(tokens + types + 1))
     return found.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("known_log") - F.col("n_tokens") * F.lit(total)).alias("base_score"), "score")

@@ -376,3 +376,47 @@ def test_forest_on_held_out_findings(spark):
     votes = x.select("secret", (F.expr(" + ".join(f"({t})" for t in trees)) / len(trees) > 0.5).alias("said"))
     right = votes.filter("said = (secret = 1)").count() / votes.count()
     assert right > 0.97
+
+
+def test_lm_filter_grows(spark):
+    """More n-grams than a filter of 2 ** 27 bits holds at half its bits; those that occur once are found, too."""
+    keys = np.arange(30_000_000, dtype=np.uint64) << np.uint64(10)
+    for part in (keys[:1000], keys):
+        m = lm_scoring.stretch(part, np.ones(len(part), dtype=np.int64))
+        assert (m.levels(part[-5000:]) >= 1).all()
+        assert (m.levels(part[-5000:] + np.uint64(1)) > 0).mean() < 0.02
+
+
+def test_lm_scores_against_brute_force(spark, docs, pairs):
+    """All pairs of words in the model, over several blocks and parts, with null and repeated ids."""
+    kept = lambda i: i is None or i % 3 > 0
+    tokens = lambda t: [*words((t or "").translate(FOLD)), None]
+    level = lambda n: 0 if not n else 1 if n == 1 else 2 ** math.floor(math.log2(n)) * math.sqrt(2)
+    one, two = collections.Counter(), collections.Counter()
+    for i, t in pairs:
+        if kept(i):
+            ws = tokens(t)
+            one.update(ws)
+            two.update(zip([None, *ws[:-1]], ws, strict=True))
+    total = sum(one.values()) + len(one) + 1
+
+    def score(t):
+        ws, logs = tokens(t), []
+        for weight in lm_scoring.WEIGHTS:
+            x = 0.0
+            for a, b in zip([None, *ws[:-1]], ws, strict=True):
+                first, single = level(one[a]), level(one[b])
+                w = weight * first / (first + 5)
+                share = min(level(two[a, b]), first, single) / first if first else 0.0
+                x += math.log10(w * share + (1 - w) * min((single + 1) / total, 1))
+            logs.append(x)
+        return max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs) / len(logs))
+
+    want = collections.defaultdict(list)
+    for i, t in pairs:
+        want[i].append(score(t))
+    got = collections.defaultdict(list)
+    for r in lm_scoring.lm_scoring(docs, F.col("doc_id") % 3 == 0).collect():
+        got[r.doc_id].append(r.score)
+    near = [abs(g - w) < 0.01 * abs(w) + 1e-9 for i in want for g, w in zip(sorted(got[i]), sorted(want[i]), strict=True)]
+    assert got.keys() == want.keys() and sum(near) >= 0.9 * len(near)
