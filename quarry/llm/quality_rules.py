@@ -2,10 +2,13 @@
 
 A document is measured by how a public vocabulary takes it: characters per
 token, the share of tokens that are raw bytes (characters the vocabulary lacks)
-and the entropy of its tokens. Bands for the document's script say what is
-normal. Simple rules on words and repetition come first.
+and the entropy of its tokens. Bands for the document's script say what can be
+language at all. What is normal is measured: fences around the quartiles of the
+characters per token and of the entropy over all documents of the script and of
+about the same number of tokens. Simple rules on words and repetition come first.
 
-One pass over the rows, no shuffle: nothing is gathered from other documents.
+Texts are measured in one pass; the fences come from the measures, which are small.
+Only different measures count, so copies of one document do not set them.
 
 Defined cases: a null or empty text has no words, so n_words is 0, base_failed is
 true and kept false; repeated rows each give a row; a null id stays null; very
@@ -23,8 +26,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quarry.llm.common import held, id_bytes, on_batches, slices
+from quarry.llm.common import cut, held, id_bytes, on_batches, slices, without
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -43,6 +47,10 @@ class Band:
     entropy_from: int = 64
 
 
+#: Fences lie so many spreads of the quartiles outside of them (Tukey's rule); a spread is so large a part of the median at least.
+FENCE, LEAST_SPREAD = 1.5, 0.02
+#: Documents of a script and length that fences are measured from, at least. With fewer, only BANDS hold.
+LEAST_MEASURED = 64
 #: By script. Wide on purpose: they are to catch text that is not language, not unusual language.
 BANDS = {
     "latin": Band(1.2, 12.0, 0.20, 3.0),
@@ -153,38 +161,55 @@ def measure(text: bytes | None, pieces: Pieces, bands: dict[str, Band]) -> tuple
     return (len(words), word_chars, symbols, len(lines) - len(set(lines)), repeats, failed, bool(not failed and normal), script, n, per_token, share, entropy)
 
 
-def quality_rules(docs: DataFrame, model: str, bands: dict[str, Band] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document with its counts, its fertility and whether it is kept.
-
-    model: the file of a sentencepiece vocabulary, at the same place on every worker.
-    """
-    used = BANDS | (bands or {})
+def measured(rows: DataFrame, model: str, used: dict[str, Band]) -> DataFrame:
+    """The measures of rows (doc_id, text); kept is by base rules and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = held("quality", "pieces", lambda: Pieces(model), model)
         for ids, texts in slices(batches):
             pieces.learn({w for t in texts if t for w in t.split()})
-            rows = [measure(t, pieces, used) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True))], names=NAMES)
+            found = [measure(t, pieces, used) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), KINDS, strict=True))], names=NAMES)
 
-    return on_batches(id_bytes(docs, id_col, text_col), run, SCHEMA)
+    return on_batches(rows, run, SCHEMA)
 
 
-def quality_filter(docs: DataFrame, model: str, bands: dict[str, Band] | None = None, text_col: str = "text") -> DataFrame:
-    """docs without the rows that quality_rules doesn't keep, all columns as they are, in one pass."""
-    used, at = BANDS | (bands or {}), docs.columns.index(text_col)
+def fenced(found: DataFrame) -> DataFrame:
+    """found (kept already) with kept only inside the fences of the script and of half an octave of tokens."""
+    octave = F.floor(2 * F.log2("n_pieces")).cast("int").alias("octave")
+    normal = found.filter("kept").select("script", "n_pieces", octave, "chars_per_token", "token_entropy").distinct()
+    sides = []
+    for c in FENCED:
+        low, mid, high = (F.percentile(F.round(c, 3), F.lit(q)) for q in (0.25, 0.5, 0.75))
+        far = FENCE * F.greatest(high - low, LEAST_SPREAD * mid)
+        sides += [(low - far).alias(f"{c}_low"), (high + far).alias(f"{c}_high")]
+    fences = normal.groupBy("script", "octave").agg(F.count("*").alias("n"), *sides).filter(F.col("n") >= LEAST_MEASURED)
+    both = found.withColumn("octave", octave).join(F.broadcast(fences), ["script", "octave"], "left")
+    inside = F.lit(True)
+    for c in FENCED:
+        inside &= F.coalesce(F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high")), F.lit(True))
+    return both.withColumn("kept", F.col("kept") & inside).select(*NAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = held("quality", "pieces", lambda: Pieces(model), model)
-        for batch in batches:
-            kept: list[bool] = []
-            for _, texts in slices(iter([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at).cast(pa.binary())], names=["id", "text"])])):
-                pieces.learn({w for t in texts if t for w in t.split()})
-                kept += [measure(t, pieces, used)[6] for t in texts]
-            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return on_batches(docs, run, docs.schema)
+def quality_rules(docs: DataFrame, model: str, bands: dict[str, Band] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document with its counts, its fertility and whether it is kept.
+
+    model: the file of a sentencepiece vocabulary, at the same place on every worker.
+    """
+    return fenced(cut(measured(id_bytes(docs, id_col, text_col), model, BANDS | (bands or {}))))
+
+
+def quality_filter(docs: DataFrame, model: str, bands: dict[str, Band] | None = None, text_col: str = "text") -> DataFrame:
+    """docs without the rows that quality_rules doesn't keep, all columns as they are.
+
+    A text alone says whether its row is kept, so rows are taken away by the text's hash.
+    """
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    found = fenced(cut(measured(docs.select(key.alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")), model, BANDS | (bands or {}))))
+    gone = cut(found.filter("not kept").select(F.col("doc_id").alias("_key")).distinct())
+    return without(docs.withColumn("_key", key), gone, ["_key"]).select(*docs.columns)
 
 
+FENCED = ("chars_per_token", "token_entropy")
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 KINDS = [{"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in SCHEMA.split(", ")][1:]

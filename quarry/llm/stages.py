@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table, tuned
+from quarry.llm.common import cut, table, tuned, without
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.ngram_jaccard import ngram_jaccard
 from quarry.llm.packing import pack
@@ -14,15 +14,6 @@ from quarry.llm.quality_rules import quality_filter
 from quarry.llm.queries import PIECE_BPE, WORD_BPE
 from quarry.llm.secret_scans import redact
 
-#: Rows that are sent to every worker at most, to take rows away without a shuffle of the texts.
-MOST_SENT = 1_000_000
-
-
-def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """docs without the rows whose keys are in gone (a small table, kept already)."""
-    few = gone.limit(MOST_SENT + 1).count() <= MOST_SENT
-    return docs.join(F.broadcast(gone) if few else gone, keys, "left_anti")
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that quality rules keep."""

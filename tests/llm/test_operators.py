@@ -125,6 +125,25 @@ def test_bands_reject(spark):
     assert {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.quality_rules(odd, PIECE_BPE, {"other": quality_rules.Band(1.0, 9.0, 0.3, 2.0), "latin": quality_rules.Band(1.0, 9.0, 0.3, 2.0)}).collect()} == {1: (False, False), 2: (False, True)}
 
 
+def test_fences_reject_junk(spark):
+    """Random letters, base64 lines and marks after each word, among prose of the same length; copies don't move the fences."""
+    import base64
+    import random
+
+    from conftest import prose
+
+    r = random.Random(4)
+    rows = [(i, prose(i, 80 + i % 20)) for i in range(400)] + [(900 + i, prose(1, 81)) for i in range(1500)]
+    rows += [(5000, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(70)))]
+    rows += [(5001, "\n".join(base64.b64encode(r.randbytes(24)).decode() for _ in range(12))), (5002, " ".join(w + "$$$" for w in prose(77, 55).split()))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.base_failed, x.kept) for x in quality_rules.quality_rules(d, PIECE_BPE).collect()}
+    assert [got[k] for k in (5000, 5001, 5002)] == [(False, False)] * 3
+    assert sum(got[i][1] for i in range(400)) >= 380 and all(got[900 + i][1] for i in range(1500))
+    left = {x.doc_id for x in quality_rules.quality_filter(d, PIECE_BPE).collect()}
+    assert left == {i for i, (_, kept) in got.items() if kept}
+
+
 @pytest.mark.parametrize("text,script", [("plain", "latin"), ("привет мир", "cyrillic"), ("東京都", "cjk"), ("été", "latin"), ("שלום", "hebrew"), ("", "latin")])
 def test_scripts(text, script):
     assert quality_rules.script_of(text, len(text.replace(" ", ""))) == script
