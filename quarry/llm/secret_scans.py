@@ -33,6 +33,8 @@ KEY = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access
 #: A run of 16 or more with a digit; the digit is looked for first, from the run's start.
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}"
 ASSIGNED = KEY + r"[\w-]*[\"']?(?:=|:|=>)[\"']?[^\s\"']{6,}"
+#: A name with its sign, as in YAML, properties, headers or logs; the value is the next word.
+NAMED = KEY + r"[\w-]*[\"']?(?::=|=>|=|:)[\"']?$"
 #: Public dictionary words that placeholders and identifiers are made of.
 WORDS = (
     "access account address admin alpha api app array auth base beta bench branch build cache change char check class client code column "
@@ -57,8 +59,13 @@ def rlike(c: Column, pattern: str) -> Column:
 
 def is_candidate(word: Column, one: Column, two: Column) -> Column:
     """one and two: the words one and two places before, null where there are none."""
-    spaced = F.coalesce(one.isin("=", ":", "=>", ":="), F.lit(False)) & F.coalesce(rlike(two, KEY), F.lit(False))
-    return (F.length(word) >= 6) & ((rlike(word, "[0-9=:]") & (rlike(word, RUN) | rlike(word, ASSIGNED))) | spaced)
+    return (F.length(word) >= 6) & ((rlike(word, "[0-9=:]") & (rlike(word, RUN) | rlike(word, ASSIGNED))) | spaced(one, two))
+
+
+def spaced(one: Column, two: Column) -> Column:
+    """Whether the words before are the assignment of something named like a secret."""
+    ends = F.coalesce(rlike(one, "[=:>][\"']?$"), F.lit(False))
+    return ends & F.coalesce(F.when(one.isin("=", ":", "=>", ":="), rlike(two, KEY)).otherwise(rlike(one, NAMED)), F.lit(False))
 
 
 def value_of(word: Column) -> Column:
@@ -85,7 +92,7 @@ def features(word: Column, one: Column, two: Column, after: Column, path: Column
         (n - F.length(F.regexp_replace(F.lower(v), "|".join(sorted(WORDS, key=len, reverse=True)), ""))) / n,
         flag(rlike(v, PROVIDER)),
         flag(rlike(v, r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$|^\d{4}-\d\d-\d\d|^v?\d+\.\d+|^[\w./-]*/[\w./-]+$|^(.)\1{5,}")),
-        flag(rlike(word, ASSIGNED) | (near(one, "^(?:=|:|=>|:=)$") & near(two, KEY))),
+        flag(rlike(word, ASSIGNED) | spaced(one, two)),
         flag(near(one, BENIGN) | near(two, BENIGN) | near(after, BENIGN) | rlike(word, r"(?i)(?:sha\d*|md5|commit|uuid|rev)[=:]")),
         flag(rlike(path, TEST_PATH)),
         F.length(v) / F.greatest(F.length(word), F.lit(1)).cast("double"),
@@ -103,6 +110,8 @@ def findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     name = pick("password", "token", "api_key", "secret", "auth_token", "SECRET_KEY", "passwd", "access_key")
     prose = pick("the", "of", "and", "was", "with", "une", "der", "los", "is", "to", "an", "er")
     noun = F.element_at(F.array(*(F.lit(w) for w in WORDS)), (F.pmod(F.xxhash64("g"), F.lit(len(WORDS))) + 1).cast("int"))
+    short = F.concat(F.substring(base, 4, 4), dec, F.substring(F.lower(base), 9, 3))
+    glue = F.when(F.pmod(F.xxhash64("g", "h"), F.lit(3)) == 0, "=").otherwise(":")
     nothing = F.lit(None).cast("string")
     # word, one, two, label
     kinds = [
@@ -114,6 +123,9 @@ def findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (F.concat(F.lit("sk-"), F.substring(base, 1, 48)), F.lit(":"), name, 1),
         (F.concat(name, F.lit(":"), F.substring(base, 5, 14)), prose, prose, 1),
         (F.concat(F.lit("'"), F.substring(base, 2, 40), F.lit("'")), F.lit("="), name, 1),
+        (short, F.concat(name, glue), prose, 1),
+        (F.concat(noun, F.lit("_"), noun), F.concat(name, glue), prose, 0),
+        (F.concat(noun, F.lit(".")), F.concat(name, glue), prose, 0),
         (hexa(40), pick("commit", "revision", "sha1", "Commit:"), prose, 0),
         (hexa(64), pick("sha256", "checksum", "digest", "sha256:"), prose, 0),
         (F.concat_ws("-", hexa(8), F.substring("g", 1, 4), F.substring("g", 5, 4), F.substring("g", 9, 4), F.substring("g", 13, 12)), pick("uuid", "id", "guid", "the", "of"), prose, 0),

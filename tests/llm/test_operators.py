@@ -439,3 +439,13 @@ def test_lm_scores_against_brute_force(spark, docs, pairs):
         got[r.doc_id].append(r.score)
     near = [abs(g - w) < 0.01 * abs(w) + 1e-9 for i in want for g, w in zip(sorted(got[i]), sorted(want[i]), strict=True)]
     assert got.keys() == want.keys() and sum(near) >= 0.9 * len(near)
+
+
+def test_secrets_after_a_glued_sign(spark):
+    """Short values in YAML, properties and header style, where the sign is part of the name's word."""
+    texts = ["password: s3cretpw9 end", "api_key= kZ8abc123q end", 'x "token": "q7Wm2xR9a", y', "see X-Auth-Token: Ab3kX92pQz now", "db.passwd := Kd82hsLq1 end"]
+    rows = [(i, t, "src1") for i, t in enumerate(texts)] + [(100, "the token: session is used", "src1"), (101, "plain: s3cretpw9 end", "src1")]
+    got = {r.doc_id: r for r in secret_scans.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    values = ["s3cretpw9", "kZ8abc123q", "q7Wm2xR9a", "Ab3kX92pQz", "Kd82hsLq1"]
+    assert [got[i].redacted for i in range(5)] == [t.replace(v, "<secret>") for t, v in zip(texts, values, strict=True)]
+    assert got[100].n_secrets == got[101].n_candidates == 0
