@@ -1,7 +1,8 @@
 r"""Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Candidates are white-space words that hold a long run with digits, or that follow or
-contain the assignment of something named like a secret. A forest judges each by its
+contain the assignment of something named like a secret, and each such run and each
+such assignment inside a word that has more to it (fields of JSON, query strings, CSV). A forest judges each by its
 length, its character transitions, how much of it dictionary words cover, the path
 (the source of its document) and the neighbouring words. It is trained from labelled
 findings; findings() makes such a table of the kinds of secrets and of look-alikes
@@ -33,6 +34,11 @@ KEY = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access
 #: A run of 16 or more with a digit; the digit is looked for first, from the run's start.
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}"
 ASSIGNED = KEY + r"[\w-]*[\"']?(?:=|:|=>)[\"']?[^\s\"']{6,}"
+#: The fields of a word that holds several: what is assigned up to the next assignment, and runs with the name before them.
+FIELD = (
+    KEY + r"[\w-]*[\"']?(?:=>|:=|=|:)[\"']?(?:(?![&,;?{}|][\"']?[\w.-]{1,40}[\"']?[=:])[^\s\"']){6,}"
+    r"|(?<![A-Za-z0-9+/_-])(?:[\w.-]{1,40}[\"']?(?:=>|:=|=|:)[\"']?)?(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9+/_-]+){0,8}={0,2}"
+)
 #: A name with its sign, as in YAML, properties, headers or logs; the value is the next word.
 NAMED = KEY + r"[\w-]*[\"']?(?::=|=>|=|:)[\"']?$"
 #: Public dictionary words that placeholders and identifiers are made of.
@@ -62,6 +68,12 @@ def is_candidate(word: Column, one: Column, two: Column) -> Column:
     return (F.length(word) >= 6) & ((rlike(word, "[0-9=:]") & (rlike(word, RUN) | rlike(word, ASSIGNED))) | spaced(one, two))
 
 
+def fields(word: Column) -> Column:
+    """The word and those of its fields that hold another value than it, each once."""
+    own = F.array_distinct(F.regexp_extract_all(word, F.lit(FIELD), F.lit(0)))
+    return F.concat(F.array(word), F.filter(own, lambda m: (value_of(m) != value_of(word)) & (F.length(value_of(m)) >= 6)))
+
+
 def spaced(one: Column, two: Column) -> Column:
     """Whether the words before are the assignment of something named like a secret."""
     ends = F.coalesce(rlike(one, "[=:>][\"']?$"), F.lit(False))
@@ -93,7 +105,7 @@ def features(word: Column, one: Column, two: Column, after: Column, path: Column
         flag(rlike(v, PROVIDER)),
         flag(rlike(v, r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$|^\d{4}-\d\d-\d\d|^v?\d+\.\d+|^[\w./-]*/[\w./-]+$|^(.)\1{5,}")),
         flag(rlike(word, ASSIGNED) | spaced(one, two)),
-        flag(near(one, BENIGN) | near(two, BENIGN) | near(after, BENIGN) | rlike(word, r"(?i)(?:sha\d*|md5|commit|uuid|rev)[=:]")),
+        flag(near(one, BENIGN) | near(two, BENIGN) | near(after, BENIGN) | rlike(word, r"(?i)(?:sha\d*|md5|commit|uuid|rev)[\"']?[=:]")),
         flag(rlike(path, TEST_PATH)),
         F.length(v) / F.greatest(F.length(word), F.lit(1)).cast("double"),
     ]
@@ -178,7 +190,8 @@ def judged(docs: DataFrame, labelled: DataFrame | None, most_findings: int, thre
     words = rows.withColumn("words", F.split(F.coalesce("text", F.lit("")), SPACE, -1))
     word = lambda i, k: F.get("words", i + k)
     found = words.withColumn("places", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: is_candidate(word(i, 0), word(i, -1), word(i, -2))))
-    seen = F.transform("places", lambda i: F.struct(i.alias("place"), value_of(word(i, 0)).alias("value"), F.array(*features(word(i, 0), word(i, -1), word(i, -2), word(i, 1), F.col("path"))).alias("f")))
+    seen_of = lambda i, form: F.struct(i.alias("place"), value_of(form).alias("value"), F.array(*features(form, word(i, -1), word(i, -2), word(i, 1), F.col("path"))).alias("f"))
+    seen = F.flatten(F.transform("places", lambda i: F.transform(fields(word(i, 0)), lambda form: seen_of(i, form))))
     known = found.select("row", "text", seen.alias("c"))
     votes = " + ".join(f"({t})".replace("f[", "x.f[") for t in trees)
     scored = known.select("row", "text", F.expr(f"transform(c, x -> struct(x.place AS place, x.value AS value, ({votes}) / {len(trees)} AS score))").alias("c"))
