@@ -10,6 +10,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,15 +74,23 @@ def on_batches(df: DataFrame, run: Run, schema: Any) -> DataFrame:
     return df.mapInArrow(tidy, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed now and kept in the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder, which spark.checkpoint.dir names.
 
-    A machine-local folder is used only where the session names none, as in tests.
+    Only where all runs in one process may it be unset; the folder is then a temporary one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed now and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -101,18 +110,37 @@ def id_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return id_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[list, list[bytes | None]]]:
-    """(ids, texts) of at most `most` bytes of text, but of one document at least."""
+def parts(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of at most `most` bytes of text, but of one document at least; small batches come together."""
+    held_back: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        at, n = 0, batch.num_rows
-        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
-        ends = np.cumsum(sizes)
-        while at < n:
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
-            yield ids.slice(at, to - at).to_pylist(), texts.slice(at, to - at).to_pylist()
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), dtype=np.int64))
+        own = int(ends[-1]) if len(ends) else 0
+        if held_back and size + own > most:
+            yield joined(held_back)
+            held_back, size = [], 0
+        at = 0
+        while own - (ends[at - 1] if at else 0) > most:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at)
             at = to
+        if at < batch.num_rows:
+            held_back.append(batch.slice(at))
+            size += own - int(ends[at - 1] if at else 0)
+    if held_back:
+        yield joined(held_back)
+
+
+def joined(batches: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+    return tuple(pa.concat_arrays([b.column(k) for b in batches]) for k in (0, 1))
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[list, list[bytes | None]]]:
+    """As parts, with Python lists; batch by batch."""
+    for batch in batches:
+        for ids, texts in parts(iter([batch]), most):
+            yield ids.to_pylist(), texts.to_pylist()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,22 +150,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, kept for the words seen last; bounded."""
-
-    def __init__(self, most: int = 120_000):
-        import xxhash
-
-        self.known: dict[bytes, int] = {}
-        self.most, self.of = most, xxhash.xxh3_64_intdigest
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, of = self.known, self.of
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = of(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def chained(h: np.ndarray, n: int) -> np.ndarray:

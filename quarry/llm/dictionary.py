@@ -1,40 +1,48 @@
-"""Sums over the words of documents of values that a dictionary of words gives.
+"""Sums over the terms of documents of values that a dictionary of terms gives.
 
-The words used most are few; they go to every worker, as long as they are at most
-`most_sent` (checked by counting, not assumed). The rest are many but rare: a
-document sends each of its rare words with its number, and a join brings the value.
-No frequent word is ever shuffled, so no key of that join is hot.
+The terms used most are few; they go to every worker, as long as they take `most_sent`
+bytes at most (measured by a count, not assumed). The rest are many but rare: a
+document sends each of its rare terms with its number, and a join brings the value.
+No frequent term is ever shuffled, so no key of that join is hot.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held, on_batches, slices
+from quarry.llm.common import held, on_batches, parts
+from quarry.llm.word_tokens import Terms, TermsOf
 
-Words = Callable[[bytes | None], list[bytes]]
+#: What a term takes in a worker besides its own bytes.
+ENTRY_BYTES = 120
+#: Text that is taken at once, in bytes.
+TEXT = 12 << 20
 
 
-def word_counts(rows: DataFrame, words: Words, most: int = 300_000) -> DataFrame:
-    """(word, n) over all rows (doc_id, text); each task adds up its own before anything is shuffled."""
+def word_counts(rows: DataFrame, terms: Callable[[], TermsOf], most: int = 300_000) -> DataFrame:
+    """(word, n) over all rows (doc_id, text); each task adds up its own before anything is shuffled. terms makes, in a worker, what splits texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        seen: dict[bytes, int] = {}
+        split = terms()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
-        for _, texts in slices(batches):
-            for t in texts:
-                seen.update(words(t))
+        for _, texts in parts(batches, TEXT):
+            t = split(texts)
+            for w, n in zip(t.different, np.bincount(t.which, minlength=len(t.different)).tolist(), strict=True):
+                if n:
+                    seen[w] = seen.get(w, 0) + n
             if len(seen) > most:
                 yield out()
                 seen.clear()
@@ -44,8 +52,9 @@ def word_counts(rows: DataFrame, words: Words, most: int = 300_000) -> DataFrame
 
 
 def least_use(counted: DataFrame, most_sent: int) -> int:
-    """The least power of two so that at most `most_sent` words are used as often."""
-    found = {r["b"]: r["k"] for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("k")).collect()}
+    """The least power of two so that the terms of counted(word, n) used as often take at most `most_sent` bytes."""
+    size = F.sum(F.octet_length("word").cast("long") + ENTRY_BYTES)
+    found = {r["b"]: r["k"] for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(size.alias("k")).collect()}
     total, b = 0, 63
     while b >= 0 and total + found.get(b, 0) <= most_sent:
         total += found.get(b, 0)
@@ -55,32 +64,36 @@ def least_use(counted: DataFrame, most_sent: int) -> int:
 
 @dataclass
 class Head:
-    """The words sent to every worker, with two values of each."""
+    """The terms sent to every worker, with two values of each."""
 
     at: dict[bytes, int]
     a: np.ndarray
     b: np.ndarray
 
 
-def head_of(sent, kind: str) -> Head:
-    """From a broadcast Arrow stream."""
-    data = sent.value
+def head_of(sent, name: str, kind: str) -> Head:
+    """From a broadcast Arrow stream; name is the broadcast's own, as workers outlive one."""
 
     def make() -> Head:
-        t = pa.ipc.open_stream(data).read_all()
-        return Head(dict(zip(t.column(0).to_pylist(), range(t.num_rows), strict=True)), t.column(1).to_numpy(), t.column(2).to_numpy())
+        t = pa.ipc.open_stream(sent.value).read_all()
+        return Head(dict(zip(t.column(0).to_pylist(), range(t.num_rows), strict=True)), *(np.append(t.column(k).to_numpy(), 0) for k in (1, 2)))
 
-    return held(kind, "head", make, id(data))
+    return held(kind, "head", make, name)
 
 
-def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, extra: Callable[[], Callable[[list[list[bytes]], list[bytes | None]], list[tuple]]], kinds: str, names: tuple[str, str] = ("a", "b"), missing: tuple[float, int] = (0.0, 0), kind: str = "counts", also: DataFrame | None = None) -> DataFrame:
-    """For each row (doc_id, text), the sums over its words of the values a (double) and b (long).
+def text_keys(texts: pa.Array) -> np.ndarray:
+    """A hash of each text."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(t.as_buffer() or b"") - (1 << 63) for t in texts), dtype=np.int64, count=len(texts))
+
+
+def summed(rows: DataFrame, terms: Callable[[], TermsOf], values: DataFrame, most_sent: int, extra: Callable[[Terms, pa.Array], list[pa.Array]], kinds: str, names: tuple[str, str] = ("a", "b"), missing: tuple[float, int] = (0.0, 0), kind: str = "counts", also: DataFrame | None = None) -> DataFrame:
+    """For each row (doc_id, text), the sums over its terms of the values a (double) and b (long).
 
     values: (word, n, a, b), computed already (cut), as it is read several times.
-    extra: makes, in a worker, a function of some documents' words and texts that gives
-    a tuple for each, kept in columns of the given kinds. Rows that repeat id and text are summed
-    together and come out as often as they came in. kind names what workers keep together. also: (doc_id, key, some of kinds)
-    from elsewhere, for columns that extra leaves null; key is the text's xxh3 less 2 ** 63.
+    extra: gives, for some documents' terms and texts, a column for each of the given kinds; doubles may come in several rows, to be added up.
+    Rows that repeat id and text are summed together and come out as often as they came in.
+    kind names what workers keep together. also: (doc_id, key, some of kinds) from
+    elsewhere, for columns that extra leaves null; key is the text's xxh3 less 2 ** 63.
     """
     spark = rows.sparkSession
     least = least_use(values, most_sent)
@@ -88,29 +101,37 @@ def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, ext
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, head.schema) as w:
         w.write_table(head)
-    sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    sent, name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
     spread = [x.split() for x in kinds.split(", ")] if kinds else []
     arrow = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    columns = ["doc_id", "key", "word", "k", "a0", "b0", "m", *(n for n, _ in spread)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        known, more = head_of(sent, kind), extra()
-        for ids, texts in slices(batches):
-            rows_out: list[tuple] = []
-            each = [words(t) for t in texts]
-            for i, t, own, add in zip(ids, texts, each, more(each, texts), strict=True):
-                key = xxhash.xxh3_64_intdigest(t or b"") - (1 << 63)
-                at = np.fromiter(map(known.at.get, own, repeat(-1)), dtype=np.int64, count=len(own))
-                hit = at[at >= 0]
-                # A word has no space, so this one meets nothing and lies anywhere.
-                rows_out.append((i, key, b" %d" % key, 0, float(known.a[hit].sum()), int(known.b[hit].sum()), 1, *add))
-                if len(hit) < len(own):
-                    for w, k in Counter(own[j] for j in np.flatnonzero(at < 0).tolist()).items():
-                        rows_out.append((i, key, w, k, 0.0, 0, 0, *[None] * len(spread)))
-            cols = list(zip(*rows_out, strict=True))
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), *(arrow[k] for _, k in spread)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["doc_id", "key", "word", "k", "a0", "b0", "m", *(n for n, _ in spread)])
+        known, split = head_of(sent, name, kind), terms()
+        for ids, texts in parts(batches, TEXT):
+            t, key, n = split(texts), text_keys(texts), len(texts)
+            at = np.fromiter(map(known.at.get, t.different, repeat(-1)), dtype=np.int64, count=len(t.different))
+            full = np.flatnonzero(np.diff(t.bounds))
+            sums = []
+            for value in (known.a, known.b):
+                own = np.zeros(n, dtype=value.dtype)
+                if len(full):
+                    own[full] = np.add.reduceat(value[at][t.which], t.bounds[full])
+                sums.append(own)
+            # A term has no space in front and digits behind, so this one meets nothing and lies anywhere.
+            word = pa.array([b"  %d" % k for k in key.tolist()], pa.binary())
+            zero = np.zeros(n, dtype=np.int64)
+            more = [c.cast(arrow[k]) for c, (_, k) in zip(extra(t, texts), spread, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(key), word, pa.array(zero), *map(pa.array, sums), pa.array(zero + 1), *more], names=columns)
+            place = np.flatnonzero((at < 0)[t.which])
+            if len(place):
+                doc = np.searchsorted(t.bounds, place, side="right") - 1
+                pair, k = np.unique(doc * len(t.different) + t.which[place], return_counts=True)
+                doc, code = np.divmod(pair, len(t.different))
+                words = pa.array(t.different, pa.binary()).take(pa.array(code))
+                zero = np.zeros(len(pair), dtype=np.int64)
+                nothing = [pa.nulls(len(pair), arrow[k]) for _, k in spread]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(key[doc]), words, pa.array(k), pa.array(zero.astype(np.float64)), pa.array(zero), pa.array(zero), *nothing], names=columns)
 
     schema = "doc_id long, key long, word binary, k long, a0 double, b0 long, m long" + (f", {kinds}" if kinds else "")
     sent_rows = on_batches(rows, run, schema)
@@ -121,6 +142,7 @@ def summed(rows: DataFrame, words: Words, values: DataFrame, most_sent: int, ext
         found = found.unionByName(also.select("*", *(F.expr(v).alias(c) for c, v in zero.items())), allowMissingColumns=True)
     a = F.sum(F.col("a0") + F.col("k") * F.coalesce("a1", F.lit(missing[0])))
     b = F.sum(F.col("b0") + F.col("k") * F.coalesce("b1", F.lit(missing[1])))
-    by = found.groupBy("doc_id", "key").agg(F.sum("m").alias("m"), a.alias("a"), b.alias("b"), *(F.max(n).alias(n) for n, _ in spread))
-    once = by.select("doc_id", "m", (F.col("a") / F.col("m")).alias(names[0]), (F.col("b") / F.col("m")).cast("long").alias(names[1]), *(n for n, _ in spread))
+    by = found.groupBy("doc_id", "key").agg(F.sum("m").alias("m"), a.alias("a"), b.alias("b"), *((F.sum if k == "double" else F.max)(n).alias(n) for n, k in spread))
+    each = lambda c: F.col(c) / F.col("m")
+    once = by.select("doc_id", "m", each("a").alias(names[0]), each("b").cast("long").alias(names[1]), *(each(n).alias(n) if k == "double" else n for n, k in spread))
     return once.select("doc_id", *names, *(n for n, _ in spread), F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("_copy")).drop("_copy")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import shared_folder
+
 #: Bits of a key that are counted.
 BITS = 40
 #: Keys in a part, about, and the bounds of the number of parts (as bits).
@@ -30,6 +32,22 @@ def part_bits(text_bytes: int) -> int:
     return min(MOST_PARTS, max(LEAST_PARTS, int(np.ceil(np.log2(max(1.0, text_bytes / 6 / PART_KEYS))))))
 
 
+def ranked(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys of `width` bits, and which of them each key is."""
+    low = len(keys).bit_length()
+    if width + low <= 64:  # a key and its place in one number are sorted faster
+        both = np.sort(keys << np.uint64(low) | np.arange(len(keys), dtype=np.uint64))
+        order, keys = (both & np.uint64((1 << low) - 1)).astype(np.int64), both >> np.uint64(low)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    first = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    back = np.empty(len(keys), dtype=np.int64)
+    back[order] = np.cumsum(first) - 1
+    return keys[first], back
+
+
 def planes(x: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
@@ -46,12 +64,12 @@ def counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(keys) >> np.uint64(64 - BITS), return_counts=True)
 
 
-def blocks(keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(part, keys, counts) of sorted keys."""
-    part = keys >> np.uint64(BITS - bits)
+def blocks(keys: np.ndarray, counts: np.ndarray, bits: int, width: int = BITS, kept: int = 5) -> Iterator[tuple[int, bytes, bytes]]:
+    """(part, keys, counts) of sorted keys of `width` bits; the lowest `kept` bytes of each are sent."""
+    part = keys >> np.uint64(width - bits)
     at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]]) if len(keys) else np.zeros(0, dtype=int)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield int(part[a]), planes(keys[a:b], 5), planes(counts[a:b], 4)
+        yield int(part[a]), planes(keys[a:b], kept), planes(counts[a:b], 4)
 
 
 def merged(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,12 +107,7 @@ class Scratch:
 
     def __init__(self, df: DataFrame):
         self.spark: SparkSession = df.sparkSession
-        sc = self.spark.sparkContext
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            import tempfile
-
-            sc.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
-        self.path = f"{sc._jsc.sc().getCheckpointDir().get()}/quarry-{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(self.spark)}/quarry-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

@@ -1,27 +1,30 @@
 """Scores of documents under an n-gram model whose counts lie in a log-frequency Bloom filter.
 
 An n-gram with count c is entered once for each level 1 .. 1 + floor(log2 c). To read
-its count, levels are probed one after the other until one is missing; counts of one
-and two words give smoothed probabilities. The filter lies in stretches, by part of
+its count, levels are probed one after the other until one is missing; counts of one,
+two and three words give smoothed probabilities. The filter lies in stretches, by part of
 the hash range. A stretch has as many bits as the n-grams counted in its part ask
-for, so none is left out at any size of corpus. No worker has the whole filter: each
+for, so none is left out at any size of corpus. The number of parts follows the input
+and KEY bits of a hash tell the n-grams of a part apart, so that what two n-grams share
+by chance doesn't grow either. No worker has the whole filter: each
 block of documents sends its n-grams to their parts, where they are counted and then
 probed, and the levels found come back to the block, where its texts are scored.
 
-The score of a text is the log10 of an equal mixture of models that give pairs of
-words the weights WEIGHTS, times c / (c + 5) for a first word seen c times. The base
+The score of a text is the log10 of interpolated probabilities with absolute discounting:
+P(w | uv) = KEEP * max(c(uvw) - DISCOUNT, 0) / c(uv) + (1 - KEEP) * P(w | v), and so on
+down to (c(w) + 1) / (N + V + 1); a context never seen leaves all to the shorter one. The base
 score is exact: unigram counts of frequent words lie in the workers, others are joined
 (see dictionary).
 
 Defined cases: a null or empty text is one token, the end; repeated rows each give a
 row; without training rows N and V are 0, so every base probability is 1 and base
-scores are 0; a null id counts as training; texts are scored whole; other columns
-are not read.
+scores are 0; a null id counts as training; texts are scored whole, very long ones in
+several blocks; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,139 +33,132 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import key_counts as kc
-from quarry.llm.common import FOLD, WordHashes, cut, held, mix, on_batches, slices
-from quarry.llm.dictionary import summed, word_counts
+from quarry.llm.common import cut, mix, on_batches, parts, word_hashes
+from quarry.llm.dictionary import summed, text_keys, word_counts
+from quarry.llm.word_tokens import Terms, spaced
 
 #: The end of a text. No word is a space.
 END = b" "
-#: Bits of a filter as a power of two where none is given, and probes of a level.
-FILTER, PROBES = 27, 4
+#: Bits that tell the n-grams of one part apart, and bytes of a word's hash.
+KEY, WORD_BYTES = 32, 6
+#: Probes of a level.
+PROBES = 4
 #: Probes entered for each bit of a stretch, at most; three quarters of the bits are unset then.
 FULL = 0.29
-WEIGHTS = (0.0, 0.1, 0.4, 0.8)
-MOST_SENT = 400_000
+#: What a longer context keeps, and what is taken off each count in it.
+KEEP, DISCOUNT = 0.6, 0.9
+#: Bytes of words that are sent to every worker at most.
+MOST_SENT = 50_000_000
+#: Text and tokens of a block, at most.
+TEXT, TOKENS = 8 << 20, 3 << 19
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return [*text.translate(FOLD).split(), END] if text else [END]
+def words_of(texts: pa.Array) -> Terms:
+    return spaced(texts, fold=True, end=END)
 
 
-def unigrams(h: np.ndarray) -> np.ndarray:
-    return mix(h + np.uint64(1))
-
-
-def bigrams(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(mix(first + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15) + second)
-
-
-def before(h: np.ndarray, lengths: np.ndarray, end: np.uint64) -> np.ndarray:
-    """What stands before each word; the end stands before a text."""
-    out = np.concatenate([[end], h[:-1]]).astype(np.uint64)
-    out[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = end
-    return out
-
-
-def spots(keys: np.ndarray, level: int, bits: int, size: int = FILTER) -> Iterator[np.ndarray]:
-    """Where in the stretch of its part each of these keys is entered for a level; keys have kc.BITS bits."""
+def spots(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+    """Where in a stretch of 2 ** size bits each of these keys (KEY bits) is entered for a level."""
     base = mix(keys + np.uint64(level << 48))
     for k in range(PROBES):
-        yield ((base >> np.uint64(16 * k)) ^ (base << np.uint64(11 + k))) % np.uint64(1 << (size - bits))
+        yield ((base >> np.uint64(16 * k)) ^ (base << np.uint64(11 + k))) % np.uint64(1 << size)
 
 
-class Model:
-    """A filter of 2 ** size bits, in a worker."""
+class Stretch:
+    """The filter of one part, of all its n-grams."""
 
-    def __init__(self, data: bytearray, bits: int, tokens: int, types: int, size: int = FILTER):
-        self.data, self.bits, self.size = np.frombuffer(data, dtype=np.uint8), bits, size
-        self.total = tokens + types + 1
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        level = np.frexp(counts.astype(np.float64))[1]
+        self.size = max(10, int(np.ceil(np.log2(max(1, PROBES * int(level.sum())) / FULL))))
+        own = np.zeros(1 << self.size, dtype=np.uint8)
+        for j in range(1, int(level.max(initial=0)) + 1):
+            for s in spots(keys[level >= j], j, self.size):
+                own[s.astype(np.int64)] = 1
+        self.data = np.packbits(own, bitorder="little")
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The last level found of each of these different keys, by repeated probes; keys have kc.BITS bits."""
-        level, left = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
-        while len(left) and len(self.data):
-            k = keys[left]
-            start = (k >> np.uint64(kc.BITS - self.bits)) << np.uint64(self.size - self.bits)
-            there = np.ones(len(k), dtype=bool)
-            for s in spots(k, int(level[left[0]]) + 1, self.bits, self.size):
-                bit = start + s
-                there &= (self.data[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        """The last level found of each of these different keys, by repeated probes."""
+        level, left = np.zeros(len(keys), dtype=np.uint8), np.arange(len(keys))
+        for j in range(1, 60):
+            there = np.ones(len(left), dtype=bool)
+            for s in spots(keys[left], j, self.size):
+                there &= (self.data[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
             left = left[there]
-            level[left] += 1
-            if len(left) and level[left[0]] >= 40:
+            if not len(left):
                 break
+            level[left] = j
         return level
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of 64-bit keys."""
-        keys, back = np.unique(keys >> np.uint64(64 - kc.BITS), return_inverse=True)
-        return middle(self.levels(keys))[back]
-
 
 def middle(level: np.ndarray) -> np.ndarray:
     """The count that stands for a level: the middle of those that reach it and no more."""
-    return np.where(level > 1, 2.0 ** (level - 1) * 1.4142135623730951, np.minimum(level, 1))
-
+    return np.where(level > 1, 2.0 ** (level - 1.0) * 1.4142135623730951, np.minimum(level, 1))
 
-def stretch(keys: np.ndarray, counts: np.ndarray) -> Model:
-    """The filter of one part, with all of its n-grams."""
-    level = np.frexp(counts.astype(np.float64))[1]
-    size = max(10, int(np.ceil(np.log2(max(1, PROBES * int(level.sum())) / FULL))))
-    own = np.zeros(1 << size, dtype=np.uint8)
-    for j in range(1, int(level.max(initial=0)) + 1):
-        for s in spots(keys[level >= j], j, 0, size):
-            own[s.astype(np.int64)] = 1
-    return Model(bytearray(np.packbits(own, bitorder="little").tobytes()), 0, 0, 0, size)
 
+def ngrams(words: np.ndarray, at: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of a block's n-grams, of bits + KEY bits: each different word, then the pair and the triple that end at each token.
 
-def ngrams(words: np.ndarray, at: np.ndarray, lengths: np.ndarray, end: np.uint64) -> np.ndarray:
-    """Keys of a block's n-grams: each different word, then the pair that ends at each token.
-
-    Words and the end are the top kc.BITS bits of their hashes.
+    words are hashes, the end's last; it stands before a text, too.
     """
     h = words[at]
-    return np.concatenate([unigrams(words), bigrams(before(h, lengths, end), h)]) >> np.uint64(64 - kc.BITS)
-
-
-#: A row has a block's n-grams of one part, or (keys are null) its documents and what their tokens are.
-SENT = [("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary()), ("at", pa.binary())]
-SENT_SQL = "part int, block long, keys binary, counts binary, ids array<long>, texts array<long>, lengths array<long>, words binary, at binary"
-
-
-def ngram_blocks(rows: DataFrame, bits: int) -> DataFrame:
+    before = np.concatenate([words[-1:], h[:-1]])
+    before[starts] = words[-1]
+    pair = mix(mix(before + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15) + h)
+    context = np.concatenate([pair[:1], pair[:-1]])
+    context[starts] = 0
+    return np.concatenate([mix(words + np.uint64(1)), pair, mix(context * np.uint64(0xD6E8FEB86659FD93) + h)]) >> np.uint64(64 - bits - KEY)
+
+
+def stretches(bounds: np.ndarray, most: int) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Blocks of about `most` tokens: (text, from, to, how many of these stand there as context only)."""
+    out, size = [], 0
+    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        at = a
+        while at < b:
+            to, skip = min(b, at + most - size), min(2, at - a)
+            out.append((k, at - skip, to, skip))
+            size += to - at
+            at = to
+            if size >= most:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+#: A row has a block's n-grams of one part, or (keys are null) its texts and what their tokens are.
+SENT = [("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("skips", pa.list_(pa.int8())), ("words", pa.binary()), ("at", pa.binary())]
+SENT_SQL = "part int, block long, keys binary, counts binary, ids array<long>, texts array<long>, lengths array<long>, skips array<tinyint>, words binary, at binary"
+
+
+def ngram_blocks(rows: DataFrame, bits: int, most: int = TOKENS) -> DataFrame:
     """Blocks of documents (doc_id, text, held_out): n-grams by part, counted where they aren't held out, and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        hashes, number = held("lm", "hashes", WordHashes), TaskContext.get().partitionId() << 32
-        end = hashes([END])[0] >> np.uint64(64 - kc.BITS)
-        ids, keys, trains, lengths, kept, size = [], [], [], [], [], 0
-
-        def out() -> pa.RecordBatch:
-            n = np.array(lengths)
-            words, at = np.unique(np.concatenate(kept) >> np.uint64(64 - kc.BITS), return_inverse=True)
-            train = np.repeat(np.array(trains, dtype=np.float64), n)
-            found, back = np.unique(ngrams(words, at, n, end), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([np.bincount(at, train, len(words)), train])).astype(np.int64)
-            sent = [(p, number, k, c, *[None] * 5) for p, k, c in kc.blocks(found, counts, bits)]
-            return kc.batch([*sent, ((number * 0x9E3779B1 >> 7) % (1 << bits), number, None, None, ids, keys, lengths, kc.planes(words, 5), pa.compress(kc.planes(at, 4), "zstd", asbytes=True))], SENT)
-
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            held_out = iter(batch.column(2).to_pylist())
-            for own, texts in slices(iter([batch])):
-                each = [words_of(t) for t in texts]
-                ids += own
-                keys += [xxhash.xxh3_64_intdigest(t or b"") - (1 << 63) for t in texts]
-                trains += [not next(held_out) for _ in texts]
-                lengths += map(len, each)
-                kept.append(hashes([w for x in each for w in x]))
-                size += 2 * len(kept[-1])
-                if size > kc.SORTED:
-                    yield out()
-                    ids, keys, trains, lengths, kept, size = [], [], [], [], [], 0
+            at_row = 0
+            train = ~np.asarray(batch.column(2))
+            for ids, texts in parts(iter([batch]), TEXT):
+                names, key, t, trained = ids.to_pylist(), text_keys(texts), words_of(texts), train[at_row : at_row + len(texts)]
+                at_row += len(texts)
+                hashes = word_hashes(t.different) >> np.uint64(64 - 8 * WORD_BYTES)
+                for pieces in stretches(t.bounds, most):
+                    which = np.concatenate([t.which[a:b] for _, a, b, _ in pieces])
+                    there = np.zeros(len(hashes), dtype=bool)
+                    there[which] = there[-1] = True
+                    words, at = hashes[there], (np.cumsum(there) - 1)[which]
+                    docs, lengths, skips = [k for k, *_ in pieces], np.array([b - a for _, a, b, _ in pieces]), [s for *_, s in pieces]
+                    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                    found, back = kc.ranked(ngrams(words, at, starts, bits), bits + KEY)
+                    weight = np.repeat(trained[docs].astype(np.float64), lengths)
+                    for k in np.flatnonzero(skips).tolist():
+                        weight[starts[k] : starts[k] + skips[k]] = 0
+                    counts = np.bincount(back, np.concatenate([np.bincount(at, weight, len(words)), weight, weight])).astype(np.int64)
+                    sent = [(p, number, k, c, *[None] * 6) for p, k, c in kc.blocks(found, counts, bits, bits + KEY, 4)]
+                    own = ([names[k] for k in docs], key[docs].tolist(), lengths.tolist(), skips, kc.planes(words, WORD_BYTES), pa.compress(kc.planes(at, 4), "zstd", asbytes=True))
+                    yield kc.batch([*sent, ((number * 0x9E3779B1 >> 7) % (1 << bits), number, None, None, *own)], SENT)
                     number += 1
-        if size:
-            yield out()
 
     return on_batches(rows, run, SENT_SQL)
 
@@ -175,60 +171,64 @@ def probed(blocks: DataFrame) -> DataFrame:
         own, rest = group.filter(pa.array(asked)), group.filter(pa.array(~asked))
         if not own.num_rows:
             return rest
-        each = own.column("keys").to_pylist()
-        keys, counts = kc.merged(each, own.column("counts").to_pylist())
-        level = stretch(keys[counts > 0], counts[counts > 0]).levels(keys).astype(np.uint8)
-        answers = [level[np.searchsorted(keys, kc.unplaned(k, 5))].tobytes() for k in each]
+        each = [kc.unplaned(k, 4) for k in own.column("keys").to_pylist()]
+        keys, back = kc.ranked(np.concatenate(each), KEY)
+        counts = np.bincount(back, np.concatenate([kc.unplaned(c, 4) for c in own.column("counts").to_pylist()]))
+        level = Stretch(keys[counts > 0], counts[counts > 0]).levels(keys)[back]
+        answers = [x.tobytes() for x in np.split(level, np.cumsum([len(k) for k in each])[:-1])]
         answered = own.set_column(2, SENT[2][0], pa.array([b""] * len(each), pa.binary())).set_column(3, SENT[3][0], pa.array(answers, pa.binary()))
         return pa.concat_tables([answered.cast(pa.schema(SENT)), rest.cast(pa.schema(SENT))])
 
     return blocks.groupBy("part").applyInArrow(run, SENT_SQL)
 
 
-def scores(words: np.ndarray, at: np.ndarray, lengths: np.ndarray, level: np.ndarray, end: np.uint64, total: int) -> np.ndarray:
+def discounted(count: np.ndarray, context: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """P in a context seen so often, given P in the shorter one."""
+    share = np.divide(np.maximum(count - DISCOUNT, 0), np.maximum(context, count), out=np.zeros(len(count)), where=context > 0)
+    return np.where(context > 0, KEEP * share + (1 - KEEP) * shorter, shorter)
+
+
+def scores(words: np.ndarray, at: np.ndarray, lengths: np.ndarray, skips: np.ndarray, level: np.ndarray, bits: int, total: int) -> np.ndarray:
     """Scores of a block's texts; level has the levels of its different n-grams, in order of their keys."""
-    _, back = np.unique(ngrams(words, at, lengths, end), return_inverse=True)
-    count = middle(level.astype(np.int64))[back]
-    single, pair, starts = count[: len(words)][at], count[len(words) :], np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    first = np.concatenate([single[:1], single[:-1]])
-    first[starts] = count[np.searchsorted(words, end)]
-    pair = np.minimum(pair, np.minimum(first, single))
-    alone = np.minimum((single + 1) / total, 1.0)
-    share = np.divide(pair, first, out=np.zeros(len(pair)), where=first > 0)
-    logs = []
-    for weight in WEIGHTS:
-        w = weight * first / (first + 5)
-        logs.append(np.add.reduceat(np.log10(w * share + (1 - w) * alone), starts))
-    top = np.max(logs, axis=0)
-    return top + np.log10(np.mean([10 ** (x - top) for x in logs], axis=0))
-
-
-def scored(answered: DataFrame, total: int) -> DataFrame:
-    """(doc_id, key, score) of every document; key is the text's hash."""
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    _, back = kc.ranked(ngrams(words, at, starts, bits), bits + KEY)
+    count = middle(level)[back]
+    single, pair, triple = count[: len(words)], count[len(words) : len(words) + len(at)], count[len(words) + len(at) :]
+    before = np.concatenate([[0.0], single[at][:-1]])
+    before[starts] = single[-1]
+    context = np.concatenate([[0.0], pair[:-1]])
+    context[starts] = 0
+    logs = np.log10(discounted(triple, context, discounted(pair, before, np.minimum((single[at] + 1) / total, 1.0))))
+    for k in np.flatnonzero(skips).tolist():
+        logs[starts[k] : starts[k] + skips[k]] = 0
+    return np.add.reduceat(logs, starts)
+
+
+def scored(answered: DataFrame, bits: int, total: int) -> DataFrame:
+    """(doc_id, key, score) of every document, or of stretches of it; key is the text's hash."""
     names = [("doc_id", pa.int64()), ("key", pa.int64()), ("score", pa.float64())]
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        (docs,) = (r for r in rows if r["keys"] is None)
-        level = np.frombuffer(b"".join(r["counts"] for r in sorted((r for r in rows if r["keys"] is not None), key=lambda r: r["part"])), dtype=np.uint8)
+        asked = np.asarray(group.column("keys").is_valid())
+        own, (docs,) = group.filter(pa.array(asked)).sort_by("part"), group.filter(pa.array(~asked)).to_pylist()
+        level = np.frombuffer(b"".join(own.column("counts").to_pylist()), dtype=np.uint8)
         at = kc.unplaned(pa.decompress(docs["at"], 4 * sum(docs["lengths"]), "zstd", asbytes=True), 4).astype(np.int64)
-        end = WordHashes()([END])[0] >> np.uint64(64 - kc.BITS)
-        found = scores(kc.unplaned(docs["words"], 5), at, np.array(docs["lengths"]), level, end, total)
+        found = scores(kc.unplaned(docs["words"], WORD_BYTES), at, np.array(docs["lengths"]), np.array(docs["skips"]), level, bits, total)
         return pa.Table.from_arrays([pa.array(docs["ids"], pa.int64()), pa.array(docs["texts"], pa.int64()), pa.array(found)], schema=pa.schema(names))
 
     return answered.groupBy("block").applyInArrow(run, "doc_id long, key long, score double")
 
 
-def lm_scoring(docs: DataFrame, held_out: Column, most_sent: int = MOST_SENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scoring(docs: DataFrame, held_out: Column, most_sent: int = MOST_SENT, id_col: str = "doc_id", text_col: str = "text", block: int = TOKENS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score; learns from rows that aren't held out."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     train, every = rows.filter("not held_out").select("doc_id", "text"), rows.select("doc_id", "text")
-    values = cut(word_counts(train, words_of).select("word", "n", F.log10(F.col("n") + 1).alias("a"), F.lit(1).cast("long").alias("b")))
+    split = lambda: words_of
+    values = cut(word_counts(train, split).select("word", "n", F.log10(F.col("n") + 1).alias("a"), F.lit(1).cast("long").alias("b")))
     tokens, types = values.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    bits = kc.part_bits(2 * kc.text_bytes(every))
-    also = scored(probed(ngram_blocks(rows, bits)), tokens + types + 1)
-    lengths: Callable = lambda: lambda each, _: [(len(x), None) for x in each]
-    found = summed(every, words_of, values, most_sent, lengths, "n_tokens long, score double", ("known_log", "n_known"), kind="lm", also=also)
+    bits = kc.part_bits(3 * kc.text_bytes(every))
+    also = scored(probed(ngram_blocks(rows, bits, block)), bits, tokens + types + 1)
+    lengths = lambda t, texts: [pa.array(np.diff(t.bounds)), pa.nulls(len(texts))]
+    found = summed(every, split, values, most_sent, lengths, "n_tokens long, score double", ("known_log", "n_known"), kind="lm", also=also)
     total = float(np.log10(tokens + types + 1))
     return found.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("known_log") - F.col("n_tokens") * F.lit(total)).alias("base_score"), "score")

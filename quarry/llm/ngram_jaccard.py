@@ -42,8 +42,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import key_counts as kc
-from quarry.llm.common import FOLD, WordHashes, chained, cut, held, id_bytes, on_batches, slices
+from quarry.llm.common import chained, cut, id_bytes, on_batches, parts, word_hashes
 from quarry.llm.components import components
+from quarry.llm.word_tokens import spaced
 
 #: Bits, as a power of two, of the bitmap of shingles that several documents have: 16 MB.
 BITMAP = 27
@@ -55,12 +56,14 @@ PARITY = 8
 MOST_SENT = 1_000_000
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes, n: int) -> np.ndarray:
-    """Sorted different 64-bit shingles."""
-    words = text.translate(FOLD).split() if text else []
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    return np.unique(chained(hashes(words), min(n, len(words))))
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Of each text, its sorted different 64-bit shingles."""
+    t = spaced(texts, fold=True)
+    h = word_hashes(t.different)[t.which]
+    windows, out = chained(h, n), []
+    for a, b in zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist(), strict=True):
+        out.append(np.unique(windows[a : b - n + 1] if b - a >= n else chained(h[a:b], b - a) if b > a else h[:0]))
+    return out
 
 
 def signature(shingles: np.ndarray) -> int:
@@ -105,11 +108,10 @@ def profile(rows: DataFrame, n: int, bits: int) -> DataFrame:
     """A row for each document with its class, and blocks of counted shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, kept, size = held("jaccard", "hashes", WordHashes), [], 0
-        for ids, texts in slices(batches):
+        kept, size = [], 0
+        for ids, texts in parts(batches):
             out = []
-            for i, t in zip(ids, texts, strict=True):
-                s = shingle_set(t, hashes, n)
+            for i, s in zip(ids.to_pylist(), shingle_sets(texts, n), strict=True):
                 out.append((None, None, None, i, len(s), signature(s) if len(s) else None))
                 kept.append(s)
                 size += len(s)
@@ -164,7 +166,7 @@ def entries(rows: DataFrame, n: int, percent: int, bits: int, order) -> DataFram
     """Blocks of prefix entries by part of the hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known, seen = held("jaccard", "hashes", WordHashes), Order(*order.value), set()
+        known, seen = Order(*order.value), set()
         kept: list[tuple] = []
         size = 0
 
@@ -176,9 +178,8 @@ def entries(rows: DataFrame, n: int, percent: int, bits: int, order) -> DataFram
             at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(by)]])
             return kc.batch([(int(part[a]), key[by[a:b]].tobytes(), sig[by[a:b]].tobytes(), count[by[a:b]].tobytes(), place[by[a:b]].tobytes(), par[by[a:b]].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], ENTRIES)
 
-        for _, texts in slices(batches):
-            for t in texts:
-                s = shingle_set(t, hashes, n)
+        for _, texts in parts(batches):
+            for s in shingle_sets(texts, n):
                 if not len(s) or (sig := signature(s)) in seen:
                     continue
                 if len(seen) < 50_000:
@@ -290,10 +291,8 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, perc
     texts = rows.join(F.broadcast(need) if few else need, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = held("jaccard", "hashes", WordHashes)
-        for _, own in slices(batches):
-            found = [shingle_set(t, hashes, n) for t in own]
-            keep = [s for s in found if len(s)]
+        for _, own in parts(batches):
+            keep = [s for s in shingle_sets(own, n) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in keep], pa.int64()), pa.array([kc.planes(s >> np.uint64(16), 6) for s in keep], pa.binary())], names=["sig", "shingles"])
 
     have = on_batches(texts, sets, "sig long, shingles binary")

@@ -22,6 +22,7 @@ on how the rows lie in partitions, but a task that is run again gives the same.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import id_bytes, on_batches, slices
+from quarry.llm.common import id_bytes, on_batches, parts
 from quarry.llm.word_tokens import word_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -37,31 +38,51 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 SENTENCE_CUT, CLAUSE_CUT, HARD_CUT = 2.0, 6.0, 64.0
 #: Tokens that are planned at once.
 BLOCK = 1 << 20
+#: Bytes of text that are tokenised at once.
+TEXT = 16 << 20
 
 
 def cuts(ends: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
-    """The best cuts among rising `ends`; the last of them is always one. No gap may exceed `length`."""
-    pos, pen = ends.tolist(), penalty.tolist()
-    # (position, f + position, cut) with rising values; what came before head has left the window
-    queue: list[tuple[int, float, int]] = [(0, 0.0, -1)]
-    head, back = 0, []
-    for j, p in enumerate(pos):
-        low = p - length
-        while queue[head][0] < low:
+    """The best cuts among rising `ends`; the last of them is always one. No gap may exceed `length`.
+
+    As each sequence costs its length, no new value is below the queue's first. So all ends in the
+    reach of the queue's first are entered at once, and of these the queue keeps those that have
+    none behind them that is as cheap.
+    """
+    pos, pen, n = [0, *ends.tolist()], [0.0, *penalty.tolist()], len(ends)
+    #: Ends that are cheaper than the next, and a last one that no run reaches.
+    cheaper = [*(np.flatnonzero(penalty[:-1] < penalty[1:]) + 1).tolist(), n + 1]
+    # What may come before the next end: its f + position, rising, and which end it is; what lies before head is out of reach.
+    value, cut = [0.0], [0]
+    head, c, a = 0, 0, 1
+    stops, backs = [], []
+    while a <= n:
+        low = pos[a] - length
+        while pos[cut[head]] < low:
             head += 1
-        _, value, at = queue[head]
-        back.append(at)
-        value += length + pen[j]
-        while len(queue) > head and queue[-1][1] >= value:
-            queue.pop()
-        queue.append((p, value, j))
+        first = cut[head]
+        base = value[head] + length
+        b = bisect_right(pos, pos[first] + length, a, min(n + 1, a + length))
+        stops.append(b)
+        backs.append(first)
+        k = 0
+        while k < b - 1:
+            k = min(cheaper[c], b - 1)
+            c += k == cheaper[c]
+            v = base + pen[k]
+            while value[-1] >= v:
+                value.pop()
+                cut.pop()
+            value.append(v)
+            cut.append(k)
         if head > 65536:
-            del queue[:head]
+            del value[:head], cut[:head]
             head = 0
-    out, j = [], len(pos) - 1
-    while j >= 0:
+        a = b
+    out, j = [], n
+    while j > 0:
         out.append(pos[j])
-        j = back[j]
+        j = backs[bisect_right(stops, j)]
     return np.array(out[::-1], dtype=np.int64)
 
 
@@ -92,49 +113,45 @@ def prices(tokenizer) -> np.ndarray:
 
 
 class Packer:
-    """Lays documents end to end and gives back rows for the sequences that are settled."""
+    """Lays documents end to end and gives back columns of rows for the sequences that are settled."""
 
     def __init__(self, price: np.ndarray, length: int, first_id: int):
         self.price, self.length, self.sequence = price, length, first_id
         self.ids: list[np.ndarray] = []
-        #: Of each open document: id, tokens in all, tokens already given out.
-        self.docs: list[tuple[int | None, int, int]] = []
-        self.size = 0
+        #: Of the open documents: ids and tokens in all; and how many of the first one's tokens are given out.
+        self.names: list[int | None] = []
+        self.sizes: list[np.ndarray] = []
+        self.done = self.open = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, names: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents with their ids one after the other."""
         self.ids.append(ids)
-        self.docs.append((doc_id, len(ids), 0))
-        self.size += len(ids)
+        self.names += names
+        self.sizes.append(sizes)
+        self.open += len(ids)
 
-    def settle(self, last: bool) -> list[tuple]:
+    def settle(self, last: bool) -> list[pa.Array]:
         """Rows of all sequences but the open one, or of all if this is the end."""
-        if not self.docs:
-            return []
-        ids = np.concatenate(self.ids)
-        ends = np.cumsum([n - done for _, n, done in self.docs])
+        if not self.names:
+            return [pa.array([], pa.int64())] * 7
+        ids, sizes = np.concatenate(self.ids), np.concatenate(self.sizes)
+        ends = np.cumsum(sizes) - self.done
         pos, pen = candidates(ids, ends, self.price, self.length)
         stops = cuts(pos, pen, self.length)
         kept = len(stops) if last else len(stops) - 1
         limit = int(stops[kept - 1]) if kept else 0
         edges = np.union1d(stops[:kept], ends[ends <= limit])
-        starts = np.concatenate([[0], edges[:-1]])
+        starts = np.concatenate([[0], edges[:-1]])[: len(edges)]
         doc = np.searchsorted(ends, starts, side="right")
         seq = np.searchsorted(stops[:kept], starts, side="right")
-        seq_start = np.concatenate([[0], stops[:kept]])[seq]
-        doc_start = np.concatenate([[0], ends])[doc]
         view = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
-        rows = []
-        for s, e, d, q, q0, d0 in zip(starts.tolist(), edges.tolist(), doc.tolist(), seq.tolist(), seq_start.tolist(), doc_start.tolist(), strict=True):
-            name, n, done = self.docs[d]
-            rows.append((name, s - d0 + done, e - s, zlib.crc32(view[4 * s : 4 * e]), n, self.sequence + q, s - q0))
+        checks = [zlib.crc32(view[4 * s : 4 * e]) for s, e in zip(starts.tolist(), edges.tolist(), strict=True)]
+        out = [pa.array([self.names[d] for d in doc.tolist()], pa.int64()), starts - (ends - sizes)[doc], edges - starts, checks, sizes[doc], self.sequence + seq, starts - np.concatenate([[0], stops[:kept]])[seq]]
         self.sequence += kept
         at = int(np.searchsorted(ends, limit, side="right"))
-        rest = self.docs[at:]
-        if rest:
-            name, n, done = rest[0]
-            rest[0] = (name, n, done + limit - (int(ends[at - 1]) if at else 0))
-        self.docs, self.ids, self.size = rest, [ids[limit:]], len(ids) - limit
-        return rows
+        self.names, self.sizes, self.ids, self.open = self.names[at:], [sizes[at:]], [ids[limit:]], len(ids) - limit
+        self.done = limit - int((ends - sizes)[at]) if self.names else 0
+        return [pa.array(c, pa.int64()) for c in out]
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,18 +163,15 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         packer = Packer(prices(words.tokenizer), length, TaskContext.get().partitionId() << 33)
-        end = np.array([end_id], dtype="<u4")
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 7)], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-        for ids, texts in slices(batches):
-            each = [t.split() if t else [] for t in texts]
-            words.learn(each)
-            for i, own in zip(ids, each, strict=True):
-                packer.add(i, np.concatenate([words(own), end]))
-                if packer.size >= BLOCK:
-                    yield out(packer.settle(last=False))
-        yield out(packer.settle(last=True))
+
+        def out(last: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(packer.settle(last), names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+        for names, texts in parts(batches, TEXT):
+            ids, sizes = words(texts)
+            packer.add(names.to_pylist(), np.insert(ids, np.cumsum(sizes), end_id), sizes + 1)
+            if packer.open >= BLOCK:
+                yield out(last=False)
+        yield out(last=True)
 
     return on_batches(id_bytes(docs, id_col, text_col), run, SCHEMA)

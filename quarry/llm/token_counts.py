@@ -1,11 +1,10 @@
 """Token counts by a dictionary of pre-tokens.
 
-White-space words are the pre-tokens (no token crosses white space, see
-word_tokens), with a full stop or comma after a letter and before white space taken
-as one of its own, and ASCII texts in lower case, as the tokeniser has it. Their distinct forms are found over the corpus; each is tokenised
-once and gives a number of pieces. A document's count is the sum of those numbers
-over its words: by a table in the workers for frequent words, by a join for the
-others (see dictionary). Ids are never made for a document.
+Pre-tokens are the tokeniser's own (see word_tokens). Their distinct forms are found
+over the corpus; each is tokenised once and gives a number of pieces. A document's
+count is the sum of those numbers over its pre-tokens: by a table in the workers for
+frequent ones, by a join for the others (see dictionary). Ids are never made for a
+document.
 
 Defined cases: a null text is empty and has 0 tokens; repeated rows each give a
 row; a null id stays null; texts are counted whole; an empty table gives an empty
@@ -14,42 +13,35 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, id_bytes, on_batches
+from quarry.llm.common import cut, held, id_bytes, on_batches
 from quarry.llm.dictionary import summed, word_counts
+from quarry.llm.word_tokens import PreTokens, TermsOf
 
-#: Pre-tokens that are sent to every worker at most; about 120 bytes each there.
-MOST_SENT = 600_000
+#: Bytes of pre-tokens that are sent to every worker at most.
+MOST_SENT = 72_000_000
 
 
-#: A mark that is a pre-token of its own: a letter of ASCII or from U+00C0 to U+00FF before it, white space behind.
-MARK = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[ \t\n\r\x0b\x0c])")
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    if not text:
-        return []
-    # Case counts in the names of special tokens, and beyond ASCII for how marks combine.
-    return MARK.sub(rb" \1", text.lower() if text.isascii() and b"<|" not in text else text).split()
+def pre_tokens(path: str) -> TermsOf:
+    """Splits texts into pre-tokens; one for each worker process."""
+    return held("counts", "pre", lambda: PreTokens(path), path).terms
 
 
 def pieces(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, n, a, b): b is the number of the word's tokens."""
+    """(word, n, a, b): b is the number of the pre-token's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quarry.llm.word_tokens import WordIds
-
-        ids = WordIds(tokenizer)
+        tokens = PreTokens(tokenizer)
         for batch in batches:
-            b = [len(x) for x in ids.encode(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.cast(pa.nulls(len(b)), pa.float64()).fill_null(0.0), pa.array(b, pa.int64())], names=["word", "n", "a", "b"])
+            b = [len(tokens.ids(x.decode())) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(len(b))), pa.array(b, pa.int64())], names=["word", "n", "a", "b"])
 
     return on_batches(words, run, "word binary, n long, a double, b long")
 
@@ -60,7 +52,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, most_sent:
     tokenizer: a tokeniser file, at the same place on every worker, to which word_tokens applies.
     """
     rows = id_bytes(docs, id_col, text_col)
-    values = cut(pieces(word_counts(rows, words_of), tokenizer))
-    size = lambda: lambda words, texts: [(len(t or b""),) for t in texts]
-    found = summed(rows, words_of, values, most_sent, size, "n_bytes long", ("a", "n_tokens"))
+    split = lambda: pre_tokens(tokenizer)
+    values = cut(pieces(word_counts(rows, split), tokenizer))
+    size = lambda _, texts: [pc.binary_length(texts).fill_null(0)]
+    found = summed(rows, split, values, most_sent, size, "n_bytes long", ("a", "n_tokens"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

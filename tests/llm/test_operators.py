@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -39,7 +41,7 @@ def tokenizer():
 
 def test_token_counts(docs, nothing, pairs, tokenizer):
     want = counted((i, len((t or "").encode()), n, n > 2048) for i, t in pairs for n in [len(tokenizer.encode(t or "", add_special_tokens=False).ids)])
-    for most in (600_000, 3):  # all words in the workers, and almost all by the join
+    for most in (72_000_000, 500):  # all words in the workers, and almost all by the join
         got = token_counts.token_counts(docs, WORD_BPE, most_sent=most).select("doc_id", "n_bytes", "n_tokens", "over_limit")
         assert counted(got.collect()) == want
     assert token_counts.token_counts(nothing, WORD_BPE).count() == 0
@@ -51,11 +53,11 @@ def test_word_ids_are_the_texts(text):
     whole = Tokenizer.from_file(WORD_BPE) if not hasattr(test_word_ids_are_the_texts, "t") else test_word_ids_are_the_texts.t
     test_word_ids_are_the_texts.t = whole
     want = whole.encode(text, add_special_tokens=False).ids
-    ids = word_tokens.word_ids(WORD_BPE)
-    own = text.encode().split()
-    ids.learn([own])
-    assert ids(own).tolist() == want
-    assert sum(len(whole.encode(w.decode(), add_special_tokens=False).ids) for w in token_counts.words_of(text.encode())) == len(want)
+    ids, sizes = word_tokens.word_ids(WORD_BPE)(pa.array([text.encode(), None, b"", text.encode()]))
+    assert ids.tolist() == want * 2 and sizes.tolist() == [len(want), 0, 0, len(want)]
+    pre = word_tokens.word_ids(WORD_BPE).pre
+    terms = pre.terms(pa.array([text.encode(), None]))
+    assert [i for k in terms.which for i in pre.ids(terms.different[k].decode())] == want and terms.bounds.tolist() == [0, len(terms.which), len(terms.which)]
 
 
 def test_packing(docs, nothing, pairs, tokenizer):
@@ -172,7 +174,7 @@ def test_language(spark, docs, nothing):
 # --- language models ---
 
 
-@pytest.mark.parametrize("most", [400_000, 2])
+@pytest.mark.parametrize("most", [50_000_000, 500])
 def test_lm_base(docs, pairs, most):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     tokens = lambda t: [*words((t or "").translate(FOLD)), None]
@@ -203,24 +205,26 @@ def test_lm_model_prefers_what_it_saw(spark, nothing):
 
 
 def test_bloom_counts():
-    bits, keys = 6, np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) << np.uint64(1))
-    counts = np.random.default_rng(2).integers(1, 1000, len(keys))
-    data = np.zeros(1 << lm_scoring.FILTER, dtype=np.uint8)
-    short = keys >> np.uint64(64 - key_counts.BITS)
-    level = np.frexp(counts.astype(float))[1]
-    for j in range(1, 11):
-        k = short[level >= j]
-        for s in lm_scoring.spots(k, j, bits):
-            data[((k >> np.uint64(key_counts.BITS - bits)) << np.uint64(lm_scoring.FILTER - bits)) + s] = 1
-    m = lm_scoring.Model(bytearray(np.packbits(data, bitorder="little").tobytes()), bits, 1, 1)
-    got = m.count(keys)
-    assert ((got >= counts / 2) & (got <= counts * 2)).mean() > 0.999
-    assert (m.count(keys ^ np.uint64(0xFFFF000000000000)) > 0).mean() < 0.01
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << lm_scoring.KEY, 5000, dtype=np.uint64))
+    counts = rng.integers(1, 1000, len(keys))
+    f = lm_scoring.Stretch(keys, counts)
+    got = lm_scoring.middle(f.levels(keys))
+    assert ((got >= counts / 2) & (got <= counts * 2)).mean() > 0.99
+    assert (f.levels(keys ^ np.uint64(1)) > 0).mean() < 0.02
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**36 - 1), max_size=40), st.sampled_from([36, 62]))
+def test_ranked(keys, width):
+    k = np.array(keys, dtype=np.uint64)
+    got, back = key_counts.ranked(k, width)
+    assert got.tolist() == sorted(set(keys)) and got[back].tolist() == keys
 
 
 def test_least_use(spark):
-    d = spark.createDataFrame([(n,) for n in (1, 1, 1, 2, 3, 9, 100)], "n long")
-    assert [dictionary.least_use(d, k) for k in (0, 1, 2, 4, 7)][1:] == [16, 4, 2, 1]
+    d = spark.createDataFrame([("word", n) for n in (1, 1, 1, 2, 3, 9, 100)], "word string, n long")
+    assert [dictionary.least_use(d, k * (dictionary.ENTRY_BYTES + 4)) for k in (1, 2, 4, 7)] == [16, 4, 2, 1]
     assert key_counts.least_count([3, 2, 0, 1, *[0] * 36], 3) == 2
 
 
@@ -397,50 +401,74 @@ def test_forest_on_held_out_findings(spark):
     assert right > 0.97
 
 
-def test_lm_filter_grows(spark):
-    """More n-grams than a filter of 2 ** 27 bits holds at half its bits; those that occur once are found, too."""
-    keys = np.arange(30_000_000, dtype=np.uint64) << np.uint64(10)
+def test_lm_filter_grows():
+    """As many n-grams as a part ever gets, and more; those that occur once are found, too."""
+    keys = np.arange(30_000_000, dtype=np.uint64) << np.uint64(7)
     for part in (keys[:1000], keys):
-        m = lm_scoring.stretch(part, np.ones(len(part), dtype=np.int64))
-        assert (m.levels(part[-5000:]) >= 1).all()
-        assert (m.levels(part[-5000:] + np.uint64(1)) > 0).mean() < 0.02
+        f = lm_scoring.Stretch(part, np.ones(len(part), dtype=np.int64))
+        assert (f.levels(part[-5000:]) >= 1).all()
+        assert (f.levels(part[-5000:] + np.uint64(1)) > 0).mean() < 0.02
 
 
-def test_lm_scores_against_brute_force(spark, docs, pairs):
-    """All pairs of words in the model, over several blocks and parts, with null and repeated ids."""
+@pytest.mark.parametrize("block", [lm_scoring.TOKENS, 700])
+def test_lm_scores_against_brute_force(spark, docs, pairs, block):
+    """All n-grams in the model, over several blocks and parts, with null and repeated ids and texts longer than a block."""
     kept = lambda i: i is None or i % 3 > 0
     tokens = lambda t: [*words((t or "").translate(FOLD)), None]
     level = lambda n: 0 if not n else 1 if n == 1 else 2 ** math.floor(math.log2(n)) * math.sqrt(2)
-    one, two = collections.Counter(), collections.Counter()
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for i, t in pairs:
         if kept(i):
             ws = tokens(t)
             one.update(ws)
             two.update(zip([None, *ws[:-1]], ws, strict=True))
+            three.update(zip([None, None, *ws[:-2]], [None, *ws[:-1]], ws) if len(ws) > 1 else [])
     total = sum(one.values()) + len(one) + 1
 
+    def seen(n, context, shorter):
+        n, context = level(n), level(context)
+        return 0.6 * max(n - 0.9, 0) / max(context, n) + 0.4 * shorter if context else shorter
+
     def score(t):
-        ws, logs = tokens(t), []
-        for weight in lm_scoring.WEIGHTS:
-            x = 0.0
-            for a, b in zip([None, *ws[:-1]], ws, strict=True):
-                first, single = level(one[a]), level(one[b])
-                w = weight * first / (first + 5)
-                share = min(level(two[a, b]), first, single) / first if first else 0.0
-                x += math.log10(w * share + (1 - w) * min((single + 1) / total, 1))
-            logs.append(x)
-        return max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs) / len(logs))
+        ws, x = tokens(t), 0.0
+        for k, w in enumerate(ws):
+            v, u = (ws[k - 1] if k else None), (ws[k - 2] if k > 1 else None)
+            p = seen(two[v, w], one[v], min((level(one[w]) + 1) / total, 1))
+            x += math.log10(seen(three[u, v, w], two[u, v], p) if k else p)
+        return x
 
     want = collections.defaultdict(list)
     for i, t in pairs:
         want[i].append(score(t))
     got = collections.defaultdict(list)
-    for r in lm_scoring.lm_scoring(docs, F.col("doc_id") % 3 == 0).collect():
+    for r in lm_scoring.lm_scoring(docs, F.col("doc_id") % 3 == 0, block=block).collect():
         got[r.doc_id].append(r.score)
     near = [abs(g - w) < 0.01 * abs(w) + 1e-9 for i in want for g, w in zip(sorted(got[i]), sorted(want[i]), strict=True)]
     assert got.keys() == want.keys() and sum(near) >= 0.9 * len(near)
 
 
+def test_lm_tells_copies_apart(spark):
+    """Texts that occur twice score higher a token than those that occur once, as their triples do."""
+    import random
+
+    r, words_ = random.Random(3), [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(r.choice(words_) for _ in range(120))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(40)]
+    got = {x.doc_id: x.score / x.n_tokens for x in lm_scoring.lm_scoring(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()}
+    once = sorted(got[i] for i in range(40, 300))
+    assert sum(got[i] > once[int(0.9 * len(once))] for i in range(40)) >= 38
+
+
+@pytest.mark.parametrize("cores", ["local[1]", "local[4]"])
+def test_again_over_other_corpora(cores):
+    """Ten corpora in a row in one session with workers that live on: nothing is kept from one to the next."""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, __file__.replace("test_operators", "again"), cores], capture_output=True, text=True, timeout=900, env=os.environ)
+    assert out.returncode == 0 and "10 corpora right" in out.stdout, out.stdout[-500:] + out.stderr[-2000:]
+
+
 def test_secrets_after_a_glued_sign(spark):
     """Short values in YAML, properties and header style, where the sign is part of the name's word."""
     texts = ["password: s3cretpw9 end", "api_key= kZ8abc123q end", 'x "token": "q7Wm2xR9a", y', "see X-Auth-Token: Ab3kX92pQz now", "db.passwd := Kd82hsLq1 end"]
