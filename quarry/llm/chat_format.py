@@ -42,17 +42,32 @@ def unescaped(text: Column) -> Column:
 
 
 def blocks_of(turns: Column) -> Column:
-    """Sorted turns (role, text) to blocks (role, texts): neighbours of one role come together."""
-    kind = "array<struct<role:string,texts:array<string>>>"
+    """Sorted turns (role, text) to blocks (role, texts): neighbours of one role come together, each cut out once."""
+    role = lambda i: F.get(turns, i)["role"]
+    places = F.sequence(F.lit(0), F.size(turns) - 1)
+    starts = F.filter(places, lambda i: (i == 0) | (role(i) != role(i - 1)))
+    return F.transform(
+        starts,
+        lambda s, k: F.struct(
+            role(s).alias("role"),
+            F.transform(F.slice(turns, s + 1, F.coalesce(F.get(starts, k + 1), F.size(turns)) - s), lambda t: t["text"]).alias("texts"),
+        ),
+    )
+
 
-    def add(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        fresh = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        joins = F.coalesce(last["role"] == t["role"], F.lit(False))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(fresh))).cast(kind)
+#: Numbers that are added up at once; so no array grows beyond it step by step.
+STEP = 256
 
-    return F.aggregate(turns, F.array().cast(kind), add)
+
+def sums_before(numbers: Column) -> Column:
+    """For each of an array of numbers, the sum of those before it."""
+    kind = "struct<at:bigint,sums:array<bigint>>"
+    none = F.struct(F.lit(0).alias("at"), F.array().alias("sums")).cast(kind)
+    add = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["sums"], F.array(a["at"])).alias("sums")).cast(kind)
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(numbers) / F.lit(STEP)).cast("int") - 1, F.lit(0)))
+    own = F.transform(steps, lambda k: F.aggregate(F.slice(numbers, k * STEP + 1, F.lit(STEP)), none, add))
+    bases = F.aggregate(F.transform(own, lambda c: c["at"]), none, add, lambda a: a["sums"])
+    return F.flatten(F.zip_with(own, bases, lambda c, base: F.transform(c["sums"], lambda x: x + base)))
 
 
 def chat_format(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -61,8 +76,10 @@ def chat_format(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         F.col(conv).alias("conv_id"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("t"),
     )
+    # Each step is a column of its own, so that it is computed once and not for each turn.
     sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    blocks = sorted_turns.select("conv_id", blocks_of(F.transform("turns", lambda t: F.struct(escaped(t["role"], role=True).alias("role"), escaped(t["text"]).alias("text")))).alias("blocks"))
+    safe = sorted_turns.select("conv_id", F.transform("turns", lambda t: F.struct(escaped(t["role"], role=True).alias("role"), escaped(t["text"]).alias("text"))).alias("turns"))
+    blocks = safe.select("conv_id", blocks_of(F.col("turns")).alias("blocks"))
     parts = F.transform(
         "blocks",
         lambda b: F.struct(
@@ -84,17 +101,9 @@ def chat_format(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         )
     )
     laid = blocks.select("conv_id", pieces.alias("pieces"))
-    kind = "struct<at:int,spans:array<struct<start:int,length:int>>>"
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")).cast(kind),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["s"])).alias("at"),
-            F.when(p["loss"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(p["s"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ).cast(kind),
-        lambda a: a["spans"],
-    )
-    return laid.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
+    placed = laid.select("conv_id", "pieces", sums_before(F.transform("pieces", lambda p: F.length(p["s"]))).alias("at"))
+    spans = F.filter(F.zip_with("pieces", "at", lambda p, at: F.struct(at.cast("int").alias("start"), F.length(p["s"]).alias("length"), p["loss"].alias("loss"))), lambda x: x["loss"])
+    return placed.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -94,6 +94,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where a column of docs has them."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in names]
+
+
 def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """docs without the rows whose keys are in gone (a small table, kept already)."""
     few = gone.limit(MOST_SENT + 1).count() <= MOST_SENT

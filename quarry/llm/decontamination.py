@@ -1,18 +1,22 @@
-r"""Benchmark decontamination by a positional inverted index.
-
-A posting is a word of a training document with its position. The index is split
-by document: a document's postings stay in its row, so lists of different words
-are intersected without a shuffle. Test items become windows of n words (an item
-of fewer words is one window). The lengths of the posting lists of all test words
-are counted over the corpus; each window is looked up from its rarest word, the
-second rarest is tried at its adjusted offset, and only then the others are. Windows
-whose rarest word never occurs are given up at once.
-
-Two passes over the texts. What is sent to the workers is the test side: its words,
-and its windows in blocks of `block` windows at most, so that its size is bounded
-however large the benchmark is. What is shuffled is a row for each document and one
-for each match; a document's matches are at most its words times the window lengths.
-Spark expressions only.
+r"""Benchmark decontamination by a stored positional inverted index.
+
+A posting is a term of a training document with the document's row and the position.
+The postings of all test terms are written once, in one pass over the texts, to a table
+in the shared folder (row, term, pos); a second table has a line for each row. Terms are
+64-bit hashes of folded words. All else works on these tables, whatever the size of the
+benchmark:
+
+Test items become windows of n words (an item of fewer words is one window). The lengths
+of the lists of their terms are counted; a window with a term that never occurs is given
+up. Each window starts from the list of its rarest term, as candidates (row, start); the
+list of the second rarest is intersected at its adjusted offset; and only then the lists
+of all its terms, which have to be there at their offsets, each once.
+
+Only lists of terms that candidates ask for, in rows that have candidates, are shuffled,
+by row and position, which no two postings share; so no term's list is a hot key, and
+neither is a document with a null id or a text that occurs often. The test terms and the
+anchors are sent to the workers while there are `most_sent` of them at most, which is
+counted; beyond that the joins are dealt out. Spark expressions only.
 
 Defined cases: a null text has no words, so n_words, n_hit and n_items are 0,
 items_sha256 is that of the empty string, and contaminated is false; an item without
@@ -23,17 +27,18 @@ documents clean; other columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import LOWER, UPPER, cut, id_text
+from quarry.llm.key_counts import Scratch
 
 #: Words are runs of ASCII digits, letters and all that isn't ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: No word: it holds a separator. It stands once at each document's end.
-END = "\x00"
+#: Rows that are sent to every worker at most, of terms, anchors or numbers of documents.
+MOST_SENT = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -45,85 +50,110 @@ def folded(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def test_windows(items: DataFrame, n: int) -> DataFrame:
-    """(window, words, item_ids): each different window of n words once."""
-    words = items.select("item_id", F.split(F.array_join(words_of(folded(F.col("text"))), " "), " ").alias("words")).filter(F.element_at("words", 1) != "")
-    starts = words.select("item_id", "words", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1)))).alias("s"))
-    cut_out = starts.select("item_id", F.slice("words", F.col("s"), F.lit(n)).alias("words"))
-    return cut_out.groupBy(F.array_join("words", " ").alias("window")).agg(F.first("words").alias("words"), F.collect_set("item_id").alias("item_ids"))
+def term_of(word: Column) -> Column:
+    return F.xxhash64(folded(word))
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, key, term, pos) of the words of (doc_id, text) that are among terms(term).
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df (kept already), marked to be sent to every worker if it is small enough."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-    Letters are folded beyond ASCII here, so that folding is cheap; a match is checked exactly later.
-    """
-    all_words = docs.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    return all_words.join(F.broadcast(terms), F.lower("word") == F.col("term")).select("doc_id", "key", "term", "pos")
 
+@dataclass
+class Index:
+    """postings(row, term, pos) of test terms; rows(row, doc_id, key, n_words), a line for each document."""
 
-def in_blocks(terms: DataFrame, most: int) -> list[DataFrame]:
-    """terms in parts of about `most` rows, each small enough to be sent to every worker."""
-    parts = -(-terms.count() // most) or 1
-    return [terms.filter(F.pmod(F.xxhash64(terms.columns[0]), F.lit(parts)) == k) for k in range(parts)]
+    postings: DataFrame
+    rows: DataFrame
+    scratch: Scratch
 
+    def lengths(self) -> DataFrame:
+        """(term, n): how many postings each term has."""
+        return self.postings.groupBy("term").agg(F.count("*").alias("n"))
 
-def list_lengths(docs: DataFrame, terms: DataFrame, block: int) -> DataFrame:
-    """(term, n): how many postings each of terms(term) has."""
-    return reduce(DataFrame.unionByName, (postings(docs, part).groupBy("term").agg(F.count("*").alias("n")) for part in in_blocks(terms, block)))
+    def drop(self) -> None:
+        self.scratch.drop()
 
 
-def anchored(windows: DataFrame, lengths: DataFrame, most_sent: int) -> DataFrame:
-    """windows with their rarest word and its offset, and the second rarest; those that cannot occur are left out."""
-    known = F.broadcast(lengths) if lengths.count() <= most_sent else lengths
-    each = windows.select("window", F.posexplode("words").alias("off", "word")).join(known, F.lower("word") == F.col("term"), "left")
-    ranked = each.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("off"), F.lower("word").alias("term")))).alias("r"))
-    two = ranked.filter(F.col("r")[0]["n"] > 0).select("window", F.col("r")[0].alias("a"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0]).alias("b"))
-    return windows.join(two, "window").select(F.col("a.term").alias("anchor"), F.col("a.off").alias("off"), F.col("b.term").alias("second"), F.col("b.off").alias("second_off"), F.size("words").alias("length"), "window", "item_ids")
+def index(docs: DataFrame, words: DataFrame, most_sent: int = MOST_SENT) -> Index:
+    """The index of (doc_id, text) for the test words(word), stored. A row's number is made as it is written, and read ever after."""
+    # Letters are folded beyond ASCII to find words, which is cheap; terms are exact.
+    low = words.select(F.lower("word").alias("low")).distinct()
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("words"))
+    # The last entry stands for the document itself.
+    spread = numbered.select("row", "doc_id", "key", F.size("words").alias("n_words"), F.posexplode(F.concat("words", F.array(F.lit("\0")))).alias("pos", "word"))
+    own = low.unionByName(low.sparkSession.createDataFrame([("\0",)], low.schema))
+    found = spread.join(few(cut(own), most_sent), F.lower("word") == F.col("low"), "left_semi")
+    ends = F.col("word") == "\0"
+    stored = Scratch(found.select("row", F.when(ends, F.col("doc_id")).alias("doc_id"), F.when(ends, F.col("key")).alias("key"), F.when(ends, F.col("n_words")).alias("n_words"), F.when(~ends, term_of(F.col("word"))).alias("term"), "pos"))
+    return Index(stored.df.filter("term is not null").select("row", "term", "pos"), stored.df.filter("term is null").select("row", "doc_id", "key", "n_words"), stored)
 
 
-def matches(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, key, n_words, start, length, item_ids) of each exact match, and one row with length 0 for each document."""
-    end = anchors.sparkSession.range(1).select(
-        F.lit(END).alias("anchor"), F.lit(0).alias("off"), F.lit(END).alias("second"), F.lit(0).alias("second_off"), F.lit(0).alias("length"), F.lit("").alias("window"), F.array().cast("array<long>").alias("item_ids")
-    )
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.concat(words_of(F.col("text")), F.array(F.lit(END))).alias("words"))
-    spread = rows.select("doc_id", "key", "words", F.posexplode("words").alias("pos", "word"))
+def test_windows(items: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(window, words), each different window of n words once, and (window, item_id)."""
+    words = items.select("item_id", words_of(folded(F.col("text"))).alias("words")).filter(F.size("words") > 0)
+    starts = words.select("item_id", "words", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1)))).alias("s"))
+    each = cut(starts.select("item_id", F.slice("words", F.col("s"), F.lit(n)).alias("words")).withColumn("window", F.xxhash64("words")))
+    return each.groupBy("window").agg(F.first("words").alias("words")), each.select("window", "item_id").distinct()
+
+
+def matches(found: Index, windows: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+    """(row, start, length, window) of each exact match of windows(window, words)."""
+    each = cut(windows.select("window", F.size("words").alias("length"), F.posexplode("words").alias("off", "word")).withColumn("term", term_of(F.col("word"))))
+    lengths = cut(found.lengths().join(few(cut(each.select("term").distinct()), most_sent), "term", "left_semi"))
+    listed = each.join(few(lengths, most_sent), "term", "left").groupBy("window", "length").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term"))).alias("r"))
+    # The rarest term and the next one; the same one where a window has no other.
+    possible = cut(listed.filter(F.col("r")[0]["n"] > 0).select("window", "length", F.col("r")[0].alias("a"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0]).alias("b")))
+    anchors = cut(possible.select(F.col("a.term").alias("term"), F.col("a.off").alias("off"), "window", "length", F.col("b.term").alias("second"), F.col("b.off").alias("second_off")))
     start = F.col("pos") - F.col("off")
-    exact = (
-        (F.lower("word") == F.col("anchor"))
-        & (start >= 0)
-        & (start + F.col("length") <= F.size("words"))
-        & (F.lower(F.get("words", start + F.col("second_off"))) == F.col("second"))
-        & ((F.col("length") == 0) | (folded(F.array_join(F.slice("words", start + 1, F.col("length")), " ")) == F.col("window")))
-    )
-    found = spread.join(F.broadcast(anchors.unionByName(end)), exact)
-    return found.select("doc_id", "key", (F.size("words") - 1).alias("n_words"), start.alias("start"), "length", "item_ids")
+    first = cut(found.postings.join(few(anchors, most_sent), "term").filter(start >= 0).select("row", start.alias("start"), "window", "length", "second", "second_off"))
+    near = found.postings.join(few(cut(first.select("row").distinct()), most_sent), "row", "left_semi")
+    lists = cut(near.join(few(cut(possible.join(each, "window").select("term").distinct()), most_sent), "term", "left_semi"))
+    both = first.select("row", "start", "window", "length", F.col("second").alias("term"), (F.col("start") + F.col("second_off")).alias("pos")).join(lists, ["row", "term", "pos"]).select("row", "start", "window", "length")
+    # All terms at their offsets; a posting occurs once, so so many are all.
+    terms = each.select("window", "off", "term")
+    asked = cut(both).join(few(terms, most_sent), "window").select("row", "start", "window", "length", "term", (F.col("start") + F.col("off")).alias("pos"))
+    there = asked.join(lists, ["row", "term", "pos"]).groupBy("row", "start", "window", "length").agg(F.count("*").alias("n"))
+    return there.filter(F.col("n") == F.col("length")).select("row", "start", "length", "window")
+
 
+def nearby(found: Index, items: DataFrame, terms: int, span: int, most_sent: int = MOST_SENT) -> DataFrame:
+    """(row, item_id, start): where all of the `terms` rarest terms of items(item_id, word) lie within `span` words.
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 20, block: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """For every document its words, the words inside matches, the items matched and whether it is contaminated.
+    A term that the corpus lacks makes an item's match impossible. Items of fewer different words are looked up by those they have.
+    """
+    words = items.select("item_id", folded(F.col("word")).alias("word")).distinct().withColumn("term", term_of(F.col("word")))
+    lengths = cut(found.lengths())
+    rare = Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "word")
+    chosen = words.join(few(lengths, most_sent), "term", "left").withColumn("r", F.row_number().over(rare)).filter(F.col("r") <= terms)
+    need = chosen.groupBy("item_id").agg(F.count("*").alias("need"), F.min(F.coalesce("n", F.lit(0))).alias("least")).filter("least > 0")
+    probe = cut(chosen.join(need, "item_id").select("item_id", "term", "need"))
+    near = Window.partitionBy("row", "item_id").orderBy("pos").rangeBetween(0, span - 1)
+    seen = found.postings.join(few(probe, most_sent), "term").withColumn("got", F.size(F.collect_set("term").over(near)))
+    return seen.filter(F.col("got") == F.col("need")).select("row", "item_id", F.col("pos").alias("start"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 20, terms: int = 3, span: int = 20, most_sent: int = MOST_SENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """For every document its words, the words inside matches, the items matched, whether it is contaminated, and the items near.
 
     contaminated: some word is hit and share * n_hit >= n_words. items is the list of matched items,
-    key the hash of the text (xxhash64).
+    key the hash of the text (xxhash64), n_near the number of items whose `terms` rarest terms lie within `span` words.
     """
-    rows = id_text(docs, id_col, text_col)
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    windows = cut(test_windows(tests, n))
-    terms = windows.select(F.explode("words").alias("word")).select(F.lower("word").alias("term")).distinct()
-    lengths = cut(list_lengths(rows, terms, block))
-    anchors = cut(anchored(windows, lengths, block))
-    # Every block brings each document's own row; only the first one's counts as a copy.
-    found = reduce(DataFrame.unionByName, (matches(rows, part).withColumn("own", F.lit(k == 0)) for k, part in enumerate(in_blocks(anchors.select("window", *(c for c in anchors.columns if c != "window")), block))))
-    w = Window.partitionBy("doc_id", "key").orderBy("start", "length")
+    words = tests.select("item_id", F.explode(F.array_distinct(words_of(folded(F.col("text"))))).alias("word"))
+    windows, of_items = test_windows(tests, n)
+    found = index(id_text(docs, id_col, text_col), words.select("word").distinct(), most_sent)
+    exact = cut(matches(found, windows, most_sent))
+    near = cut(nearby(found, words, terms, span, most_sent).groupBy("row").agg(F.count_distinct("item_id").alias("n_near")))
+    rows = cut(found.rows)
+    found.drop()
+    w = Window.partitionBy("row").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     stop = F.col("start") + F.col("length")
-    before = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    hit = F.greatest(stop - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))), F.lit(0))
-    by = found.withColumn("hit", hit).groupBy("doc_id", "key").agg(
-        F.max("n_words").cast("long").alias("n_words"),
-        F.sum("hit").cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"),
-        F.count_if((F.col("length") == 0) & F.col("own")).cast("int").alias("copies"),
+    spans = exact.select("row", "start", "length").distinct().withColumn("hit", F.greatest(stop - F.greatest("start", F.coalesce(F.max(stop).over(w), F.lit(0))), F.lit(0)))
+    hits = spans.groupBy("row").agg(F.sum("hit").cast("long").alias("n_hit"))
+    named = exact.select("row", "window").distinct().join(few(of_items, most_sent), "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    by = rows.join(hits, "row", "left").join(named, "row", "left").join(near, "row", "left").select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), "key", F.coalesce("n_near", F.lit(0)).alias("n_near")
     )
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return by.select(
@@ -133,25 +163,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 2
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "n_near",
         "items",
         "key",
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"),
-    ).drop("_copy")
-
+    )
 
-def proximity(docs: DataFrame, items: DataFrame, terms: int = 3, span: int = 20, block: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, start) where all of an item's `terms` rarest words lie within `span` words of a document.
 
-    A word that the corpus lacks makes an item's match impossible. Items of fewer different words are looked up by those they have.
-    """
-    rows = id_text(docs, id_col, text_col)
-    words = items.select(F.col(item_col).cast("long").alias("item_id"), F.explode(F.array_distinct(words_of(F.lower(F.col(item_text).cast("string"))))).alias("term"))
-    lengths = cut(list_lengths(rows, words.select("term").distinct(), block))
-    rare = Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "term")
-    chosen = words.join(lengths, "term", "left").withColumn("r", F.row_number().over(rare)).filter(F.col("r") <= terms).select("item_id", "term")
-    need = chosen.groupBy("item_id").agg(F.count("*").alias("need"))
-    probe = cut(chosen.join(need, "item_id"))
-    lists = reduce(DataFrame.unionByName, (postings(rows, part) for part in in_blocks(probe.select("term").distinct(), block)))
-    near = Window.partitionBy("doc_id", "key", "item_id").orderBy("pos").rangeBetween(0, span - 1)
-    seen = lists.join(probe, "term").withColumn("got", F.size(F.collect_set("term").over(near)))
-    return seen.filter(F.col("got") == F.col("need")).select("doc_id", "item_id", F.col("pos").alias("start"))
+def proximity(docs: DataFrame, items: DataFrame, terms: int = 3, span: int = 20, most_sent: int = MOST_SENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, start) where all of an item's `terms` rarest terms lie within `span` words of a document."""
+    words = items.select(F.col(item_col).cast("long").alias("item_id"), F.explode(F.array_distinct(words_of(folded(F.col(item_text).cast("string"))))).alias("word"))
+    found = index(id_text(docs, id_col, text_col), words.select("word").distinct(), most_sent)
+    near = cut(nearby(found, words, terms, span, most_sent).join(found.rows, "row").select("doc_id", "item_id", "start"))
+    found.drop()
+    return near

@@ -28,7 +28,7 @@ ENTRY_BYTES = 120
 TEXT = 12 << 20
 
 
-def word_counts(rows: DataFrame, terms: Callable[[], TermsOf], most: int = 300_000) -> DataFrame:
+def word_counts(rows: DataFrame, terms: Callable[[], TermsOf], most: int = 600_000) -> DataFrame:
     """(word, n) over all rows (doc_id, text); each task adds up its own before anything is shuffled. terms makes, in a worker, what splits texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,9 +27,9 @@ PART_KEYS, LEAST_PARTS, MOST_PARTS = 1_500_000, 6, 20
 SORTED = 1_000_000
 
 
-def part_bits(text_bytes: int) -> int:
+def part_bits(text_bytes: int, most: int = MOST_PARTS) -> int:
     """So many of a key's top bits name its part, for a corpus of so many bytes (about six to a key)."""
-    return min(MOST_PARTS, max(LEAST_PARTS, int(np.ceil(np.log2(max(1.0, text_bytes / 6 / PART_KEYS))))))
+    return min(most, max(LEAST_PARTS, int(np.ceil(np.log2(max(1.0, text_bytes / 6 / PART_KEYS))))))
 
 
 def ranked(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,17 +59,33 @@ def unplaned(data: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, by byte planes and an entropy code."""
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes(numbers, 4), "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return unplaned(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), 4)
+
+
 def counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different keys, cut to BITS bits, and their counts."""
     return np.unique(np.concatenate(keys) >> np.uint64(64 - BITS), return_counts=True)
 
 
-def blocks(keys: np.ndarray, counts: np.ndarray, bits: int, width: int = BITS, kept: int = 5) -> Iterator[tuple[int, bytes, bytes]]:
-    """(part, keys, counts) of sorted keys of `width` bits; the lowest `kept` bytes of each are sent."""
-    part = keys >> np.uint64(width - bits)
+def by_part(keys: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of sorted keys; a part is what is left of a key without its last `shift` bits."""
+    part = keys >> np.uint64(shift)
     at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]]) if len(keys) else np.zeros(0, dtype=int)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield int(part[a]), planes(keys[a:b], kept), planes(counts[a:b], 4)
+        yield int(part[a]), a, b
+
+
+def blocks(keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(part, keys, counts) of sorted keys."""
+    for part, a, b in by_part(keys, BITS - bits):
+        yield part, planes(keys[a:b], 5), planes(counts[a:b], 4)
 
 
 def merged(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ two and three words give smoothed probabilities. The filter lies in stretches, b
 the hash range. A stretch has as many bits as the n-grams counted in its part ask
 for, so none is left out at any size of corpus. The number of parts follows the input
 and KEY bits of a hash tell the n-grams of a part apart, so that what two n-grams share
-by chance doesn't grow either. No worker has the whole filter: each
+by chance doesn't grow either (about one in two hundred reads another's count, as with probes). No worker has the whole filter: each
 block of documents sends its n-grams to their parts, where they are counted and then
 probed, and the levels found come back to the block, where its texts are scored.
 
@@ -40,7 +40,7 @@ from quarry.llm.word_tokens import Terms, spaced
 #: The end of a text. No word is a space.
 END = b" "
 #: Bits that tell the n-grams of one part apart, and bytes of a word's hash.
-KEY, WORD_BYTES = 32, 6
+KEY, WORD_BYTES = 28, 6
 #: Probes of a level.
 PROBES = 4
 #: Probes entered for each bit of a stretch, at most; three quarters of the bits are unset then.
@@ -92,7 +92,7 @@ class Stretch:
 
 def middle(level: np.ndarray) -> np.ndarray:
     """The count that stands for a level: the middle of those that reach it and no more."""
-    return np.where(level > 1, 2.0 ** (level - 1.0) * 1.4142135623730951, np.minimum(level, 1))
+    return np.where(level > 1, 2.0 ** (level.astype(np.float64) - 1) * 1.4142135623730951, np.minimum(level, 1))
 
 
 def ngrams(words: np.ndarray, at: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
@@ -155,8 +155,9 @@ def ngram_blocks(rows: DataFrame, bits: int, most: int = TOKENS) -> DataFrame:
                     for k in np.flatnonzero(skips).tolist():
                         weight[starts[k] : starts[k] + skips[k]] = 0
                     counts = np.bincount(back, np.concatenate([np.bincount(at, weight, len(words)), weight, weight])).astype(np.int64)
-                    sent = [(p, number, k, c, *[None] * 6) for p, k, c in kc.blocks(found, counts, bits, bits + KEY, 4)]
-                    own = ([names[k] for k in docs], key[docs].tolist(), lengths.tolist(), skips, kc.planes(words, WORD_BYTES), pa.compress(kc.planes(at, 4), "zstd", asbytes=True))
+                    within = found & np.uint64((1 << KEY) - 1)
+                    sent = [(p, number, kc.squeezed(np.diff(within[a:b], prepend=np.uint64(0))), kc.squeezed(counts[a:b]), *[None] * 6) for p, a, b in kc.by_part(found, KEY)]
+                    own = ([names[k] for k in docs], key[docs].tolist(), lengths.tolist(), skips, kc.planes(words, WORD_BYTES), kc.squeezed(at))
                     yield kc.batch([*sent, ((number * 0x9E3779B1 >> 7) % (1 << bits), number, None, None, *own)], SENT)
                     number += 1
 
@@ -171,11 +172,11 @@ def probed(blocks: DataFrame) -> DataFrame:
         own, rest = group.filter(pa.array(asked)), group.filter(pa.array(~asked))
         if not own.num_rows:
             return rest
-        each = [kc.unplaned(k, 4) for k in own.column("keys").to_pylist()]
+        each = [np.cumsum(kc.unsqueezed(k), dtype=np.uint64) for k in own.column("keys").to_pylist()]
         keys, back = kc.ranked(np.concatenate(each), KEY)
-        counts = np.bincount(back, np.concatenate([kc.unplaned(c, 4) for c in own.column("counts").to_pylist()]))
+        counts = np.bincount(back, np.concatenate([kc.unsqueezed(c) for c in own.column("counts").to_pylist()]))
         level = Stretch(keys[counts > 0], counts[counts > 0]).levels(keys)[back]
-        answers = [x.tobytes() for x in np.split(level, np.cumsum([len(k) for k in each])[:-1])]
+        answers = [kc.squeezed(x) for x in np.split(level, np.cumsum([len(k) for k in each])[:-1])]
         answered = own.set_column(2, SENT[2][0], pa.array([b""] * len(each), pa.binary())).set_column(3, SENT[3][0], pa.array(answers, pa.binary()))
         return pa.concat_tables([answered.cast(pa.schema(SENT)), rest.cast(pa.schema(SENT))])
 
@@ -211,8 +212,8 @@ def scored(answered: DataFrame, bits: int, total: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         asked = np.asarray(group.column("keys").is_valid())
         own, (docs,) = group.filter(pa.array(asked)).sort_by("part"), group.filter(pa.array(~asked)).to_pylist()
-        level = np.frombuffer(b"".join(own.column("counts").to_pylist()), dtype=np.uint8)
-        at = kc.unplaned(pa.decompress(docs["at"], 4 * sum(docs["lengths"]), "zstd", asbytes=True), 4).astype(np.int64)
+        level = np.concatenate([kc.unsqueezed(x) for x in own.column("counts").to_pylist()])
+        at = kc.unsqueezed(docs["at"]).astype(np.int64)
         found = scores(kc.unplaned(docs["words"], WORD_BYTES), at, np.array(docs["lengths"]), np.array(docs["skips"]), level, bits, total)
         return pa.Table.from_arrays([pa.array(docs["ids"], pa.int64()), pa.array(docs["texts"], pa.int64()), pa.array(found)], schema=pa.schema(names))
 
@@ -226,7 +227,7 @@ def lm_scoring(docs: DataFrame, held_out: Column, most_sent: int = MOST_SENT, id
     split = lambda: words_of
     values = cut(word_counts(train, split).select("word", "n", F.log10(F.col("n") + 1).alias("a"), F.lit(1).cast("long").alias("b")))
     tokens, types = values.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    bits = kc.part_bits(3 * kc.text_bytes(every))
+    bits = kc.part_bits(3 * kc.text_bytes(every), 30)
     also = scored(probed(ngram_blocks(rows, bits, block)), bits, tokens + types + 1)
     lengths = lambda t, texts: [pa.array(np.diff(t.bounds)), pa.nulls(len(texts))]
     found = summed(every, split, values, most_sent, lengths, "n_tokens long, score double", ("known_log", "n_known"), kind="lm", also=also)

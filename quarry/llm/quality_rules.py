@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, held, id_bytes, on_batches, slices, without
+from quarry.llm.common import cut, free_names, held, id_bytes, on_batches, slices, without
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -206,8 +206,9 @@ def quality_filter(docs: DataFrame, model: str, bands: dict[str, Band] | None =
     """
     key = F.xxhash64(F.col(text_col).cast("string"))
     found = fenced(cut(measured(docs.select(key.alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")), model, BANDS | (bands or {}))))
-    gone = cut(found.filter("not kept").select(F.col("doc_id").alias("_key")).distinct())
-    return without(docs.withColumn("_key", key), gone, ["_key"]).select(*docs.columns)
+    (name,) = free_names(docs, "key")
+    gone = cut(found.filter("not kept").select(F.col("doc_id").alias(name)).distinct())
+    return without(docs.withColumn(name, key), gone, [name]).select(*docs.columns)
 
 
 FENCED = ("chars_per_token", "token_entropy")

@@ -34,10 +34,20 @@ lens AS (SELECT DISTINCT n FROM win),
 grams AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n)),
 m AS (SELECT g.doc_id, g.p, g.n, win.item_id FROM grams g JOIN win ON g.n = win.n AND g.t = win.t),
 h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY 1),
+t AS (SELECT DISTINCT item_id, unnest(w) AS t FROM b),
+pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS t FROM d),
+post AS (SELECT doc_id, p, t FROM pos SEMI JOIN t USING (t)),
+freq AS (SELECT t, count(*) AS n FROM post GROUP BY 1),
+rare AS (SELECT item_id, t, n, count(*) OVER (PARTITION BY item_id) AS need, min(coalesce(n, 0)) OVER (PARTITION BY item_id) AS least
+  FROM (SELECT item_id, t, n, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), t) AS r FROM t LEFT JOIN freq USING (t)) WHERE r <= 3),
+q AS (SELECT doc_id, item_id, p, t, need FROM post JOIN rare USING (t) WHERE least > 0),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+  SELECT a.doc_id, a.item_id, a.p FROM q a JOIN q z ON a.doc_id = z.doc_id AND a.item_id = z.item_id AND z.p BETWEEN a.p AND a.p + 19
+  GROUP BY a.doc_id, a.item_id, a.p, a.need HAVING count(DISTINCT z.t) = a.need) GROUP BY 1),
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 
@@ -75,13 +85,15 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters(spark.sql(f"SELECT {CAPTURES} FROM {{pages}}", pages=pages), entries).drop("since")
 
 
-OP4_SQL = """
-WITH e AS MATERIALIZED (""" + ENTRIES.format(first="TIMESTAMP '2023-01-01' + b * INTERVAL 1 DAY", second="TIMESTAMP '2023-01-01' + (b + c) * INTERVAL 1 DAY", ntz="") + """),
+OP4_SQL = r"""
+WITH e AS MATERIALIZED (""" + ENTRIES.format(first="TIMESTAMP '2023-01-01' + b * INTERVAL 1 DAY", second="TIMESTAMP '2023-01-01' + (b + c) * INTERVAL 1 DAY", ntz="") + r"""),
 v AS (SELECT pattern, since, action, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM (SELECT pattern, since, max(action) AS action FROM e GROUP BY 1, 2)),
-c AS (SELECT page_id, nullif(regexp_extract(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '') AS host,
-  TIMESTAMP '2023-01-01' + ((page_id * 7919) % 1051200) * INTERVAL 1 MINUTE AS fetched_at FROM pages),
+p AS (SELECT page_id, string_split(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), '@')[-1] AS auth FROM pages WHERE regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://')),
+h AS (SELECT page_id, CASE WHEN auth[1] = '[' THEN regexp_extract(auth, '^(\[[^\]]*\])(:|$)', 1) WHEN NOT regexp_matches(split_part(auth, ':', 1), '[\[\]]') THEN split_part(auth, ':', 1) END AS named FROM p),
+c AS (SELECT page_id, nullif(rtrim(translate(named, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.'), '') AS host,
+  TIMESTAMP '2023-01-01' + ((page_id * 7919) % 1051200) * INTERVAL 1 MINUTE AS fetched_at FROM pages LEFT JOIN h USING (page_id)),
 m AS (SELECT c.page_id, arg_max({'action': v.action, 'pattern': v.pattern}, length(v.pattern)) AS best
-  FROM c JOIN v ON (c.host = v.pattern OR (ends_with(c.host, '.' || v.pattern) AND contains(v.pattern, '.')))
+  FROM c JOIN v ON (c.host = v.pattern OR (ends_with(c.host, '.' || v.pattern) AND NOT regexp_matches(c.host, '^\[|^[0-9.]+$')))
     AND v.since <= c.fetched_at AND (v.until IS NULL OR c.fetched_at < v.until) AND v.action <> 'drop' GROUP BY 1)
 SELECT c.page_id, c.host, coalesce(best.action, 'keep') AS verdict, best.pattern AS pattern FROM c LEFT JOIN m USING (page_id)
 """

@@ -2,13 +2,17 @@ r"""Secret scans: candidates by pattern, false positives removed by a random for
 
 Candidates are white-space words that hold a long run with digits, or that follow or
 contain the assignment of something named like a secret, and each such run and each
-such assignment inside a word that has more to it (fields of JSON, query strings, CSV). A forest judges each by its
+such assignment inside a word that has more to it (fields of JSON, query strings, CSV),
+keys in a provider's form, and passwords in URLs. A forest judges each by its
 length, its character transitions, how much of it dictionary words cover, the path
 (the source of its document) and the neighbouring words. It is trained from labelled
 findings; findings() makes such a table of the kinds of secrets and of look-alikes
 that are publicly known, or a table of one's own may be given. Training takes
 `most_findings` labelled rows at most; everything else covers all data.
 
+Where a secret stands it is replaced, and nowhere else; the bodies of private key blocks are
+known by their frame and replaced as a whole.
+
 The trained trees become one Spark expression, and candidates are found and judged
 inside their document's row by array functions, so a scan reads each text once,
 shuffles nothing and runs no Python on the workers.
@@ -56,6 +60,12 @@ WORDS = (
 BENIGN = r"(?i)^[\W_]*(?:commit|sha-?1|sha-?256|sha-?512|md5|checksum|digest|etag|uuid|guid|revision|rev|hash|example|sample|version|build|id|isbn|doi)[\W_]*$"
 TEST_PATH = r"(?i)(?:^|[/_.-])(?:tests?|spec|examples?|samples?|fixtures?|mocks?|docs?|demo)(?:$|[/_.-])"
 PROVIDER = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-|^sk-[A-Za-z0-9_-]{20,}$|^AIza[0-9A-Za-z_-]{35}$|^eyJ[A-Za-z0-9_-]{10,}|^glpat-[A-Za-z0-9_-]{20}$"
+#: Such a key inside a word, digits or not.
+PROVIDED = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20}|AIza[0-9A-Za-z_-]{35})"
+#: A password in a URL, with the user before it.
+IN_URL = r"://[^\s/:@\"']{1,80}:[^\s/:@\"']{6,}@"
+#: A private key: the frame around its body.
+BLOCK = r"(-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----)(?:(?!-----BEGIN )[\s\S])*?(-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----)"
 FEATURES = ["length", "digits", "uppers", "marks", "transitions", "hexadecimal", "distinct", "dictionary", "provider", "shaped", "assigned", "benign", "test_path", "in_word"]
 
 
@@ -65,12 +75,13 @@ def rlike(c: Column, pattern: str) -> Column:
 
 def is_candidate(word: Column, one: Column, two: Column) -> Column:
     """one and two: the words one and two places before, null where there are none."""
-    return (F.length(word) >= 6) & ((rlike(word, "[0-9=:]") & (rlike(word, RUN) | rlike(word, ASSIGNED))) | spaced(one, two))
+    marked = rlike(word, "[0-9=:]") & (rlike(word, RUN) | rlike(word, ASSIGNED) | rlike(word, IN_URL))
+    return (F.length(word) >= 6) & (marked | rlike(word, PROVIDED) | spaced(one, two))
 
 
 def fields(word: Column) -> Column:
     """The word and those of its fields that hold another value than it, each once."""
-    own = F.array_distinct(F.regexp_extract_all(word, F.lit(FIELD), F.lit(0)))
+    own = F.array_distinct(F.concat(*(F.regexp_extract_all(word, F.lit(p), F.lit(0)) for p in (FIELD, PROVIDED, IN_URL))))
     return F.concat(F.array(word), F.filter(own, lambda m: (value_of(m) != value_of(word)) & (F.length(value_of(m)) >= 6)))
 
 
@@ -82,7 +93,7 @@ def spaced(one: Column, two: Column) -> Column:
 
 def value_of(word: Column) -> Column:
     """What would be secret in a candidate: without the name it is assigned to, quotes and marks around it."""
-    bare = F.regexp_replace(word, r"^.*?(?:=>|=|:)(?=[\"']?[^\s\"'=:]{6})", "")
+    bare = F.when(rlike(word, f"^{IN_URL}$"), F.regexp_extract(word, "([^:]*)@$", 1)).otherwise(F.regexp_replace(word, r"^.*?(?:=>|=|:)(?=[\"']?[^\s\"'=:]{6})", ""))
     return F.regexp_replace(bare, r"^[^A-Za-z0-9+/_-]+|(?<=[A-Za-z0-9+/=_-])[\"'`].*$|[^A-Za-z0-9+/=_-]+$", "")
 
 
@@ -104,7 +115,7 @@ def features(word: Column, one: Column, two: Column, after: Column, path: Column
         (n - F.length(F.regexp_replace(F.lower(v), "|".join(sorted(WORDS, key=len, reverse=True)), ""))) / n,
         flag(rlike(v, PROVIDER)),
         flag(rlike(v, r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$|^\d{4}-\d\d-\d\d|^v?\d+\.\d+|^[\w./-]*/[\w./-]+$|^(.)\1{5,}")),
-        flag(rlike(word, ASSIGNED) | spaced(one, two)),
+        flag(rlike(word, ASSIGNED) | rlike(word, IN_URL) | spaced(one, two)),
         flag(near(one, BENIGN) | near(two, BENIGN) | near(after, BENIGN) | rlike(word, r"(?i)(?:sha\d*|md5|commit|uuid|rev)[\"']?[=:]")),
         flag(rlike(path, TEST_PATH)),
         F.length(v) / F.greatest(F.length(word), F.lit(1)).cast("double"),
@@ -136,8 +147,17 @@ def findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (F.concat(name, F.lit(":"), F.substring(base, 5, 14)), prose, prose, 1),
         (F.concat(F.lit("'"), F.substring(base, 2, 40), F.lit("'")), F.lit("="), name, 1),
         (short, F.concat(name, glue), prose, 1),
+        (F.concat(F.lit("AKIA"), F.substring(F.regexp_replace(upper, "[0-9]", ""), 1, 16)), prose, prose, 1),
+        (F.concat(F.lit("glpat-"), F.substring(base, 1, 20)), prose, prose, 1),
+        (F.concat(F.lit("'"), F.substring(base, 4, 3), pick("#", "!", "$", "%", "&"), F.substring(base, 8, 3), dec, F.lit("'")), F.concat(name, glue), prose, 1),
+        (F.concat(name, F.lit("="), F.substring(F.lower(base), 3, 28)), prose, prose, 1),
+        (F.concat(F.lit("://"), noun, F.lit(":"), short, F.lit("@")), prose, prose, 1),
+        (F.concat(F.lit("://"), noun, F.lit(":"), noun, F.lit("_"), noun, F.lit("@")), prose, prose, 0),
         (F.concat(noun, F.lit("_"), noun), F.concat(name, glue), prose, 0),
         (F.concat(noun, F.lit(".")), F.concat(name, glue), prose, 0),
+        (F.substring(F.translate("h", "0123456789", "ghiklmnoprstu"), 1, 9), F.concat(name, glue), prose, 0),
+        (F.concat(F.lit("?"), noun, F.lit("="), prose, F.lit("&"), name, F.lit("="), F.substring(base, 1, 20), F.lit("&"), noun, F.lit("=de")), prose, prose, 0),
+        (F.concat(noun, F.lit("://"), noun, F.lit(":"), short, F.lit("@"), noun, F.lit(".example")), F.lit("="), noun, 0),
         (hexa(40), pick("commit", "revision", "sha1", "Commit:"), prose, 0),
         (hexa(64), pick("sha256", "checksum", "digest", "sha256:"), prose, 0),
         (F.concat_ws("-", hexa(8), F.substring("g", 1, 4), F.substring("g", 5, 4), F.substring("g", 9, 4), F.substring("g", 13, 12)), pick("uuid", "id", "guid", "the", "of"), prose, 0),
@@ -182,24 +202,41 @@ def tree_sql(text: str) -> str:
     return node()
 
 
+def bounded(labelled: DataFrame, most: int) -> DataFrame:
+    """`most` rows at most, always the same ones: those with the least hashes."""
+    own = labelled.select("word", "one", "two", "after", "path", "secret")
+    return own.orderBy(F.xxhash64(*own.columns), *own.columns).limit(most)
+
+
+def replaced(word: Column, values: Column) -> Column:
+    """word with <secret> for each of these values, longer ones first, where no letter or digit of a longer run is next to it."""
+    longest = F.transform(F.sort_array(F.transform(F.array_distinct(values), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), asc=False), lambda s: s["v"])
+    edge = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9+/_-])\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![A-Za-z0-9+/_-])"))
+    return F.aggregate(longest, word, lambda t, v: F.regexp_replace(t, edge(v), F.lit("<secret>")))
+
+
 def judged(docs: DataFrame, labelled: DataFrame | None, most_findings: int, threshold: float, text_col: str, path_col: str) -> DataFrame:
     """row (all columns of docs), text, n_candidates, secrets and redacted."""
     spark = docs.sparkSession
-    trees = forest((labelled if labelled is not None else findings(spark, most_findings)).limit(most_findings))
+    trees = forest(findings(spark, most_findings) if labelled is None else bounded(labelled, most_findings))
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path"))
     words = rows.withColumn("words", F.split(F.coalesce("text", F.lit("")), SPACE, -1))
     word = lambda i, k: F.get("words", i + k)
     found = words.withColumn("places", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: is_candidate(word(i, 0), word(i, -1), word(i, -2))))
     seen_of = lambda i, form: F.struct(i.alias("place"), value_of(form).alias("value"), F.array(*features(form, word(i, -1), word(i, -2), word(i, 1), F.col("path"))).alias("f"))
-    seen = F.flatten(F.transform("places", lambda i: F.transform(fields(word(i, 0)), lambda form: seen_of(i, form))))
-    known = found.select("row", "text", seen.alias("c"))
+    known = found.withColumn("c", F.transform("places", lambda i: F.transform(fields(word(i, 0)), lambda form: seen_of(i, form)))).select("row", "text", "words", "c")
     votes = " + ".join(f"({t})".replace("f[", "x.f[") for t in trees)
-    scored = known.select("row", "text", F.expr(f"transform(c, x -> struct(x.place AS place, x.value AS value, ({votes}) / {len(trees)} AS score))").alias("c"))
-    secrets = scored.select("row", "text", F.size("c").cast("long").alias("n_candidates"), F.filter("c", lambda x: (x["score"] > threshold) & (F.length(x["value"]) > 0)).alias("secrets"))
-    # Longer values first, so that none is cut by one that it holds.
-    by_length = F.transform(F.sort_array(F.transform(F.array_distinct(F.transform("secrets", lambda s: s["value"])), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), asc=False), lambda s: s["v"])
-    redacted = F.aggregate(by_length, F.col("text"), lambda t, v: F.replace(t, v, F.lit("<secret>")))
-    return secrets.select("row", "n_candidates", "secrets", redacted.alias("redacted"))
+    scored = known.withColumn("c", F.expr(f"transform(c, w -> transform(w, x -> struct(x.place AS place, x.value AS value, ({votes}) / {len(trees)} AS score)))"))
+    bad = F.filter(F.transform("c", lambda w: F.filter(w, lambda x: (x["score"] > threshold) & (F.length(x["value"]) > 0))), lambda w: F.size(w) > 0)
+    secrets = scored.select("row", "text", "words", F.size(F.flatten("c")).cast("long").alias("n_candidates"), bad.alias("bad"))
+    # Words with the white space behind them. What lies between two words with secrets is copied as it is.
+    spaces = F.concat(F.regexp_extract_all("text", F.lit(SPACE), F.lit(0)), F.array(F.lit("")))
+    whole = lambda a, b: F.array_join(F.slice(F.zip_with("words", spaces, lambda w, s: F.concat(w, s)), a + 1, b - a), "")
+    place = lambda k: F.coalesce(F.get("bad", k)[0]["place"], F.size("words"))
+    each = F.transform("bad", lambda w, k: F.concat(replaced(F.get("words", place(k)), F.transform(w, lambda x: x["value"])), F.get(spaces, place(k)), whole(place(k) + 1, place(k + 1))))
+    redacted = F.when(F.size("bad") == 0, F.col("text")).otherwise(F.concat(whole(F.lit(0), place(F.lit(0))), F.array_join(each, "")))
+    framed = F.when(F.contains("redacted", F.lit("-----BEGIN ")), F.regexp_replace("redacted", BLOCK, "$1<secret>$2")).otherwise(F.col("redacted"))
+    return secrets.select("row", "n_candidates", F.flatten("bad").alias("secrets"), redacted.alias("redacted")).withColumn("redacted", framed)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, most_findings: int = 4000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:

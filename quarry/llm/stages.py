@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table, tuned, without
+from quarry.llm.common import cut, free_names, table, tuned, without
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.ngram_jaccard import ngram_jaccard
 from quarry.llm.packing import pack
@@ -16,39 +16,53 @@ from quarry.llm.secret_scans import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that quality rules keep."""
+    """Documents that quality rules keep; a row is judged by its text, so rows that repeat a text share its lot, and null texts go."""
     tuned(spark)
     return quality_filter(docs, public_tokenizers.path(PIECE_BPE))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, the one with the least id; of rows with that id, one."""
+    """One document of each group of linked ones: the one with the least id, and of those the one with the least hash of id and text.
+
+    Of rows that repeat id and text one stays, the least by the hash of all its columns that can be hashed. Rows of one
+    id with different texts, and those with a null id, are documents like all others; a null id comes last. Texts without
+    words are linked with nothing and all stay, as do null ones.
+    """
     tuned(spark)
-    found = cut(ngram_jaccard(docs).filter("doc_id is not null"))
-    gone = cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
-    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
-    left = without(docs, gone, ["doc_id"])
-    if not again.limit(1).count():
-        return left
-    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without(left, again, ["doc_id"]).unionByName(repeated.select(*left.columns))
+    key, id_, n = free_names(docs, "key", "id", "n")
+    marked = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text").cast("string")))
+    found = cut(ngram_jaccard(marked, id_col=key).filter("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n")))
+    ids = marked.select(F.col(key).alias("doc_id"), F.col("doc_id").alias(id_)).distinct()
+    first = F.min(F.struct(F.col(id_).isNull(), F.col(id_), F.col("doc_id"))).alias("first")
+    linked = found.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
+    groups = cut(found.join(linked, "component_id").join(ids, "doc_id").select("component_id", "doc_id", id_))
+    kept = groups.groupBy("component_id").agg(first).select(F.col("first.doc_id").alias("doc_id"))
+    gone = cut(groups.select("doc_id").distinct().join(kept, "doc_id", "left_anti").select(F.col("doc_id").alias(key)))
+    again = cut(found.filter("n > 1").select(F.col("doc_id").alias(key)))
+    left = without(marked, gone, [key])
+    if again.limit(1).count():
+        hashed = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+        one = left.join(again, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias(n)).select(f"{n}.*")
+        return without(left, again, [key]).select(*docs.columns).unionByName(one)
+    return left.select(*docs.columns)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by the benchmark."""
+    """Documents that aren't contaminated by the benchmark; null ids and texts, repeated rows and ids are judged row by row."""
+    id_, key = free_names(docs, "id", "key")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
-    gone = cut(found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("key").alias("_key")).distinct())
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_key": F.xxhash64(F.col("text").cast("string"))})
-    return without(marked, gone, ["_id", "_key"]).select(*docs.columns)
+    gone = cut(found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(id_), F.col("key").alias(key)).distinct())
+    marked = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), key: F.xxhash64(F.col("text").cast("string"))})
+    return without(marked, gone, [id_, key]).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced and n_chars as it then is."""
+    """All documents, with their secrets replaced and n_chars as it then is; a null text stays null."""
     out = redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences; a null text is an empty one, and repeated rows are packed each."""
     tuned(spark)
     return pack(docs, public_tokenizers.path(WORD_BPE))

@@ -8,6 +8,10 @@ longest name that is listed winning; that gives each host one timeline without
 overlaps. A capture then meets one interval at most, the one active when it was
 fetched (an as-of join on host and time).
 
+A host's case and dots at its end don't count, nor do case and outer dots of a pattern. A
+pattern of one label (a top-level domain) holds for all below it; addresses have nothing
+above them.
+
 Hosts are grouped before anything is joined, so that a host with a third of all
 captures is a row like any other. Its captures are shuffled only where the
 timelines are too many to send to the workers (`most_sent`, counted); the join is
@@ -28,19 +32,22 @@ from quarry.llm.common import LOWER, UPPER, cut
 
 
 def host_of(url: Column) -> Column:
-    """Null if there is none."""
-    return F.nullif(F.regexp_extract(F.translate(url, UPPER, LOWER), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1), F.lit(""))
+    """In lower case, without dots at the end; an IPv6 address in its brackets. Null if there is none."""
+    found = F.regexp_extract(F.translate(url, UPPER, LOWER), r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)(?=[:/?#]|$)", 1)
+    return F.nullif(F.rtrim(found, F.lit(".")), F.lit(""))
 
 
 def suffixes(host: Column) -> Column:
-    """The host and the domains above it with two labels at least; the host alone if it has one label."""
+    """The host and all domains above it; an address has none."""
     labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(F.rlike(host, F.lit(r"^\[|^[0-9.]+$")), F.array(host)).otherwise(above)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, since, until) from (pattern, action, since); until is null while an entry holds."""
-    clean = entries.filter("pattern is not null and action is not null and since is not null").groupBy("pattern", "since").agg(F.max("action").alias("action"))
+    named = entries.withColumn("pattern", F.nullif(F.trim(F.translate(F.col("pattern"), UPPER, LOWER), F.lit(".")), F.lit("")))
+    clean = named.filter("pattern is not null and action is not null and since is not null").groupBy("pattern", "since").agg(F.max("action").alias("action"))
     return clean.withColumn("until", F.lead("since").over(Window.partitionBy("pattern").orderBy("since")))
 
 
