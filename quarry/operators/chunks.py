@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators.scan import Scan
 from quarry.operators.symbols import nodes_of
 
 if TYPE_CHECKING:
@@ -44,29 +48,56 @@ def _row(compat: str, kind: str, name: str, file: str, content: str, start: int,
     return (f"{file}:{name}:{start}", compat, kind, name, file, content, start, end, meta)
 
 
-def _line(source: str, at: int) -> int:
-    return source.count("\n", 0, at) + 1
+# Kinds of relations between models, and types that are no dependencies.
+RELATIONS = ("hasMany", "belongsTo", "belongsToMany", "hasOne", "morphMany", "morphTo", "morphOne", "hasManyThrough")
+PLAIN_TYPES = ("string", "int", "float", "bool", "array", "mixed", "null", "callable")
+
+
+def _target(kind: str, arguments: str) -> str:
+    """The model that a relation leads to."""
+    first = Scan(arguments, "php").tokens
+    if kind == "morphTo":
+        return "dynamic"
+    return first[0].text.strip("\\'\"") if first else ""
+
+
+def _dependencies(parameters: list[str]) -> list[dict[str, str]]:
+    """Typed parameters whose types are classes."""
+    out = []
+    for p in parameters:
+        words = [t.text for t in Scan(p, "php").tokens if t.kind == "word"]
+        at = next((k for k, w in enumerate(words) if w.startswith("$")), 0)
+        if at and words[at - 1].lower() not in (*PLAIN_TYPES, "private", "protected", "public", "readonly"):
+            out.append({"type": words[at - 1], "name": words[at][1:]})
+    return out
 
 
 def php_metadata(source: str) -> dict[str, object]:
     """What a PHP file declares: its class, uses, translatable fields, relations and constructor's dependencies."""
-    space, cls = re.search(r"namespace\s+([\w\\]+)\s*;", source), re.search(r"\bclass\s+(\w+)", source)
-    kinds = "hasManyThrough|hasMany|hasOne|belongsToMany|belongsTo|morphMany|morphOne|morphTo"
-    relations = []
-    for m in re.finditer(rf"function\s+(\w+)\s*\(\s*\)[^{{]*\{{\s*return\s+\$this->({kinds})\(([^)]*)\)", source):
-        target = re.match(r"\s*\\?([\w\\]+)::class", m[3])
-        relations.append({"method": m[1], "type": m[2], "model": "dynamic" if m[2] == "morphTo" else target[1] if target else m[3].split(",")[0].strip(" '\"")})
-    made = re.search(r"function\s+__construct\s*\(([^)]*)\)", source)
-    primitive = {"string", "int", "float", "bool", "array", "mixed", "object", "callable"}
-    depends = [{"type": t, "name": n} for t, n in re.findall(r"(?:(?:private|protected|public|readonly)\s+)*\??([\w\\]+)\s+\$(\w+)", made[1])] if made else []
-    fields = re.search(r"\$translatable\s*=\s*\[([^\]]*)\]", source)
-    return {
-        "fqcn": (f"{space[1]}\\{cls[1]}" if space else cls[1]) if cls else None,
-        "uses": re.findall(r"^\s*use\s+([\w\\]+)(?:\s+as\s+\w+)?\s*;", source, re.M) or None,
-        "translatable": re.findall(r"['\"](\w+)['\"]", fields[1]) if fields else None,
-        "relations": relations or None,
-        "dependencies": [d for d in depends if d["type"] not in primitive] or None,
-    }
+    scan = Scan(source, "php")
+    tokens, space, name, uses, fields, relations, depends = scan.tokens, "", "", [], [], [], []
+    for k, t in enumerate(tokens):
+        if t.kind != "word":
+            continue
+        following = scan.text(k + 1)
+        if t.text == "namespace" and not space:
+            space = following
+        elif t.text == "class" and not name and scan.text(k - 1) != "::":
+            name = following
+        elif t.text == "use" and scan.inside[k] < 0 and scan.text(k + 2) in (";", "as"):
+            uses.append(following)
+        elif t.text == "$translatable" and scan.text(k + 2) == "[":
+            fields = [x.strip("'\"") for x in scan.parts(k + 2)]
+        elif t.text == "function" and scan.text(k + 2) == "(":
+            if following == "__construct":
+                depends = _dependencies(scan.parts(k + 2))
+            elif (b := scan.body(scan.closes[k + 2] + 1)) is not None:
+                # Only what is returned at once.
+                call = next((c for c in scan.calls(b, scan.closes[b]) if c.on == "$this" and c.name in RELATIONS), None)
+                if call and scan.text(b + 1) == "return":
+                    relations.append({"method": following, "type": call.name, "model": _target(call.name, call.arguments)})
+    full = f"{space}\\{name}" if space and name else name
+    return {"fqcn": full or None, "uses": uses or None, "translatable": fields or None, "relations": relations or None, "dependencies": depends or None}
 
 
 def syntax_chunks(file: str, source: str, language: str) -> list[tuple]:
@@ -94,80 +125,157 @@ def composer_chunks(file: str, source: str, language: str) -> list[tuple]:
     return [_row(f"composer:{k}", kind, name, file, json.dumps(v, indent=2), 1, source.count("\n") + 1, packages=list(v)) for k, kind, name, v in found if isinstance(v, dict) and v]
 
 
-def block_after(source: str, head: str, pair: str) -> str | None:
-    """What stands between the brackets that follow head, nested ones included."""
-    m = re.search(head + r"\s*:\s*" + re.escape(pair[0]), source)
-    if not m:
-        return None
-    depth = 1
-    for i in range(m.end(), len(source)):
-        depth += (source[i] == pair[0]) - (source[i] == pair[1])
-        if not depth:
-            return source[m.end() : i]
+def _setting(scan: Scan, name: str, opener: str, first: int = 0, last: int | None = None) -> int | None:
+    """The bracket that follows `name:`."""
+    for k in range(first, len(scan.tokens) if last is None else last):
+        if scan.tokens[k].text.strip("'\"") == name and scan.text(k + 1) == ":" and scan.text(k + 2) == opener:
+            return k + 2
     return None
 
 
 def tailwind_chunks(file: str, source: str, language: str) -> list[tuple]:
-    end, out = source.count("\n") + 1, []
-    if theme := block_after(source, "theme", "{}"):
-        colours = block_after(theme, "colors", "{}") or ""
-        out.append(_row("tailwind:theme", "theme", "theme", file, theme.strip(), 1, end, colors=dict(re.findall(r"['\"]?([\w-]+)['\"]?\s*:\s*['\"]([^'\"]+)['\"]", colours)) or None))
-    if (content := block_after(source, "content", "[]")) is not None:
-        out.append(_row("tailwind:content", "content", "content", file, content.strip(), 1, end, paths=re.findall(r"[\"']([^\"']+)[\"']", content)))
-    if plugins := block_after(source, "plugins", "[]"):
-        out.append(_row("tailwind:plugins", "plugins", "plugins", file, plugins.strip(), 1, end))
+    scan, end, out = Scan(source, "javascript"), source.count("\n") + 1, []
+    if (theme := _setting(scan, "theme", "{")) is not None and scan.within(theme).strip():
+        colours = {}
+        if (o := _setting(scan, "colors", "{", theme, scan.closes[theme])) is not None:
+            for k in range(o, scan.closes[o]):
+                if scan.text(k + 1) == ":" and scan.tokens[k + 2].kind == "string" and scan.tokens[k].kind in ("word", "string"):
+                    colours[scan.text(k).strip("'\"")] = scan.text(k + 2)[1:-1]
+        out.append(_row("tailwind:theme", "theme", "theme", file, scan.within(theme).strip(), 1, end, colors=colours or None))
+    if (content := _setting(scan, "content", "[")) is not None:
+        out.append(_row("tailwind:content", "content", "content", file, scan.within(content).strip(), 1, end, paths=[p[1:-1] for p in scan.parts(content)]))
+    if (plugins := _setting(scan, "plugins", "[")) is not None and scan.within(plugins).strip():
+        out.append(_row("tailwind:plugins", "plugins", "plugins", file, scan.within(plugins).strip(), 1, end))
     return out
 
 
 def migration_chunks(file: str, source: str, language: str) -> list[tuple]:
+    """A chunk for each table that is made or changed, with what the calls on its blueprint declare."""
     out = []
-    for m in re.finditer(r"Schema::(?:create|table)\(\s*['\"](\w+)['\"]\s*,\s*function[^{]*\{(.*?)\}\s*\)\s*;", source, re.S):
-        body = m[2]
-        columns = [{"name": n, "type": t} for t, n in re.findall(r"\$table->(\w+)\(\s*['\"](\w+)['\"]", body) if t not in ("foreign", "index", "unique")]
-        keys = [{"column": a, "references": b, "on": c} for a, b, c in re.findall(r"->foreign\(['\"](\w+)['\"]\)->references\(['\"](\w+)['\"]\)->on\(['\"](\w+)['\"]\)", body)]
-        out.append(_row(f"migration:{m[1]}", "table", m[1], file, m[0], _line(source, m.start()), _line(source, m.end()), columns=columns or None, indexes=re.findall(r"->(?:index|unique)\(['\"]?([^'\")\]]+)", body) or None, foreign_keys=keys or None))
+    for made in Scan(source, "php").calls():
+        if made.on != "Schema" or made.name not in ("create", "table") or not made.strings():
+            continue
+        columns, indexes, keys = [], [], []
+        for call in Scan(made.arguments, "php").calls():
+            named = call.strings()
+            if call.name in ("index", "unique"):
+                indexes += named or ([columns[-1]["name"]] if columns else [])
+            elif call.name == "foreign" and named:
+                keys.append({"column": named[0], "references": None, "on": None})
+            elif call.name in ("references", "on") and keys and named:
+                keys[-1][call.name] = named[0]
+            elif call.on == "$table" and named:
+                columns.append({"name": named[0], "type": call.name})
+        table, start, end = made.strings()[0], source.count("\n", 0, made.start) + 1, source.count("\n", 0, made.end) + 1
+        out.append(_row(f"migration:{table}", "table", table, file, source[made.start : made.end], start, end, columns=columns or None, indexes=indexes or None, foreign_keys=keys or None))
     return out
 
 
 # Methods of a resource that are chunks of their own.
-RESOURCE_METHODS = ("form", "table", "infolist", "getRelations", "getPages", "getWidgets", "getNavigationLabel", "getModelLabel", "getEloquentQuery", "canCreate")
+RESOURCE_METHODS = ("form", "table", "infolist", "getRelations", "getPages", "getActions", "getBulkActions", "getHeaderActions", "getTableActions", "getFormActions")
 
 
 def resource_chunks(file: str, source: str, language: str) -> list[tuple]:
-    out, lines = [], source.split("\n")
-    for category, name, kind, start, end, _, _, _ in nodes_of(source, "php"):
+    """The class and its telling methods, with the components and actions that they make."""
+    out, lines, model = [], source.split("\n"), None
+    whole = Scan(source, "php")
+    for k, t in enumerate(whole.tokens):
+        if t.text == "$model" and whole.text(k + 1) == "=":
+            model = whole.text(k + 2).lstrip("\\")
+    for category, name, _, start, end, _, _, _ in nodes_of(source, "php"):
         if category == "classes" or name in RESOURCE_METHODS:
             body = "\n".join(lines[start - 1 : end])
-            fields = re.findall(r"(\w+)::make\(\s*['\"]([\w.]+)['\"]", body)
-            out.append(_row(f"filament:{name}", "resource" if category == "classes" else "resource_method", name, file, body[:2000], start, end, fields=[{"component": a, "name": b} for a, b in fields] or None, model=(m[1] if (m := re.search(r"\$model\s*=\s*\\?([\w\\]+)::class", source)) else None)))
+            made = [c for c in Scan(body, "php").calls() if c.name == "make" and c.on]
+            fields = [{"component": c.on, "name": c.strings()[0]} for c in made if c.strings()]
+            actions = [{"type": c.on, "name": (c.strings() or [c.on])[0]} for c in made if c.on.endswith("Action")]
+            out.append(_row(f"filament:{name}", "resource" if category == "classes" else "resource_method", name, file, body[:2000], start, end, fields=fields or None, actions=actions or None, model=model))
     return out
 
 
 def blade_chunks(file: str, source: str, language: str) -> list[tuple]:
-    component = lambda c: "App\\View\\Components\\" + "".join(p.capitalize() for p in re.split("[-.]", c))
-    found = {
-        "routes": re.findall(r"route\(['\"]([^'\"]+)['\"]", source) or None,
-        "components": sorted({component(c) for c in re.findall(r"<x-([\w.-]+)", source)}) or None,
-        "livewire": re.findall(r"@livewire\(['\"]([^'\"]+)['\"]", source) or None,
-    }
-    sections = [(m[1], m.start(), m.end()) for m in re.finditer(r"@section\(['\"](\w+)['\"]\).*?@endsection", source, re.S)]
-    return [_row(f"{file}:{n}", "section", n, file, source[a:b], _line(source, a), _line(source, b), **found) for n, a, b in sections] or ([_row(f"{file}:template", "template", "template", file, source, 1, source.count("\n") + 1, **found)] if any(found.values()) else [])
+    """Sections of a template, or the template, with the routes, components and live components it names."""
+    scan = Scan(source, "blade")
+    calls, components, sections, open_ = scan.calls(), set(), [], []
+    for k, t in enumerate(scan.tokens):
+        if t.text == "<" and scan.text(k + 1) == "x" and scan.text(k + 2) == "-":
+            name = source[scan.tokens[k + 3].start :].split(">", 1)[0].split() if k + 3 < len(scan.tokens) else []
+            words = name[0].rstrip("/").replace(".", "-").split("-") if name else []
+            components.add("App\\View\\Components\\" + "".join(w.capitalize() for w in words))
+        elif t.text == "@section" and scan.text(k + 1) == "(" and len(scan.parts(k + 1)) == 1:
+            open_.append((scan.parts(k + 1)[0].strip("'\""), t.start))
+        elif t.text == "@endsection" and open_:
+            sections.append((*open_.pop(), t.end))
+    named = lambda name: [s for c in calls if c.name == name for s in c.strings()[:1]] or None
+    found = {"routes": named("route"), "components": sorted(components) or None, "livewire": named("@livewire")}
+    if sections:
+        return [_row(f"{file}:{n}", "section", n, file, source[a:z], scan.line(a), scan.line(z), **found) for n, a, z in sorted(sections, key=lambda x: x[1])]
+    return [_row(f"{file}:template", "template", "template", file, source, 1, source.count("\n") + 1, **found)] if any(found.values()) else []
 
 
 def css_chunks(file: str, source: str, language: str) -> list[tuple]:
-    return [_row(f"{file}:{m[1].strip()[:50]}", "rule", m[1].strip()[:50], file, m[0].strip(), _line(source, m.start(1)), _line(source, m.end())) for m in re.finditer(r"([^{}/;]+)\{[^{}]*\}", source) if m[1].strip()]
+    """A chunk for each innermost rule, named by its selector."""
+    scan, out = Scan(source, "css"), []
+    for o, t in enumerate(scan.tokens):
+        if t.text != "{" or any(scan.tokens[k].text == "{" for k in range(o + 1, scan.closes[o])):
+            continue
+        k = o
+        while k and scan.text(k - 1) not in ("{", "}", ";"):
+            k -= 1
+        if k < o:
+            first, last = scan.tokens[k].start, scan.tokens[scan.closes[o]].end
+            name = source[first : t.start].strip()[:50]
+            out.append(_row(f"{file}:{name}", "rule", name, file, source[first:last], scan.line(first), scan.line(last)))
+    return out
+
+
+# Elements that mean something.
+SEMANTIC_TAGS = ("section", "article", "nav", "header", "footer", "main", "form", "aside")
+
+
+class _Elements(HTMLParser):
+    """Elements from their start to their own end; what is never closed ends with what holds it."""
+
+    def __init__(self, source: str):
+        super().__init__(convert_charrefs=False)
+        self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
+        self.size = len(source)
+        self.open: list[tuple[str, str | None, int]] = []
+        self.found: list[tuple[str, str | None, int, int]] = []
+        self.depth: Counter[str] = Counter()
+        self.feed(source)
+        self.close()
+        self.found += [(*e, self.size) for e in self.open]
+
+    def at(self) -> int:
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        own = dict(attrs).get("id")
+        if own or tag in SEMANTIC_TAGS or tag == "div":
+            self.open.append((tag, own, self.at()))
+            self.depth[tag] += 1
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        pass
+
+    def handle_endtag(self, tag: str) -> None:
+        end = self.at() + len(tag) + 3
+        while self.depth[tag]:
+            name, own, start = self.open.pop()
+            self.depth[name] -= 1
+            self.found.append((name, own, start, end))
+            if name == tag:
+                break
 
 
 def html_chunks(file: str, source: str, language: str) -> list[tuple]:
     """Elements that mean something: with an id, or sectioning ones."""
-    out = []
-    for m in re.finditer(r"<(section|article|main|header|footer|nav|aside|form|template|div)\b([^>]*)>", source, re.I):
-        own = re.search(r"\bid\s*=\s*[\"']([^\"']+)", m[2])
-        if own or m[1].lower() != "div":
-            end = source.lower().find(f"</{m[1].lower()}>", m.end())
-            stop = len(source) if end < 0 else end + len(m[1]) + 3
-            name = own[1] if own else m[1].lower()
-            out.append(_row(f"{file}:{name}", "element", name, file, source[m.start() : stop][:2000], _line(source, m.start()), _line(source, stop), tag=m[1].lower()))
+    page, out = _Elements(source), []
+    for tag, own, start, end in sorted(page.found, key=lambda e: (e[2], -e[3])):
+        if own or tag != "div":
+            name = own or tag
+            out.append(_row(f"{file}:{name}", "element", name, file, source[start:end][:2000], bisect_right(page.starts, start), bisect_right(page.starts, min(end, len(source))), tag=tag))
     return out
 
 

@@ -13,7 +13,7 @@ from quarry.sources.files import DOCUMENT_EXTENSIONS
 from quarry.sources.sinks import first_by
 
 MOST_FILES, SAMPLES, MOST_KEYWORDS = 20, 3, 10
-#: Names that follow from a base name, by kind of file.
+# Names that follow from a base name, by kind of file.
 CONVENTIONS = {
     "test": ("**/*{}*Test.*", "**/*{}*test.*", "**/test_*{}*.*", "**/tests/**/*{}*.*"),
     "factory": ("**/*{}Factory.*", "**/*{}*factory.*", "**/factories/*{}*.*"),
@@ -54,29 +54,40 @@ def doc_mentions(files: DataFrame, words: list[str], key: str = "path", content:
     return hits.select(key, F.size("hits").cast("long").alias("match_count"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["keyword"]))).alias("keywords"), F.slice("hits", 1, SAMPLES).alias("samples")).orderBy(F.col("match_count").desc(), key).limit(most)
 
 
+#: Runs of characters that names are made of.
+RUN = r"(?U)[\w-]+"
+
+
 def cross_references(files: DataFrame, sources: DataFrame, kinds: tuple[str, ...], identifiers: int = 5, most: int = 10, key: str = "path", content: str = "content", source_key: str = "path") -> DataFrame:
     """(source, key, identifier): files of the given kinds that contain an identifier of a source, the first one for each file.
 
-    sources(source_key, identifiers) are the targets of a change, a stated set. Files are
-    read once; a target isn't its own reference; for each source the first files by name stay.
+    sources(source_key, identifiers) are the targets of a change. A target isn't its own
+    reference; for each source the first files by name stay. All joins are on equal keys: an
+    identifier is found by its longest run of name characters, which lies within a run of the
+    file's; the pieces of so many characters of each different run are laid against it. What an
+    identifier has besides is looked for in the content. One without such a run isn't looked for.
     """
-    asked = sources.select(F.col(source_key).alias("source"), F.slice("identifiers", 1, identifiers).alias("identifiers"))
+    each = sources.select(F.col(source_key).alias("source"), F.posexplode(F.slice("identifiers", 1, identifiers)).alias("place", "identifier"))
+    longest = F.array_max(F.transform(X.all_matches(F.col("identifier"), RUN), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    asked = each.withColumn("piece", longest).filter("piece is not null")
     rows = files.filter(X.extension(F.col(key)).isin(*kinds)) if kinds else files
-    pairs = rows.select(key, content).join(F.broadcast(asked), F.col(key).cast("string") != F.col("source").cast("string"))
-    each = [F.get("identifiers", F.lit(i)) for i in range(identifiers)]
-    hit = F.coalesce(*(F.when(F.contains(F.col(content), i), i) for i in each))
-    found = pairs.select("source", key, hit.alias("identifier")).filter("identifier is not null")
+    runs = rows.select(key, F.explode(F.array_distinct(X.all_matches(F.col(content), RUN))).alias("run"))
+    sizes = F.broadcast(asked.agg(F.array_sort(F.collect_set(F.length("piece"))).alias("sizes")))
+    pieces = F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length("run")), lambda n: F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring(F.col("run"), i, n))))
+    holding = runs.select("run").distinct().join(sizes).select("run", F.explode(F.array_distinct(pieces)).alias("piece")).join(asked.select("piece").distinct(), "piece")
+    met = runs.join(holding, "run").select(key, "piece").distinct().join(asked, "piece").filter(F.col(key).cast("string") != F.col("source").cast("string"))
+    sure, unsure = met.filter("piece = identifier"), met.filter("piece <> identifier")
+    checked = unsure.join(rows.select(key, content), key).filter(F.contains(content, F.col("identifier")))
+    columns = ["source", key, "place", "identifier"]
+    found = sure.select(*columns).unionByName(checked.select(*columns)).groupBy("source", key).agg(F.min_by("identifier", "place").alias("identifier"))
     w = Window.partitionBy("source").orderBy(key)
     return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
 
 
 def markup_references(files: DataFrame, targets: list[str]) -> DataFrame:
     """Style sheets to pages, and pages to style sheets and scripts, by shared identifiers."""
-    chosen = files.filter(F.col("path").isin(*targets))
     is_css = X.extension(F.col("path")).isin(".css", ".scss", ".sass", ".less")
-    # At most ten identifiers of each target: a stated set, which the plan holds as rows of its own.
-    found = chosen.select("path", is_css.alias("css"), X.file_identifiers(F.col("content"), is_css).alias("identifiers")).collect()
-    own = files.sparkSession.createDataFrame(found, "path string, css boolean, identifiers array<string>")
+    own = files.filter(F.col("path").isin(*targets)).select("path", is_css.alias("css"), X.file_identifiers(F.col("content"), is_css).alias("identifiers"))
     pages = cross_references(files, own.filter("css"), (".html", ".htm"))
     return pages.unionByName(cross_references(files, own.filter("not css"), (".css", ".scss", ".sass", ".less", ".js")))
 

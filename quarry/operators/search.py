@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,26 +38,45 @@ def submatches(line: Column, regex: str) -> Column:
     return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match:string,start:int,`end`:int>>").alias("out")).cast(kind), step, lambda a: a["out"])
 
 
-def _hits(numbered: Column, pattern: str, regex: str, plain: bool, per_file: int | None, with_submatches: bool) -> Column:
-    """The lines of a file that one pattern matches."""
-    hit = F.filter(numbered, lambda s: F.contains(s["line_content"], F.lit(pattern)) if plain else F.rlike(s["line_content"], F.lit(regex)))
-    hit = F.slice(hit, 1, per_file) if per_file else hit
-    more = (lambda s: [submatches(s["line_content"], regex).alias("submatches")]) if with_submatches else (lambda s: [])
-    return F.transform(hit, lambda s: F.struct(F.lit(pattern).alias("pattern"), s["line_number"].alias("line_number"), s["line_content"].alias("line_content"), *more(s)))
+def _may_match(content: Column, pattern: str, regex: str, literal: bool, plain: bool) -> Column:
+    """Whether the content as a whole has what a matching line has; never false where a line matches.
+
+    Where a pattern looks around or asks for the ends of the input, a line's neighbours could hide a match; all lines are tried then.
+    """
+    if plain:
+        return F.contains(content, F.lit(pattern))
+    if not literal and (re.search(r"\\[AzZG]", pattern) or "(?" in pattern):
+        return F.lit(True)
+    flags = "(?im)" if regex.startswith("(?i)") else "(?m)"
+    return F.rlike(content, F.lit(flags + regex.removeprefix("(?i)")))
+
+
+def _hits(pattern: str, regex: str, literal: bool, plain: bool, per_file: int | None, with_submatches: bool, content: Column) -> Column:
+    """The lines of a file that one pattern matches; lines are numbered only where they do."""
+    line = lambda i: F.get("lines", i)
+    places = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.contains(line(i), F.lit(pattern)) if plain else F.rlike(line(i), F.lit(regex)))
+    places = F.slice(places, 1, per_file) if per_file else places
+    some = F.when(_may_match(content, pattern, regex, literal, plain), places).otherwise(F.array().cast("array<int>"))
+    more = (lambda s: [submatches(s, regex).alias("submatches")]) if with_submatches else (lambda s: [])
+    return F.transform(some, lambda i: F.struct(F.lit(pattern).alias("pattern"), (i + 1).alias("line_number"), line(i).alias("line_content"), *more(line(i))))
 
 
-def search(files: DataFrame, pattern: str | list[str], literal: bool = False, ignore_case: bool = False, word: bool = False, per_file: int | None = None, context: int = 0, key: str = "path", content: str = "content", with_submatches: bool = False) -> DataFrame:
+def search(files: DataFrame, pattern: str | list[str], literal: bool = False, ignore_case: bool = False, word: bool = False, per_file: int | None = None, context: int = 0, key: str = "path", content: str = "content", with_submatches: bool = False, languages: list[str] | None = None) -> DataFrame:
     """(pattern, key, line_number, line_content) of each line of each file that a pattern matches.
 
     All patterns are tried in one pass. per_file: at most so many lines of a file for
-    each pattern, the first ones. context: adds before and after, arrays of so many lines.
+    each pattern, the first ones. context: adds before and after, arrays of so many lines. languages: only files in these.
     """
     found = patterns_of(pattern)
+    if languages:
+        files = files.filter(X.language_of(F.col(key)).isin(*languages))
     if not found:
         return files.select(F.lit("").alias("pattern"), key, F.lit(0).alias("line_number"), F.lit("").alias("line_content")).limit(0)
-    rows = files.select(key, X.lines(F.col(content)).alias("lines"))
-    numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("line_content")))
-    each = [_hits(numbered, p, _regex(p, literal, ignore_case, word), literal and not ignore_case and not word, per_file, with_submatches) for p in found]
+    asked = [(p, _regex(p, literal, ignore_case, word), literal, literal and not ignore_case and not word) for p in found]
+    # Files without any match are left before their lines are made.
+    any_of = reduce(Column.__or__, (_may_match(F.col(content), *a) for a in asked))
+    rows = files.filter(any_of).select(key, F.col(content).alias("_text"), X.lines(F.col(content)).alias("lines"))
+    each = [_hits(*a, per_file, with_submatches, F.col("_text")) for a in asked]
     hits = rows.select(key, *(["lines"] if context else []), F.explode(F.concat(*each) if len(each) > 1 else each[0]).alias("h"))
     out = [F.col("h.pattern"), F.col(key), F.col("h.line_number"), F.col("h.line_content")] + ([F.col("h.submatches")] if with_submatches else [])
     if context:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
@@ -11,82 +10,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators import scan
 from quarry.operators.search import search
 
 if TYPE_CHECKING:
     import pandas as pd
 
 NODES = "path string, category string, name string, type string, start_line int, end_line int, parameters array<string>, scope string, statement string"
-#: What a line of another language defines: category, type and pattern with the name.
-LINE_RULES = {
-    "javascript": [("functions", "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)\s*\(([^)]*)"), ("classes", "class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)()"), ("functions", "function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*(?::[^=]+)?=>")],
-    "php": [("functions", "function", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(\w+)\s*\(([^)]*)"), ("classes", "class", r"^\s*(?:(?:final|abstract)\s+)?class\s+(\w+)()"), ("classes", "interface", r"^\s*interface\s+(\w+)()")],
-    "go": [("functions", "function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(([^)]*)"), ("classes", "struct", r"^type\s+(\w+)\s+struct()"), ("classes", "interface", r"^type\s+(\w+)\s+interface()")],
-    "rust": [("functions", "function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)\s*(?:<[^>]*>)?\(([^)]*)"), ("classes", "struct", r"^\s*(?:pub\s+)?struct\s+(\w+)()"), ("classes", "trait", r"^\s*(?:pub\s+)?trait\s+(\w+)()")],
-}
-LINE_RULES["typescript"] = [*LINE_RULES["javascript"], ("classes", "interface", r"^\s*(?:export\s+)?interface\s+(\w+)()")]
-IMPORT = re.compile(r"^\s*(?:import\b|use\s+[\w\\:]+|from\s+\S+\s+import\b|(?:const|let|var)\s+.*=\s*require\()")
-EXPORT = re.compile(r"^\s*export\b")
 
 
 def python_nodes(source: str) -> list[tuple]:
     """(category, name, type, start, end, parameters, scope, statement), in order of the text; none if it doesn't parse."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     out: list[tuple] = []
-
-    def walk(node: ast.AST, scope: str, in_class: bool) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                a = child.args
-                out.append(("functions", child.name, "member" if in_class else "function", child.lineno, child.end_lineno, [x.arg for x in (*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else []))], scope, None))
-                walk(child, f"{scope}.{child.name}".strip("."), False)
-            elif isinstance(child, ast.ClassDef):
-                out.append(("classes", child.name, "class", child.lineno, child.end_lineno, [], scope, None))
-                walk(child, f"{scope}.{child.name}".strip("."), True)
-            elif isinstance(child, (ast.Import, ast.ImportFrom)):
-                out.append(("imports", (child.names[0].name if child.names else ""), "import", child.lineno, child.end_lineno, [], scope, ast.unparse(child)))
-            else:
-                if isinstance(child, (ast.Assign, ast.AnnAssign)) and not scope:
-                    for t in child.targets if isinstance(child, ast.Assign) else [child.target]:
-                        if isinstance(t, ast.Name):
-                            out.append(("other", t.id, "variable", child.lineno, child.end_lineno, [], scope, None))
-                walk(child, scope, in_class)
-
-    walk(tree, "", False)
-    return out
-
-
-def line_nodes(source: str, language: str) -> list[tuple]:
-    """By rules on lines; a body ends with its braces."""
-    lines, out = source.split("\n"), []
-    rules = [(c, k, re.compile(p)) for c, k, p in LINE_RULES.get(language, [])]
-    for i, line in enumerate(lines):
-        if IMPORT.match(line):
-            out.append(("imports", "", "import", i + 1, i + 1, [], "", line.strip()))
-        elif EXPORT.match(line):
-            out.append(("exports", "", "export", i + 1, i + 1, [], "", line.strip()))
-        for category, kind, rule in rules:
-            if m := rule.match(line):
-                depth, end, opened = 0, i, False
-                for j in range(i, len(lines)):
-                    depth += lines[j].count("{") - lines[j].count("}")
-                    opened |= "{" in lines[j]
-                    if opened and depth <= 0:
-                        end = j
-                        break
-                    if not opened and j > i + 3:
-                        break
-                parameters = [p.strip() for p in m[2].split(",") if p.strip()]
-                out.append((category, m[1], kind, i + 1, end + 1, parameters, "", None))
-                break
+    # What is still to be seen, last first; so nesting of any depth is no recursion.
+    left: list[tuple[ast.AST, str, bool]] = [(child, "", False) for child in reversed(tree.body)]
+    while left:
+        node, scope, in_class = left.pop()
+        inner, within = scope, in_class
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            a = node.args
+            named = [*a.posonlyargs, *a.args, *filter(None, [a.vararg]), *a.kwonlyargs, *filter(None, [a.kwarg])]
+            out.append(("functions", node.name, "member" if in_class else "function", node.lineno, node.end_lineno, [x.arg for x in named], scope, None))
+            inner, within = f"{scope}.{node.name}".strip("."), False
+        elif isinstance(node, ast.ClassDef):
+            out.append(("classes", node.name, "class", node.lineno, node.end_lineno, [], scope, None))
+            inner, within = f"{scope}.{node.name}".strip("."), True
+        elif isinstance(node, (ast.Import, ast.ImportFrom)):
+            out.append(("imports", node.names[0].name if node.names else "", "import", node.lineno, node.end_lineno, [], scope, ast.unparse(node)))
+        elif isinstance(node, (ast.Assign, ast.AnnAssign)) and not scope:
+            for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
+                if isinstance(t, ast.Name):
+                    out.append(("other", t.id, "variable", node.lineno, node.end_lineno, [], scope, None))
+        left += [(child, inner, within) for child in reversed(list(ast.iter_child_nodes(node)))]
     return out
 
 
 def nodes_of(source: str, language: str) -> list[tuple]:
-    return python_nodes(source) if language == "python" else line_nodes(source, language)
+    """Nodes by Python's own parser, or by the scanner for languages with brackets."""
+    return python_nodes(source) if language == "python" else scan.nodes(source, language)
 
 
 def structure(files: DataFrame, path: str = "path", content: str = "content", lang: str = "lang") -> DataFrame:
@@ -97,10 +62,14 @@ def structure(files: DataFrame, path: str = "path", content: str = "content", la
 
         columns = ["path", "category", "name", "type", "start_line", "end_line", "parameters", "scope", "statement"]
         for b in batches:
-            rows = [(p, *n) for p, c, k in zip(b.path, b.content, b.lang, strict=True) if c is not None for n in nodes_of(c, k)]
+            rows = []
+            for p, c, k in zip(b.path, b.content, b.lang, strict=True):
+                # A file's nodes come from its row alone; of those alike the first stays.
+                alike = {(n[0], n[1], n[2], n[3]): n for n in reversed(nodes_of(c, k))} if c is not None else {}
+                rows += [(p, *n) for n in reversed(list(alike.values()))]
             yield pd.DataFrame(rows, columns=columns)
 
-    return files.select(F.col(path).alias("path"), F.col(content).alias("content"), F.col(lang).alias("lang")).mapInPandas(run, NODES).dropDuplicates(["path", "category", "name", "type", "start_line"])
+    return files.select(F.col(path).alias("path"), F.col(content).alias("content"), F.col(lang).alias("lang")).mapInPandas(run, NODES)
 
 
 def structure_summary(files: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +24,52 @@ def top_k(pairs: DataFrame, k: int, by: list[str], order: list[Column]) -> DataF
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _nearest(asked: pa.Table, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each batch of vectors (id, v), the k nearest of each query: a matrix product leaves few, whose distances are then summed exactly."""
+    names, queries = asked.column(0).combine_chunks(), np.array(asked.column(1).to_pylist(), dtype=np.float64)
+    lengths = (queries * queries).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            if not batch.num_rows or not len(queries):
+                continue
+            ids, v = batch.column(0), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            far = lengths[:, None] + (v * v).sum(axis=1)[None, :] - 2 * queries @ v.T
+            slack = 1e-9 * (1 + lengths + (v * v).sum(axis=1).max())
+            edge = np.partition(far, min(k, batch.num_rows) - 1, axis=1)[:, min(k, batch.num_rows) - 1]
+            q, x = np.nonzero(far <= (edge + slack)[:, None])
+            # Summed from the first place to the last, as SQL does.
+            exact = np.add.accumulate((v[x] - queries[q]) ** 2, axis=1)[:, -1]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(x)), pa.array(exact)], names=["query_id", "id", "distance"])
+
+    return run
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, distance, score, rank): for each of queries(query_id, query) its k nearest vectors by squared L2.
+    """(query_id, id, distance, score, rank): for each of queries(query_id, query) its k nearest vectors by squared L2; ties go by id.
 
-    Queries are a stated set; they go to the workers in blocks of MOST_QUERIES, vectors stay where they are.
+    Queries are a stated set; they go to the workers in blocks of MOST_QUERIES, vectors stay where they are. All have one length.
     """
     blocks = -(-queries.count() // MOST_QUERIES) or 1
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {own.schema['id'].dataType.simpleString()}, distance double"
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).join(F.broadcast(part))
-        near = pairs.select("query_id", "id", F.round(V.squared_l2(F.col("v"), F.col("query")), 6).alias("distance"))
+        near = own.mapInArrow(_nearest(part.select("query_id", F.col("query").cast("array<double>").alias("query")).filter("query is not null").toArrow(), k), types)
         best = top_k(near, k, ["query_id"], [F.col("distance"), F.col("id")])
         out = best if out is None else out.unionByName(best)
-    return out.select("query_id", "id", "distance", F.round(V.score(F.col("distance")), 6).alias("score"), "rank")
+    return out.select("query_id", "id", F.round("distance", 6).alias("distance"), F.round(V.score(F.col("distance")), 6).alias("score"), "rank")
+
+
+def by_ids(chunks: DataFrame, ids: list[str], id_col: str = "id") -> DataFrame:
+    """Chunks by their ids, in the order asked for; those that aren't there have no row."""
+    asked = {x: k for k, x in reversed(list(enumerate(ids)))}
+    if not asked:
+        return chunks.limit(0)
+    place = F.create_map(*(F.lit(x) for pair in asked.items() for x in pair))
+    return chunks.filter(F.col(id_col).isin(*asked)).orderBy(place[F.col(id_col)])
 
 
 def search_collections(vectors: DataFrame, queries: DataFrame, is_map: Column, k: int = 10, map_k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -19,7 +19,7 @@ COUNTS = "count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (out
 SF = "count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'failure') AS failure"
 SNAPS = f"N AS (SELECT doc_id, {HASH.format('text')} AS hash FROM documents), S AS (SELECT doc_id, CASE WHEN quality = 0 THEN substr(sha256(hash), 1, 16) ELSE hash END AS hash FROM N JOIN labels USING (doc_id) UNION ALL SELECT -1 - page_id, {HASH.format('html')} FROM pages)"
 CHANGES = "C AS (SELECT coalesce(N.doc_id, S.doc_id) AS doc_id, CASE WHEN S.hash IS NULL THEN 'added' WHEN N.hash IS NULL THEN 'deleted' WHEN N.hash <> S.hash THEN 'modified' ELSE 'unchanged' END AS change FROM N FULL JOIN S ON N.doc_id = S.doc_id)"
-NEAR = """P AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))), 6) AS distance
+NEAR = """P AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS distance
   FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)"""
 COS = "C AS (SELECT v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS c FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
 CAP = "array_to_string(list_transform(string_split({}, '{}'), lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))), '')"
@@ -69,7 +69,7 @@ ORACLE_SQL: dict[str, str] = {
     "ttl_due": "SELECT user_id, epoch_us(n) - epoch_us(max(ts)) > 24 * 3600000000 AS due FROM events, (SELECT max(ts) AS n FROM events) GROUP BY user_id, n",
     "change_merge": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'deleted' WHEN c_acctbal > 3000 THEN 'modified' ELSE 'added' END AS change_type, CASE WHEN c_mktsegment = 'BUILDING' THEN 'uncommitted' WHEN c_acctbal > 3000 THEN 'committed' ELSE 'untracked' END AS origin FROM customer WHERE c_acctbal > 3000 OR c_mktsegment = 'BUILDING' OR c_nationkey < 9",
     "keep_discard": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'keep' ELSE 'discard' END AS action FROM customer",
-    "knn_topk": f"WITH {NEAR} SELECT query_id, id AS vec_id, CAST(rank AS INT) AS rank, round(distance, 4) AS distance, round(round(1 / (1 + distance), 6), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM P) WHERE rank <= 10",
+    "knn_topk": f"WITH {NEAR} SELECT query_id, id AS vec_id, CAST(rank AS INT) AS rank, round(round(distance, 6), 4) AS distance, round(round(1 / (1 + distance), 6), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM P) WHERE rank <= 10",
     "knn_shortcircuit": f"WITH {NEAR}, R AS (SELECT *, label = 0 AS m, row_number() OVER (PARTITION BY query_id, label = 0 ORDER BY distance, id) AS rank FROM P), T AS (SELECT query_id, coalesce(max(round(1 / (1 + distance), 6)) FILTER (m), 0) >= 0.7 AS short FROM R GROUP BY query_id) SELECT query_id, CASE WHEN short THEN 'map' ELSE 'forest' END AS source, id AS vec_id, CAST(rank AS INT) AS rank, CASE WHEN short THEN 'high' ELSE 'medium' END AS confidence FROM R JOIN T USING (query_id) WHERE (short AND m AND rank <= 5) OR (NOT short AND NOT m AND rank <= 10)",
     "similarity_rank": f"WITH {COS} SELECT vec_id, similarity, CAST(rank AS INT) AS rank FROM (SELECT vec_id, round(c, 3) AS similarity, row_number() OVER (ORDER BY round(c, 3) DESC, vec_id) AS rank FROM C) WHERE rank <= 5",
     "verdict_tiers": f"WITH {COS} SELECT vec_id, s AS similarity, CASE WHEN s >= 0.3 THEN 'FACT' ELSE 'REJECTED' END AS status, CASE WHEN s >= 0.3 AND s <= 0.6 THEN 'HIGH' END AS risk FROM (SELECT vec_id, round(c, 4) AS s FROM C)",
@@ -78,9 +78,9 @@ ORACLE_SQL: dict[str, str] = {
     "base_name": f"SELECT p_partkey, CASE WHEN contains(p_name, ' ') THEN {CAP.format('p_name', ' ')} ELSE p_name END AS base FROM part",
     "css_idents": f"SELECT page_id, array_to_string(({ORDERED.format(x='a')})[1:10], ',') AS identifiers FROM (SELECT page_id, {IDENTS.format(t='html')} AS a FROM pages)",
     "keywords": f"""SELECT item_id, array_to_string(({ORDERED.format(x='a')})[1:10], ',') AS keywords FROM (SELECT item_id, list_filter(regexp_extract_all(d, '"([^"]+)"', 1), lambda x: length(x) >= 2) || regexp_extract_all(d, '[A-Z][a-z]+(?:[A-Z][a-z]+)+') || regexp_extract_all(d, '[a-z]+(?:_[a-z]+)+') || list_filter(regexp_extract_all(d, '[a-zA-Z_][a-zA-Z0-9_]*'), lambda w: length(w) >= 4 AND lower(w) NOT IN ({STOP})) || ['CartItem' || item_id] AS a
-  FROM (SELECT item_id, 'Change "item_' || item_id || '" of user_account in ' || array_to_string(string_split(text, ' ')[1:6], ' ') AS d FROM benchmark))""",
+  FROM (SELECT item_id, 'Change "item_' || item_id || '" of user_account in ' || text AS d FROM benchmark))""",
     "type_hints": "SELECT p_partkey, p_partkey % 3 <> 2 AS hint FROM part",
-    "slot_overlap": """WITH T AS (SELECT conv_id, turn, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS a FROM conversations), U AS (SELECT *, lag(a) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM T),
+    "slot_overlap": """WITH T AS (SELECT conv_id, turn, lower(text) AS a FROM conversations), U AS (SELECT *, lag(a) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM T),
 V AS (SELECT *, list_distinct(string_split(a, '')) AS ca, list_distinct(string_split(b, '')) AS cb FROM U WHERE b IS NOT NULL)
 SELECT conv_id, turn, contains(b, a) OR contains(a, b) OR list_has_any(list_filter(regexp_split_to_array(a, '\\s+'), lambda w: w <> ''), list_filter(regexp_split_to_array(b, '\\s+'), lambda w: w <> '')) OR (least(len(ca), len(cb)) > 0 AND 2 * len(list_intersect(ca, cb)) >= least(len(ca), len(cb))) AS agrees FROM V""",
     "branch_names": "SELECT c_custkey, 'llm_task_s_' || c_custkey || '_from_feature__' || lower(c_mktsegment) AS branch, 's_' || c_custkey AS session_id, 'feature/' || lower(c_mktsegment) AS base_branch FROM customer",
@@ -114,7 +114,7 @@ UNION SELECT b, path, 'factory' FROM F, B WHERE regexp_matches(path, '(^|/)facto
     "term_symbols": "SELECT t AS nl_term, p_partkey FROM part, (VALUES ('red_part'), ('BLUE'), ('zzz')) v(t) WHERE contains(lower(p_name), lower(t)) OR contains(lower(t), lower(p_name)) OR list_has_any(string_split(replace(lower(t), '_', ' '), ' '), string_split(replace(lower(p_name), '_', ' '), ' '))",
     "gate_missing": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "gate_required_tools": f"WITH {OUTCOMES} SELECT session_id, array_to_string(list_filter(['find_definitions', 'find_references'], lambda t: CASE t WHEN 'find_definitions' THEN NOT d ELSE NOT r END), ',') AS missing FROM (SELECT session_id, bool_or(k = 0) AS d, bool_or(k = 1) AS r FROM O GROUP BY 1)",
-    "gate_thresholds": f"""WITH {OUTCOMES}, E AS (SELECT session_id, least(count(*) FILTER (k < 6), 9) AS s, least(count(*) FILTER (k = 7), 9) AS e, least(count(*) FILTER (k = 8), 9) AS f, least(count(*) FILTER (k = 9), 9) AS p, arg_max(intent, (ts, event_id)) AS intent, arg_max(risk_level, (ts, event_id)) AS risk FROM O GROUP BY 1),
+    "gate_thresholds": f"""WITH {OUTCOMES}, E AS (SELECT session_id, count(*) FILTER (k < 6) AS s, count(*) FILTER (k = 7) AS e, count(*) FILTER (k = 8) AS f, count(*) FILTER (k = 9) AS p, arg_max(intent, (ts, event_id)) AS intent, arg_max(risk_level, (ts, event_id)) AS risk FROM O GROUP BY 1),
 N AS (SELECT *, CASE WHEN intent NOT IN ('IMPLEMENT', 'MODIFY') THEN [1, 0, 1, 0] WHEN risk = 'HIGH' THEN [5, 2, 4, 2] ELSE [3, 1, 2, 1] END AS q FROM E),
 M AS (SELECT session_id, list_filter([CASE WHEN s < q[1] THEN 'symbols_identified: ' || s || '/' || q[1] END, CASE WHEN e < q[2] THEN 'entry_points: ' || e || '/' || q[2] END, CASE WHEN f < q[3] THEN 'files_analyzed: ' || f || '/' || q[3] END, CASE WHEN p < q[4] THEN 'existing_patterns: ' || p || '/' || q[4] END, CASE WHEN intent IN ('IMPLEMENT', 'MODIFY') AND risk = 'HIGH' THEN 'slot_evidence: observed_issue not evidenced' END], lambda x: x IS NOT NULL) AS m FROM N)
 SELECT session_id, array_to_string(m, '; ') AS missing, CASE WHEN len(m) = 0 THEN 'high' ELSE 'low' END AS confidence FROM M""",

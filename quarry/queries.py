@@ -356,8 +356,8 @@ def css_idents(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def keywords(spark: SparkSession, d: str) -> DataFrame:
-    """Keywords of changes that benchmark texts describe: an item's number is quoted, its first words follow."""
-    text = F.concat(F.lit('Change "item_'), F.col("item_id"), F.lit('" of user_account in '), F.array_join(F.slice(F.split("text", " ", -1), 1, 6), " "))
+    """Keywords of changes that benchmark texts describe: an item's number is quoted, its whole text follows."""
+    text = F.concat(F.lit('Change "item_'), F.col("item_id"), F.lit('" of user_account in '), F.col("text"))
     files = F.array(F.concat(F.lit("src/cart_item_"), F.col("item_id"), F.lit(".py")))
     return table(spark, d, "benchmark").select("item_id", F.array_join(X.keywords(text, files), ",").alias("keywords"))
 
@@ -372,8 +372,7 @@ def type_hints(spark: SparkSession, d: str) -> DataFrame:
 def slot_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Whether neighbouring turns of a conversation agree, by words and characters."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    short = F.array_join(F.slice(F.split("text", " ", -1), 1, 3), " ")
-    rows = table(spark, d, "conversations").select("conv_id", "turn", short.alias("a")).withColumn("b", F.lag("a").over(w)).filter("b is not null")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a")).withColumn("b", F.lag("a").over(w)).filter("b is not null")
     return rows.select("conv_id", "turn", X.overlap(F.col("a"), F.col("b")).alias("agrees"))
 
 
@@ -573,9 +572,8 @@ def gate_required_tools(spark: SparkSession, d: str) -> DataFrame:
 
 def explorations(spark: SparkSession, d: str) -> DataFrame:
     o = outcomes(spark, d).groupBy("session_id").agg(F.count_if(F.col("k") < 6).alias("s"), F.count_if(F.col("k") == 7).alias("e"), F.count_if(F.col("k") == 8).alias("f"), F.count_if(F.col("k") == 9).alias("p"), F.max_by("intent", F.struct(*ORDER)).alias("intent"), F.max_by("risk_level", F.struct(*ORDER)).alias("risk"))
-    of = lambda c: F.transform(F.sequence(F.lit(1), F.least(F.col(c), F.lit(9)) + 1), lambda i: i.cast("string"))
-    cut = lambda c: F.slice(of(c), 2, 9)
-    return o.select("session_id", "intent", "risk", *(cut(a).alias(b) for a, b in zip("sefp", gates.COUNTED, strict=True)))
+    of = lambda c: F.filter(F.sequence(F.lit(0), F.col(c)), lambda i: i > 0).cast("array<string>")
+    return o.select("session_id", "intent", "risk", *(of(a).alias(b) for a, b in zip("sefp", gates.COUNTED, strict=True)))
 
 
 @query

@@ -1,8 +1,8 @@
-"""Sinks. Without a table format that merges, a table is rewritten beside itself and then swapped in."""
+"""Sinks. Without a table format that merges, a table is written anew as its next version."""
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,19 +34,42 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Finished versions of the table at path, oldest first."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and re.fullmatch(r"v\d{8}", s.getPath().getName())]
+    done = [(int(v.getName()[1:]), v.toString()) for v in found if fs.exists(_path(spark, v.toString() + "/_SUCCESS")[0])]
+    return sorted(done)
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at path."""
     p, fs = _path(spark, path)
     return bool(fs.exists(p))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(_versions(spark, path))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The table's last finished version."""
+    return spark.read.parquet(_versions(spark, path)[-1][1])
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """Writes df as the table at path, which df may read."""
+    """Writes df as the next version of the table at path, which df may read.
+
+    A version counts from when it is finished, and the one before it stays for those who read it. So a crash at any
+    point leaves the table as it was or as it is to be.
+    """
     spark = df.sparkSession
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.parquet(beside)
-    target, fs = _path(spark, path)
-    fs.delete(target, True)
-    fs.rename(_path(spark, beside)[0], target)
+    known = _versions(spark, path)
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/v{(known[-1][0] if known else 0) + 1:08d}")
+    for _, old in known[:-1]:
+        clear(spark, old)
 
 
 def clear(spark: SparkSession, path: str) -> None:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.functions import text as X
-from quarry.operators.chunks import chunk
-from quarry.sources.sinks import exists, swap, upsert, without
+from quarry.operators.chunks import COLUMNS, SCHEMA, chunk
+from quarry.sources.sinks import stored
+
+#: Paths of a batch that are sent to every worker at most.
+MOST_PATHS = 100_000
 
 
 def file_stream(spark: SparkSession, root: str, most: int = 1000) -> DataFrame:
@@ -18,19 +21,49 @@ def file_stream(spark: SparkSession, root: str, most: int = 1000) -> DataFrame:
     return raw.select("path", F.decode("content", "UTF-8").alias("content"), X.content_hash(F.col("content")).alias("hash"), X.language_of(F.col("path")).alias("lang"))
 
 
+STATE = "path string, hash string, batch long"
+
+
+def state_log(spark: SparkSession, index: str) -> DataFrame:
+    """(path, hash, batch) of all batches; a null hash is a file that has gone."""
+    return spark.read.schema(STATE).parquet(f"{index}/state") if stored(spark, f"{index}/state") else spark.createDataFrame([], STATE)
+
+
+def newest(log: DataFrame) -> DataFrame:
+    """The last line of each path."""
+    return log.groupBy("path").agg(F.max_by(F.struct("hash", "batch"), "batch").alias("r")).select("path", "r.*")
+
+
+def indexed(spark: SparkSession, index: str) -> DataFrame:
+    """Chunks of all files as they are now: those that a file's last batch wrote."""
+    now = newest(state_log(spark, index)).filter("hash is not null").select(F.col("path").alias("file"), "batch")
+    return spark.read.schema(f"{SCHEMA}, batch long").parquet(f"{index}/chunks").join(now, ["file", "batch"], "left_semi").drop("batch").select(*COLUMNS)
+
+
 def index_batch(batch: DataFrame, batch_id: int, index: str) -> None:
-    """Puts a batch's files in the index at a path; run again it gives the same. Files whose content is known already are left alone."""
+    """Adds a batch's files to the index at a path; run again it gives the same. Files whose content is known already are left alone.
+
+    What is written is the batch's own, in folders of its own, whatever the size of the index: first its chunks, then
+    its state, by which they count. Old chunks stay until compact().
+    """
     spark = batch.sparkSession
-    if exists(spark, f"{index}/state"):
-        state = spark.read.parquet(f"{index}/state")
-        batch = batch.join(state.select("path", F.col("hash").alias("was")), "path", "left").filter("was is null or was <> hash").drop("was")
-    new = chunk(batch)
-    if exists(spark, f"{index}/chunks"):
-        old = without(spark.read.parquet(f"{index}/chunks"), batch.select(F.col("path").alias("file")), ["file"])
-        new = old.unionByName(new)
-    swap(new, f"{index}/chunks")
-    rows = batch.select("path", "hash", F.lit(batch_id).cast("long").alias("batch"))
-    swap(upsert(spark.read.parquet(f"{index}/state"), rows, ["path"]) if exists(spark, f"{index}/state") else rows, f"{index}/state")
+    paths = batch.select("path").distinct()
+    before = newest(state_log(spark, index).filter(F.col("batch") < batch_id).join(F.broadcast(paths) if paths.limit(MOST_PATHS + 1).count() <= MOST_PATHS else paths, "path", "left_semi"))
+    # A null hash beside a new one is a change, too.
+    changed = batch.join(before.select("path", F.col("hash").alias("was")), "path", "left").filter("not hash <=> was").drop("was")
+    chunk(changed).write.mode("overwrite").parquet(f"{index}/chunks/batch={batch_id}")
+    changed.select("path", "hash").write.mode("overwrite").parquet(f"{index}/state/batch={batch_id}")
+
+
+def forget(gone: DataFrame, batch_id: int, index: str) -> None:
+    """Files (path) that have gone."""
+    gone.select("path", F.lit(None).cast("string").alias("hash")).write.mode("overwrite").parquet(f"{index}/state/batch={batch_id}")
+
+
+def compact(spark: SparkSession, index: str, into: str) -> None:
+    """The index as it is now, as the first batch of another."""
+    indexed(spark, index).write.parquet(f"{into}/chunks/batch=0")
+    newest(state_log(spark, index)).filter("hash is not null").select("path", "hash").write.parquet(f"{into}/state/batch=0")
 
 
 def follow(spark: SparkSession, root: str, index: str, checkpoint: str) -> StreamingQuery:

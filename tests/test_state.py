@@ -1,6 +1,9 @@
 """Logs, pairs, incremental state, gates and streams."""
 
 import datetime as dt
+import glob
+import hashlib
+import os
 
 from pyspark.sql import functions as F
 
@@ -23,9 +26,14 @@ def test_state_and_swap(spark, tmp_path):
     new = spark.createDataFrame([("b", 3), ("b", 4), ("c", 5)], "k string, v int")
     path = str(tmp_path / "t")
     sinks.swap(sinks.upsert(old, new, ["k"], "v"), path)
-    assert {r.k: r.v for r in spark.read.parquet(path).collect()} == {"a": 1, "b": 4, "c": 5}
-    sinks.swap(sinks.without(spark.read.parquet(path), new, ["k"]), path)
-    assert [r.k for r in spark.read.parquet(path).collect()] == ["a"]
+    assert {r.k: r.v for r in sinks.read(spark, path).collect()} == {"a": 1, "b": 4, "c": 5}
+    sinks.swap(sinks.without(sinks.read(spark, path), new, ["k"]), path)
+    assert [r.k for r in sinks.read(spark, path).collect()] == ["a"]
+    # A version that was never finished doesn't count, nor does it stand in the way.
+    (tmp_path / "t" / "v00000003").mkdir()
+    assert [r.k for r in sinks.read(spark, path).collect()] == ["a"]
+    sinks.swap(old, path)
+    assert sinks.read(spark, path).count() == 2
     sinks.clear(spark, path)
     assert not sinks.exists(spark, path)
 
@@ -123,11 +131,31 @@ def test_streaming_index(spark, tmp_path):
     for i in range(3):
         (root / f"t{i}.py").write_text(f"def func{i}(): pass\n")
     index.follow(spark, str(root), str(store), str(check)).awaitTermination()
-    names = lambda: {r.name for r in spark.read.parquet(str(store / "chunks")).filter("type = 'function'").collect()}
+    names = lambda: {r.name for r in index.indexed(spark, str(store)).filter("type = 'function'").collect()}
     assert names() == {"func0", "func1", "func2"}
     (root / "t9.py").write_text("def later(): pass\n")
     index.follow(spark, str(root), str(store), str(check)).awaitTermination()
-    assert names() == {"func0", "func1", "func2", "later"} and spark.read.parquet(str(store / "state")).count() == 4
+    assert names() == {"func0", "func1", "func2", "later"} and index.newest(index.state_log(spark, str(store))).count() == 4
+
+
+def test_index_batches(spark, tmp_path):
+    """A batch writes its own files only, whatever there is; run again, changed, gone and compacted files come out right."""
+    store = str(tmp_path / "index")
+    files = lambda *rows: spark.createDataFrame([(p, c, hashlib.sha256(c.encode()).hexdigest()[:16], "python") for p, c in rows], "path string, content string, hash string, lang string")
+    names = lambda i=store: sorted(r.name for r in index.indexed(spark, i).filter("type = 'function'").collect())
+    index.index_batch(files(("a.py", "def a(): pass\n"), ("b.py", "def b(): pass\n")), 0, store)
+    before = {p: os.path.getmtime(p) for p in glob.glob(store + "/**/*.parquet", recursive=True)}
+    for _ in range(2):
+        index.index_batch(files(("a.py", "def a2(): pass\n"), ("b.py", "def b(): pass\n"), ("c.py", "def c(): pass\n")), 1, store)
+        assert names() == ["a2", "b", "c"]
+    assert all(os.path.getmtime(p) == t for p, t in before.items())
+    assert spark.read.parquet(store + "/state/batch=1").count() == 2
+    index.forget(spark.createDataFrame([("b.py",)], "path string"), 2, store)
+    assert names() == ["a2", "c"]
+    index.compact(spark, store, store + "2")
+    assert names(store + "2") == ["a2", "c"]
+    index.index_batch(files(("b.py", "def b(): pass\n")), 3, store)
+    assert names() == ["a2", "b", "c"]
 
 
 def test_session_windows(spark):
