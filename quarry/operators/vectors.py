@@ -115,6 +115,19 @@ def confirm(relevant: DataFrame, mapped: DataFrame, scores: DataFrame, default:
     return relevant.select("symbol").distinct().join(scores.select("symbol", "score"), "symbol", "left").join(known, "symbol", "left").select("symbol", F.coalesce("score", F.lit(default)).alias("confidence"), F.coalesce("found", F.lit(False)).alias("found"))
 
 
+def validated(requests: DataFrame, symbols: DataFrame, pairs: DataFrame, k: int = 5) -> DataFrame:
+    """(request_id, term, symbol, cached, similarity, rank): what is known or likely of symbols asked for.
+
+    requests(request_id, term, query) with a vector, symbols(request_id, symbol, embedding), pairs(nl_term, symbol). A symbol
+    is there if a learned pair has it (cached) or if it is among the k most similar (rank); of equal ones the first by name.
+    """
+    asked = symbols.join(requests, "request_id").withColumn("similarity", F.round(V.cosine(F.col("embedding"), F.col("query")), 3))
+    w = Window.partitionBy("request_id").orderBy(F.col("similarity").desc_nulls_last(), "symbol")
+    known = pairs.select(F.col("nl_term").alias("term"), "symbol").distinct().withColumn("cached", F.lit(True))
+    found = asked.withColumn("rank", F.row_number().over(w)).join(known, ["term", "symbol"], "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+    return found.filter((F.col("rank") <= k) | F.col("cached")).select("request_id", "term", "symbol", "cached", "similarity", F.when(F.col("rank") <= k, F.col("rank")).alias("rank"))
+
+
 # How much each kind of hit counts.
 WEIGHTS = {"vector": 0.4, "keyword": 0.2, "definition": 0.3, "reference": 0.1}
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import text as X
+
 SLOTS = ("target_feature", "trigger_condition", "observed_issue", "desired_action")
 # Tools by missing slot, and tools that help to fill it.
 SLOT_TOOLS = {
@@ -21,6 +23,7 @@ SLOT_HINTS = {
     "trigger_condition": ("search_text", "find_definitions"),
     "desired_action": ("find_references", "analyze_structure"),
 }
+# Intents, and the phases that each goes through.
 INTENTS = ("IMPLEMENT", "MODIFY", "DELETE", "EXPLORE")
 PHASES = {"EXPLORE": ("EXPLORATION",)}
 CODE_PHASES = ("EXPLORATION", "VERIFICATION", "READY")
@@ -75,6 +78,17 @@ def priority_slots(intent: Column, missing: Column) -> Column:
     return F.when(intent_of(intent) == "EXPLORE", F.array_intersect(_list(SLOTS), missing)).otherwise(F.array_intersect(_list(CODE_FIRST), missing))
 
 
+def frame_of(query: Column, extracted: dict[str, tuple[Column, Column]]) -> Column:
+    """struct(slots, source, quotes), maps by slot, of what was extracted from a query: (value, quote) for each slot.
+
+    A slot counts only if its value is quoted from the query and agrees with its quote; it is a fact then.
+    """
+    kind = "map<string,string>"
+    ok = {s: X.slot_valid(query, *extracted[s]) for s in SLOTS if s in extracted}
+    of = lambda value: F.map_from_entries(F.array_compact(F.array(*(F.when(ok[s], F.struct(F.lit(s).alias("k"), value(s).alias("v"))) for s in ok)))).cast(kind)
+    return F.struct(of(lambda s: extracted[s][0]).alias("slots"), of(lambda s: F.lit("FACT")).alias("source"), of(lambda s: extracted[s][1]).alias("quotes"))
+
+
 def plan(frames: DataFrame) -> DataFrame:
     """frames with missing, intent, tools, steps (tool and priority, first highest), phases, risk and needs_bootstrap.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,26 @@ def read_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | Non
     )
 
 
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether the lines of an ignore file leave a path out: the last that fits decides, ! takes back, a slash inside anchors, one at the end means folders."""
+    out = F.lit(False)
+    for line in rules:
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        back, rule = rule.startswith("!"), rule.removeprefix("!")
+        folder, anchored = rule.endswith("/"), "/" in rule.rstrip("/")
+        body = X.glob_regex(rule.strip("/"), across=False)[1:-1]
+        regex = f"^{'' if anchored else '(?:.*/)?'}{body}{'/.*' if folder else '(?:/.*)?'}$"
+        out = F.when(F.rlike(path, F.lit(regex)), F.lit(not back)).otherwise(out)
+    return out
+
+
+def searched(files: DataFrame, rules: list[str]) -> DataFrame:
+    """Files that a text search looks at: not ignored, and no hidden file or folder in the path."""
+    return files.filter(~ignored(F.col("path"), rules) & ~F.rlike("path", F.lit(r"(?:^|/)\.[^/]")))
+
+
 def of_type(files: DataFrame, file_type: str) -> DataFrame:
     return files.filter(X.extension(F.col("path")).isin(*FILE_TYPES.get(file_type, (f".{file_type}",))))
 
@@ -140,7 +160,19 @@ def git_changes(spark: SparkSession, repo: str, base: str) -> DataFrame:
 
 
 def git_branches(spark: SparkSession, repo: str) -> DataFrame:
-    """(branch, session_id, base_branch) of task branches."""
-    done = subprocess.run(["git", "-C", repo, "branch", "--list", "llm_task_*", "--format=%(refname:short)"], capture_output=True, text=True)
-    rows = spark.createDataFrame([(x,) for x in done.stdout.split()], "branch string")
-    return rows.select("branch", X.parse_task_branch(F.col("branch")).alias("p")).select("branch", "p.session_id", "p.base_branch")
+    """(branch, session_id, base_branch, ahead, checked_out) of task branches; ahead is null where the base is unknown or gone."""
+
+    def git(*args: str) -> list[str]:
+        done = subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True)
+        return done.stdout.split() if done.returncode == 0 else []
+
+    names, here = git("branch", "--list", "llm_task_*", "--format=%(refname:short)"), git("rev-parse", "--abbrev-ref", "HEAD")
+    rows = spark.createDataFrame([(x, [x] == here) for x in names], "branch string, checked_out boolean")
+    parsed = rows.select("branch", "checked_out", X.parse_task_branch(F.col("branch")).alias("p")).select("branch", "p.session_id", "p.base_branch", "checked_out")
+    counts = [(r.branch, int(n[0])) for r in parsed.collect() if r.base_branch and (n := git("rev-list", "--count", f"{r.base_branch}..{r.branch}"))]
+    return parsed.join(spark.createDataFrame(counts, "branch string, ahead long"), "branch", "left").select("branch", "session_id", "base_branch", "ahead", "checked_out")
+
+
+def stale_branches(branches: DataFrame) -> DataFrame:
+    """Task branches that nobody has checked out."""
+    return branches.filter(~F.col("checked_out"))
