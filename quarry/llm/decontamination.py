@@ -107,13 +107,17 @@ def matches(found: Index, windows: DataFrame, most_sent: int = MOST_SENT) -> Dat
     anchors = cut(possible.select(F.col("a.term").alias("term"), F.col("a.off").alias("off"), "window", "length", F.col("b.term").alias("second"), F.col("b.off").alias("second_off")))
     start = F.col("pos") - F.col("off")
     first = cut(found.postings.join(few(anchors, most_sent), "term").filter(start >= 0).select("row", start.alias("start"), "window", "length", "second", "second_off"))
-    near = found.postings.join(few(cut(first.select("row").distinct()), most_sent), "row", "left_semi")
-    lists = cut(near.join(few(cut(possible.join(each, "window").select("term").distinct()), most_sent), "term", "left_semi"))
-    both = first.select("row", "start", "window", "length", F.col("second").alias("term"), (F.col("start") + F.col("second_off")).alias("pos")).join(lists, ["row", "term", "pos"]).select("row", "start", "window", "length")
+
+    def lists(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Of the lists of these terms, what lies in these rows; only that is shuffled."""
+        own = found.postings.join(few(cut(wanted.select("term").distinct()), most_sent), "term", "left_semi")
+        return own.join(few(cut(rows.select("row").distinct()), most_sent), "row", "left_semi")
+
+    at = first.select("row", "start", "window", "length", F.col("second").alias("term"), (F.col("start") + F.col("second_off")).alias("pos"))
+    both = cut(at.join(lists(first, at), ["row", "term", "pos"]).select("row", "start", "window", "length"))
     # All terms at their offsets; a posting occurs once, so so many are all.
-    terms = each.select("window", "off", "term")
-    asked = cut(both).join(few(terms, most_sent), "window").select("row", "start", "window", "length", "term", (F.col("start") + F.col("off")).alias("pos"))
-    there = asked.join(lists, ["row", "term", "pos"]).groupBy("row", "start", "window", "length").agg(F.count("*").alias("n"))
+    asked = both.join(few(each.select("window", "off", "term"), most_sent), "window").select("row", "start", "window", "length", "term", (F.col("start") + F.col("off")).alias("pos"))
+    there = asked.join(lists(both, each), ["row", "term", "pos"]).groupBy("row", "start", "window", "length").agg(F.count("*").alias("n"))
     return there.filter(F.col("n") == F.col("length")).select("row", "start", "length", "window")
 
 

@@ -3,9 +3,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm.decontamination import decontaminate
+from quarry.llm import stages
 from quarry.llm.ngram_jaccard import ngram_jaccard
 
 DATA = "/root/testdata/sf0.001"
@@ -21,9 +23,10 @@ def test_stages(spark, docs, tmp_path):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert after.columns == before.columns
         if name == "ngram_jaccard":
-            ids = [r.doc_id for r in after.collect() if r.doc_id is not None]
-            groups = ngram_jaccard(before).filter("doc_id is not null").select("component_id").distinct().count()
-            assert len(ids) == len(set(ids)) == groups
+            keyed = before.withColumn("k", F.xxhash64("doc_id", "text"))
+            found = ngram_jaccard(keyed, id_col="k")
+            groups = found.filter("n_shingles > 0").select("component_id").distinct().count()
+            assert after.count() == groups + found.filter("n_shingles = 0").count()
         if name == "decontamination":
             assert after.count() == before.count() - decontaminate(before, spark.read.parquet(f"{DATA}/benchmark.parquet")).filter("contaminated").count()
         if name == "secret_scans":
@@ -43,3 +46,25 @@ def test_empty(spark, nothing):
     docs = nothing.select("doc_id", "text", "lang", "source", "n_chars")
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, docs, DATA).count() == 0
+
+
+def test_near_duplicates_by_id_and_text(spark):
+    """One of each group stays, the least id; nulls among ids, repeated rows and ids with two texts; columns named as the stage's own."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(3, a, "x"), (2, a, "y"), (None, a, "z"), (None, b, "p"), (None, b, "p"), (5, c, "q"), (5, d, "r"), (6, None, "s"), (6, None, "s"), (7, "", "t"), (9, c + " more", "u"), (8, d, "v"), (8, d, "v")]
+    docs = spark.createDataFrame([(*r, "k", 1, "i") for r in rows], "doc_id long, text string, note string, key string, n int, ID string")
+    out = stages.near_duplicates(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:1], r.note) for r in out.collect())
+    assert got == [(False, 2, "a", "y"), (False, 5, "c", "q"), (False, 5, "d", "r"), (False, 6, "", "s"), (False, 6, "", "s"), (False, 7, "", "t"), (True, 0, "b", "p")]
+    assert {(r.key, r.n, r.ID) for r in out.collect()} == {("k", 1, "i")}
+
+
+def test_contaminated_with_clashing_names(spark, tmp_path):
+    text = " ".join(f"w{k}" for k in range(30))
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, text, "mine", 7), (None, text, "mine", 7), (2, "clean words", "mine", 7), (None, None, "mine", 7)], "doc_id long, text string, id string, key long")
+    out = stages.contaminated(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == [(2, "clean words", "mine", 7), (None, None, "mine", 7)]
+    marked = docs.select("doc_id", "text", F.col("id").alias("_key"), F.col("key").alias("_id"))
+    assert stages.contaminated(spark, marked, str(tmp_path)).columns == marked.columns
