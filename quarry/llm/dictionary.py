@@ -25,7 +25,7 @@ from quarry.llm.word_tokens import Terms, TermsOf
 #: What a term takes in a worker besides its own bytes.
 ENTRY_BYTES = 120
 #: Text that is taken at once, in bytes.
-TEXT = 12 << 20
+TEXT = 8 << 20
 
 
 def word_counts(rows: DataFrame, terms: Callable[[], TermsOf], most: int = 600_000) -> DataFrame:

@@ -8,7 +8,8 @@ for, so none is left out at any size of corpus. The number of parts follows the
 and KEY bits of a hash tell the n-grams of a part apart, so that what two n-grams share
 by chance doesn't grow either (about one in two hundred reads another's count, as with probes). No worker has the whole filter: each
 block of documents sends its n-grams to their parts, where they are counted and then
-probed, and the levels found come back to the block, where its texts are scored.
+probed, and the levels found come back to the block, where its texts are scored. Blocks
+are made twice from the same rows; a number made of what they hold tells if that fails.
 
 The score of a text is the log10 of interpolated probabilities with absolute discounting:
 P(w | uv) = KEEP * max(c(uvw) - DISCOUNT, 0) / c(uv) + (1 - KEEP) * P(w | v), and so on
@@ -25,10 +26,11 @@ several blocks; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ KEEP, DISCOUNT = 0.6, 0.9
 #: Bytes of words that are sent to every worker at most.
 MOST_SENT = 50_000_000
 #: Text and tokens of a block, at most.
-TEXT, TOKENS = 8 << 20, 3 << 19
+TEXT, TOKENS = 8 << 20, 5 << 18
 
 
 def words_of(texts: pa.Array) -> Terms:
@@ -126,61 +128,85 @@ def stretches(bounds: np.ndarray, most: int) -> Iterator[list[tuple[int, int, in
         yield out
 
 
-#: A row has a block's n-grams of one part, or (keys are null) its texts and what their tokens are.
-SENT = [("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("skips", pa.list_(pa.int8())), ("words", pa.binary()), ("at", pa.binary())]
-SENT_SQL = "part int, block long, keys binary, counts binary, ids array<long>, texts array<long>, lengths array<long>, skips array<tinyint>, words binary, at binary"
+@dataclass
+class Block:
+    """Some texts: their tokens as numbers of words, and where each text's begin."""
+
+    number: int
+    words: np.ndarray
+    at: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    skips: list[int]
+    names: list[int | None]
+    keys: np.ndarray
+    train: np.ndarray
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Block]:
+    """Blocks of rows (doc_id, text, held_out). A block's number comes from what it holds; blocks of the same texts share it."""
+    for batch in batches:
+        at_row, train = 0, ~np.asarray(batch.column(2))
+        for ids, texts in parts(iter([batch]), TEXT):
+            names, keys, t, trained = ids.to_pylist(), text_keys(texts), words_of(texts), train[at_row : at_row + len(texts)]
+            at_row += len(texts)
+            hashes = word_hashes(t.different) >> np.uint64(64 - 8 * WORD_BYTES)
+            for pieces in stretches(t.bounds, most):
+                which = np.concatenate([t.which[a:b] for _, a, b, _ in pieces])
+                there = np.zeros(len(hashes), dtype=bool)
+                there[which] = there[-1] = True
+                docs, lengths = [k for k, *_ in pieces], np.array([b - a for _, a, b, _ in pieces])
+                offsets = np.array([a - t.bounds[k] for k, a, *_ in pieces])
+                number = xxhash.xxh3_64_intdigest(keys[docs].tobytes() + lengths.tobytes() + offsets.tobytes()) >> 1
+                yield Block(number, hashes[there], (np.cumsum(there) - 1)[which], np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths, [s for *_, s in pieces], [names[k] for k in docs], keys[docs], trained[docs])
+
+
+#: A block's n-grams of one part: keys and counts, or (answered) levels.
+NGRAMS = [("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]
+#: A block's texts, and what their tokens are.
+TEXTS = [("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("skips", pa.list_(pa.int8())), ("words", pa.binary()), ("at", pa.binary())]
+TEXTS_SQL = "block long, ids array<long>, texts array<long>, lengths array<long>, skips array<tinyint>, words binary, at binary"
+
+
+def ngram_blocks(rows: DataFrame, bits: int, most: int) -> DataFrame:
+    """N-grams of each block by part, counted where they aren't held out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks_of(batches, most):
+            found, back = kc.ranked(ngrams(b.words, b.at, b.starts, bits), bits + KEY)
+            weight = np.repeat(b.train.astype(np.float64), b.lengths)
+            for k in np.flatnonzero(b.skips).tolist():
+                weight[b.starts[k] : b.starts[k] + b.skips[k]] = 0
+            counts = np.bincount(back, np.concatenate([np.bincount(b.at, weight, len(b.words)), weight, weight])).astype(np.int64)
+            del back, weight
+            within = found & np.uint64((1 << KEY) - 1)
+            yield kc.batch([(p, b.number, kc.squeezed(np.diff(within[x:y], prepend=np.uint64(0))), kc.squeezed(counts[x:y])) for p, x, y in kc.by_part(found, KEY)], NGRAMS)
+
+    return on_batches(rows, run, "part int, block long, keys binary, counts binary")
 
-def ngram_blocks(rows: DataFrame, bits: int, most: int = TOKENS) -> DataFrame:
-    """Blocks of documents (doc_id, text, held_out): n-grams by part, counted where they aren't held out, and tokens."""
+
+def text_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Texts and tokens of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            at_row = 0
-            train = ~np.asarray(batch.column(2))
-            for ids, texts in parts(iter([batch]), TEXT):
-                names, key, t, trained = ids.to_pylist(), text_keys(texts), words_of(texts), train[at_row : at_row + len(texts)]
-                at_row += len(texts)
-                hashes = word_hashes(t.different) >> np.uint64(64 - 8 * WORD_BYTES)
-                for pieces in stretches(t.bounds, most):
-                    which = np.concatenate([t.which[a:b] for _, a, b, _ in pieces])
-                    there = np.zeros(len(hashes), dtype=bool)
-                    there[which] = there[-1] = True
-                    words, at = hashes[there], (np.cumsum(there) - 1)[which]
-                    docs, lengths, skips = [k for k, *_ in pieces], np.array([b - a for _, a, b, _ in pieces]), [s for *_, s in pieces]
-                    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                    found, back = kc.ranked(ngrams(words, at, starts, bits), bits + KEY)
-                    weight = np.repeat(trained[docs].astype(np.float64), lengths)
-                    for k in np.flatnonzero(skips).tolist():
-                        weight[starts[k] : starts[k] + skips[k]] = 0
-                    counts = np.bincount(back, np.concatenate([np.bincount(at, weight, len(words)), weight, weight])).astype(np.int64)
-                    within = found & np.uint64((1 << KEY) - 1)
-                    sent = [(p, number, kc.squeezed(np.diff(within[a:b], prepend=np.uint64(0))), kc.squeezed(counts[a:b]), *[None] * 6) for p, a, b in kc.by_part(found, KEY)]
-                    own = ([names[k] for k in docs], key[docs].tolist(), lengths.tolist(), skips, kc.planes(words, WORD_BYTES), kc.squeezed(at))
-                    yield kc.batch([*sent, ((number * 0x9E3779B1 >> 7) % (1 << bits), number, None, None, *own)], SENT)
-                    number += 1
-
-    return on_batches(rows, run, SENT_SQL)
+        for b in blocks_of(batches, most):
+            yield kc.batch([(b.number, b.names, b.keys.tolist(), b.lengths.tolist(), b.skips, kc.planes(b.words, WORD_BYTES), kc.squeezed(b.at))], TEXTS)
+
+    return on_batches(rows, run, TEXTS_SQL)
 
 
 def probed(blocks: DataFrame) -> DataFrame:
-    """The same rows; for n-grams, counts are the levels that the filter of all training documents has."""
+    """(part, block, levels): what the filter of all training documents has of each block's n-grams."""
 
     def run(group: pa.Table) -> pa.Table:
-        asked = np.asarray(group.column("keys").is_valid())
-        own, rest = group.filter(pa.array(asked)), group.filter(pa.array(~asked))
-        if not own.num_rows:
-            return rest
-        each = [np.cumsum(kc.unsqueezed(k), dtype=np.uint64) for k in own.column("keys").to_pylist()]
+        each = [np.cumsum(kc.unsqueezed(k), dtype=np.uint64) for k in group.column("keys").to_pylist()]
         keys, back = kc.ranked(np.concatenate(each), KEY)
-        counts = np.bincount(back, np.concatenate([kc.unsqueezed(c) for c in own.column("counts").to_pylist()]))
+        counts = np.bincount(back, np.concatenate([kc.unsqueezed(c) for c in group.column("counts").to_pylist()]))
         level = Stretch(keys[counts > 0], counts[counts > 0]).levels(keys)[back]
         answers = [kc.squeezed(x) for x in np.split(level, np.cumsum([len(k) for k in each])[:-1])]
-        answered = own.set_column(2, SENT[2][0], pa.array([b""] * len(each), pa.binary())).set_column(3, SENT[3][0], pa.array(answers, pa.binary()))
-        return pa.concat_tables([answered.cast(pa.schema(SENT)), rest.cast(pa.schema(SENT))])
+        return pa.Table.from_arrays([group.column("part"), group.column("block"), pa.array(answers, pa.binary())], names=["part", "block", "levels"])
 
-    return blocks.groupBy("part").applyInArrow(run, SENT_SQL)
+    return blocks.groupBy("part").applyInArrow(run, "part int, block long, levels binary")
 
 
 def discounted(count: np.ndarray, context: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -205,30 +231,39 @@ def scores(words: np.ndarray, at: np.ndarray, lengths: np.ndarray, skips: np.nda
     return np.add.reduceat(logs, starts)
 
 
-def scored(answered: DataFrame, bits: int, total: int) -> DataFrame:
+def scored(texts: DataFrame, answered: DataFrame, bits: int, total: int) -> DataFrame:
     """(doc_id, key, score) of every document, or of stretches of it; key is the text's hash."""
     names = [("doc_id", pa.int64()), ("key", pa.int64()), ("score", pa.float64())]
 
     def run(group: pa.Table) -> pa.Table:
-        asked = np.asarray(group.column("keys").is_valid())
-        own, (docs,) = group.filter(pa.array(asked)).sort_by("part"), group.filter(pa.array(~asked)).to_pylist()
-        level = np.concatenate([kc.unsqueezed(x) for x in own.column("counts").to_pylist()])
-        at = kc.unsqueezed(docs["at"]).astype(np.int64)
-        found = scores(kc.unplaned(docs["words"], WORD_BYTES), at, np.array(docs["lengths"]), np.array(docs["skips"]), level, bits, total)
-        return pa.Table.from_arrays([pa.array(docs["ids"], pa.int64()), pa.array(docs["texts"], pa.int64()), pa.array(found)], schema=pa.schema(names))
+        asked = np.asarray(group.column("levels").is_valid())
+        # Blocks of the same texts have the same answers.
+        own = {r["part"]: r["levels"] for r in group.filter(pa.array(asked)).select(["part", "levels"]).to_pylist()}
+        docs = group.filter(pa.array(~asked)).to_pylist()
+        if not own or not docs:
+            raise RuntimeError("rows came in another order when they were read again; write them to a table first")
+        level = np.concatenate([kc.unsqueezed(own[p]) for p in sorted(own)])
+        lengths, skips = np.array(docs[0]["lengths"]), np.array(docs[0]["skips"])
+        found = scores(kc.unplaned(docs[0]["words"], WORD_BYTES), kc.unsqueezed(docs[0]["at"]).astype(np.int64), lengths, skips, level, bits, total)
+        out = [pa.array([x for d in docs for x in d[c]], pa.int64()) for c in ("ids", "texts")]
+        return pa.Table.from_arrays([*out, pa.array(np.tile(found, len(docs)))], schema=pa.schema(names))
 
-    return answered.groupBy("block").applyInArrow(run, "doc_id long, key long, score double")
+    return answered.unionByName(texts, allowMissingColumns=True).groupBy("block").applyInArrow(run, "doc_id long, key long, score double")
 
 
 def lm_scoring(docs: DataFrame, held_out: Column, most_sent: int = MOST_SENT, id_col: str = "doc_id", text_col: str = "text", block: int = TOKENS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score; learns from rows that aren't held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    # Blocks are made twice, once for their n-grams and once for their tokens, which saves a shuffle of the tokens. A
+    # scan gives the same rows in the same order again; what has been shuffled needn't, and is written first.
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = cut(rows)
     train, every = rows.filter("not held_out").select("doc_id", "text"), rows.select("doc_id", "text")
     split = lambda: words_of
     values = cut(word_counts(train, split).select("word", "n", F.log10(F.col("n") + 1).alias("a"), F.lit(1).cast("long").alias("b")))
     tokens, types = values.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bits = kc.part_bits(3 * kc.text_bytes(every), 30)
-    also = scored(probed(ngram_blocks(rows, bits, block)), bits, tokens + types + 1)
+    also = scored(text_blocks(rows, block), probed(ngram_blocks(rows, bits, block)), bits, tokens + types + 1)
     lengths = lambda t, texts: [pa.array(np.diff(t.bounds)), pa.nulls(len(texts))]
     found = summed(every, split, values, most_sent, lengths, "n_tokens long, score double", ("known_log", "n_known"), kind="lm", also=also)
     total = float(np.log10(tokens + types + 1))
