@@ -578,3 +578,56 @@ def test_machine_local_folder_is_refused_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_folder(Unset("spark://host:7077"))
+
+
+def test_language_vectors_against_plain_computation(spark):
+    """Vectors bound, permuted and bundled place by place; prototypes and cosines summed in plain Python; a very long text, too."""
+    import math as m
+
+    dims, n = 64, 3
+    letters = language_id.Profiles(dims, n).letter
+    rows = [(1, "Abc ab!", "x"), (2, "bca  bca", "y"), (3, "été à là", "z"), (4, "abc", None), (5, "b c a " * 30_000, None), (6, "12", "x")]
+
+    def plain(text):
+        kept = "".join(c.lower() if c.isalpha() else " " for c in text)
+        kept = " " + " ".join(kept.split()) + " "
+        v = [0] * dims
+        for k in range(len(kept) - n + 1):
+            for d in range(dims):
+                v[d] += m.prod(int(letters(ord(kept[k + j]))[(d - j) % dims]) for j in range(n))
+        size = m.sqrt(sum(x * x for x in v))
+        return [x / size for x in v]
+
+    short = {i: plain(t) for i, t, _ in rows if i < 5}
+    short[5] = plain("b c a " * 40)
+    protos = {lang: short[i] for i, _, lang in rows if lang and i < 5}
+    got = {r.doc_id: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dims=dims, n=n).collect()}
+    for i, v in short.items():
+        cos = {lang: sum(a * b for a, b in zip(v, p, strict=True)) for lang, p in protos.items()}
+        best = max(cos, key=cos.get)
+        near = 1e-3 if i < 5 else 0.05  # the long text has other weights at its ends
+        assert got[i].lang_pred == best and abs(got[i].score - max(0.0, min(1.0, cos[best]))) < near, (i, cos, got[i])
+    assert got[6].lang_pred == "und"
+
+
+def test_fertility_against_plain_computation(spark):
+    """Characters a token, byte share and entropy as the vocabulary's own library gives them, word by word; and the shipped bands."""
+    import random
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    r = random.Random(5)
+    texts = [
+        "The quick brown fox jumps over the lazy dog, again and again; nobody minds it at all.", "Zażółć gęślą jaźń — 東京 🙂 été", "x", "".join(chr(r.randrange(0x1F300, 0x1F5FF)) + " " for _ in range(200)),
+        " ".join("aa" for _ in range(5)) + " " + " ".join(f"b{k}" for k in range(40)), " ".join("ab" + chr(r.randrange(0x1F300, 0x1F5FF)) for _ in range(100)),
+    ]
+    found = {x.doc_id: x for x in quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PIECE_BPE).collect()}
+    for i, t in enumerate(texts):
+        ids = [x for w in words(t) for x in sp.encode(w)]
+        c = collections.Counter(ids)
+        assert found[i].n_pieces == len(ids) and abs(found[i].chars_per_token - sum(map(len, words(t))) / len(ids)) < 1e-9
+        assert abs(found[i].byte_share - sum(map(sp.is_byte, ids)) / len(ids)) < 1e-9
+        assert abs(found[i].token_entropy + sum(k / len(ids) * math.log2(k / len(ids)) for k in c.values())) < 1e-9
+    # Not language at all: only the fertility's bands turn it away.
+    assert found[0].kept and not found[5].base_failed and not found[5].kept and found[5].byte_share > 0.2
