@@ -382,6 +382,59 @@ def case_call_durations(spark: SparkSession) -> DataFrame:
     return logs.call_durations(d).withColumnRenamed("duration_seconds", "seconds")
 
 
+def synced(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A run over a project of which one file is as it was, one has changed, one is new, one can't be read and one has gone."""
+    files = rows(spark, "path string, content string, hash string, mtime long, lang string", ("a.py", "def a(): pass\n", "1", 1, "python"), ("b.py", "def b2(): pass\n\ndef b3(): pass\n", "2x", 2, "python"), ("c.txt", "one\ntwo", "3", 3, "unknown"), ("e.py", None, "5", 5, "python"))
+    state = rows(spark, "path string, hash string, mtime long, indexed_at string, chunk_count long", ("a.py", "1", 1, "t0", 2), ("b.py", "2", 1, "t0", 2), ("d.py", "4", 1, "t0", 1))
+    old = chunks.chunk(rows(spark, "path string, content string, lang string", ("a.py", "def a(): pass\n", "python"), ("b.py", "def b(): pass\n", "python"), ("d.py", "x = 1", "python")))
+    return sync.run(files, state, old, F.lit("t1"))
+
+
+@case("id string", ("a.py:module:1",), ("a.py:a:1",), ("b.py:module:1",), ("b.py:b2:1",), ("b.py:b3:3",), ("c.txt:lines_1-2:1",))
+def case_sync_chunks(spark: SparkSession) -> DataFrame:
+    return synced(spark)[0]
+
+
+@case("path string, hash string, mtime long, indexed_at string, chunk_count long", ("a.py", "1", 1, "t0", 2), ("b.py", "2x", 2, "t1", 3), ("c.txt", "3", 3, "t1", 1), ("e.py", "5", 5, "t1", 0))
+def case_sync_state(spark: SparkSession) -> DataFrame:
+    return synced(spark)[1]
+
+
+@case("added long, modified long, deleted long, unchanged long, total_processed long, has_changes boolean, errors long", (2, 1, 1, 1, 4, True, 1))
+def case_sync_counts(spark: SparkSession) -> DataFrame:
+    return synced(spark)[2]
+
+
+@case("path string, chunk_count long", ("test0.py", 2), ("test1.py", 2), ("missing.py", 0))
+def case_chunk_counts(spark: SparkSession) -> DataFrame:
+    files = rows(spark, "path string, content string, lang string", *((f"test{i}.py", f"def func{i}(): pass\n", "python") for i in range(5)))
+    return sync.chunk_counts(files, chunks.chunk(files), ["test0.py", "test1.py", "missing.py", "test0.py"])
+
+
+@case("type string, path string, change string", ("design_docs", "docs/new.md", "new"), ("design_docs", "docs/arch.md", "modified"), ("project_rules", "CLAUDE.md", "modified"), ("project_rules", "RULES.md", "new"))
+def case_context_updates(spark: SparkSession) -> DataFrame:
+    docs = rows(spark, "path string, hash string", ("docs/new.md", "1"), ("docs/arch.md", "2"), ("docs/same.md", "3"), ("docs/empty.md", "4"))
+    was = rows(spark, "path string, content_hash string", ("docs/arch.md", "old_hash_12345678"), ("docs/same.md", "3"), ("docs/empty.md", ""))
+    ruled = rows(spark, "path string, hash string", ("CLAUDE.md", "n"), ("RULES.md", "n"), ("same.md", "n"))
+    return sync.context_updates(docs, was, ruled, rows(spark, "path string, content_hash string", ("CLAUDE.md", "o"), ("RULES.md", ""), ("same.md", "n")))
+
+
+@case("branch string, base_branch string, stale boolean", ("llm_task_s1_from_main", "main", True))
+def case_branch_of(spark: SparkSession) -> DataFrame:
+    d = rows(spark, "branch string, checked_out boolean", ("llm_task_s1_from_main", False), ("llm_task_s10_from_main", True), ("llm_task_s1_from_zeta", False))
+    p = X.parse_task_branch(F.col("branch"))
+    branches = d.select("branch", p["session_id"].alias("session_id"), p["base_branch"].alias("base_branch"), "checked_out")
+    return S.branch_of(S.stale_branches(branches), "s1").withColumn("stale", ~F.col("checked_out"))
+
+
+@case("name string, rank long", ("cartTotal", 1), ("cart_total", 2))
+def case_symbol_ranking(spark: SparkSession) -> DataFrame:
+    """Names are compared by their words; equal ones stay in the order given."""
+    names = rows(spark, "pos long, name string", (0, "orderList"), (1, "cartTotal"), (2, "cart_total"), (3, "zebra"))
+    asked = vectors.embed_symbols(rows(spark, "name string", ("cart total",)), dims=256).select(F.col("embedding").alias("q"))
+    return vectors.rank_symbols(vectors.embed_symbols(names, dims=256).join(F.broadcast(asked)), F.col("q"), 2).select("name", "rank")
+
+
 @case("k string", ("a",))
 def case_deleted(spark: SparkSession) -> DataFrame:
     return sinks.without(rows(spark, "k string", ("a",), ("b",), ("b",)), rows(spark, "k string", ("b",), ("z",)), ["k"])

@@ -10,12 +10,13 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators.scan import Scan
 from quarry.operators.symbols import nodes_of
+from quarry.sources.files import read_files
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -317,3 +318,8 @@ def chunk(files: DataFrame, strategies: dict[str, Strategy] | None = None, size:
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     return files.select("path", "content", "lang").mapInPandas(run, SCHEMA)
+
+
+def chunk_folder(spark: SparkSession, root: str, extensions: tuple[str, ...], excludes: list[str], size: int = 50) -> DataFrame:
+    """Chunks of the files below a folder."""
+    return chunk(read_files(spark, root, extensions, excludes), size=size)

@@ -28,6 +28,32 @@ def next_state(state: DataFrame, files: DataFrame, changed: DataFrame, chunk_cou
     return upsert(without(state, changed.filter("change = 'deleted'"), [key]), rows, [key])
 
 
+def run(files: DataFrame, state: DataFrame, chunks: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One incremental run: (chunks, state, counts) as they are after it.
+
+    files(path, content, hash, mtime, lang), state(path, hash, mtime, indexed_at, chunk_count), chunks as operators.chunks has
+    them. Chunks of deleted and modified files go, modified and added files are chunked anew, and their state is stamped. A
+    file without content counts as an error and has no chunks.
+    """
+    from quarry.operators.chunks import chunk
+
+    changed = changes(files, state)
+    touched = changed.filter("change <> 'unchanged'")
+    fresh = files.join(changed.filter(F.col("change").isin("added", "modified")).select("path"), "path")
+    new = chunk(fresh.select("path", "content", "lang"))
+    kept = without(chunks, touched.select(F.col("path").alias("file")), ["file"])
+    sizes = new.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("chunk_count"))
+    errors = fresh.agg(F.count_if(F.col("content").isNull()).alias("errors"))
+    return kept.unionByName(new.select(*kept.columns)), next_state(state, files, changed, sizes, now), summary(changed).join(F.broadcast(errors))
+
+
+def chunk_counts(files: DataFrame, chunks: DataFrame, asked: list[str]) -> DataFrame:
+    """(path, chunk_count) of the files asked for; one that isn't there has 0."""
+    names = files.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(asked)], "path string")
+    n = chunks.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("chunk_count"))
+    return names.join(n, "path", "left").select("path", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+
+
 def due(last: Column, now: Column, hours: float) -> Column:
     """Whether the time to live is over; without a last time it is."""
     return F.coalesce((F.unix_micros(now) - F.unix_micros(last)) / 3.6e9 > hours, F.lit(True))
@@ -58,6 +84,14 @@ def rules_change(now: Column, was: Column) -> Column:
     return F.when(F.coalesce(was, F.lit("")) == "", "new").when(now != was, "modified")
 
 
+def context_updates(docs: DataFrame, summaries: DataFrame, rules: DataFrame, known: DataFrame) -> DataFrame:
+    """(type, path, change): design documents and rules files, docs(path, hash), that are new or changed since known(path, content_hash)."""
+    documents = document_changes(docs, summaries).select(F.lit("design_docs").alias("type"), "path", "change")
+    ruled = rules.join(known.select("path", "content_hash"), "path", "left")
+    own = ruled.select(F.lit("project_rules").alias("type"), "path", rules_change(F.col("hash"), F.col("content_hash")).alias("change")).filter("change is not null")
+    return documents.unionByName(own)
+
+
 def merge_summaries(old: DataFrame, new: DataFrame) -> DataFrame:
     """new summaries with the notes that old ones had."""
     return new.join(old.select("path", F.col("extra_notes").alias("_n")), "path", "left").select("path", "summary", "content_hash", F.coalesce("_n", F.lit("")).alias("extra_notes"))

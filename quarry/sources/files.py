@@ -35,7 +35,7 @@ def read_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | Non
         keep = keep & F.rlike(rel, F.lit("(?i)(?:" + "|".join(map(X.re.escape, extensions)) + ")$"))
     return found.filter(keep).select(
         rel.alias("path"),
-        F.decode("content", "UTF-8").alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         X.content_hash(F.col("content")).alias("hash"),
         X.extension(rel).alias("ext"),
         X.language_of(rel).alias("lang"),
@@ -173,6 +173,11 @@ def git_branches(spark: SparkSession, repo: str) -> DataFrame:
     return parsed.join(spark.createDataFrame(counts, "branch string, ahead long"), "branch", "left").select("branch", "session_id", "base_branch", "ahead", "checked_out")
 
 
+def branch_of(branches: DataFrame, session: str) -> DataFrame:
+    """The task branch of a session; of several the first by name."""
+    return branches.filter(F.col("session_id") == session).orderBy("branch").limit(1)
+
+
 def stale_branches(branches: DataFrame) -> DataFrame:
     """Task branches that nobody has checked out."""
     return branches.filter(~F.col("checked_out"))

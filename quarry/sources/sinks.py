@@ -77,6 +77,22 @@ def clear(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def write_files(files: DataFrame, folder: str, most: int = 10_000) -> int:
+    """Writes files(file, content) below a folder, each in place of one of its name; how many there are. More than `most` are an error.
+
+    For what people read, such as agreements: rows come through the driver one by one.
+    """
+    if files.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} files")
+    n = 0
+    for n, r in enumerate(files.select("file", "content").toLocalIterator(), 1):
+        p, fs = _path(files.sparkSession, f"{folder.rstrip('/')}/{r['file']}")
+        out = fs.create(p, True)
+        out.write(bytearray((r["content"] or "").encode()))
+        out.close()
+    return n
+
+
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

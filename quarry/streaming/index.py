@@ -18,7 +18,7 @@ def file_stream(spark: SparkSession, root: str, most: int = 1000) -> DataFrame:
     """(path, content, hash, lang) of files as they come."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     raw = spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", most).load(root)
-    return raw.select("path", F.decode("content", "UTF-8").alias("content"), X.content_hash(F.col("content")).alias("hash"), X.language_of(F.col("path")).alias("lang"))
+    return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), X.content_hash(F.col("content")).alias("hash"), X.language_of(F.col("path")).alias("lang"))
 
 
 STATE = "path string, hash string, batch long"
