@@ -35,7 +35,7 @@ REASONS = {
 ALWAYS = ("context_fragmented", "architecture_unknown")
 # Tools that can be evidence.
 EVIDENCE_TOOLS = ("find_definitions", "find_references", "search_text", "analyze_structure", "query")
-#: (phase, necessity) to the next phase.
+# Each phase to the next.
 NEXT = {"EXPLORATION": "SEMANTIC", "SEMANTIC": "VERIFICATION", "VERIFICATION": "IMPACT_ANALYSIS", "IMPACT_ANALYSIS": "READY", "READY": "PRE_COMMIT", "PRE_COMMIT": "QUALITY_REVIEW", "QUALITY_REVIEW": "READY"}
 
 
@@ -150,16 +150,18 @@ def ready_errors(slot_source: Column, symbols: Column) -> Column:
     return F.concat(slots, F.when(F.size(loose) > 0, F.array(F.concat(F.lit("Symbols "), F.array_join(loose, ", "), F.lit(" are still HYPOTHESIS.")))).otherwise(F.array().cast("array<string>")))
 
 
-def fold_symbols(updates: Column) -> Column:
-    """Ordered updates (name, source, confidence) to one for each name: a fact overwrites, and so does higher confidence."""
-    kind = "array<struct<name:string,source:string,confidence:double>>"
+def fold_symbols(updates: DataFrame, order: list[str], session: str = "session_id") -> DataFrame:
+    """updates(session, name, source, confidence) to one row for each name of a session: a fact overwrites what was before, and so does higher confidence.
 
-    def put(acc: Column, u: Column) -> Column:
-        old = F.get(F.filter(acc, lambda x: x["name"] == u["name"]), F.lit(0))
-        wins = old.isNull() | (u["source"] == "FACT") | (u["confidence"] > old["confidence"])
-        return F.when(old.isNull(), F.concat(acc, F.array(u))).when(wins, F.transform(acc, lambda x: F.when(x["name"] == u["name"], u).otherwise(x))).otherwise(acc).cast(kind)
-
-    return F.aggregate(updates.cast(kind), F.array().cast(kind), put)
+    What is left is the last fact, or of what came after it the first with the highest confidence, if that is higher. So
+    it is two aggregates by session and name, partial before the shuffle; no session is gathered.
+    """
+    at = F.struct(*order)
+    facts = updates.groupBy(session, "name").agg(F.max(F.when(F.col("source") == "FACT", at)).alias("_fact"))
+    since = updates.withColumn("_at", at).join(facts, [session, "name"]).filter(F.col("_fact").isNull() | (F.col("_at") >= F.col("_fact")))
+    best = since.groupBy(session, "name").agg(F.max(F.coalesce("confidence", F.lit(float("-inf")))).alias("_best"))
+    first = since.join(best, [session, "name"]).filter(F.coalesce("confidence", F.lit(float("-inf"))) == F.col("_best"))
+    return first.groupBy(session, "name").agg(F.min_by(F.struct("source", "confidence"), "_at").alias("_s")).select(session, "name", "_s.source", "_s.confidence")
 
 
 def add_explored(old: Column, new: Column) -> Column:

@@ -776,10 +776,8 @@ def ready_check(spark: SparkSession, d: str) -> DataFrame:
 @query
 def symbol_folds(spark: SparkSession, d: str) -> DataFrame:
     """What is left of sessions' symbols after all updates, in order."""
-    u = F.struct(F.col("ts"), F.col("event_id"), F.col("event_type").alias("name"), F.when(F.col("k") < 5, "FACT").otherwise("HYPOTHESIS").alias("source"), F.col("value").alias("confidence"))
-    rows = outcomes(spark, d).groupBy("session_id").agg(F.array_sort(F.collect_list(u)).alias("u"))
-    folded = gates.fold_symbols(F.transform("u", lambda x: F.struct(x["name"].alias("name"), x["source"].alias("source"), x["confidence"].alias("confidence"))))
-    return rows.select("session_id", F.explode(folded).alias("s")).select("session_id", "s.name", "s.source", F.round("s.confidence", 6).alias("confidence"))
+    u = outcomes(spark, d).select("session_id", "ts", "event_id", F.col("event_type").alias("name"), F.when(F.col("k") < 5, "FACT").otherwise("HYPOTHESIS").alias("source"), F.col("value").alias("confidence"))
+    return gates.fold_symbols(u, ["ts", "event_id"]).withColumn("confidence", F.round("confidence", 6))
 
 
 @query

@@ -105,9 +105,18 @@ def test_write_gate(spark):
 
 
 def test_symbol_fold(spark):
-    u = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("source"), F.lit(c).alias("confidence")) for n, s, c in (("A", "HYPOTHESIS", 0.5), ("A", "HYPOTHESIS", 0.4), ("B", "HYPOTHESIS", 0.2), ("A", "FACT", 0.1))))
-    r = spark.range(1).select(gates.fold_symbols(u).alias("x")).first().x
-    assert [(x.name, x.source, x.confidence) for x in r] == [("A", "FACT", 0.1), ("B", "HYPOTHESIS", 0.2)]
+    """Against going through the updates one by one."""
+    import random
+
+    r = random.Random(2)
+    rows = [(k % 3, k, r.choice("AB"), r.choice(["HYPOTHESIS"] * 4 + ["FACT"]), r.choice([0.1, 0.2, 0.5, 0.5, 0.9])) for k in range(60)]
+    want = {}
+    for s, _, n, source, c in rows:
+        old = want.get((s, n))
+        if old is None or source == "FACT" or c > old[1]:
+            want[s, n] = (source, c)
+    d = spark.createDataFrame(rows, "session_id long, seq long, name string, source string, confidence double").repartition(3)
+    assert {(x.session_id, x.name): (x.source, x.confidence) for x in gates.fold_symbols(d, ["seq"]).collect()} == want
 
 
 def test_short_cut(spark):
