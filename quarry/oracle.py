@@ -69,6 +69,11 @@ ORACLE_SQL: dict[str, str] = {
     "ttl_due": "SELECT user_id, epoch_us(n) - epoch_us(max(ts)) > 24 * 3600000000 AS due FROM events, (SELECT max(ts) AS n FROM events) GROUP BY user_id, n",
     "change_merge": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'deleted' WHEN c_acctbal > 3000 THEN 'modified' ELSE 'added' END AS change_type, CASE WHEN c_mktsegment = 'BUILDING' THEN 'uncommitted' WHEN c_acctbal > 3000 THEN 'committed' ELSE 'untracked' END AS origin FROM customer WHERE c_acctbal > 3000 OR c_mktsegment = 'BUILDING' OR c_nationkey < 9",
     "keep_discard": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'keep' ELSE 'discard' END AS action FROM customer",
+    "structure_nodes": """WITH P AS (SELECT 'p' || p_partkey || '.py' AS path, regexp_replace(p_name, '[^a-zA-Z0-9]+', '_', 'g') AS n FROM part)
+SELECT path, category, replace(name, '?', n) AS name, type, start_line, end_line, parameters, replace(scope, '?', n) AS scope FROM P, (VALUES ('imports', 'os', 'import', 1, 1, '', ''), ('classes', 'C_?', 'class', 4, 8, '', ''), ('functions', 'm_?', 'member', 5, 8, 'self,a,b', 'C_?'), ('functions', 'inner', 'function', 6, 7, '', 'C_?.m_?'), ('functions', 'f_?', 'function', 11, 12, 'args', '')) v(category, name, type, start_line, end_line, parameters, scope)""",
+    "page_chunks": """WITH L AS (SELECT page_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS x FROM (SELECT page_id, string_split(html, chr(10)) AS s FROM pages)),
+T AS (SELECT DISTINCT page_id, i, unnest(regexp_extract_all(x, '<(section|article|nav|header|footer|main|form|aside)\\b', 1)) AS tag FROM L)
+SELECT 'p' || page_id || '.html' AS file, 'element' AS type, count(*) AS n FROM T GROUP BY page_id UNION ALL SELECT DISTINCT 'p' || page_id || '.html', 'module_summary', CAST(1 AS BIGINT) FROM T""",
     "knn_topk": f"WITH {NEAR} SELECT query_id, id AS vec_id, CAST(rank AS INT) AS rank, round(round(distance, 6), 4) AS distance, round(round(1 / (1 + distance), 6), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM P) WHERE rank <= 10",
     "knn_shortcircuit": f"WITH {NEAR}, R AS (SELECT *, label = 0 AS m, row_number() OVER (PARTITION BY query_id, label = 0 ORDER BY distance, id) AS rank FROM P), T AS (SELECT query_id, coalesce(max(round(1 / (1 + distance), 6)) FILTER (m), 0) >= 0.7 AS short FROM R GROUP BY query_id) SELECT query_id, CASE WHEN short THEN 'map' ELSE 'forest' END AS source, id AS vec_id, CAST(rank AS INT) AS rank, CASE WHEN short THEN 'high' ELSE 'medium' END AS confidence FROM R JOIN T USING (query_id) WHERE (short AND m AND rank <= 5) OR (NOT short AND NOT m AND rank <= 10)",
     "similarity_rank": f"WITH {COS} SELECT vec_id, similarity, CAST(rank AS INT) AS rank FROM (SELECT vec_id, round(c, 3) AS similarity, row_number() OVER (ORDER BY round(c, 3) DESC, vec_id) AS rank FROM C) WHERE rank <= 5",
