@@ -37,9 +37,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: What a cut costs, in tokens of padding: between sentences of a document, between clauses, and elsewhere.
 SENTENCE_CUT, CLAUSE_CUT, HARD_CUT = 2.0, 6.0, 64.0
 #: Tokens that are planned at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Bytes of text that are tokenised at once.
-TEXT = 16 << 20
+TEXT = 4 << 20
 
 
 def cuts(ends: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:

@@ -31,7 +31,7 @@ AFTER = string.punctuation
 #: And off its start. An apostrophe may go with letters behind it, and a bar may open a special token.
 BEFORE = "".join(sorted(set(AFTER) - set("'|")))
 #: Words of a text that are looked up at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 
 
 @dataclass
@@ -136,7 +136,7 @@ class PreTokens:
 class WordIds:
     """Ids of white-space words under a tokeniser file, kept for the words seen last; bounded."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         self.pre = PreTokens(path)
         self.tokenizer = self.pre.tokenizer
         #: Words of late, and those of before; a word that comes again is taken over.
