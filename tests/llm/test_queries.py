@@ -20,6 +20,9 @@ COLUMNS = {
     "op7": {"doc_id", "held_out", "lang_pred", "score"},
     "op9": {"doc_id", "n_shingles", "component_id"},
     "op10": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+    "op11": {"page_id", "url", "text", "n_chars"},
+    "op12": {"word", "form", "root", "n", "n_near", "form_n"},
+    "op13": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
 }
 
 
@@ -35,4 +38,10 @@ def test_query(spark, name):
     if name in ORACLE_SQL:
         assert rows == sorted(tuple(map(str, r)) for r in con.sql(f"select {', '.join(cols)} from ({ORACLE_SQL[name]})").fetchall())
     elif name != "op2_packing":
-        assert len(rows) == con.sql("select count(*) from documents").fetchall()[0][0]
+        assert len(rows) == con.sql(f"select count(*) from {'pages' if name.startswith('op11') else 'documents'}").fetchall()[0][0]
+
+
+def test_all_are_registered():
+    import __spark_entry__
+
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} <= {name.split("_")[0] for name in __spark_entry__.queries()}
