@@ -41,22 +41,32 @@ def submatches(line: Column, regex: str) -> Column:
 def _may_match(content: Column, pattern: str, regex: str, literal: bool, plain: bool) -> Column:
     """Whether the content as a whole has what a matching line has; never false where a line matches.
 
-    Where a pattern looks around or asks for the ends of the input, a line's neighbours could hide a match; all lines are tried then.
+    Where a pattern looks around, doesn't give back what it has taken, or asks for the ends of the input, a line's
+    neighbours could hide a match; all lines are tried then. So they are where nothing can match, as an empty last line isn't
+    a line for (?m).
     """
     if plain:
         return F.contains(content, F.lit(pattern))
-    if not literal and (re.search(r"\\[AzZG]", pattern) or "(?" in pattern):
+    if not literal and (re.search(r"\\[AzZG]|[*+?}]\+", pattern) or "(?" in pattern or _takes_nothing(pattern)):
         return F.lit(True)
     flags = "(?im)" if regex.startswith("(?i)") else "(?m)"
     return F.rlike(content, F.lit(flags + regex.removeprefix("(?i)")))
 
 
-def _hits(pattern: str, regex: str, literal: bool, plain: bool, per_file: int | None, with_submatches: bool, content: Column) -> Column:
+def _takes_nothing(pattern: str) -> bool:
+    """Whether an empty line may match; so it is said of what Python can't read."""
+    try:
+        return bool(re.match(pattern, ""))
+    except re.error:
+        return True
+
+
+def _hits(pattern: str, regex: str, literal: bool, plain: bool, per_file: int | None, with_submatches: bool, may: Column) -> Column:
     """The lines of a file that one pattern matches; lines are numbered only where they do."""
     line = lambda i: F.get("lines", i)
     places = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.contains(line(i), F.lit(pattern)) if plain else F.rlike(line(i), F.lit(regex)))
     places = F.slice(places, 1, per_file) if per_file else places
-    some = F.when(_may_match(content, pattern, regex, literal, plain), places).otherwise(F.array().cast("array<int>"))
+    some = F.when(may, places).otherwise(F.array().cast("array<int>"))
     more = (lambda s: [submatches(s, regex).alias("submatches")]) if with_submatches else (lambda s: [])
     return F.transform(some, lambda i: F.struct(F.lit(pattern).alias("pattern"), (i + 1).alias("line_number"), line(i).alias("line_content"), *more(line(i))))
 
@@ -73,10 +83,11 @@ def search(files: DataFrame, pattern: str | list[str], literal: bool = False, ig
     if not found:
         return files.select(F.lit("").alias("pattern"), key, F.lit(0).alias("line_number"), F.lit("").alias("line_content")).limit(0)
     asked = [(p, _regex(p, literal, ignore_case, word), literal, literal and not ignore_case and not word) for p in found]
-    # Files without any match are left before their lines are made.
-    any_of = reduce(Column.__or__, (_may_match(F.col(content), *a) for a in asked))
-    rows = files.filter(any_of).select(key, F.col(content).alias("_text"), X.lines(F.col(content)).alias("lines"))
-    each = [_hits(*a, per_file, with_submatches, F.col("_text")) for a in asked]
+    # Each pattern is tried once on a file as a whole; lines are made of those files only that have one.
+    flags = [f"_may{i}" for i in range(len(asked))]
+    tried = files.select(key, F.col(content), *(_may_match(F.col(content), *a).alias(f) for f, a in zip(flags, asked, strict=True)))
+    rows = tried.select(key, *flags, F.when(reduce(Column.__or__, map(F.col, flags)), X.lines(F.col(content))).alias("lines"))
+    each = [_hits(*a, per_file, with_submatches, F.col(f)) for f, a in zip(flags, asked, strict=True)]
     hits = rows.select(key, *(["lines"] if context else []), F.explode(F.concat(*each) if len(each) > 1 else each[0]).alias("h"))
     out = [F.col("h.pattern"), F.col(key), F.col("h.line_number"), F.col("h.line_content")] + ([F.col("h.submatches")] if with_submatches else [])
     if context:

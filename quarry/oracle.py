@@ -40,6 +40,9 @@ def _multi(patterns: list[str]) -> str:
 ORACLE_SQL: dict[str, str] = {
     "search_single": _search("regexp_matches(line_content, 'tion[a-z]*')"),
     "search_multi": _multi(["token", "[0-9]{3}", "^The", "th[ae]n", "\\|"]),
+    "search_indexed_single": _search("regexp_matches(line_content, 'tion[a-z]*')"),
+    "search_indexed_multi": _multi(["token", "^The", "th[ae]n", "(pass|key)word"]),
+    "search_indexed_rare": f"WITH {LINES} SELECT doc_id, line_number FROM L WHERE regexp_matches(line_content, '(?i)(licen[cs]e|copyright).*(granted|reserved)')",
     "search_literal": _search("contains(line_content, 'the.')"),
     "search_icase": _search("regexp_matches(line_content, '(?i)^the')"),
     "search_capped": f"WITH {LINES} SELECT doc_id, line_number, line_content FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS r FROM L WHERE contains(line_content, 'er')) WHERE r <= 2",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions import vector as V
-from quarry.operators import chunks, gates, impact, logs, pairs, search, symbols, sync, vectors
+from quarry.operators import chunks, gates, impact, logs, pairs, search, symbols, sync, text_index, vectors
 from quarry.plans import router
 from quarry.sources import files as S
 from quarry.sources import sinks
@@ -113,6 +113,33 @@ def search_context(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "line_number", F.get("before", F.lit(0)).alias("before"), F.get("after", F.lit(0)).alias("after"))
 
 
+def indexed_documents(spark: SparkSession, d: str) -> str:
+    """An index of all documents, in two batches: those whose label is poor come first as something else, and then as they are."""
+    folder, docs = sinks.fresh_folder(spark, "index"), documents(spark, d)
+    poor = table(spark, d, "labels").filter("quality = 0").select("doc_id")
+    text_index.append(docs.join(poor.withColumn("poor", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("poor"), F.lower("content")).otherwise(F.col("content")).alias("content")), folder, "doc_id")
+    text_index.append(docs.join(poor, "doc_id", "left_semi"), folder, "doc_id")
+    return folder
+
+
+@query
+def search_indexed_single(spark: SparkSession, d: str) -> DataFrame:
+    """As search_single, by an index of trigrams."""
+    return text_index.search_index(spark, indexed_documents(spark, d), "tion[a-z]*", key="doc_id").select("doc_id", "line_number", "line_content")
+
+
+@query
+def search_indexed_rare(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern that few documents match, by an index of trigrams."""
+    return text_index.search_index(spark, indexed_documents(spark, d), "(licen[cs]e|copyright).*(granted|reserved)", key="doc_id", ignore_case=True).select("doc_id", "line_number")
+
+
+@query
+def search_indexed_multi(spark: SparkSession, d: str) -> DataFrame:
+    """Four patterns, by an index of trigrams."""
+    return text_index.search_index(spark, indexed_documents(spark, d), ["token", "^The", "th[ae]n", "(pass|key)word"], key="doc_id").select("pattern", "doc_id", "line_number")
+
+
 @query
 def line_scan(spark: SparkSession, d: str) -> DataFrame:
     """Lines and blank lines of each document."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +46,34 @@ def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     return sorted(done)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which spark.checkpoint.dir names; only where all runs in one process may it be unset."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed now and kept in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders at path; none if there is nothing."""
+    p, fs = _path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
 def stored(spark: SparkSession, path: str) -> bool:
     """Whether there is anything at path."""
     p, fs = _path(spark, path)
