@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.sources.sinks import upsert, without
+from quarry.sources.sinks import cut, upsert, without
 
 
 def changes(files: DataFrame, state: DataFrame, key: str = "path", value: str = "hash") -> DataFrame:
@@ -15,6 +15,55 @@ def changes(files: DataFrame, state: DataFrame, key: str = "path", value: str =
     return a.join(b, key, "full_outer").select(key, kind.alias("change"))
 
 
+#: Digests of buckets, and of groups of so many buckets.
+BUCKETS, GROUPED = 4096, 64
+
+
+def digests(rows: DataFrame, buckets: int = BUCKETS, key: str = "path", value: str = "hash") -> DataFrame:
+    """(bucket, n, x, s): of each bucket of keys, digests of its rows that don't depend on their order; tasks send one row a bucket."""
+    h = F.xxhash64(key, value)
+    # One by exclusive or, one by sum (of another hash, in halves, so that it can't run over): 128 bits and a count.
+    other = F.xxhash64(F.lit(1), value, key)
+    half = lambda shift: F.sum(F.shiftright(other, shift).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    return rows.groupBy(bucket).agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.concat_ws(",", half(0), half(32)).alias("s"))
+
+
+def _unlike(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+    """Where two tables of digests differ."""
+    both = a.join(b.select(by, *(F.col(c).alias(f"_{c}") for c in ("n", "x", "s"))), by, "full_outer")
+    return both.filter("NOT (n <=> _n AND x <=> _x AND s <=> _s)").select(by)
+
+
+def rolled(found: DataFrame) -> DataFrame:
+    """Digests of groups of buckets, from those of the buckets."""
+    group = F.floor(F.col("bucket") / GROUPED).cast("int").alias("group")
+    return found.groupBy(group).agg(F.sum("n").alias("n"), F.bit_xor(F.xxhash64("bucket", "x")).alias("x"), F.sum(F.xxhash64("bucket", "s").cast("decimal(38,0)")).cast("string").alias("s"))
+
+
+def unlike_buckets(now: DataFrame, was: DataFrame) -> DataFrame:
+    """(bucket): the buckets whose digests differ, by way of the groups that do."""
+    top = _unlike(rolled(now), rolled(was), "group")
+    group = F.floor(F.col("bucket") / GROUPED).cast("int")
+    under = lambda t: t.withColumn("group", group).join(F.broadcast(top), "group", "left_semi").drop("group")
+    return _unlike(under(now), under(was), "bucket")
+
+
+def changes_by_digest(files: DataFrame, state: DataFrame, was: DataFrame | None = None, buckets: int = BUCKETS, key: str = "path", value: str = "hash") -> DataFrame:
+    """As changes(), but rows of buckets that are alike are unchanged without being shuffled.
+
+    was: the state's digests, if they have been kept; files and state are best stored with their hashes, as they are read
+    twice. As many buckets as are unlike go to every worker, `buckets` at most.
+    """
+    now = cut(digests(files, buckets, key, value))
+    unlike = cut(unlike_buckets(now, was if was is not None else cut(digests(state, buckets, key, value))))
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    marked = lambda t: t.select(key, value).withColumn("bucket", bucket)
+    touched = lambda t: marked(t).join(F.broadcast(unlike), "bucket", "left_semi").select(key, value)
+    alike = marked(files).join(F.broadcast(unlike), "bucket", "left_anti").select(key, F.lit("unchanged").alias("change"))
+    return changes(touched(files), touched(state), key, value).unionByName(alike)
+
+
 def summary(changed: DataFrame) -> DataFrame:
     """(added, modified, deleted, unchanged, total_processed, has_changes)."""
     by = changed.agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "modified", "deleted", "unchanged")))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,33 +27,59 @@ def top_k(pairs: DataFrame, k: int, by: list[str], order: list[Column]) -> DataF
 
 def _nearest(asked: pa.Table, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each batch of vectors (id, v), the k nearest of each query: a matrix product leaves few, whose distances are then summed exactly."""
-    names, queries = asked.column(0).combine_chunks(), np.array(asked.column(1).to_pylist(), dtype=np.float64)
-    lengths = (queries * queries).sum(axis=1)
+    names, queries = asked.column(0).combine_chunks(), asked.column(1).to_pylist()
+    by_length: dict[int, list[int]] = {}
+    for i, x in enumerate(queries):
+        by_length.setdefault(len(x), []).append(i)
+    asked_by = {n: (pa.array(own), np.array([queries[i] for i in own], dtype=np.float64).reshape(len(own), n)) for n, own in by_length.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            if not batch.num_rows or not len(queries):
-                continue
-            ids, v = batch.column(0), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            far = lengths[:, None] + (v * v).sum(axis=1)[None, :] - 2 * queries @ v.T
-            slack = 1e-9 * (1 + lengths + (v * v).sum(axis=1).max())
-            edge = np.partition(far, min(k, batch.num_rows) - 1, axis=1)[:, min(k, batch.num_rows) - 1]
-            q, x = np.nonzero(far <= (edge + slack)[:, None])
-            # Summed from the first place to the last, as SQL does.
-            exact = np.add.accumulate((v[x] - queries[q]) ** 2, axis=1)[:, -1]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(x)), pa.array(exact)], names=["query_id", "id", "distance"])
+            for n, ids, v in by_dimension(batch):
+                if n in asked_by:
+                    own, q = asked_by[n]
+                    i, x, exact = nearest(q, v, k)
+                    yield pa.RecordBatch.from_arrays([names.take(own.take(pa.array(i))), ids.take(pa.array(x)), pa.array(exact)], names=["query_id", "id", "distance"])
 
     return run
 
 
+def by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(length, ids, matrix) of the vectors of each length in a batch (id, v)."""
+    batch = batch.filter(batch.column(1).is_valid())
+    sizes = np.asarray(pc.list_value_length(batch.column(1)))
+    for n in np.unique(sizes).tolist():
+        own = batch.filter(pa.array(sizes == n))
+        yield n, own.column(0), own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, n)
+
+
+def nearest(queries: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, squared distance): of the vectors the k nearest of each query, and those as far as the last; a matrix product leaves few, whose distances are summed exactly."""
+    lengths, squares = (queries * queries).sum(axis=1), (v * v).sum(axis=1)
+    far = lengths[:, None] + squares[None, :] - 2 * queries @ v.T
+    most = min(k, len(v))
+    edge = np.partition(far, most - 1, axis=1)[:, most - 1]
+    q, x = np.nonzero(far <= (edge + 1e-9 * (1 + lengths + squares.max()))[:, None])
+    # Summed from the first place to the last, as SQL does.
+    exact = np.add.accumulate((v[x] - queries[q]) ** 2, axis=1)[:, -1] if v.shape[1] else np.zeros(len(q))
+    return q, x, exact
+
+
+def whole(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v) of the vectors without a null; others are no vectors, and are found by nothing."""
+    v = F.col(vec_col).cast("array<double>")
+    return vectors.select(F.col(id_col).alias("id"), v.alias("v")).filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, id, distance, score, rank): for each of queries(query_id, query) its k nearest vectors by squared L2; ties go by id.
 
-    Queries are a stated set; they go to the workers in blocks of MOST_QUERIES, vectors stay where they are. All have one length.
+    Queries are a stated set; they go to the workers in blocks of MOST_QUERIES, vectors stay where they are. A query meets the
+    vectors of its length; a vector or a query with a null in it meets nothing.
     """
+    queries = queries.filter(~F.exists("query", lambda x: x.isNull()))
     blocks = -(-queries.count() // MOST_QUERIES) or 1
-    own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    own = whole(vectors, id_col, vec_col)
     types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {own.schema['id'].dataType.simpleString()}, distance double"
     out = None
     for b in range(blocks):

@@ -168,3 +168,11 @@ SELECT session_id, name, CASE WHEN max(last) = 0 OR arg_max(i, (value, -i)) > ma
     "next_state": f"WITH {SNAPS}, {CHANGES}, {LINES}, {WINDOWS}, K AS (SELECT doc_id, count(*) AS n FROM W GROUP BY 1) SELECT C.doc_id, N.hash, CASE WHEN change = 'unchanged' THEN 'old' ELSE 'now' END AS indexed_at, CASE WHEN change = 'unchanged' THEN 1 ELSE coalesce(K.n, 0) END AS chunk_count FROM C JOIN N ON N.doc_id = C.doc_id LEFT JOIN K ON K.doc_id = C.doc_id",
     "sliding_windows": "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1, 2",
 }
+# The same rows by another way.
+ORACLE_SQL |= {
+    "knn_cells": ORACLE_SQL["knn_topk"],
+    "knn_recall": "SELECT count(*) AS n_queries, count(*) * least(10, (SELECT count(*) FROM embeddings)) AS n_right, true AS reached FROM embeddings WHERE vec_id % 100 = 0",
+    "cdc_digest": ORACLE_SQL["cdc_diff"],
+    "merged_pairs": ORACLE_SQL["pair_upsert"],
+    "merged_chunks": "SELECT doc_id AS path, CASE WHEN quality = 0 THEN n_chars ELSE 0 END AS size, lang FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT DISTINCT FROM 0 OR (doc_id % 7 <> 3 AND toxic IS DISTINCT FROM 1)",
+}

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions import vector as V
-from quarry.operators import chunks, gates, impact, logs, pairs, search, symbols, sync, text_index, vectors
+from quarry.operators import chunks, gates, impact, logs, pairs, search, symbols, sync, text_index, vector_index, vectors
 from quarry.plans import router
 from quarry.sources import files as S
-from quarry.sources import sinks
+from quarry.sources import merge, sinks
 from quarry.streaming import index as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +260,33 @@ def cdc_diff(spark: SparkSession, d: str) -> DataFrame:
     return sync.changes(*snapshots(spark, d)).select(F.col("path").alias("doc_id"), "change")
 
 
+@query
+def cdc_digest(spark: SparkSession, d: str) -> DataFrame:
+    """As cdc_diff, by digests of buckets: only those that differ are shuffled."""
+    return sync.changes_by_digest(*snapshots(spark, d)).select(F.col("path").alias("doc_id"), "change")
+
+
+@query
+def merged_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Changed documents merged into a stored table, and others deleted from it: only the buckets that they are in are written."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.col("lang"))
+    path = sinks.fresh_folder(spark, "chunks")
+    merge.create(docs.withColumn("size", F.lit(0).cast("long")).filter("path % 7 <> 3"), path, ["path"], 16)
+    labels = table(spark, d, "labels").withColumnRenamed("doc_id", "path")
+    merge.merge(path, docs.join(labels.filter("quality = 0"), "path", "left_semi"), labels.filter("toxic = 1").select("path"))
+    return merge.Snapshot(spark, path).read()
+
+
+@query
+def merged_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Learned pairs merged batch by batch, a month at a time, into a stored table; the newest of each stays."""
+    path, pairs_ = sinks.fresh_folder(spark, "pairs"), learned(spark, d).withColumn("at", F.struct("learned_at", "event_id"))
+    merge.create(pairs_.limit(0), path, ["nl_term", "symbol"], 8)
+    for part in range(3):  # late ones come after newer ones
+        merge.merge(path, pairs_.filter(F.col("event_id") % 3 == part), order="at", stored_later="at")
+    return merge.Snapshot(spark, path).read().select("nl_term", "symbol", "event_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query
 def cdc_summary(spark: SparkSession, d: str) -> DataFrame:
     return sync.summary(sync.changes(*snapshots(spark, d)))
@@ -332,6 +359,27 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.knn(table(spark, d, "embeddings"), vector_queries(spark, d)).select("query_id", F.col("id").alias("vec_id"), "rank", F.round("distance", 4).alias("distance"), F.round("score", 4).alias("score"))
 
 
+def cells(spark: SparkSession, d: str) -> str:
+    folder = sinks.fresh_folder(spark, "cells")
+    vector_index.build(table(spark, d, "embeddings"), folder, 16)
+    return folder
+
+
+@query
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """As knn_topk, by the vector index: cells that can hold a nearer one are looked into, others are not."""
+    found = vector_index.knn(spark, cells(spark, d), vector_queries(spark, d), exact=True)
+    return found.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("distance", 4).alias("distance"), F.round("score", 4).alias("score"))
+
+
+@query
+def knn_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the ten nearest the nearest half of the cells holds: nine of ten at least."""
+    v, q = table(spark, d, "embeddings"), vector_queries(spark, d)
+    r = vector_index.recall(vector_index.knn(spark, cells(spark, d), q, probes=8), vectors.knn(v, q))
+    return r.select("n_queries", "n_right", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query
 def knn_shortcircuit(spark: SparkSession, d: str) -> DataFrame:
     found = vectors.search_collections(table(spark, d, "embeddings"), vector_queries(spark, d), F.col("label") == 0)

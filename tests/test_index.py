@@ -57,3 +57,108 @@ def test_what_matches_has_what_is_asked_for(text, pattern):
 @pytest.mark.parametrize("pattern", [r"\Qa.b\E", r"[a&&b]", "(?x)a b c", r"\x41bc", "abc(", "a{x}", "[abc"])
 def test_patterns_that_are_not_read_ask_for_nothing(pattern):
     assert text_index.asked_for(pattern) == []
+
+
+# --- vectors ---
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    import random
+
+    r = random.Random(3)
+    own = [(i, [r.gauss(i % 5, 1.0) for _ in range(8)]) for i in range(600)] + [(1000 + i, [1.0] * 8) for i in range(300)]
+    return spark.createDataFrame(own, "vec_id long, embedding array<double>")
+
+
+def asked(points):
+    return points.filter("vec_id % 50 = 0").select(search.F.col("vec_id").alias("query_id"), search.F.col("embedding").alias("query"))
+
+
+def test_cells_are_exact_and_recall_what_is_near(spark, points, tmp_path, monkeypatch):
+    from quarry.operators import vector_index, vectors
+
+    monkeypatch.setattr(vector_index, "SLICE", 50)
+    monkeypatch.setattr(vector_index, "BLOCK", 3)
+    folder = str(tmp_path / "cells")
+    vector_index.build(points.unionByName(spark.createDataFrame([(2000, [1.0, None, *[0.0] * 6]), (2001, None)], "vec_id long, embedding array<double>")), folder, 12)
+    want = vectors.knn(points, asked(points))
+    assert rows(vector_index.knn(spark, folder, asked(points), exact=True, probes=1)) == rows(want)
+    r = vector_index.recall(vector_index.knn(spark, folder, asked(points), probes=6), want).first()
+    assert r.recall >= 0.9 and r.n_queries == asked(points).count()
+    with pytest.raises(Exception, match="lengths 2 to 8"):
+        vector_index.build(points.unionByName(spark.createDataFrame([(3000, [1.0, 2.0])], "vec_id long, embedding array<double>")), str(tmp_path / "no"), 2)
+
+
+def test_neighbours_of_other_lengths_and_nulls(spark):
+    from quarry.operators import vectors
+
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0, 1.0]), (4, [0.0, None]), (5, None), (6, [])], "vec_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [0.0, 0.1]), (2, [0.0, 0.0, 0.0]), (3, [None, 1.0]), (4, None), (5, [1.0])], "query_id long, query array<double>")
+    assert [(r.query_id, r.id, r["rank"]) for r in vectors.knn(v, q, 2).orderBy("query_id", "rank").collect()] == [(1, 1, 1), (1, 2, 2), (2, 3, 1)]
+
+
+# --- tables that merge ---
+
+
+def test_merge_writes_touched_buckets_only(spark, tmp_path):
+    from quarry.sources import merge
+
+    path = str(tmp_path / "table")
+    old = spark.range(400).select(search.F.col("id").alias("k"), search.F.lit(0).cast("long").alias("v"), search.F.lit("x").alias("b.c"))
+    first = merge.create(old, path, ["k"], 16)
+    new = spark.createDataFrame([(3, 1, "y"), (3, 2, "z"), (None, 7, "n"), (900, 9, None)], "k long, v long, `b.c` string")
+    second = merge.merge(path, new, spark.createDataFrame([(5,), (3,), (77777,)], "k long"), order="v")
+    want = {(k, 0, "x") for k in range(400) if k not in (3, 5)} | {(3, 2, "z"), (None, 7, "n"), (900, 9, None)}
+    assert set(map(tuple, second.read().collect())) == want and second.count() == 401
+    assert set(map(tuple, merge.Snapshot(spark, path, 1).read().collect())) == {(k, 0, "x") for k in range(400)}
+    touched = {b for b in second.places if second.places[b][0] != first.places.get(b, ("",))[0]}
+    assert 1 <= len(touched) <= 5 and all(second.places[b] == first.places[b] for b in set(first.places) - touched)
+    assert len(second.read([min(touched)]).inputFiles()) == 1
+    # Not updated, not inserted, and late.
+    merge.merge(path, spark.createDataFrame([(3, 50, "q"), (901, 1, "q")], "k long, v long, `b.c` string"), update=False)
+    merge.merge(path, spark.createDataFrame([(4, 51, "q"), (902, 1, "q")], "k long, v long, `b.c` string"), insert=False)
+    last = merge.merge(path, spark.createDataFrame([(3, 1, "late"), (4, 60, "now")], "k long, v long, `b.c` string"), stored_later="v")
+    assert set(map(tuple, last.read().collect())) == (want - {(4, 0, "x")}) | {(901, 1, "q"), (4, 60, "now")}
+    assert merge.merge(path, new.limit(0)).number == last.number == 5
+    assert merge.vacuum(spark, path) >= 1 and merge.snapshots(spark, path) == [4, 5]
+    assert merge.Snapshot(spark, path).count() == 402 == merge.Snapshot(spark, path).read().count()
+    with pytest.raises(ValueError):
+        merge.Snapshot(spark, path, 1)
+
+
+def test_two_writers_of_one_snapshot(spark, tmp_path, monkeypatch):
+    from quarry.sources import merge
+
+    path = str(tmp_path / "table")
+    merge.create(spark.range(10).select(search.F.col("id").alias("k")), path, ["k"], 2)
+    kept = merge._write
+
+    def slow(*a):
+        monkeypatch.setattr(merge, "_write", kept)
+        merge.merge(path, spark.range(20, 22).select(search.F.col("id").alias("k")))
+        return kept(*a)
+
+    monkeypatch.setattr(merge, "_write", slow)
+    with pytest.raises(Exception, match="exist"):
+        merge.merge(path, spark.range(30, 33).select(search.F.col("id").alias("k")))
+    assert {r.k for r in merge.Snapshot(spark, path).read().collect()} == {*range(10), 20, 21}
+
+
+# --- digests ---
+
+
+def test_changes_by_digest_are_changes(spark):
+    from quarry.operators import sync
+
+    files = spark.range(5000).select(search.F.col("id").alias("path"), search.F.md5(search.F.col("id").cast("string")).alias("hash"))
+    state = files.filter("path not in (7, 4000)").withColumn("hash", search.F.when(search.F.col("path") == 9, "old").otherwise(search.F.col("hash"))).unionByName(spark.createDataFrame([(9999, "gone")], "path long, hash string"))
+    assert rows(sync.changes_by_digest(files, state)) == rows(sync.changes(files, state))
+    assert sync.unlike_buckets(sync.digests(files), sync.digests(state)).count() == 4
+    assert sync.unlike_buckets(sync.digests(files), sync.digests(files)).count() == 0
+    nothing = files.limit(0)
+    assert rows(sync.changes_by_digest(files, nothing)) == rows(sync.changes(files, nothing)) and sync.changes_by_digest(nothing, nothing).count() == 0
+    # Rows that are shuffled follow the buckets that differ.
+    plan = sync.changes_by_digest(files, state)
+    plan.collect()
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
