@@ -100,6 +100,11 @@ def free_names(docs: DataFrame, *names: str) -> list[str]:
     return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in names]
 
 
+def quoted(docs: DataFrame) -> list[Column]:
+    """All columns by their very names, dots and all."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """docs without the rows whose keys are in gone (a small table, kept already)."""
     few = gone.limit(MOST_SENT + 1).count() <= MOST_SENT

@@ -5,7 +5,10 @@ token, the share of tokens that are raw bytes (characters the vocabulary lacks)
 and the entropy of its tokens. Bands for the document's script say what can be
 language at all. What is normal is measured: fences around the quartiles of the
 characters per token and of the entropy over all documents of the script and of
-about the same number of tokens. Simple rules on words and repetition come first.
+about the same number of tokens. The fewer documents there are of a script and length, the
+more its fences are those of the whole script, and the fewer of a script, the more they
+are the bands: weights n / (n + HALF) see to it that nothing jumps at a number. Simple
+rules on words and repetition come first.
 
 Texts are measured in one pass; the fences come from the measures, which are small.
 Only different measures count, so copies of one document do not set them.
@@ -20,15 +23,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, free_names, held, id_bytes, on_batches, slices, without
+from quarry.llm.common import cut, free_names, held, id_bytes, on_batches, quoted, slices, without
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -47,10 +50,12 @@ class Band:
     entropy_from: int = 64
 
 
-#: Fences lie so many spreads of the quartiles outside of them (Tukey's rule); a spread is so large a part of the median at least.
-FENCE, LEAST_SPREAD = 1.5, 0.02
-#: Documents of a script and length that fences are measured from, at least. With fewer, only BANDS hold.
-LEAST_MEASURED = 64
+#: Fences lie so many spreads of the quartiles outside of them ; a spread is so large a part of the median at least.
+FENCE, LEAST_SPREAD = 2.0, 0.02
+#: So many documents give their own fences half of the weight; those of the script, or then the band, have the rest.
+HALF = 1
+#: More bits than a token's entropy can have.
+MOST_BITS = 32.0
 #: By script. Wide on purpose: they are to catch text that is not language, not unusual language.
 BANDS = {
     "latin": Band(1.2, 12.0, 0.20, 3.0),
@@ -174,20 +179,38 @@ def measured(rows: DataFrame, model: str, used: dict[str, Band]) -> DataFrame:
     return on_batches(rows, run, SCHEMA)
 
 
-def fenced(found: DataFrame) -> DataFrame:
-    """found (kept already) with kept only inside the fences of the script and of half an octave of tokens."""
-    octave = F.floor(2 * F.log2("n_pieces")).cast("int").alias("octave")
-    normal = found.filter("kept").select("script", "n_pieces", octave, "chars_per_token", "token_entropy").distinct()
+def fences(normal: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """By keys, the weight of what was measured, and the fences of each measure."""
     sides = []
     for c in FENCED:
         low, mid, high = (F.percentile(F.round(c, 3), F.lit(q)) for q in (0.25, 0.5, 0.75))
         far = FENCE * F.greatest(high - low, LEAST_SPREAD * mid)
-        sides += [(low - far).alias(f"{c}_low"), (high + far).alias(f"{c}_high")]
-    fences = normal.groupBy("script", "octave").agg(F.count("*").alias("n"), *sides).filter(F.col("n") >= LEAST_MEASURED)
-    both = found.withColumn("octave", octave).join(F.broadcast(fences), ["script", "octave"], "left")
+        sides += [(low - far).alias(f"{prefix}_{c}_low"), (high + far).alias(f"{prefix}_{c}_high")]
+    return normal.groupBy(*keys).agg((F.count("*") / (F.count("*") + HALF)).alias(f"{prefix}_weight"), *sides)
+
+
+def fenced(found: DataFrame, bands: dict[str, Band]) -> DataFrame:
+    """found (kept already) with kept only inside the fences of the script and of half an octave of tokens."""
+    octave = F.floor(2 * F.log2("n_pieces")).cast("int").alias("octave")
+    normal = found.filter("kept").select("script", "n_pieces", octave, "chars_per_token", "token_entropy").distinct()
+    both = found.withColumn("octave", octave)
+    for keys, prefix in ((["script", "octave"], "own"), (["script"], "all")):
+        both = both.join(F.broadcast(fences(normal, keys, prefix)), keys, "left")
+
+    def of_band(value: Callable[[Band], float]) -> Column:
+        known = F.create_map(*(x for s, b in bands.items() for x in (F.lit(s), F.lit(float(value(b))))))
+        return F.coalesce(F.element_at(known, F.col("script")), F.lit(float(value(bands["other"]))))
+
+    outer = {"chars_per_token_low": of_band(lambda b: b.low), "chars_per_token_high": of_band(lambda b: b.high), "token_entropy_low": F.when(F.col("n_pieces") < of_band(lambda b: b.entropy_from), 0.0).otherwise(of_band(lambda b: b.entropy)), "token_entropy_high": F.lit(MOST_BITS)}
+    mixed = {}
+    for side, band in outer.items():
+        mixed[side] = band
+        for prefix in ("all", "own"):
+            w = F.col(f"{prefix}_weight")
+            mixed[side] = F.coalesce(w * F.col(f"{prefix}_{side}") + (1 - w) * mixed[side], mixed[side])
     inside = F.lit(True)
     for c in FENCED:
-        inside &= F.coalesce(F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high")), F.lit(True))
+        inside &= F.coalesce(F.col(c).between(mixed[f"{c}_low"], mixed[f"{c}_high"]), F.lit(True))
     return both.withColumn("kept", F.col("kept") & inside).select(*NAMES)
 
 
@@ -196,7 +219,8 @@ def quality_rules(docs: DataFrame, model: str, bands: dict[str, Band] | None = N
 
     model: the file of a sentencepiece vocabulary, at the same place on every worker.
     """
-    return fenced(cut(measured(id_bytes(docs, id_col, text_col), model, BANDS | (bands or {}))))
+    used = BANDS | (bands or {})
+    return fenced(cut(measured(id_bytes(docs, id_col, text_col), model, used)), used)
 
 
 def quality_filter(docs: DataFrame, model: str, bands: dict[str, Band] | None = None, text_col: str = "text") -> DataFrame:
@@ -205,10 +229,11 @@ def quality_filter(docs: DataFrame, model: str, bands: dict[str, Band] | None =
     A text alone says whether its row is kept, so rows are taken away by the text's hash.
     """
     key = F.xxhash64(F.col(text_col).cast("string"))
-    found = fenced(cut(measured(docs.select(key.alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")), model, BANDS | (bands or {}))))
+    used = BANDS | (bands or {})
+    found = fenced(cut(measured(docs.select(key.alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")), model, used)), used)
     (name,) = free_names(docs, "key")
     gone = cut(found.filter("not kept").select(F.col("doc_id").alias(name)).distinct())
-    return without(docs.withColumn(name, key), gone, [name]).select(*docs.columns)
+    return without(docs.withColumn(name, key), gone, [name]).select(*quoted(docs))
 
 
 FENCED = ("chars_per_token", "token_entropy")

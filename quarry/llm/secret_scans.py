@@ -10,8 +10,10 @@ findings; findings() makes such a table of the kinds of secrets and of look-alik
 that are publicly known, or a table of one's own may be given. Training takes
 `most_findings` labelled rows at most; everything else covers all data.
 
-Where a secret stands it is replaced, and nowhere else; the bodies of private key blocks are
-known by their frame and replaced as a whole.
+Where a secret stands it is replaced, and nowhere else: where a field that is named, or a
+password in a URL, is one, the word that it stands in is none as a whole; a word for a kind
+of credentials ("Bearer") is none, and what follows it is looked at. The bodies of private
+key blocks are known by their frame and replaced as a whole.
 
 The trained trees become one Spark expression, and candidates are found and judged
 inside their document's row by array functions, so a scan reads each text once,
@@ -32,6 +34,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import quoted
+
 #: ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 KEY = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|secret)[_-]?key|auth)"
@@ -45,6 +49,10 @@ FIELD = (
 )
 #: A name with its sign, as in YAML, properties, headers or logs; the value is the next word.
 NAMED = KEY + r"[\w-]*[\"']?(?::=|=>|=|:)[\"']?$"
+#: What may stand between such a name and its value: a kind of credentials.
+KIND = r"(?i)^[\"']?(?:bearer|basic|token|digest|negotiate|api-?key|hmac)$"
+#: A field that says itself what it is.
+SAID = rf"{KEY}[\w-]*[\"']?(?:=>|:=|=|:)[\"']?"
 #: Public dictionary words that placeholders and identifiers are made of.
 WORDS = (
     "access account address admin alpha api app array auth base beta bench branch build cache change char check class client code column "
@@ -76,7 +84,7 @@ def rlike(c: Column, pattern: str) -> Column:
 def is_candidate(word: Column, one: Column, two: Column) -> Column:
     """one and two: the words one and two places before, null where there are none."""
     marked = rlike(word, "[0-9=:]") & (rlike(word, RUN) | rlike(word, ASSIGNED) | rlike(word, IN_URL))
-    return (F.length(word) >= 6) & (marked | rlike(word, PROVIDED) | spaced(one, two))
+    return (F.length(word) >= 6) & (marked | rlike(word, PROVIDED) | (spaced(one, two) & ~rlike(word, KIND)))
 
 
 def fields(word: Column) -> Column:
@@ -88,7 +96,8 @@ def fields(word: Column) -> Column:
 def spaced(one: Column, two: Column) -> Column:
     """Whether the words before are the assignment of something named like a secret."""
     ends = F.coalesce(rlike(one, "[=:>][\"']?$"), F.lit(False))
-    return ends & F.coalesce(F.when(one.isin("=", ":", "=>", ":="), rlike(two, KEY)).otherwise(rlike(one, NAMED)), F.lit(False))
+    kind = F.coalesce(rlike(one, KIND) & rlike(two, NAMED), F.lit(False))
+    return kind | ends & F.coalesce(F.when(one.isin("=", ":", "=>", ":="), rlike(two, KEY)).otherwise(rlike(one, NAMED)), F.lit(False))
 
 
 def value_of(word: Column) -> Column:
@@ -219,15 +228,19 @@ def judged(docs: DataFrame, labelled: DataFrame | None, most_findings: int, thre
     """row (all columns of docs), text, n_candidates, secrets and redacted."""
     spark = docs.sparkSession
     trees = forest(findings(spark, most_findings) if labelled is None else bounded(labelled, most_findings))
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path"))
+    rows = docs.select(F.struct(*quoted(docs)).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path"))
     words = rows.withColumn("words", F.split(F.coalesce("text", F.lit("")), SPACE, -1))
     word = lambda i, k: F.get("words", i + k)
     found = words.withColumn("places", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: is_candidate(word(i, 0), word(i, -1), word(i, -2))))
-    seen_of = lambda i, form: F.struct(i.alias("place"), value_of(form).alias("value"), F.array(*features(form, word(i, -1), word(i, -2), word(i, 1), F.col("path"))).alias("f"))
-    known = found.withColumn("c", F.transform("places", lambda i: F.transform(fields(word(i, 0)), lambda form: seen_of(i, form)))).select("row", "text", "words", "c")
+    seen_of = lambda i, k, form: F.struct(i.alias("place"), value_of(form).alias("value"), F.when(k == 0, "whole").when(rlike(form, IN_URL) | rlike(form, f"^{SAID}"), "said").alias("kind"), F.array(*features(form, word(i, -1), word(i, -2), word(i, 1), F.col("path"))).alias("f"))
+    known = found.withColumn("c", F.transform("places", lambda i: F.transform(fields(word(i, 0)), lambda form, k: seen_of(i, k, form)))).select("row", "text", "words", "c")
     votes = " + ".join(f"({t})".replace("f[", "x.f[") for t in trees)
-    scored = known.withColumn("c", F.expr(f"transform(c, w -> transform(w, x -> struct(x.place AS place, x.value AS value, ({votes}) / {len(trees)} AS score)))"))
-    bad = F.filter(F.transform("c", lambda w: F.filter(w, lambda x: (x["score"] > threshold) & (F.length(x["value"]) > 0))), lambda w: F.size(w) > 0)
+    scored = known.withColumn("c", F.expr(f"transform(c, w -> transform(w, x -> struct(x.place AS place, x.value AS value, x.kind AS kind, ({votes}) / {len(trees)} AS score)))"))
+    over = F.transform("c", lambda w: F.filter(w, lambda x: (x["score"] > threshold) & (F.length(x["value"]) > 0)))
+    # A field that is named says what is secret in its word, so a whole word that holds it isn't.
+    held = lambda w, x: F.exists(w, lambda y: F.coalesce(y["kind"] == "said", F.lit(False)) & F.contains(x["value"], y["value"]) & (x["value"] != y["value"]))
+    said = F.transform(over, lambda w: F.filter(w, lambda x: ~(F.coalesce(x["kind"] == "whole", F.lit(False)) & held(w, x))))
+    bad = F.transform(F.filter(said, lambda w: F.size(w) > 0), lambda w: F.transform(w, lambda x: x.dropFields("kind")))
     secrets = scored.select("row", "text", "words", F.size(F.flatten("c")).cast("long").alias("n_candidates"), bad.alias("bad"))
     # Words with the white space behind them. What lies between two words with secrets is copied as it is.
     spaces = F.concat(F.regexp_extract_all("text", F.lit(SPACE), F.lit(0)), F.array(F.lit("")))

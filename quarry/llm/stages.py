@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, free_names, table, tuned, without
+from quarry.llm.common import cut, free_names, quoted, table, tuned, without
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.ngram_jaccard import ngram_jaccard
 from quarry.llm.packing import pack
@@ -41,10 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = cut(found.filter("n > 1").select(F.col("doc_id").alias(key)))
     left = without(marked, gone, [key])
     if again.limit(1).count():
-        hashed = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-        one = left.join(again, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias(n)).select(f"{n}.*")
-        return without(left, again, [key]).select(*docs.columns).unionByName(one)
-    return left.select(*docs.columns)
+        hashed = [c for c, f in zip(quoted(docs), docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()]
+        one = left.join(again, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*quoted(docs)), F.xxhash64(*hashed)).alias(n))
+        return without(left, again, [key]).select(*quoted(docs)).unionByName(one.select(f"{n}.*"))
+    return left.select(*quoted(docs))
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +53,14 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
     gone = cut(found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(id_), F.col("key").alias(key)).distinct())
     marked = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), key: F.xxhash64(F.col("text").cast("string"))})
-    return without(marked, gone, [id_, key]).select(*docs.columns)
+    return without(marked, gone, [id_, key]).select(*quoted(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced and n_chars as it then is; a null text stays null."""
-    out = redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
+    """All documents, with their secrets replaced and n_chars as it then is; a null text stays null, and a table without a source has no paths."""
+    (path,) = free_names(docs, "path")
+    out = redact(docs if "source" in docs.columns else docs.withColumn(path, F.lit(None).cast("string")), path_col="source" if "source" in docs.columns else path)
+    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*quoted(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,10 @@ def test_contaminated_with_clashing_names(spark, tmp_path):
     assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == [(2, "clean words", "mine", 7), (None, None, "mine", 7)]
     marked = docs.select("doc_id", "text", F.col("id").alias("_key"), F.col("key").alias("_id"))
     assert stages.contaminated(spark, marked, str(tmp_path)).columns == marked.columns
+
+
+def test_stages_take_odd_names_and_no_source(spark, docs):
+    odd = docs.filter("doc_id < 12").withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit("x")).drop("source")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, "/root/testdata/sf0.001")
+        assert out.columns == odd.columns and out.count() >= 1
