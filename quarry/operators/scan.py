@@ -98,6 +98,32 @@ class Scan:
             k = self.closes[k] + 1 if k in self.closes else k + 1
         return None
 
+    def past(self, k: int) -> int:
+        """What follows the angle brackets that begin at token k, whatever is between them; k itself if there are none, or if they don't close."""
+        depth, j = 0, k
+        while j < len(self.tokens) and (t := self.tokens[j].text) != ";":
+            depth += (t == "<") - (t == ">")
+            j = self.closes[j] + 1 if j in self.closes else j + 1
+            if not depth:
+                return j if j > k + 1 else k
+        return k
+
+    def find(self, k: int, mark: str) -> int | None:
+        """The first such mark from token k on, outside of all brackets, before the statement ends."""
+        while k < len(self.tokens):
+            t = self.tokens[k].text
+            if t == mark:
+                return k
+            if t in (";", ")", "]", "}"):
+                return None
+            k = self.closes[k] + 1 if k in self.closes else max(k + 1, self.past(k) if t == "<" else 0)
+        return None
+
+    def arguments(self, k: int) -> int | None:
+        """The round bracket at token k, behind type parameters if there are any."""
+        k = self.past(k) if self.text(k) == "<" else self.closes[k] + 1 if self.text(k) == "[" else k
+        return k if self.text(k) == "(" and k in self.closes else None
+
     def calls(self, first: int = 0, last: int | None = None) -> list[Call]:
         """Calls among the tokens from first to last, in order of their names."""
         out = []
@@ -131,13 +157,12 @@ def nodes(source: str, language: str) -> list[tuple]:
         if t.kind != "word" or scan.text(k - 1) in ("->", "?->", "::", "."):
             continue
         if t.text in functions:
-            o = next((j for j in range(k + 1, min(k + 40, len(scan.tokens))) if scan.text(j) == "("), None)
-            if language == "go" and o == k + 1:  # a receiver
-                o = scan.closes[o] + 2
-            name = scan.text(o - 1) if o and scan.text(o) == "(" else ""
-            if language == "rust" and name.endswith(">"):
-                name = scan.text(k + 1)
-            if o and o in scan.closes and re.fullmatch(r"\w+", name) and name != t.text:
+            j = k + 1
+            if language == "go" and scan.text(j) == "(":  # a receiver
+                j = scan.closes[j] + 1
+            j += scan.text(j) in ("&", "*")
+            name, o = scan.text(j), scan.arguments(j + 1)
+            if o and re.fullmatch(r"[\w$]+", name) and name != t.text:
                 b = scan.body(scan.closes[o] + 1)
                 found.append((k, scan.closes[b] if b is not None else scan.closes[o], "functions", name, "function", scan.parts(o)))
         elif t.text in types and language == "go":
@@ -148,14 +173,15 @@ def nodes(source: str, language: str) -> list[tuple]:
             found.append((k, scan.closes[b] if b is not None else k + 1, "classes", scan.text(k + 1), t.text, []))
         elif language in ("javascript", "typescript"):
             if t.text in ("const", "let", "var") and scan.text(k + 2) in ("=", ":"):
-                o = next((j for j in range(k + 2, min(k + 12, len(scan.tokens))) if scan.text(j) == "("), None)
-                if o and scan.text(o - 1) in ("=", "async") and (arrow := _arrow(scan, scan.closes[o] + 1)):
+                j = scan.find(k + 2, "=") or k
+                o = scan.arguments(j + 1 + (scan.text(j + 1) == "async")) if scan.text(j) == "=" else None
+                if o and (arrow := _arrow(scan, scan.closes[o] + 1)):
                     b = scan.closes[arrow + 1] if scan.text(arrow + 1) == "{" else arrow + 1
                     found.append((k, b, "functions", scan.text(k + 1), "function", scan.parts(o)))
-            elif scan.text(k + 1) == "(" and t.text not in CONTROL and scan.text(scan.inside[k] if scan.inside[k] >= 0 else -1) == "{":
-                after = scan.closes[k + 1] + 1
+            elif scan.text(k + 1) in ("(", "<") and t.text not in CONTROL and scan.text(scan.inside[k] if scan.inside[k] >= 0 else -1) == "{" and (o := scan.arguments(k + 1)):
+                after = scan.closes[o] + 1
                 if (b := after if scan.text(after) == "{" else scan.body(after) if scan.text(after) == ":" else None) is not None:
-                    found.append((k, scan.closes[b], "functions", t.text, "member", scan.parts(k + 1)))
+                    found.append((k, scan.closes[b], "functions", t.text, "member", scan.parts(o)))
     out, open_ = [], []
     for a, z, category, name, kind, parameters in sorted(found):
         while open_ and open_[-1][0] < a:
@@ -168,12 +194,8 @@ def nodes(source: str, language: str) -> list[tuple]:
 
 
 def _arrow(scan: Scan, k: int) -> int | None:
-    for j in range(k, min(k + 12, len(scan.tokens))):
-        if scan.text(j) == "=>":
-            return j
-        if scan.text(j) in (";", "{", ","):
-            return None
-    return None
+    """The arrow at token k, or behind the return type that begins there."""
+    return k if scan.text(k) == "=>" else scan.find(k + 1, "=>") if scan.text(k) == ":" else None
 
 
 def _statements(scan: Scan, language: str) -> list[tuple]:

@@ -141,3 +141,20 @@ def test_identifiers(spark):
     page = '<a class="btn main" id="x1">.go</a><i class=\'btn\'>'
     got = spark.range(1).select(X.css_identifiers(F.lit(page)).alias("x")).first().x
     assert got == ["go", "btn", "main", "x1"]
+
+
+@pytest.mark.parametrize(
+    "language,source,names",
+    [
+        ("rust", "fn wide<" + ", ".join(f"T{i}: Clone + Send" for i in range(15)) + ">(a: T0, b: Vec<T1>) -> Map<T0, T1> { a }\nfn f(x: u8) {}", [("wide", 2), ("f", 1)]),
+        ("go", "func G[T any, U comparable](x T, y U) error { return nil }\nfunc (r *R[T]) M(a int) {}\nfunc H(a int) int { return func(b int) int { return b }(a) }", [("G", 2), ("M", 1), ("H", 1)]),
+        ("typescript", "function g<T extends Map<string, {a: number}>>(x: T): T { return x }\nclass C { m<T>(x: T): Set<T> { if (a < b) { c() } return x }\n n(a, b) { } }", [("g", 1), ("m", 1), ("n", 2)]),
+        ("typescript", "const f = async <T>(x: T, y: number): Promise<Map<string, Array<[number, T, string, boolean, null, undefined]>>> => { return x };\nconst h: (a: number) => Map<string, number> = (a) => new Map();\nconst z = 1 < 2;", [("f", 2), ("h", 1)]),
+        ("javascript", "function* gen(a) { yield a }\nconst $a = (b, c) => b < c ? (1) : 2\nlet n = (3 + 4) * 2;", [("gen", 1), ("$a", 2)]),
+        ("php", "<?php function &ref($a, array $b = [1, 2]) { return $a; } class K { public function go(): ?Map { } }", [("go", 0), ("ref", 2)]),
+    ],
+)
+def test_functions_with_type_parameters(language, source, names):
+    from quarry.operators import scan
+
+    assert [(n[1], len(n[5])) for n in scan.nodes(source, language) if n[0] == "functions"] == names
