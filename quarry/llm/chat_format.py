@@ -71,7 +71,7 @@ def sums_before(numbers: Column) -> Column:
 
 
 def chat_format(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, formatted and loss_spans (start and length in characters of each assistant text in formatted)."""
+    """conv_id, formatted and loss_spans (start and length of each assistant text in formatted, in characters and in bytes of UTF-8)."""
     rows = turns.select(
         F.col(conv).alias("conv_id"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("t"),
@@ -101,9 +101,11 @@ def chat_format(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         )
     )
     laid = blocks.select("conv_id", pieces.alias("pieces"))
-    placed = laid.select("conv_id", "pieces", sums_before(F.transform("pieces", lambda p: F.length(p["s"]))).alias("at"))
-    spans = F.filter(F.zip_with("pieces", "at", lambda p, at: F.struct(at.cast("int").alias("start"), F.length(p["s"]).alias("length"), p["loss"].alias("loss"))), lambda x: x["loss"])
-    return placed.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss_spans"))
+    before = lambda size: sums_before(F.transform("pieces", lambda p: size(p["s"])))
+    placed = laid.select("conv_id", "pieces", before(F.length).alias("start"), before(F.octet_length).alias("byte_start"))
+    rows = F.arrays_zip("pieces", "start", "byte_start")
+    spans = F.transform(F.filter(rows, lambda x: x["pieces"]["loss"]), lambda x: F.struct(x["start"].cast("int").alias("start"), F.length(x["pieces"]["s"]).alias("length"), x["byte_start"].cast("int").alias("byte_start"), F.octet_length(x["pieces"]["s"]).alias("byte_length")))
+    return placed.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -118,5 +120,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    # Bytes are cut out where they stand; characters would be counted from the text's start for each span.
+    cut_out = lambda raw: F.transform("loss_spans", lambda s: unescaped(F.substring(raw, s["byte_start"] + 1, s["byte_length"]).cast("string")))
+    loss = F.array_join(F.flatten(F.transform(F.array(F.col("formatted").cast("binary")), cut_out)), "")
     return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))

@@ -11,11 +11,13 @@ block of documents sends its n-grams to their parts, where they are counted and
 probed, and the levels found come back to the block, where its texts are scored. Blocks
 are made twice from the same rows; a number made of what they hold tells if that fails.
 
-The score of a text is the log10 of interpolated probabilities with absolute discounting:
-P(w | uv) = KEEP * max(c(uvw) - DISCOUNT, 0) / c(uv) + (1 - KEEP) * P(w | v), and so on
-down to (c(w) + 1) / (N + V + 1); a context never seen leaves all to the shorter one. The base
-score is exact: unigram counts of frequent words lie in the workers, others are joined
-(see dictionary).
+The score of a text is the log10 of probabilities smoothed with those of the shorter context
+as a prior: P(w | uv) = (c(uvw) + PRIOR * P(w | v)) / (c(uv) + PRIOR), and so on down to
+(c(w) + 1) / (N + V + 1). All that a context doesn't spend on what it has been followed by
+goes to the shorter one, so the probabilities of all words and of one unknown word add up to
+one, but for the steps of the counts (a count is read within a factor of 1.42); a context
+never seen leaves all to the shorter one. The base score is exact: unigram counts of frequent
+words lie in the workers, others are joined (see dictionary).
 
 Defined cases: a null or empty text is one token, the end; repeated rows each give a
 row; without training rows N and V are 0, so every base probability is 1 and base
@@ -47,8 +49,8 @@ KEY, WORD_BYTES = 28, 6
 PROBES = 4
 #: Probes entered for each bit of a stretch, at most; three quarters of the bits are unset then.
 FULL = 0.29
-#: What a longer context keeps, and what is taken off each count in it.
-KEEP, DISCOUNT = 0.6, 0.9
+#: How many times a context of one word, and of two, must have been seen to count as much as the shorter one.
+PRIORS = (256.0, 1.0)
 #: Bytes of words that are sent to every worker at most.
 MOST_SENT = 50_000_000
 #: Text and tokens of a block, at most.
@@ -209,10 +211,9 @@ def probed(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("part").applyInArrow(run, "part int, block long, levels binary")
 
 
-def discounted(count: np.ndarray, context: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """P in a context seen so often, given P in the shorter one."""
-    share = np.divide(np.maximum(count - DISCOUNT, 0), np.maximum(context, count), out=np.zeros(len(count)), where=context > 0)
-    return np.where(context > 0, KEEP * share + (1 - KEEP) * shorter, shorter)
+def smoothed(count: np.ndarray, context: np.ndarray, shorter: np.ndarray, prior: float) -> np.ndarray:
+    """P in a context seen so often, given P in the shorter one. As counts are read in steps, one may exceed its context's."""
+    return np.where(context > 0, (count + prior * shorter) / (np.maximum(context, count) + prior), shorter)
 
 
 def scores(words: np.ndarray, at: np.ndarray, lengths: np.ndarray, skips: np.ndarray, level: np.ndarray, bits: int, total: int) -> np.ndarray:
@@ -225,7 +226,7 @@ def scores(words: np.ndarray, at: np.ndarray, lengths: np.ndarray, skips: np.nda
     before[starts] = single[-1]
     context = np.concatenate([[0.0], pair[:-1]])
     context[starts] = 0
-    logs = np.log10(discounted(triple, context, discounted(pair, before, np.minimum((single[at] + 1) / total, 1.0))))
+    logs = np.log10(smoothed(triple, context, smoothed(pair, before, np.minimum((single[at] + 1) / total, 1.0), PRIORS[0]), PRIORS[1]))
     for k in np.flatnonzero(skips).tolist():
         logs[starts[k] : starts[k] + skips[k]] = 0
     return np.add.reduceat(logs, starts)

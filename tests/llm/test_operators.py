@@ -411,6 +411,29 @@ def test_lm_filter_grows():
         assert (f.levels(part[-5000:] + np.uint64(1)) > 0).mean() < 0.02
 
 
+def test_lm_is_a_distribution():
+    """Probabilities of all words and of an unknown one add up to one in every context that goes on; with counts in steps, within their factors."""
+    import random
+
+    r = random.Random(8)
+    texts = [[*(r.choice("aaaabbcde") for _ in range(r.randint(1, 30))), None] for _ in range(60)]
+    one = collections.Counter(w for t in texts for w in t)
+    two = collections.Counter(x for t in texts for x in zip([None, *t[:-1]], t, strict=True))
+    three = collections.Counter(x for t in texts for x in list(zip([None, *t], t, t[1:], strict=False)))
+    total = sum(one.values()) + len(one) + 1
+    vocabulary = [*one, "unknown"]
+    exact = lambda n: np.asarray(n, dtype=float)
+    steps = lambda n: lm_scoring.middle(np.frexp(exact(n))[1])
+    for read, low, high in ((exact, 1 - 1e-9, 1 + 1e-9), (steps, 0.5, 2.0)):
+        base = np.minimum((read([one[w] for w in vocabulary]) + 1) / total, 1)
+        for v in one:
+            single = lm_scoring.smoothed(read([two[v, w] for w in vocabulary]), np.full(len(vocabulary), read([one[v]])[0]), base, lm_scoring.PRIORS[0])
+            assert low <= single.sum() <= high
+            for u in one:
+                if v is not None and two[u, v]:
+                    assert low <= lm_scoring.smoothed(read([three[u, v, w] for w in vocabulary]), np.full(len(vocabulary), read([two[u, v]])[0]), single, lm_scoring.PRIORS[1]).sum() <= high
+
+
 @pytest.mark.parametrize("block", [lm_scoring.TOKENS, 700])
 def test_lm_scores_against_brute_force(spark, docs, pairs, block):
     """All n-grams in the model, over several blocks and parts, with null and repeated ids and texts longer than a block."""
@@ -426,16 +449,16 @@ def test_lm_scores_against_brute_force(spark, docs, pairs, block):
             three.update(zip([None, None, *ws[:-2]], [None, *ws[:-1]], ws) if len(ws) > 1 else [])
     total = sum(one.values()) + len(one) + 1
 
-    def seen(n, context, shorter):
+    def seen(n, context, shorter, prior):
         n, context = level(n), level(context)
-        return 0.6 * max(n - 0.9, 0) / max(context, n) + 0.4 * shorter if context else shorter
+        return (n + prior * shorter) / (max(context, n) + prior) if context else shorter
 
     def score(t):
         ws, x = tokens(t), 0.0
         for k, w in enumerate(ws):
             v, u = (ws[k - 1] if k else None), (ws[k - 2] if k > 1 else None)
-            p = seen(two[v, w], one[v], min((level(one[w]) + 1) / total, 1))
-            x += math.log10(seen(three[u, v, w], two[u, v], p) if k else p)
+            p = seen(two[v, w], one[v], min((level(one[w]) + 1) / total, 1), lm_scoring.PRIORS[0])
+            x += math.log10(seen(three[u, v, w], two[u, v], p, lm_scoring.PRIORS[1]) if k else p)
         return x
 
     want = collections.defaultdict(list)
