@@ -6,12 +6,14 @@ import ast
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import scan
 from quarry.operators.search import search
+from quarry.operators.spans import enclosing
+from quarry.operators.sync import observed
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -102,18 +104,6 @@ def minus_definitions(references: DataFrame, definitions: DataFrame, keys: tuple
     return references.join(definitions.select(*keys), list(keys), "left_anti")
 
 
-def enclosing(lines: DataFrame, spans: DataFrame, file: str = "path", line: str = "line", innermost: bool = False) -> DataFrame:
-    """lines with the span (start_line, end_line) of the same file around each, the outermost unless innermost; lines outside all are left out.
-
-    A join on the file with a range condition: a file's spans are few, so no pair of files meets.
-    """
-    inside = lines.alias("l").join(spans.alias("s"), (F.col(f"l.{file}") == F.col(f"s.{file}")) & F.col(f"l.{line}").between(F.col("s.start_line"), F.col("s.end_line")))
-    span = F.struct(F.col("s.start_line"), F.col("s.end_line"), *(F.col(f"s.{c}") for c in spans.columns if c not in (file, "start_line", "end_line")))
-    size = F.struct((F.col("s.end_line") - F.col("s.start_line")), F.col("s.start_line"))
-    pick = F.min_by(span, size) if innermost else F.max_by(span, F.struct(F.col("s.end_line") - F.col("s.start_line"), -F.col("s.start_line")))
-    return inside.groupBy(*(F.col(f"l.{c}") for c in lines.columns)).agg(pick.alias("span")).select(*lines.columns, "span.*")
-
-
 def cached(files: DataFrame, cache: DataFrame, language: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) of files(path, hash) in cache(path, hash, language, ...): a hit has the same path, content and language asked for."""
     asked = F.col("language").eqNullSafe(F.lit(language))
@@ -121,6 +111,13 @@ def cached(files: DataFrame, cache: DataFrame, language: str | None = None) -> t
     return hits, files.join(hits.select("path"), "path", "left_anti")
 
 
+def looked_up(files: DataFrame, cache: DataFrame, language: str | None = None) -> tuple[DataFrame, Observation]:
+    """files(path, hash) with hit, as cached() has them, and the numbers of hits and misses, which are known when the rows have been computed."""
+    good = cache.filter(F.col("language").eqNullSafe(F.lit(language))).select("path", "hash").distinct().withColumn("_hit", F.lit(True))
+    found = files.join(good, ["path", "hash"], "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return observed(found, hits=F.col("hit"), misses=~F.col("hit"))
+
+
 def latest_tags(nodes: DataFrame, order: str = "line") -> DataFrame:
     """The first tag of each name in a file."""
     w = Window.partitionBy("path", "name").orderBy(order)

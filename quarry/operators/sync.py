@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.sources.sinks import cut, upsert, without
@@ -70,6 +70,17 @@ def summary(changed: DataFrame) -> DataFrame:
     return by.withColumn("total_processed", F.col("added") + F.col("modified") + F.col("deleted")).withColumn("has_changes", F.col("total_processed") > 0)
 
 
+def observed(rows: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """rows, and the number of those that each condition holds for, gathered while they are computed for what they are wanted for."""
+    seen = Observation()
+    return rows.observe(seen, *(F.count_if(c).alias(n) for n, c in counts.items())), seen
+
+
+def observed_changes(changed: DataFrame) -> tuple[DataFrame, Observation]:
+    """changed, and what summary() says of it but for the last two columns, without a second job."""
+    return observed(changed, **{c: F.col("change") == c for c in ("added", "modified", "deleted", "unchanged")})
+
+
 def next_state(state: DataFrame, files: DataFrame, changed: DataFrame, chunk_counts: DataFrame, now: Column, key: str = "path") -> DataFrame:
     """The state after a run: deleted files gone, added and modified ones as they are now, with their chunks after deduplication."""
     fresh = files.join(changed.filter(F.col("change").isin("added", "modified")).select(key), key).join(chunk_counts, key, "left")

@@ -58,6 +58,43 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
+def ignore_regex(line: str | None) -> str | None:
+    """What a rule of an ignore file means for paths as seen from its folder; null for blank lines and comments."""
+    rule = (line or "").rstrip().removeprefix("!")
+    if not rule or (line or "").startswith("#"):
+        return None
+    return f"^{'' if '/' in rule.rstrip('/') else '(?:.*/)?'}{X.glob_regex(rule.strip('/'), across=False)[1:-1]}$"
+
+
+#: Rules that are sent to every worker at most.
+MOST_RULES = 100_000
+
+
+def ignored_by_files(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(path, ignored) of paths(path), by rules(folder, line, rule): the lines of the ignore files found in any folder.
+
+    Of the rules of all folders above that fit, the last line of the deepest folder decides; ! takes back. What is in an
+    ignored folder is ignored, whatever else is said. The folder of the topmost ignore file is ''. Each different folder is
+    judged once, for all files below it.
+    """
+    read = F.pandas_udf(lambda lines: lines.map(ignore_regex), "string", F.PandasUDFType.SCALAR)
+    known = rules.withColumn("regex", read("rule")).filter("regex IS NOT NULL").select("folder", "line", "regex", F.startswith(F.col("rule"), F.lit("!")).alias("back"), F.endswith(F.rtrim("rule"), F.lit("/")).alias("folders"))
+    known = F.broadcast(known) if known.limit(MOST_RULES + 1).count() <= MOST_RULES else known
+    above = lambda c: F.transform(F.sequence(F.lit(0), F.size(F.split(c, "/", -1)) - 1), lambda i: F.array_join(F.slice(F.split(c, "/", -1), 1, i), "/"))
+    files = paths.select("path").filter("path IS NOT NULL").distinct()
+    folders = files.select(F.explode(above(F.col("path"))).alias("path")).filter("path <> ''").distinct()
+    each = files.withColumn("is_folder", F.lit(False)).unionByName(folders.withColumn("is_folder", F.lit(True)))
+    seen = each.select("path", "is_folder", F.explode(above(F.col("path"))).alias("folder")).join(known, "folder")
+    rest = F.when(F.col("folder") == "", F.col("path")).otherwise(F.substring(F.col("path"), F.length("folder") + 2, F.length("path")))
+    fits = seen.filter((F.col("is_folder") | ~F.col("folders")) & F.rlike(rest, F.col("regex")))
+    last = F.max_by(~F.col("back"), F.struct(F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/", -1))), F.col("line")))
+    judged = fits.groupBy("path", "is_folder").agg(last.alias("gone"))
+    gone = judged.filter("gone")
+    inside = files.select("path", F.explode(above(F.col("path"))).alias("folder")).join(gone.filter("is_folder").select(F.col("path").alias("folder")), "folder", "left_semi").select("path")
+    out = gone.filter("NOT is_folder").select("path").unionByName(inside).distinct().withColumn("ignored", F.lit(True))
+    return paths.select("path").join(out, "path", "left").select("path", F.coalesce("ignored", F.lit(False)).alias("ignored"))
+
+
 def searched(files: DataFrame, rules: list[str]) -> DataFrame:
     """Files that a text search looks at: not ignored, and no hidden file or folder in the path."""
     return files.filter(~ignored(F.col("path"), rules) & ~F.rlike("path", F.lit(r"(?:^|/)\.[^/]")))

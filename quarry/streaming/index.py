@@ -8,10 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarry.functions import text as X
 from quarry.operators.chunks import COLUMNS, SCHEMA, chunk
-from quarry.sources.sinks import stored
+from quarry.sources import merge
+from quarry.sources.sinks import clear, folders
 
-#: Paths of a batch that are sent to every worker at most.
-MOST_PATHS = 100_000
+#: Buckets of an index's state; a batch reads and writes those of its paths.
+BUCKETS = 64
 
 
 def file_stream(spark: SparkSession, root: str, most: int = 1000) -> DataFrame:
@@ -24,46 +25,57 @@ def file_stream(spark: SparkSession, root: str, most: int = 1000) -> DataFrame:
 STATE = "path string, hash string, batch long"
 
 
-def state_log(spark: SparkSession, index: str) -> DataFrame:
-    """(path, hash, batch) of all batches; a null hash is a file that has gone."""
-    return spark.read.schema(STATE).parquet(f"{index}/state") if stored(spark, f"{index}/state") else spark.createDataFrame([], STATE)
+def _table(spark: SparkSession, index: str, buckets: int = BUCKETS) -> str:
+    """Where the index's state is: a table that merges, with the path as its key."""
+    if not merge.snapshots(spark, f"{index}/state"):
+        merge.create(spark.createDataFrame([], STATE), f"{index}/state", ["path"], buckets)
+    return f"{index}/state"
 
 
-def newest(log: DataFrame) -> DataFrame:
-    """The last line of each path."""
-    return log.groupBy("path").agg(F.max_by(F.struct("hash", "batch"), "batch").alias("r")).select("path", "r.*")
+def state(spark: SparkSession, index: str) -> DataFrame:
+    """(path, hash, batch) of the files in an index; batch is the one that wrote a file's chunks."""
+    return merge.Snapshot(spark, _table(spark, index)).read()
 
 
 def indexed(spark: SparkSession, index: str) -> DataFrame:
     """Chunks of all files as they are now: those that a file's last batch wrote."""
-    now = newest(state_log(spark, index)).filter("hash is not null").select(F.col("path").alias("file"), "batch")
+    now = state(spark, index).select(F.col("path").alias("file"), "batch")
     return spark.read.schema(f"{SCHEMA}, batch long").parquet(f"{index}/chunks").join(now, ["file", "batch"], "left_semi").drop("batch").select(*COLUMNS)
 
 
 def index_batch(batch: DataFrame, batch_id: int, index: str) -> None:
     """Adds a batch's files to the index at a path; run again it gives the same. Files whose content is known already are left alone.
 
-    What is written is the batch's own, in folders of its own, whatever the size of the index: first its chunks, then
-    its state, by which they count. Old chunks stay until compact().
+    The batch's chunks are written to a folder of their own, and then its state is merged, by which they count; of the
+    state only the buckets of its paths are read and written, so a batch costs the same at any age of the index but for
+    their size. Old chunks stay until compact().
     """
     spark = batch.sparkSession
-    paths = batch.select("path").distinct()
-    before = newest(state_log(spark, index).filter(F.col("batch") < batch_id).join(F.broadcast(paths) if paths.limit(MOST_PATHS + 1).count() <= MOST_PATHS else paths, "path", "left_semi"))
+    table = merge.Snapshot(spark, _table(spark, index))
+    touched = [r["b"] for r in batch.select(merge.bucket_of(["path"], table.buckets).alias("b")).distinct().collect()]
+    # What this batch has written itself, before it was broken off, doesn't count as known.
+    before = table.read(touched).filter(F.col("batch") != batch_id)
     # A null hash beside a new one is a change, too.
-    changed = batch.join(before.select("path", F.col("hash").alias("was")), "path", "left").filter("not hash <=> was").drop("was")
+    known = before.select("path", F.col("hash").alias("was"), F.lit(True).alias("there"))
+    changed = batch.join(known, "path", "left").filter("there IS NULL OR NOT hash <=> was").drop("was", "there")
     chunk(changed).write.mode("overwrite").parquet(f"{index}/chunks/batch={batch_id}")
-    changed.select("path", "hash").write.mode("overwrite").parquet(f"{index}/state/batch={batch_id}")
+    merge.merge(f"{index}/state", changed.select("path", "hash", F.lit(batch_id).cast("long").alias("batch")))
 
 
-def forget(gone: DataFrame, batch_id: int, index: str) -> None:
-    """Files (path) that have gone."""
-    gone.select("path", F.lit(None).cast("string").alias("hash")).write.mode("overwrite").parquet(f"{index}/state/batch={batch_id}")
+def forget(spark: SparkSession, gone: DataFrame, index: str) -> None:
+    """Takes files (path) that have gone out of the index."""
+    merge.merge(_table(spark, index), gone=gone)
 
 
-def compact(spark: SparkSession, index: str, into: str) -> None:
-    """The index as it is now, as the first batch of another."""
-    indexed(spark, index).write.parquet(f"{into}/chunks/batch=0")
-    newest(state_log(spark, index)).filter("hash is not null").select("path", "hash").write.parquet(f"{into}/state/batch=0")
+def compact(spark: SparkSession, index: str) -> None:
+    """Makes one batch of all chunks that count, in place, and removes the others. Batches made so have numbers below zero."""
+    old = folders(spark, f"{index}/chunks")
+    number = min([0, *(int(n.removeprefix("batch=")) for n in old)]) - 1
+    indexed(spark, index).write.mode("overwrite").parquet(f"{index}/chunks/batch={number}")
+    merge.merge(f"{index}/state", state(spark, index).withColumn("batch", F.lit(number).cast("long")))
+    merge.vacuum(spark, f"{index}/state", keep=1)
+    for name in old:
+        clear(spark, f"{index}/chunks/{name}")
 
 
 def follow(spark: SparkSession, root: str, index: str, checkpoint: str) -> StreamingQuery:
@@ -89,8 +101,3 @@ def sliding(events: DataFrame, keys: list[str], window: str = "1 hour", slide: s
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "10 minutes", column: str = "ts") -> DataFrame:
     """An extension: runs of events of a key with no gap as long as that."""
     return event_time(events, column).withWatermark(column, late).groupBy(F.session_window(column, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
-
-
-def expire(pairs: DataFrame, late: str = "30 days", column: str = "learned_at") -> DataFrame:
-    """Pairs once each, forgotten after their time to live."""
-    return event_time(pairs, column).withWatermark(column, late).dropDuplicatesWithinWatermark(["nl_term", "symbol"])

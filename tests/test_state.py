@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import gates, logs, pairs, sync, vectors
 from quarry.sources import sinks
+from quarry.sources import merge
 from quarry.streaming import index
 
 
@@ -144,7 +145,7 @@ def test_streaming_index(spark, tmp_path):
     assert names() == {"func0", "func1", "func2"}
     (root / "t9.py").write_text("def later(): pass\n")
     index.follow(spark, str(root), str(store), str(check)).awaitTermination()
-    assert names() == {"func0", "func1", "func2", "later"} and index.newest(index.state_log(spark, str(store))).count() == 4
+    assert names() == {"func0", "func1", "func2", "later"} and index.state(spark, str(store)).count() == 4
 
 
 def test_index_batches(spark, tmp_path):
@@ -154,16 +155,21 @@ def test_index_batches(spark, tmp_path):
     names = lambda i=store: sorted(r.name for r in index.indexed(spark, i).filter("type = 'function'").collect())
     index.index_batch(files(("a.py", "def a(): pass\n"), ("b.py", "def b(): pass\n")), 0, store)
     before = {p: os.path.getmtime(p) for p in glob.glob(store + "/**/*.parquet", recursive=True)}
+    kept = merge.Snapshot(spark, store + "/state").places
     for _ in range(2):
         index.index_batch(files(("a.py", "def a2(): pass\n"), ("b.py", "def b(): pass\n"), ("c.py", "def c(): pass\n")), 1, store)
         assert names() == ["a2", "b", "c"]
     assert all(os.path.getmtime(p) == t for p, t in before.items())
-    assert spark.read.parquet(store + "/state/batch=1").count() == 2
-    index.forget(spark.createDataFrame([("b.py",)], "path string"), 2, store)
+    bucket = {r.path: r.b for r in index.state(spark, store).select("path", merge.bucket_of(["path"], index.BUCKETS).alias("b")).collect()}
+    now = merge.Snapshot(spark, store + "/state").places
+    assert {b for b in now if now[b] != kept.get(b)} == {bucket["a.py"], bucket["c.py"]}
+    index.forget(spark, spark.createDataFrame([("b.py",)], "path string"), store)
     assert names() == ["a2", "c"]
-    index.compact(spark, store, store + "2")
-    assert names(store + "2") == ["a2", "c"]
-    index.index_batch(files(("b.py", "def b(): pass\n")), 3, store)
+    index.compact(spark, store)
+    assert names() == ["a2", "c"] and [os.path.basename(p) for p in glob.glob(store + "/chunks/*")] == ["batch=-1"]
+    index.index_batch(files(("b.py", "def b(): pass\n"), ("c.py", "def c(): pass\n")), 3, store)
+    assert names() == ["a2", "b", "c"]
+    index.compact(spark, store)
     assert names() == ["a2", "b", "c"]
 
 
