@@ -69,7 +69,7 @@ def _dependencies(parameters: list[str]) -> list[dict[str, str]]:
         words = [t.text for t in Scan(p, "php").tokens if t.kind == "word"]
         at = next((k for k, w in enumerate(words) if w.startswith("$")), 0)
         if at and words[at - 1].lower() not in (*PLAIN_TYPES, "private", "protected", "public", "readonly"):
-            out.append({"type": words[at - 1], "name": words[at][1:]})
+            out.append({"class": words[at - 1], "variable": words[at][1:]})
     return out
 
 
@@ -96,7 +96,7 @@ def php_metadata(source: str) -> dict[str, object]:
                 # Only what is returned at once.
                 call = next((c for c in scan.calls(b, scan.closes[b]) if c.on == "$this" and c.name in RELATIONS), None)
                 if call and scan.text(b + 1) == "return":
-                    relations.append({"method": following, "type": call.name, "model": _target(call.name, call.arguments)})
+                    relations.append({"method": following, "type": call.name, "related": _target(call.name, call.arguments)})
     full = f"{space}\\{name}" if space and name else name
     return {"fqcn": full or None, "uses": uses or None, "translatable": fields or None, "relations": relations or None, "dependencies": depends or None}
 

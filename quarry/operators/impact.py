@@ -54,6 +54,8 @@ def doc_mentions(files: DataFrame, words: list[str], key: str = "path", content:
     return hits.select(key, F.size("hits").cast("long").alias("match_count"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["keyword"]))).alias("keywords"), F.slice("hits", 1, SAMPLES).alias("samples")).orderBy(F.col("match_count").desc(), key).limit(most)
 
 
+#: Different identifiers that are looked for in each file at once, at most; with more, files' runs are laid against them.
+FEW = 64
 #: Runs of characters that names are made of.
 RUN = r"(?U)[\w-]+"
 
@@ -65,12 +67,19 @@ def cross_references(files: DataFrame, sources: DataFrame, kinds: tuple[str, ...
     reference; for each source the first files by name stay. All joins are on equal keys: an
     identifier is found by its longest run of name characters, which lies within a run of the
     file's; the pieces of so many characters of each different run are laid against it. What an
-    identifier has besides is looked for in the content. One without such a run isn't looked for.
+    identifier has besides is looked for in the content. One without such a run isn't looked for. Up to FEW different
+    identifiers are tried on each file as it is read, which gives the same rows.
     """
     each = sources.select(F.col(source_key).alias("source"), F.posexplode(F.slice("identifiers", 1, identifiers)).alias("place", "identifier"))
     longest = F.array_max(F.transform(X.all_matches(F.col("identifier"), RUN), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
     asked = each.withColumn("piece", longest).filter("piece is not null")
     rows = files.filter(X.extension(F.col(key)).isin(*kinds)) if kinds else files
+    columns = ["source", key, "place", "identifier"]
+    few = [r["identifier"] for r in asked.select("identifier").distinct().limit(FEW + 1).collect()]
+    if len(few) <= FEW:  # looked for in each file as it is read
+        named = F.filter(F.array(*(F.lit(x) for x in few)).cast("array<string>"), lambda i: F.contains(F.col(content), i))
+        met = rows.select(key, F.explode(named).alias("identifier")).join(F.broadcast(asked), "identifier").filter(F.col(key).cast("string") != F.col("source").cast("string"))
+        return _first_files(met.select(*columns), key, most)
     runs = rows.select(key, F.explode(F.array_distinct(X.all_matches(F.col(content), RUN))).alias("run"))
     sizes = F.broadcast(asked.agg(F.array_sort(F.collect_set(F.length("piece"))).alias("sizes")))
     pieces = F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length("run")), lambda n: F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring(F.col("run"), i, n))))
@@ -78,8 +87,12 @@ def cross_references(files: DataFrame, sources: DataFrame, kinds: tuple[str, ...
     met = runs.join(holding, "run").select(key, "piece").distinct().join(asked, "piece").filter(F.col(key).cast("string") != F.col("source").cast("string"))
     sure, unsure = met.filter("piece = identifier"), met.filter("piece <> identifier")
     checked = unsure.join(rows.select(key, content), key).filter(F.contains(content, F.col("identifier")))
-    columns = ["source", key, "place", "identifier"]
-    found = sure.select(*columns).unionByName(checked.select(*columns)).groupBy("source", key).agg(F.min_by("identifier", "place").alias("identifier"))
+    return _first_files(sure.select(*columns).unionByName(checked.select(*columns)), key, most)
+
+
+def _first_files(met: DataFrame, key: str, most: int) -> DataFrame:
+    """(source, key, identifier): the first identifier of each file, and of each source the first files by name."""
+    found = met.groupBy("source", key).agg(F.min_by("identifier", "place").alias("identifier"))
     w = Window.partitionBy("source").orderBy(key)
     return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
 

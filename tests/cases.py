@@ -238,7 +238,7 @@ def meta(spark: SparkSession, path: str, content: str, lang: str) -> DataFrame:
 
 @case(
     "key string, value string", ("fqcn", "App\\Models\\Order"), ("uses", '["App\\\\Support\\\\Money"]'), ("translatable", '["title", "note"]'),
-    ("relations", '[{"method": "items", "type": "hasMany", "model": "Item"}, {"method": "owner", "type": "morphTo", "model": "dynamic"}]'), ("dependencies", '[{"type": "Money", "name": "money"}, {"type": "Clock", "name": "clock"}]'),
+    ("relations", '[{"method": "items", "type": "hasMany", "related": "Item"}, {"method": "owner", "type": "morphTo", "related": "dynamic"}]'), ("dependencies", '[{"class": "Money", "variable": "money"}, {"class": "Clock", "variable": "clock"}]'),
 )
 def case_php_metadata(spark: SparkSession) -> DataFrame:
     return meta(spark, "app/Order.php", PHP, "php").filter("name = 'Payable'").select("key", "value")

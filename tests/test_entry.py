@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarry import cases, oracle, queries
+from quarry import oracle, project, queries
 
-QUERIES, ORACLE_SQL = queries.QUERIES | cases.QUERIES, oracle.ORACLE_SQL | cases.ORACLE_SQL
+QUERIES, ORACLE_SQL = queries.QUERIES | project.QUERIES, oracle.ORACLE_SQL | project.ORACLE_SQL
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

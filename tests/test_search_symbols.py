@@ -158,3 +158,15 @@ def test_functions_with_type_parameters(language, source, names):
     from quarry.operators import scan
 
     assert [(n[1], len(n[5])) for n in scan.nodes(source, language) if n[0] == "functions"] == names
+
+
+def test_cross_references_by_either_way(spark, monkeypatch):
+    """Few identifiers are tried on each file, many are laid against files' runs: the same rows."""
+    r = ["a-b", "box", "x.y", "naïve", "zz", "q"]
+    files = spark.createDataFrame([(f"p{i}.html", " ".join(r[(i * k) % 6] + str(i % 3) * (k % 2) for k in range(4))) for i in range(30)], "path string, content string")
+    own = spark.createDataFrame([("p1.html", ["box", "a-b"]), ("s.css", ["x.y", "naïve", "nowhere"]), ("t.css", ["."]), ("u.css", [])], "path string, identifiers array<string>")
+    found = []
+    for few in (64, 0):
+        monkeypatch.setattr(impact, "FEW", few)
+        found.append(sorted(map(tuple, impact.cross_references(files, own.filter("path <> 't.css'"), (".html",), most=5).collect())))
+    assert found[0] == found[1] and len(found[0]) >= 5
