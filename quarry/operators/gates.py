@@ -170,3 +170,53 @@ def add_explored(old: Column, new: Column) -> Column:
 
 def discard_reasons_missing(reviewed: DataFrame) -> DataFrame:
     return reviewed.filter((F.col("decision") == "discard") & (F.length(F.trim(F.coalesce("reason", F.lit("")))) == 0))
+
+
+# What to do after a phase has been checked, where it is needed, and where what follows it is next.
+NEEDED = {
+    "SEMANTIC": "Execute SEMANTIC phase: Use semantic_search to gather additional information, then call submit_semantic.",
+    "VERIFICATION": "Execute VERIFICATION phase: Verify hypotheses using code-intel tools, then call submit_verification.",
+    "IMPACT_ANALYSIS": "Execute IMPACT_ANALYSIS phase: Analyze impact range using analyze_impact, then call submit_impact_analysis.",
+}
+SKIPPED = {
+    "Q2_CHECK": "SEMANTIC skipped. Now check VERIFICATION necessity using check_phase_necessity(phase='VERIFICATION', assessment={...}).",
+    "Q3_CHECK": "VERIFICATION skipped. Now check IMPACT_ANALYSIS necessity using check_phase_necessity(phase='IMPACT_ANALYSIS', assessment={...}).",
+    "READY": "IMPACT_ANALYSIS skipped. Proceed to READY phase for implementation.",
+}
+OTHERWISE = "Proceed to next step."
+
+
+def instruction(phase: Column, needed: Column, following: Column) -> Column:
+    """What to do after a check of whether a phase is needed."""
+    pick = lambda key, texts: F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in texts.items()), F.lit(OTHERWISE))
+    return F.when(needed, pick(phase, NEEDED)).otherwise(pick(following, SKIPPED))
+
+
+def submitted_for_review(sessions: DataFrame) -> DataFrame:
+    """sessions(session_id, phase, branch) with success and next_phase: one that is READY and has its branch goes on to PRE_COMMIT."""
+    good = F.coalesce((F.col("phase") == "READY") & F.col("branch"), F.lit(False))
+    return sessions.withColumn("success", good).withColumn("next_phase", F.when(good, "PRE_COMMIT").otherwise(F.col("phase")))
+
+
+def reviewed(sessions: DataFrame, files: DataFrame) -> DataFrame:
+    """(session_id, success, kept, discarded, message) of what sessions(session_id, phase) hand in: files(session_id, pos, path, decision, reason).
+
+    A session must be in PRE_COMMIT, and who discards a file must say why; of several without a reason the first is named.
+    Without a decision a file is kept. Paths come in the order of pos.
+    """
+    decision = F.coalesce("decision", F.lit("keep"))
+    place = F.struct("pos", "path")
+    paths = lambda keep: F.transform(F.array_sort(F.collect_list(F.when((decision == "keep") == F.lit(keep), place))), lambda x: x["path"])
+    wordless = (decision == "discard") & (F.length(F.coalesce("reason", F.lit(""))) == 0)
+    by = files.groupBy("session_id").agg(paths(True).alias("kept"), paths(False).alias("discarded"), F.min(F.when(wordless, place))["path"].alias("lacking"))
+    none = F.array().cast("array<string>")
+    here = F.coalesce(F.col("phase") == "PRE_COMMIT", F.lit(False))
+    good = here & F.col("lacking").isNull()
+    # The messages.
+    message = (
+        F.when(~here, F.concat(F.lit("Cannot submit review in phase "), F.col("phase"), F.lit(". Must be in PRE_COMMIT phase.")))
+        .when(F.col("lacking").isNotNull(), F.concat(F.lit("Discarding '"), F.col("lacking"), F.lit("' requires a reason.")))
+        .otherwise(F.format_string("Review complete. %d files to keep, %d files to discard.", F.size(F.coalesce("kept", none)), F.size(F.coalesce("discarded", none))))
+    )
+    of = lambda c: F.when(good, F.coalesce(c, none)).otherwise(none).alias(c)
+    return sessions.join(by, "session_id", "left").select("session_id", good.alias("success"), of("kept"), of("discarded"), message.alias("message"))

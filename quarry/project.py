@@ -7,17 +7,17 @@ are those of the features.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import agreements, chunks, containment, gates, impact, logs, search, sessions, symbols, sync, vectors
+from quarry.operators import agreements, chunks, containment, gates, impact, logs, search, sessions, stored, symbols, sync, vectors
 from quarry.oracle import CHANGES, LINES, OUTCOMES, SNAPS
 from quarry.oracle import ORACLE_SQL as KNOWN
 from quarry.plans import router
-from quarry.queries import ORDER, Query, documents, explorations, learned, outcomes, snapshots, table
+from quarry.queries import ORDER, Query, documents, explorations, outcomes, snapshots, table
 from quarry.sources import files as S
-from quarry.sources import sinks
+from quarry.sources import merge, sinks
 from quarry.streaming import logs as streams
 
 QUERIES: dict[str, Query] = {}
@@ -442,6 +442,102 @@ def session_branch(spark: SparkSession, d: str) -> DataFrame:
     return S.branch_of(parsed.select("branch", "p.session_id"), "s_5").select("branch")
 
 
+# --- runs that keep what they know ---
+
+
+def sources(spark: SparkSession, d: str, changed: Column) -> DataFrame:
+    """Small Python sources made from parts, some with a function more."""
+    name = F.regexp_replace("p_name", "[^a-zA-Z0-9]+", "_")
+    source = F.concat(F.lit("class C_"), name, F.lit(":\n    def m_"), name, F.lit("(self, a):\n        return a\n\n\ndef f(*args):\n    return 1\n"), F.when(changed, "\n\ndef more():\n    pass\n").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("src/p"), F.col("p_partkey"), F.when(F.col("p_partkey") % 10 == 7, ".txt").otherwise(".py")).alias("path"), source.alias("content"), X.content_hash(source).alias("hash"), F.lit("python").alias("lang"))
+
+
+@query("SELECT count(*) AS files_scanned, count(*) FILTER (p_partkey % 4 <> 1 AND p_partkey % 3 <> 0) AS files_cached, CAST(sum(CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE 3 END) AS BIGINT) AS tags FROM part WHERE p_partkey % 10 <> 7")
+def tag_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A scan for tags after an earlier one of some of the files, a third of which have changed since."""
+    cache = sinks.fresh_folder(spark, "tags")
+    stored.scan_tags(sources(spark, d, F.lit(False)).filter("p_partkey % 4 <> 1"), cache)
+    found, counts = stored.scan_tags(sources(spark, d, F.col("p_partkey") % 3 == 0), cache)
+    return found.agg(F.count("*").alias("tags")).select(*(F.lit(n).cast("long").alias(c) for c, n in counts.items()), "tags")
+
+
+def two_runs(spark: SparkSession, d: str) -> str:
+    """Tables after a run over all documents, the poor ones with other texts, and one over those as they are, some of them gone."""
+    folder = sinks.fresh_folder(spark, "index")
+    poor = table(spark, d, "labels").filter("quality = 0").select("doc_id", F.lit(True).alias("poor"))
+    docs = documents(spark, d).join(poor, "doc_id", "left")
+    rows = lambda text, keep: docs.filter(keep).select(F.col("doc_id").cast("string").alias("path"), text.alias("content"), X.content_hash(text).alias("hash"), F.lit(1.0).alias("mtime"), F.lit("text").alias("lang"))
+    stored.run(rows(F.when(F.col("poor"), F.concat(F.lit("# x\n"), F.col("content"))).otherwise(F.col("content")), "true"), folder, "one")
+    stored.run(rows(F.col("content"), "doc_id % 11 <> 5"), folder, "two")
+    return folder
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, substr(sha256(text), 1, 16) AS hash, CASE WHEN quality = 0 THEN 'two' ELSE 'one' END AS indexed_at FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 11 <> 5")
+def stored_state(spark: SparkSession, d: str) -> DataFrame:
+    """The stored state after two incremental runs."""
+    return merge.Snapshot(spark, f"{two_runs(spark, d)}/state").read().select("path", "hash", "indexed_at")
+
+
+@query(
+    "WITH D AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 11 = 5) AS gone, count(*) FILTER (quality = 0 AND doc_id % 11 <> 5) AS poor, count(*) FILTER (text IS NULL) AS broken, count(*) FILTER (text IS NULL AND quality = 0 AND doc_id % 11 <> 5) AS again FROM documents LEFT JOIN labels USING (doc_id)) "
+    "SELECT CAST(1 AS BIGINT) AS run, 'one' AS ran_at, n AS added, CAST(0 AS BIGINT) AS modified, CAST(0 AS BIGINT) AS deleted, CAST(0 AS BIGINT) AS unchanged, broken AS errors FROM D UNION ALL SELECT 2, 'two', 0, poor, gone, n - poor - gone, again FROM D"
+)
+def stored_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The stamps of two incremental runs."""
+    return merge.Snapshot(spark, f"{two_runs(spark, d)}/runs").read()
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file FROM documents WHERE doc_id % 11 <> 5 AND regexp_matches(text, '\\S')")
+def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Files that have chunks after two incremental runs, none of which are of before."""
+    found = stored.chunks(spark, two_runs(spark, d))
+    return found.groupBy("file").agg(F.bool_or(F.startswith("content", F.lit("# x\n"))).alias("old")).filter("NOT old").select("file")
+
+
+@query(f"WITH {SNAPS} SELECT doc_id, 'now' AS summary, hash AS content_hash, CASE WHEN doc_id % 2 = 0 THEN 'note ' || quality ELSE '' END AS extra_notes, 'two' AS last_synced FROM N JOIN labels USING (doc_id)")
+def context_written(spark: SparkSession, d: str) -> DataFrame:
+    """The context after its summaries have been written anew over stored ones, half of which had notes."""
+    folder = sinks.fresh_folder(spark, "context")
+    now, _ = snapshots(spark, d)
+    own = now.join(table(spark, d, "labels").withColumnRenamed("doc_id", "path"), "path")
+    before = own.filter("path % 2 = 0").select("path", F.lit("before").alias("summary"), F.lit("old").alias("content_hash"), F.concat(F.lit("note "), "quality").alias("extra_notes"), F.lit("one").alias("last_synced"))
+    sinks.swap(before, folder)
+    stored.save_context(own.select("path", F.lit("now").alias("summary"), F.col("hash").alias("content_hash")), folder, F.lit("two"))
+    return sinks.read(spark, folder).withColumnRenamed("path", "doc_id")
+
+
+@query(
+    f"WITH {OUTCOMES} SELECT event_id, CASE WHEN k % 2 = 0 THEN CASE k % 5 WHEN 0 THEN 'Execute SEMANTIC phase: Use semantic_search to gather additional information, then call submit_semantic.' WHEN 1 THEN 'Execute VERIFICATION phase: Verify hypotheses using code-intel tools, then call submit_verification.' "
+    "WHEN 2 THEN 'Execute IMPACT_ANALYSIS phase: Analyze impact range using analyze_impact, then call submit_impact_analysis.' ELSE 'Proceed to next step.' END ELSE CASE k % 5 WHEN 0 THEN 'SEMANTIC skipped. Now check VERIFICATION necessity using check_phase_necessity(phase=''VERIFICATION'', assessment={...}).' "
+    "WHEN 1 THEN 'VERIFICATION skipped. Now check IMPACT_ANALYSIS necessity using check_phase_necessity(phase=''IMPACT_ANALYSIS'', assessment={...}).' WHEN 2 THEN 'IMPACT_ANALYSIS skipped. Proceed to READY phase for implementation.' ELSE 'Proceed to next step.' END END AS instruction FROM O"
+)
+def check_instructions(spark: SparkSession, d: str) -> DataFrame:
+    """What to do after checks of whether phases are needed."""
+    of = lambda *names: F.element_at(F.array(*(F.lit(n) for n in names)), F.col("k") % 5 + 1)
+    return outcomes(spark, d).select("event_id", gates.instruction(of("SEMANTIC", "VERIFICATION", "IMPACT_ANALYSIS", "READY", "EXPLORATION"), F.col("k") % 2 == 0, of("Q2_CHECK", "Q3_CHECK", "READY", "SEMANTIC", "")).alias("instruction"))
+
+
+@query("SELECT c_custkey, c_nationkey % 3 = 0 AND c_acctbal > 0 AS success, CASE WHEN c_nationkey % 3 = 0 THEN CASE WHEN c_acctbal > 0 THEN 'PRE_COMMIT' ELSE 'READY' END ELSE 'SEMANTIC' END AS next_phase FROM customer")
+def reviews_begun(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' sessions that go to review: those that are ready and have a branch."""
+    s = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 3 == 0, "READY").otherwise("SEMANTIC").alias("phase"), (F.col("c_acctbal") > 0).alias("branch"))
+    return gates.submitted_for_review(s).select("c_custkey", "success", "next_phase")
+
+
+@query(
+    "WITH F AS (SELECT o_custkey, o_orderkey, 'f' || o_orderkey AS path, CASE WHEN o_orderstatus = 'F' THEN 'discard' WHEN o_orderstatus = 'O' THEN 'keep' END AS decision, CASE WHEN o_orderkey % 5 > 0 THEN 'r' ELSE '' END AS reason FROM orders), "
+    "B AS (SELECT o_custkey, count(*) FILTER (decision IS DISTINCT FROM 'discard') AS k, count(*) FILTER (decision = 'discard') AS d, arg_min(path, o_orderkey) FILTER (decision = 'discard' AND reason = '') AS bad FROM F GROUP BY 1), "
+    "S AS (SELECT c_custkey AS o_custkey, c_nationkey % 4 <> 0 AS here FROM customer) SELECT CAST(S.o_custkey AS BIGINT) AS session_id, here AND bad IS NULL AS success, CASE WHEN here AND bad IS NULL THEN coalesce(k, 0) ELSE 0 END AS n_kept, CASE WHEN here AND bad IS NULL THEN coalesce(d, 0) ELSE 0 END AS n_discarded, "
+    "CASE WHEN NOT here THEN 'Cannot submit review in phase READY. Must be in PRE_COMMIT phase.' WHEN bad IS NOT NULL THEN 'Discarding ''' || bad || ''' requires a reason.' ELSE 'Review complete. ' || coalesce(k, 0) || ' files to keep, ' || coalesce(d, 0) || ' files to discard.' END AS message FROM S LEFT JOIN B USING (o_custkey)"
+)
+def reviews_done(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews of orders' files by customers' sessions."""
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("session_id"), F.when(F.col("c_nationkey") % 4 == 0, "READY").otherwise("PRE_COMMIT").alias("phase"))
+    files = table(spark, d, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("f"), "o_orderkey").alias("path"), F.when(F.col("o_orderstatus") == "F", "discard").when(F.col("o_orderstatus") == "O", "keep").alias("decision"), F.when(F.col("o_orderkey") % 5 > 0, "r").otherwise("").alias("reason"))
+    r = gates.reviewed(s, files)
+    return r.select("session_id", "success", F.size("kept").cast("long").alias("n_kept"), F.size("discarded").cast("long").alias("n_discarded"), "message")
+
+
 # --- streams ---
 
 

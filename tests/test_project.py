@@ -74,3 +74,29 @@ def test_counters_of_a_run(spark):
     files_, state = (spark.createDataFrame(x, "path string, hash string") for x in ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("b", "0"), ("z", "9")]))
     changed, seen = sync.observed_changes(sync.changes(files_, state))
     assert changed.count() == 4 and seen.get == {"added": 1, "modified": 1, "deleted": 1, "unchanged": 1}
+
+
+def test_runs_and_scans_again(spark, tmp_path):
+    """A run that finds nothing new writes nothing but its stamp; a scan that knows all reads no source."""
+    from quarry.operators import stored
+    from quarry.sources import merge
+
+    rows = [("a.py", "def a(): pass\n", "1", 1.0, "python"), ("b.js", "function b(x) { }\n", "2", 1.0, "javascript"), ("c.md", "# C\n", "3", 1.0, "markdown"), ("venv/d.py", "def d(): pass\n", "4", 1.0, "python"), ("e.py", None, "5", 1.0, "python")]
+    schema = "path string, content string, hash string, mtime double, lang string"
+    all_ = spark.createDataFrame(rows, schema)
+    folder, cache = str(tmp_path / "index"), str(tmp_path / "cache")
+    assert stored.run(all_, folder, "one") == {"added": 5, "modified": 0, "deleted": 0, "unchanged": 0, "errors": 1}
+    number = merge.Snapshot(spark, f"{folder}/state").number
+    assert stored.run(all_, folder, "two") == {"added": 0, "modified": 0, "deleted": 0, "unchanged": 5, "errors": 0}
+    assert merge.Snapshot(spark, f"{folder}/state").number == number
+    found, counts = stored.scan_tags(all_, cache)
+    assert sorted((t.name, t.path) for t in found.collect()) == [("a", "a.py"), ("b", "b.js")] and counts == {"files_scanned": 3, "files_cached": 0}
+    changed = spark.createDataFrame([("a.py", "def a2(): pass\n", "9", 2.0, "python"), *rows[1:]], schema)
+    found, counts = stored.scan_tags(changed, cache)
+    assert sorted(t.name for t in found.collect()) == ["a2", "b"] and counts == {"files_scanned": 3, "files_cached": 2}
+    assert stored.scan_tags(changed, cache, "python")[1] == {"files_scanned": 3, "files_cached": 0}
+    stored.save_context(spark.createDataFrame([("d.md", "s", "h")], "path string, summary string, content_hash string"), str(tmp_path / "context"), spans.F.lit("one"))
+    stored.save_context(spark.createDataFrame([], "path string, summary string, content_hash string"), str(tmp_path / "context"), spans.F.lit("two"))
+    from quarry.sources import sinks
+
+    assert [tuple(r) for r in sinks.read(spark, str(tmp_path / "context")).collect()] == [("d.md", "s", "h", "", "two")]
