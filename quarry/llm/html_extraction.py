@@ -27,8 +27,9 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from itertools import takewhile
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ INSIDE = frozenset("ul ol dl table td th div section article aside nav main body
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?i)(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
+#: Open elements among which the one is looked for that a tag ends without naming it, or that an inline element's end tag names; so deep nesting takes no more than its time.
+NEAR = 512
 #: Kinds of lines.
 OTHER, MAIN, ARTICLE, OUT = 0, 1, 2, 3
 
@@ -86,6 +89,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     text: list[str] = []
     open_: list[tuple[str, int]] = []
+    counts: Counter[str] = Counter()
     kind, at, unseen = OTHER, 0, 0
 
     def ended() -> None:
@@ -110,13 +114,15 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if tag[1]:
             if name in BLOCKS:
                 ended()
-                there = any(x == name for x, _ in open_)
-            else:  # an inline element ends inside its block only
-                there = name in [x for x, _ in takewhile(lambda e: e[0] not in BLOCKS, reversed(open_))]
-            if not there:
+            if not counts[name]:
                 continue
+            if name not in BLOCKS:  # an inline element ends inside its block only
+                near = takewhile(lambda e: e[0] not in BLOCKS, islice(reversed(open_), NEAR))
+                if not any(x == name for x, _ in near):
+                    continue
             while open_:
                 last, kind = open_.pop()
+                counts[last] -= 1
                 unseen -= last in UNSEEN
                 if last in BLOCKS and last != name:
                     ended()
@@ -128,11 +134,13 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         elif name == "br":
             text.append("\n")
         while name in BLOCKS and open_:
-            k = next((k for k in range(len(open_) - 1, -1, -1) if name in ENDS.get(open_[k][0], ()) or open_[k][0] in INSIDE), -1)
+            k = next((k for k in range(len(open_) - 1, max(-1, len(open_) - 1 - NEAR), -1) if name in ENDS.get(open_[k][0], ()) or open_[k][0] in INSIDE), -1)
             if k < 0 or name not in ENDS.get(open_[k][0], ()):
                 break
             kind = open_[k][1]
-            unseen -= sum(x in UNSEEN for x, _ in open_[k:])
+            for x, _ in open_[k:]:
+                counts[x] -= 1
+                unseen -= x in UNSEEN
             del open_[k:]
         if name in VOID or tag[3].rstrip().endswith("/") and name in ("svg", "math"):
             continue
@@ -141,6 +149,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             at = end.end() if end else len(page)
             continue
         open_.append((name, kind))
+        counts[name] += 1
         unseen += name in UNSEEN
         kind = kind_of(name, tag[3], kind)
     ended()
