@@ -83,7 +83,7 @@ def test_framework_chunks():
     t = chunks.tailwind_chunks("t.js", "module.exports = { content: ['./a.html'], theme: { extend: { colors: { red: '#f00' } } }, plugins: [x] }", "x")
     assert [r[3] for r in t] == ["theme", "content", "plugins"]
     php = chunks.php_metadata("namespace App\\Models;\nuse App\\A;\nclass User {\n function __construct(private Repo $r, string $s) {}\n function posts() { return $this->hasMany(Post::class); }\n}")
-    assert php["fqcn"] == "App\\Models\\User" and php["relations"] == [{"method": "posts", "type": "hasMany", "related": "Post"}] and php["dependencies"] == [{"type": "Repo", "name": "r"}]
+    assert php["fqcn"] == "App\\Models\\User" and php["relations"] == [{"method": "posts", "type": "hasMany", "related": "Post"}] and php["dependencies"] == [{"class": "Repo", "variable": "r"}]
     b = chunks.blade_chunks("v.blade.php", "<x-nav-bar/> {{ route('home') }} @livewire('list')", "blade")[0]
     assert "NavBar" in b[8]["components"] and "home" in b[8]["routes"]
 
