@@ -4,7 +4,9 @@ Centroids are fitted on a bounded sample (`sample` rows, those with the least ha
 ids); every vector is assigned and stored. Cells that hold many vectors are read in
 slices, and those that many queries ask for are asked in blocks, so no cell is hot. A
 cell knows how far its farthest vector is: after the first look a query can tell which
-other cells may still hold a nearer one, and exact=True looks into just these.
+other cells may still hold a nearer one, and exact=True looks into just these. Without
+that, how many cells hold a wanted share of the nearest depends on the vectors: it is
+measured when the index is built, by brute force for SAMPLED stored vectors (`reach`).
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import vector as V
+from quarry.operators import vectors as exact_search
 from quarry.operators.vectors import by_dimension, nearest, top_k, whole
 from quarry.sources.sinks import cut
 
 #: Vectors in a slice of a cell, and queries in a block, about.
 SLICE, BLOCK = 20_000, 2_000
+#: Stored vectors whose nearest are measured, so many each, and the share of them that may fall short of a recall.
+SAMPLED, NEAREST, SHORT = 300, 10, 0.01
 #: Added to bounds on distances, for what is lost in sums.
 SLACK = 1e-6
 
@@ -60,10 +65,27 @@ def build(vectors: DataFrame, folder: str, cells: int = 64, sample: int = 50_000
     stored = spark.read.schema(f"id {kind}, v array<double>, distance double, cell int").parquet(f"{folder}/cells")
     sizes = {r["cell"]: r for r in stored.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()}
     spark.createDataFrame([(k, x.tolist(), float(sizes[k]["radius"]), sizes[k]["n"]) for k, x in enumerate(centres) if k in sizes], "cell int, centre array<double>, radius double, n long").coalesce(1).write.parquet(f"{folder}/centres")
+    _reach(spark, folder).coalesce(1).write.parquet(f"{folder}/reach")
+
+
+def _reach(spark: SparkSession, folder: str) -> DataFrame:
+    """(ranks): for each of SAMPLED stored vectors, how many cells are nearer to it than the one in which each of its NEAREST others lies."""
+    stored = spark.read.parquet(f"{folder}/cells")
+    some = cut(stored.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLED).select(F.col("id").alias("query_id"), F.col("v").alias("query")))
+    others = exact_search.knn(stored, some, NEAREST + 1, "id", "v").filter(~F.col("id").eqNullSafe(F.col("query_id"))).select("query_id", "id")
+    # A few numbers of each of few vectors.
+    places = F.broadcast(_probed(some, spark.read.parquet(f"{folder}/centres").collect(), 1).select("query_id", "cell", "nearer"))
+    return stored.select("id", "cell").join(F.broadcast(others), "id").join(places, ["query_id", "cell"]).groupBy("query_id").agg(F.array_sort(F.collect_list("nearer")).alias("ranks")).select("ranks")
+
+
+def probes_for(spark: SparkSession, folder: str, recall: float) -> int:
+    """The fewest cells with which all but SHORT of the sampled vectors find this share of their nearest; all cells, if nothing was measured."""
+    need = sorted(r["ranks"][max(0, int(np.ceil(recall * len(r["ranks"]) - 1e-9)) - 1)] + 1 for r in spark.read.schema("ranks array<int>").parquet(f"{folder}/reach").collect())
+    return need[int(np.ceil((1 - SHORT) * len(need))) - 1] if need else spark.read.parquet(f"{folder}/centres").count()
 
 
 def _probed(queries: DataFrame, centres: list, probes: int) -> DataFrame:
-    """(query_id, query, cell, gap, first): all cells of each query with the least distance that a vector in them can have; the `probes` nearest are looked into first."""
+    """(query_id, cell, gap, first, nearer): all cells of each query with the least distance that a vector in them can have and how many are nearer; the `probes` nearest are looked into first."""
     cell, middle, radius = np.array([r["cell"] for r in centres], dtype=np.int32), np.array([r["centre"] for r in centres]), np.array([r["radius"] for r in centres])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,10 +97,10 @@ def _probed(queries: DataFrame, centres: list, probes: int) -> DataFrame:
                 order = np.argsort(far, axis=1, kind="stable")
                 rank = np.empty_like(order)
                 np.put_along_axis(rank, order, np.arange(len(cell))[None, :], axis=1)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(q)), len(cell)))), pa.array(np.tile(cell, len(q))), pa.array(np.maximum(0, far - radius - SLACK).reshape(-1)), pa.array((rank < probes).reshape(-1))], names=["query_id", "cell", "gap", "first"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(q)), len(cell)))), pa.array(np.tile(cell, len(q))), pa.array(np.maximum(0, far - radius - SLACK).reshape(-1)), pa.array((rank < probes).reshape(-1)), pa.array(rank.reshape(-1).astype(np.int32))], names=["query_id", "cell", "gap", "first", "nearer"])
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    return queries.select("query_id", F.col("query").alias("v")).mapInArrow(run, f"query_id {kind}, cell int, gap double, first boolean")
+    return queries.select("query_id", F.col("query").alias("v")).mapInArrow(run, f"query_id {kind}, cell int, gap double, first boolean, nearer int")
 
 
 def _looked(stored: DataFrame, asked: DataFrame, queries: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
@@ -107,17 +129,17 @@ def _looked(stored: DataFrame, asked: DataFrame, queries: DataFrame, sizes: dict
     return parts.groupBy(*by).cogroup(read.groupBy(*by)).applyInArrow(met, types)
 
 
-def knn(spark: SparkSession, folder: str, queries: DataFrame, k: int = 10, probes: int = 8, exact: bool = False) -> DataFrame:
+def knn(spark: SparkSession, folder: str, queries: DataFrame, k: int = 10, probes: int = 8, exact: bool = False, recall: float | None = None) -> DataFrame:
     """(query_id, id, distance, score, rank): k near vectors of each of queries(query_id, query), from the `probes` nearest cells.
 
-    exact: then from all cells too that may hold one as near as the k found so far, so the result is that of vectors.knn. A
+    recall: from as many cells as hold this share of the nearest, as measured when the index was built (probes_for). exact: then from all cells too that may hold one as near as the k found so far, so the result is that of vectors.knn. A
     query of another length, or with a null, finds nothing.
     """
     queries = queries.filter(F.col("query").isNotNull() & ~F.exists("query", lambda x: x.isNull()))
     centres = spark.read.parquet(f"{folder}/centres").collect()
     stored = spark.read.parquet(f"{folder}/cells")
     sizes = {r["cell"]: r["n"] for r in centres}
-    asked = cut(_probed(queries, centres, probes))
+    asked = cut(_probed(queries, centres, probes if recall is None else probes_for(spark, folder, recall)))
     order = [F.col("distance"), F.col("id")]
     found = top_k(_looked(stored, asked.filter("first"), queries, sizes, k), k, ["query_id"], order)
     if exact:

@@ -90,6 +90,23 @@ def test_cells_are_exact_and_recall_what_is_near(spark, points, tmp_path, monkey
         vector_index.build(points.unionByName(spark.createDataFrame([(3000, [1.0, 2.0])], "vec_id long, embedding array<double>")), str(tmp_path / "no"), 2)
 
 
+def test_an_index_knows_how_many_cells_hold_what_is_near(spark, tmp_path):
+    """Vectors without clusters: half of the cells is not enough, and the index says so."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quarry.operators import vector_index, vectors
+
+    v = np.random.default_rng(3).normal(size=(600, 32))
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    q = points.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    vector_index.build(points, str(tmp_path / "i"), 16)
+    want = vectors.knn(points, q)
+    r = vector_index.recall(vector_index.knn(spark, str(tmp_path / "i"), q, recall=0.9), want).first()
+    assert (r["n_queries"], r["n_right"]) == (30, 300) and r["recall"] >= 0.9
+    assert 8 < vector_index.probes_for(spark, str(tmp_path / "i"), 0.9) <= 16 and vector_index.probes_for(spark, str(tmp_path / "i"), 0.2) < 8
+
+
 def test_neighbours_of_other_lengths_and_nulls(spark):
     from quarry.operators import vectors
 
