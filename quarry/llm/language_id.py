@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import held, id_bytes, on_batches, slices
 
 SCALE = 1 << 20
+#: Vectors of n-grams that are taken out and added up at once: few enough to stay in a core's cache.
+TAKEN = 64
 
 
 class Profiles:
@@ -39,6 +42,7 @@ class Profiles:
         self.letters: dict[int, np.ndarray] = {}
         self.place: dict[int, int] = {}
         self.grams = np.zeros((0, dims), dtype=np.float32)
+        self.taken = np.empty((TAKEN, dims), dtype=np.float32)
 
     def letter(self, point: int) -> np.ndarray:
         v = self.letters.get(point)
@@ -60,13 +64,17 @@ class Profiles:
         """The places of these n-grams' vectors in self.grams."""
         if len(self.place) + len(codes) > 2 * self.most:
             self.place.clear()
-        for c in codes.tolist():
+        asked = codes.tolist()
+        found = np.array([*map(self.place.get, asked, repeat(-1))], dtype=np.int64)
+        if len(found) and found.min() >= 0:
+            return found
+        for c in asked:
             if c not in self.place:
                 at = self.place[c] = len(self.place)
                 if at >= len(self.grams):
                     self.grams = np.concatenate([self.grams, np.empty((max(1024, len(self.grams)), self.dims), dtype=np.float32)])
                 self.grams[at] = self.gram(c)
-        return np.fromiter(map(self.place.__getitem__, codes.tolist()), dtype=np.int64, count=len(codes))
+        return np.fromiter(map(self.place.__getitem__, asked), dtype=np.int64, count=len(asked))
 
     def codes(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's n-grams of letters, runs of anything else counting as one gap, and their numbers."""
@@ -91,8 +99,10 @@ class Profiles:
             return None
         v = np.zeros(self.dims, dtype=np.float32)
         for at in range(0, len(codes), self.most):
-            rows = self.rows(codes[at : at + self.most])
-            v += n[at : at + self.most].astype(np.float32) @ self.grams[rows]
+            rows, times = self.rows(codes[at : at + self.most]), n[at : at + self.most].astype(np.float32)
+            for k in range(0, len(rows), TAKEN):
+                some = rows[k : k + TAKEN]
+                v += times[k : k + TAKEN] @ self.grams.take(some, axis=0, out=self.taken[: len(some)], mode="clip")
         size = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
         return v / size if size else v
 
