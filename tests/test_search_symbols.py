@@ -170,3 +170,24 @@ def test_cross_references_by_either_way(spark, monkeypatch):
         monkeypatch.setattr(impact, "FEW", few)
         found.append(sorted(map(tuple, impact.cross_references(files, own.filter("path <> 't.css'"), (".html",), most=5).collect())))
     assert found[0] == found[1] and len(found[0]) >= 5
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_common_identifiers_do_not_meet_all_their_sources(spark, monkeypatch, few):
+    """An identifier of n sources in n files gives a few files for each of them, not n times n rows, and the rows of the plain way."""
+    monkeypatch.setattr(impact, "FEW", few)
+    names = {f"p{i:03}.html": ["box"] + (["rare"] if i % 50 == 7 else []) + (["x.y"] if i % 3 == 0 else []) for i in range(200)}
+    files = spark.createDataFrame([(p, " ".join(n)) for p, n in names.items()], "path string, content string")
+    own = spark.createDataFrame([(p, ["rare", "x.y", "box"]) for p in names], "path string, identifiers array<string>")
+    seen = spark.sparkContext.accumulator(0)
+    first = impact._first_files
+
+    def counting(met, *rest):
+        seen.add(met.count())
+        return first(met, *rest)
+
+    monkeypatch.setattr(impact, "_first_files", counting)
+    found = sorted(map(tuple, impact.cross_references(files, own, (".html",), most=4).select("source", "path", "identifier").collect()))
+    of = lambda p: next(n for n in ("rare", "x.y", "box") if n in names[p])
+    assert found == sorted((s, p, of(p)) for s in names for p in [p for p in sorted(names) if p != s][:4])
+    assert seen.value <= 3 * 5
