@@ -121,6 +121,7 @@ def _looked(stored: DataFrame, asked: DataFrame, queries: DataFrame, sizes: dict
         empty = pa.table({"query_id": left.column("query_id").slice(0, 0), "id": right.column("id").slice(0, 0), "distance": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
+        right = right.sort_by("id")
         q, v = (np.stack(t.column(c).to_numpy()) for t, c in ((left, "query"), (right, "v")))
         i, x, far = nearest(q.astype(np.float64), v.astype(np.float64), k)
         return pa.table({"query_id": left.column("query_id").take(pa.array(i)), "id": right.column("id").take(pa.array(x)), "distance": pa.array(far)})

@@ -17,6 +17,8 @@ from quarry.functions import vector as V
 SHORT_CUT = 0.7
 #: Queries that are sent to every worker at most.
 MOST_QUERIES = 10_000
+#: Distances that a worker holds at once, about.
+TILE = 1 << 20
 
 
 def top_k(pairs: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFrame:
@@ -27,26 +29,23 @@ def top_k(pairs: DataFrame, k: int, by: list[str], order: list[Column]) -> DataF
 
 def _nearest(asked: pa.Table, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each batch of vectors (id, v), the k nearest of each query: a matrix product leaves few, whose distances are then summed exactly."""
-    names, queries = asked.column(0).combine_chunks(), asked.column(1).to_pylist()
-    by_length: dict[int, list[int]] = {}
-    for i, x in enumerate(queries):
-        by_length.setdefault(len(x), []).append(i)
-    asked_by = {n: (pa.array(own), np.array([queries[i] for i in own], dtype=np.float64).reshape(len(own), n)) for n, own in by_length.items()}
+    asked_by = {n: (ids, q) for batch in asked.combine_chunks().to_batches() for n, ids, q in by_dimension(batch)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, ids, v in by_dimension(batch):
                 if n in asked_by:
-                    own, q = asked_by[n]
+                    names, q = asked_by[n]
                     i, x, exact = nearest(q, v, k)
-                    yield pa.RecordBatch.from_arrays([names.take(own.take(pa.array(i))), ids.take(pa.array(x)), pa.array(exact)], names=["query_id", "id", "distance"])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), ids.take(pa.array(x)), pa.array(exact)], names=["query_id", "id", "distance"])
 
     return run
 
 
 def by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(length, ids, matrix) of the vectors of each length in a batch (id, v)."""
+    """(length, ids, matrix) of the vectors of each length in a batch (id, v), by id."""
     batch = batch.filter(batch.column(1).is_valid())
+    batch = batch.take(pc.array_sort_indices(batch.column(0), null_placement="at_start"))
     sizes = np.asarray(pc.list_value_length(batch.column(1)))
     for n in np.unique(sizes).tolist():
         own = batch.filter(pa.array(sizes == n))
@@ -54,15 +53,33 @@ def by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndar
 
 
 def nearest(queries: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, squared distance): of the vectors the k nearest of each query, and those as far as the last; a matrix product leaves few, whose distances are summed exactly."""
-    lengths, squares = (queries * queries).sum(axis=1), (v * v).sum(axis=1)
-    far = lengths[:, None] + squares[None, :] - 2 * queries @ v.T
+    """(query, vector, squared distance): of the vectors the k nearest of each query, ties in their order; a matrix product leaves few, whose distances are summed exactly.
+
+    Queries are taken so many at once that no matrix has more than TILE numbers.
+    """
+    squares = (v * v).sum(axis=1)
     most = min(k, len(v))
+    found = [_nearest_of(queries[at : at + step], v, squares, most, at) for step in [max(1, TILE // max(1, len(v)))] for at in range(0, len(queries) if most else 0, step)]
+    none = np.zeros(0, dtype=np.int64)
+    q, x, exact = (np.concatenate(c) for c in zip((none, none, np.zeros(0)), *found, strict=True))
+    return q, x, exact
+
+
+def _nearest_of(queries: np.ndarray, v: np.ndarray, squares: np.ndarray, most: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As nearest(), of a few queries, numbered from `first` on."""
+    lengths = (queries * queries).sum(axis=1)
+    far = lengths[:, None] + squares[None, :] - 2 * queries @ v.T
     edge = np.partition(far, most - 1, axis=1)[:, most - 1]
     q, x = np.nonzero(far <= (edge + 1e-9 * (1 + lengths + squares.max()))[:, None])
-    # Summed from the first place to the last, as SQL does.
-    exact = np.add.accumulate((v[x] - queries[q]) ** 2, axis=1)[:, -1] if v.shape[1] else np.zeros(len(q))
-    return q, x, exact
+    exact = np.zeros(len(q))
+    step = max(1, TILE // max(1, v.shape[1]))
+    for at in range(0, len(q) if v.shape[1] else 0, step):
+        # Summed from the first place to the last, as SQL does.
+        exact[at : at + step] = np.add.accumulate((v[x[at : at + step]] - queries[q[at : at + step]]) ** 2, axis=1)[:, -1]
+    order = np.lexsort((x, exact, q))
+    q, x, exact = q[order], x[order], exact[order]
+    near = np.arange(len(q)) - np.searchsorted(q, q) < most
+    return q[near] + first, x[near], exact[near]
 
 
 def whole(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:

@@ -107,6 +107,29 @@ def test_an_index_knows_how_many_cells_hold_what_is_near(spark, tmp_path):
     assert 8 < vector_index.probes_for(spark, str(tmp_path / "i"), 0.9) <= 16 and vector_index.probes_for(spark, str(tmp_path / "i"), 0.2) < 8
 
 
+def test_neighbours_in_tiles_are_few_and_those_of_the_plain_way(monkeypatch):
+    """However many queries, vectors and ties there are: no large matrix, and k rows a query."""
+    import tracemalloc
+
+    import numpy as np
+
+    from quarry.operators import vectors
+
+    r = np.random.default_rng(5)
+    v = r.integers(0, 3, (3000, 6)).astype(float)
+    q = v[:700]
+    plain = ((q[:, None] - v) ** 2).sum(axis=2)
+    want = np.argsort(plain, axis=1, kind="stable")[:, :10]
+    monkeypatch.setattr(vectors, "TILE", 30_000, raising=False)
+    tracemalloc.start()
+    i, x, far = vectors.nearest(q, v, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (i == np.repeat(np.arange(700), 10)).all() and (x == want.reshape(-1)).all() and (far == np.take_along_axis(plain, want, 1).reshape(-1)).all()
+    assert peak < 8_000_000
+    assert [len(c) for c in vectors.nearest(q, v[:0], 10)] == [0, 0, 0]
+
+
 def test_neighbours_of_other_lengths_and_nulls(spark):
     from quarry.operators import vectors
 
