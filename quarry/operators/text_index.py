@@ -26,6 +26,8 @@ from quarry.sources.sinks import folders, stored
 
 #: Text in a part, about, and folders of postings.
 PART_BYTES, BUCKETS = 32 << 20, 32
+#: Places in postings that a worker gathers, about, and bytes of a text that it looks at, at once.
+POSTED, STRETCH = 1_000_000, 1 << 20
 #: Parts that a search names to the scan at most; beyond, they are joined.
 MOST_PARTS = 10_000
 #: Ways in which a pattern may be written out, before it is taken to ask for nothing there.
@@ -225,34 +227,34 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of files (part, number, content), a row for each part and trigram, with the numbers of the files that have it."""
-    held: list[tuple[int, int, np.ndarray]] = []
-
-    def out() -> pa.RecordBatch:
-        sizes = [len(g) for _, _, g in held]
-        part, number = (np.repeat(np.array([h[k] for h in held], dtype=np.int64), sizes) for k in (0, 1))
-        gram = np.concatenate([g for _, _, g in held]) if held else np.zeros(0, dtype=np.int64)
-        order = np.lexsort((number, gram, part))
-        part, number, gram = part[order], number[order], gram[order]
-        first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (gram[1:] != gram[:-1])])) if len(gram) else np.zeros(0, dtype=np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(gram)).astype(np.int32)), pa.array(number.astype(np.int32)))
+    held: list[np.ndarray] = []  # of files of one part: 64-bit numbers of trigram and file
+
+    def out(part: int) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(held))
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array((gram[first] % BUCKETS).astype(np.int32)), pa.array(gram[first].astype(np.int32)), pa.array(part[first].astype(np.int32)), lists], names=["bucket", "gram", "part", "numbers"])
+        gram, number = (both >> 32).astype(np.int32), both.astype(np.int32)
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(gram)).astype(np.int32)), pa.array(number))
+        return pa.RecordBatch.from_arrays([pa.array(gram[first] % BUCKETS), pa.array(gram[first]), pa.array(np.full(len(first), part, dtype=np.int32)), lists], names=["bucket", "gram", "part", "numbers"])
 
-    size = 0
+    size, last = 0, -1
     for b in batches:
-        for part, number, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for at in range(b.num_rows):  # text by text, as a batch of them is large
+            part, number, content = (c[at].as_py() for c in b.columns)
+            if held and (part != last or size > POSTED):
+                yield out(last)
+                size = 0
+            last = part
             x = np.frombuffer((content or b"").lower(), dtype=np.uint8)
-            if len(x) < 3:
-                continue
-            good = (x < 128) & (x != 10)
-            code = x[:-2].astype(np.int64) << 16 | x[1:-1].astype(np.int64) << 8 | x[2:]
-            held.append((part, number, np.unique(code[good[:-2] & good[1:-1] & good[2:]])))
-            size += len(held[-1][2])
-        if size > 2_000_000:
-            yield out()
-            size = 0
+            for k in range(0, max(0, len(x) - 2), STRETCH):
+                y = x[k : k + STRETCH + 2]
+                good = (y < 128) & (y != 10)
+                code = y[:-2].astype(np.int32) << 16 | y[1:-1].astype(np.int32) << 8 | y[2:]
+                own = np.unique(code[good[:-2] & good[1:-1] & good[2:]])
+                held.append(own.astype(np.int64) << 32 | number)
+                size += len(own)
     if held:
-        yield out()
+        yield out(last)
 
 
 def batches_of(spark: SparkSession, folder: str) -> list[int]:

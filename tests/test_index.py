@@ -202,3 +202,21 @@ def test_changes_by_digest_are_changes(spark):
     plan = sync.changes_by_digest(files, state)
     plan.collect()
     assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_handed_on_text_by_text(monkeypatch):
+    """However many texts a batch has, a worker gathers few postings, and long texts are looked at in stretches."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(text_index, "POSTED", 200, raising=False)
+    monkeypatch.setattr(text_index, "STRETCH", 16, raising=False)
+    words = ["token", "Ünïcode licence", "a\nbcd", "", None, "then than granted reserved " * 4]
+    texts = [(k // 150, k, words[k % 6] if k % 6 != 1 else f"{words[1]} {k}") for k in range(300)]
+    part, number, content = zip(*texts, strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(number, pa.int32()), pa.array([c and c.encode() for c in content], pa.binary())], names=["part", "number", "content"])
+    out = list(text_index._postings(iter([batch])))
+    assert len(out) > 10 and max(len(b.column(3).flatten()) for b in out) <= 400
+    found = [(p, g, n) for b in out for g, p, ns in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True) for n in ns]
+    assert sorted(found) == sorted((p, g, n) for p, n, c in texts for g in text_index.trigrams(c or ""))
+    assert all(b.column(0).to_pylist() == (np.array(b.column(1)) % text_index.BUCKETS).tolist() for b in out)
