@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import text as X
 from quarry.operators import symbols, sync
-from quarry.operators.chunks import COLUMNS, chunk
+from quarry.operators.chunks import chunk, chunk_lists
 from quarry.sources import files as S
 from quarry.sources import merge, sinks
 
@@ -62,10 +62,9 @@ def run(files: DataFrame, folder: str, at: str) -> dict[str, int]:
     counts = seen.get
     fresh = files.join(changed.filter("change IN ('added', 'modified')").select("path"), "path", "left_semi")
     gone = changed.filter("change = 'deleted'").select("path")
-    lists = chunk(fresh.select("path", "content", "lang")).groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct(*COLUMNS)).alias("chunks"))
-    new = sinks.cut(fresh.select("path", "hash", "mtime", F.col("content").isNull().alias("error")).join(lists, "path", "left"))
-    merge.merge(f"{folder}/chunks", new.select("path", F.coalesce("chunks", F.array().cast(new.schema["chunks"].dataType)).alias("chunks")), gone)
-    merge.merge(f"{folder}/state", new.select("path", "hash", F.col("mtime").cast("double").alias("mtime"), F.lit(at).alias("indexed_at"), F.coalesce(F.size("chunks"), F.lit(0)).cast("long").alias("chunk_count")), gone)
+    new = sinks.cut(chunk_lists(fresh.select("path", "content", "lang", "hash", F.col("mtime").cast("double").alias("mtime"), F.col("content").isNull().alias("error"))))
+    merge.merge(f"{folder}/chunks", new.select("path", "chunks"), gone)
+    merge.merge(f"{folder}/state", new.select("path", "hash", "mtime", F.lit(at).alias("indexed_at"), F.size("chunks").cast("long").alias("chunk_count")), gone)
     done = {c: counts[c] for c in ("added", "modified", "deleted", "unchanged")} | {"errors": new.filter("error").count()}
     runs = _table(spark, f"{folder}/runs", RUNS, ["run"])
     merge.merge(f"{folder}/runs", spark.createDataFrame([(runs.count() + 1, at, *done.values())], RUNS))
