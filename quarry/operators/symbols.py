@@ -57,7 +57,10 @@ def nodes_of(source: str, language: str) -> list[tuple]:
 
 
 def structure(files: DataFrame, path: str = "path", content: str = "content", lang: str = "lang") -> DataFrame:
-    """A row for each function, class, import and export of each file. Python's own parser is needed, so files go to workers in batches."""
+    """A row for each function, class, import and export of each file. Python's own parser is needed, so files go to workers in batches.
+
+    Parsing takes far longer than reading: files are dealt out first, so that a table in one file keeps all workers busy.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
@@ -71,7 +74,8 @@ def structure(files: DataFrame, path: str = "path", content: str = "content", la
                 rows += [(p, *n) for n in reversed(list(alike.values()))]
             yield pd.DataFrame(rows, columns=columns)
 
-    return files.select(F.col(path).alias("path"), F.col(content).alias("content"), F.col(lang).alias("lang")).mapInPandas(run, NODES)
+    dealt = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select(F.col(path).alias("path"), F.col(content).alias("content"), F.col(lang).alias("lang")).repartition(dealt, "path").mapInPandas(run, NODES)
 
 
 def structure_summary(files: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -191,3 +191,21 @@ def test_common_identifiers_do_not_meet_all_their_sources(spark, monkeypatch, fe
     of = lambda p: next(n for n in ("rare", "x.y", "box") if n in names[p])
     assert found == sorted((s, p, of(p)) for s in names for p in [p for p in sorted(names) if p != s][:4])
     assert seen.value <= 3 * 5
+
+
+def test_files_in_one_partition_are_parsed_by_many_tasks(spark):
+    files = spark.createDataFrame([(f"p{i}.py", f"def f{i}():\n    pass\n", "python") for i in range(40)], "path string, content string, lang string").coalesce(1)
+    nodes = symbols.structure(files)
+    assert nodes.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(r["name"] for r in nodes.collect()) == sorted(f"f{i}" for i in range(40))
+
+
+def test_chunks_stay_in_their_files_row(spark, capsys):
+    """Lists of chunks need no shuffle, and keep what a file has besides; a null content has none."""
+    files = spark.createDataFrame([("a.py", "def f():\n    pass\n", "python", "h", 1.0), ("b", "x\n" * 120, "text", None, None), ("c", None, "text", "i", 2.0), ("d", "", "text", "j", 3.0)], "path string, content string, lang string, hash string, mtime double").coalesce(1)
+    lists = chunks.chunk_lists(files)
+    lists.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    found = {r["path"]: r for r in lists.collect()}
+    assert {p: (r["hash"], r["mtime"], len(r["chunks"])) for p, r in found.items()} == {"a.py": ("h", 1.0, 2), "b": (None, None, 3), "c": ("i", 2.0, 0), "d": ("j", 3.0, 0)}
+    assert sorted(tuple(map(str, c)) for r in found.values() for c in r["chunks"]) == sorted(tuple(map(str, c)) for c in chunks.chunk(files.select("path", "content", "lang")).collect())
