@@ -82,7 +82,8 @@ def index(docs: DataFrame, words: DataFrame, most_sent: int = MOST_SENT) -> Inde
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("words"))
     # The last entry stands for the document itself.
     spread = numbered.select("row", "doc_id", "key", F.size("words").alias("n_words"), F.posexplode(F.concat("words", F.array(F.lit("\0")))).alias("pos", "word"))
-    own = low.unionByName(low.sparkSession.createDataFrame([("\0",)], low.schema))
+    # A table of Python's rows would start more Python workers on each executor, which stay for a minute.
+    own = low.unionByName(low.sparkSession.range(0, 1, 1, 1).select(F.lit("\0").alias("low")))
     found = spread.join(few(cut(own), most_sent), F.lower("word") == F.col("low"), "left_semi")
     ends = F.col("word") == "\0"
     stored = Scratch(found.select("row", F.when(ends, F.col("doc_id")).alias("doc_id"), F.when(ends, F.col("key")).alias("key"), F.when(ends, F.col("n_words")).alias("n_words"), F.when(~ends, term_of(F.col("word"))).alias("term"), "pos"))

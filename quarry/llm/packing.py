@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import id_bytes, on_batches, parts
+from quarry.llm.common import held, id_bytes, on_batches, parts, release
 from quarry.llm.word_tokens import word_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -38,8 +38,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 SENTENCE_CUT, CLAUSE_CUT, HARD_CUT = 2.0, 6.0, 64.0
 #: Tokens that are planned at once.
 BLOCK = 1 << 19
-#: Bytes of text that are tokenised at once.
-TEXT = 4 << 20
+#: Bytes of text that are tokenised at once. Two workers and an executor's JVM share its memory, so this is little.
+TEXT = 1 << 20
 
 
 def cuts(ends: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
@@ -104,9 +104,9 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, price: np.ndarray, length:
 
 def prices(tokenizer) -> np.ndarray:
     """What a cut after each id costs, by the last mark of its token, closing marks aside; 0 where none may be."""
-    size = max(tokenizer.get_vocab().values()) + 2
-    out = np.zeros(size, dtype=np.float32)
-    for token, i in tokenizer.get_vocab().items():
+    known = tokenizer.get_vocab()
+    out = np.zeros(max(known.values()) + 2, dtype=np.float32)
+    for token, i in known.items():
         mark = token.removesuffix("</w>").rstrip("\"')]}")[-1:]
         out[i] = SENTENCE_CUT if mark in set(".!?") else CLAUSE_CUT if mark in set(",;:|") else 0
     return out
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
-        packer = Packer(prices(words.tokenizer), length, TaskContext.get().partitionId() << 33)
+        packer = Packer(held("pack", "prices", lambda: prices(words.tokenizer), tokenizer), length, TaskContext.get().partitionId() << 33)
 
         def out(last: bool) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(packer.settle(last), names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -172,6 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
             packer.add(names.to_pylist(), np.insert(ids, np.cumsum(sizes), end_id), sizes + 1)
             if packer.open >= BLOCK:
                 yield out(last=False)
+                release()
         yield out(last=True)
 
     return on_batches(id_bytes(docs, id_col, text_col), run, SCHEMA)

@@ -136,8 +136,8 @@ class PreTokens:
 class WordIds:
     """Ids of white-space words under a tokeniser file, kept for the words seen last; bounded."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.pre = PreTokens(path)
+    def __init__(self, path: str, most: int = 150_000):
+        self.pre = PreTokens(path, most=20_000)  # a word whose ids are kept isn't asked for again
         self.tokenizer = self.pre.tokenizer
         #: Words of late, and those of before; a word that comes again is taken over.
         self.known: dict[bytes, bytes] = {}

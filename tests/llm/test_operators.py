@@ -81,6 +81,16 @@ def test_packing(docs, nothing, pairs, tokenizer):
     assert packing.pack(nothing, WORD_BPE).count() == 0
 
 
+def test_words_that_are_kept_are_bounded():
+    """Of more words than two generations hold, the ids are right and the first are forgotten; the words asked for aren't kept twice."""
+    ids = word_tokens.WordIds(WORD_BPE)
+    for at in range(0, 480_000, 20_000):
+        ids.of([b"%d-" % k for k in range(at, at + 20_000)])
+    assert len(ids.known) + len(ids.before) < 350_000 and len(ids.pre.known) <= 40_000
+    again = [b"7-", b"479999-", b"7-"]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in ids.of(again)] == [ids.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in again]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 9), st.sampled_from([0.0, 2.0, 6.0])), min_size=1, max_size=14))
 def test_cuts_are_the_best(steps):

@@ -75,3 +75,10 @@ def test_stages_take_odd_names_and_no_source(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, odd, "/root/testdata/sf0.001")
         assert out.columns == odd.columns and out.count() >= 1
+
+
+def test_contaminated_starts_no_workers_for_rows(spark, docs, monkeypatch):
+    """Not even for a table of one row: such workers would stay beside those of the next stages."""
+    made = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("rows from Python"))
+    assert stages.contaminated(spark, made, DATA).count() == made.count()
