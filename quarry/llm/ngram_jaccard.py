@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import key_counts as kc
-from quarry.llm.common import chained, cut, id_bytes, on_batches, parts, word_hashes
+from quarry.llm.common import chained, cut, id_bytes, on_batches, parts, release, word_hashes
 from quarry.llm.components import components
 from quarry.llm.word_tokens import spaced
 
@@ -81,9 +81,11 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 class Order:
     """The global order and what is known of shingles, in a worker."""
 
-    def __init__(self, frequent: bytes, ranks: bytes, bitmap: bytearray):
+    def __init__(self, frequent: bytes, ranks: bytes, bitmap: list[tuple[int, bytes]], bits: int):
         self.frequent, self.ranks = np.frombuffer(frequent, dtype="<u8"), np.frombuffer(ranks, dtype="<u4")
-        self.bitmap = np.frombuffer(bitmap, dtype=np.uint8)
+        self.bitmap, stretch = np.zeros(1 << (BITMAP - 3), dtype=np.uint8), 1 << (BITMAP - bits - 3)
+        for part, own in bitmap:
+            self.bitmap[part * stretch : (part + 1) * stretch] = np.frombuffer(pa.decompress(own, stretch, "zstd"), dtype=np.uint8)
 
     def prefix(self, shingles: np.ndarray, length: int) -> np.ndarray:
         if not len(self.frequent):
@@ -126,7 +128,7 @@ def profile(rows: DataFrame, n: int, bits: int) -> DataFrame:
 
 
 def part_tables(found: DataFrame, bits: int) -> DataFrame:
-    """For each part its stretch of the bitmap, its shingles of 8 documents and more, and a histogram of counts."""
+    """For each part its stretch of the bitmap (compressed, as most of it may be empty), its shingles of 8 documents and more, and a histogram of counts."""
     names = [("part", pa.int32()), ("bitmap", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("histogram", pa.list_(pa.int64()))]
 
     def run(group: pa.Table) -> pa.Table:
@@ -136,18 +138,16 @@ def part_tables(found: DataFrame, bits: int) -> DataFrame:
         own = np.zeros(1 << (BITMAP - bits), dtype=np.uint8)
         own[bit] = 1
         often = counts >= 8
-        row = (part, np.packbits(own, bitorder="little").tobytes(), keys[often].tobytes(), counts[often].astype("<u4").tobytes(), kc.levels(counts[often]).tolist())
+        row = (part, pa.compress(np.packbits(own, bitorder="little").tobytes(), "zstd", asbytes=True), keys[often].tobytes(), counts[often].astype("<u4").tobytes(), kc.levels(counts[often]).tolist())
         return pa.Table.from_batches([kc.batch([row], names)])
 
     return found.filter("part is not null").select("part", "keys", "counts").groupBy("part").applyInArrow(run, "part int, bitmap binary, keys binary, counts binary, histogram array<long>")
 
 
 def order_of(tables: DataFrame, bits: int, most: int):
-    """Broadcasts of the frequent shingles, their ranks and the bitmap."""
+    """A broadcast of the frequent shingles, their ranks and the bitmap, whose stretches stay as the parts have compressed them."""
     least = max(8, kc.least_count(kc.histogram_of(tables), most))
-    bitmap, stretch = bytearray(1 << (BITMAP - 3)), 1 << (BITMAP - bits - 3)
-    for r in tables.select("part", "bitmap").collect():
-        bitmap[r["part"] * stretch : (r["part"] + 1) * stretch] = r["bitmap"]
+    bitmap = [(r["part"], bytes(r["bitmap"])) for r in tables.select("part", "bitmap").collect()]
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +159,7 @@ def order_of(tables: DataFrame, bits: int, most: int):
     keys = np.concatenate([np.frombuffer(r["keys"], dtype="<u8") for r in got] or [np.zeros(0, dtype="<u8")])
     counts = np.concatenate([np.frombuffer(r["counts"], dtype="<u4") for r in got] or [np.zeros(0, dtype="<u4")])
     order = np.argsort(keys)
-    return tables.sparkSession.sparkContext.broadcast((keys[order].tobytes(), counts[order].tobytes(), bitmap))
+    return tables.sparkSession.sparkContext.broadcast((keys[order].tobytes(), counts[order].tobytes(), bitmap, bits))
 
 
 def entries(rows: DataFrame, n: int, percent: int, bits: int, order) -> DataFrame:
@@ -327,11 +327,15 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, most_frequent:
     order = order_of(tables, bits, most_frequent)
     classes = cut(own.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
     blocks = kc.Scratch(entries(rows, n, percent, bits, order))
+    order.destroy()
+    release()
     tested = cut(first_pairs(blocks.df, percent))
     links = verified(tested, rows, classes, n, percent)
     labels = components(links)
     for nearest in (True, False):
         more = cut(crossing_pairs(blocks.df, labels, percent, nearest).join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
         found = verified(more, rows, classes, n, percent)
         # What was a component stays one: its nodes are drawn to its name.
         labels = components(labels.select(F.col("v").alias("a"), F.col("p").alias("b")).unionByName(found))

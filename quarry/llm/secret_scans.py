@@ -28,6 +28,8 @@ table gives an empty result; columns other than those named are not read.
 from __future__ import annotations
 
 import re
+from functools import cache, reduce
+from operator import add
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -188,29 +190,62 @@ def findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     return made.select("r.word", "r.one", "r.two", "after", path.alias("path"), F.when(F.col("p") == 0, 0.0).otherwise(F.col("r.secret")).alias("secret"))
 
 
+#: What a tree says, or the number of a feature, the most it may be for the first of two branches, and both.
+type Tree = float | tuple[int, float, Tree, Tree]
+
+
 def forest(labelled: DataFrame, trees: int = 20, depth: int = 7, seed: int = 11) -> list[str]:
     """Each tree, as SQL over an array `f` of FEATURES."""
+    return [tree_sql(t) for t in trained(labelled, trees, depth, seed)]
+
+
+def trained(labelled: DataFrame, trees: int = 20, depth: int = 7, seed: int = 11) -> list[Tree]:
+    """Each tree, for an array of FEATURES."""
     x = labelled.select(*(c.alias(n) for c, n in zip(features(*(F.col(c) for c in ("word", "one", "two", "after", "path"))), FEATURES, strict=True)), "secret")
     model = RandomForestClassifier(labelCol="secret", numTrees=trees, maxDepth=depth, featureSubsetStrategy="0.6", seed=seed).fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(x))
-    return [tree_sql(t) for t in re.split(r"\n\s*Tree \d+.*?:\n", model.toDebugString)[1:]]
+    return [tree_of(t) for t in re.split(r"\n\s*Tree \d+.*?:\n", model.toDebugString)[1:]]
 
 
-def tree_sql(text: str) -> str:
+def tree_of(text: str) -> Tree:
     """From the text that the library prints for a tree."""
     lines = [x.strip() for x in text.splitlines() if x.strip()]
 
-    def node() -> str:
+    def node() -> Tree:
         line = lines.pop(0)
         if m := re.match(r"Predict: (\S+)", line):
-            return f"{float(m[1])}D"
+            return float(m[1])
         m = re.match(r"If \(feature (\d+) <= (\S+)\)", line)
         yes = node()
         lines.pop(0)  # Else
-        return f"CASE WHEN f[{m[1]}] <= {float(m[2])!r}D THEN {yes} ELSE {node()} END"
+        return int(m[1]), float(m[2]), yes, node()
 
     return node()
 
 
+def tree_sql(tree: Tree) -> str:
+    if isinstance(tree, float):
+        return f"{tree}D"
+    k, most, yes, no = tree
+    return f"CASE WHEN f[{k}] <= {most!r}D THEN {tree_sql(yes)} ELSE {tree_sql(no)} END"
+
+
+def score(trees: list[Tree], f: Column) -> Column:
+    """The share of trees that say so, for an array f of FEATURES.
+
+    Made of columns: the parser would keep what it has learned from so long an SQL text in the driver's memory for good.
+    """
+    measure = [f[k] for k in range(len(FEATURES))]
+    leaf = cache(F.lit)
+
+    def of(tree: Tree) -> Column:
+        if isinstance(tree, float):
+            return leaf(tree)
+        k, most, yes, no = tree
+        return F.when(measure[k] <= leaf(most), of(yes)).otherwise(of(no))
+
+    return reduce(add, map(of, trees)) / len(trees)
+
+
 def bounded(labelled: DataFrame, most: int) -> DataFrame:
     """`most` rows at most, always the same ones: those with the least hashes."""
     own = labelled.select("word", "one", "two", "after", "path", "secret")
@@ -227,15 +262,14 @@ def replaced(word: Column, values: Column) -> Column:
 def judged(docs: DataFrame, labelled: DataFrame | None, most_findings: int, threshold: float, text_col: str, path_col: str) -> DataFrame:
     """row (all columns of docs), text, n_candidates, secrets and redacted."""
     spark = docs.sparkSession
-    trees = forest(findings(spark, most_findings) if labelled is None else bounded(labelled, most_findings))
+    trees = trained(findings(spark, most_findings) if labelled is None else bounded(labelled, most_findings))
     rows = docs.select(F.struct(*quoted(docs)).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path"))
     words = rows.withColumn("words", F.split(F.coalesce("text", F.lit("")), SPACE, -1))
     word = lambda i, k: F.get("words", i + k)
     found = words.withColumn("places", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: is_candidate(word(i, 0), word(i, -1), word(i, -2))))
     seen_of = lambda i, k, form: F.struct(i.alias("place"), value_of(form).alias("value"), F.when(k == 0, "whole").when(rlike(form, IN_URL) | rlike(form, f"^{SAID}"), "said").alias("kind"), F.array(*features(form, word(i, -1), word(i, -2), word(i, 1), F.col("path"))).alias("f"))
     known = found.withColumn("c", F.transform("places", lambda i: F.transform(fields(word(i, 0)), lambda form, k: seen_of(i, k, form)))).select("row", "text", "words", "c")
-    votes = " + ".join(f"({t})".replace("f[", "x.f[") for t in trees)
-    scored = known.withColumn("c", F.expr(f"transform(c, w -> transform(w, x -> struct(x.place AS place, x.value AS value, x.kind AS kind, ({votes}) / {len(trees)} AS score)))"))
+    scored = known.withColumn("c", F.transform("c", lambda w: F.transform(w, lambda x: F.struct(x["place"].alias("place"), x["value"].alias("value"), x["kind"].alias("kind"), score(trees, x["f"]).alias("score")))))
     over = F.transform("c", lambda w: F.filter(w, lambda x: (x["score"] > threshold) & (F.length(x["value"]) > 0)))
     # A field that is named says what is secret in its word, so a whole word that holds it isn't.
     held = lambda w, x: F.exists(w, lambda y: F.coalesce(y["kind"] == "said", F.lit(False)) & F.contains(x["value"], y["value"]) & (x["value"] != y["value"]))

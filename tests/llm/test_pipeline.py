@@ -1,13 +1,14 @@
 """The pipeline's stages on a small table, each against what its operator says."""
 
 import os
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm.decontamination import decontaminate
-from quarry.llm import stages
+from quarry.llm import secret_scans, stages
 from quarry.llm.ngram_jaccard import ngram_jaccard
 
 DATA = "/root/testdata/sf0.001"
@@ -82,3 +83,35 @@ def test_contaminated_starts_no_workers_for_rows(spark, docs, monkeypatch):
     made = docs.select("doc_id", "text", "lang", "source", "n_chars")
     monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("rows from Python"))
     assert stages.contaminated(spark, made, DATA).count() == made.count()
+
+
+def test_near_duplicates_send_little_of_few_documents(spark, docs, monkeypatch):
+    """What goes through the driver follows the corpus, and none of it stays."""
+    sent, context = [], type(spark.sparkContext)
+    make = context.broadcast
+
+    def broadcast(self, value):
+        sent.append((len(pickle.dumps(value)), found := make(self, value)))
+        monkeypatch.setattr(found, "destroy", lambda *a, f=found.destroy: (gone.append(found), f(*a)))
+        return found
+
+    gone = []
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    assert ngram_jaccard(docs).count() == docs.count()
+    assert sent and all(n < 1 << 20 for n, _ in sent) and len(gone) == len(sent)
+
+
+def test_secrets_parse_no_forest(spark, docs, monkeypatch):
+    """The trees are columns: the parser's memory of a long SQL text would stay in the driver."""
+    made = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    monkeypatch.setattr(F, "expr", lambda text: pytest.fail("an expression is parsed"))
+    assert stages.secrets(spark, made, DATA).count() == made.count()
+
+
+def test_forest_of_columns_is_that_of_sql(spark):
+    made = secret_scans.findings(spark, 500)
+    trees = secret_scans.trained(made, trees=5)
+    x = made.select(F.array(*secret_scans.features(*(F.col(c) for c in ("word", "one", "two", "after", "path")))).alias("f")).cache()
+    sql = F.expr(f"({' + '.join(f'({secret_scans.tree_sql(t)})' for t in trees)}) / {len(trees)}")
+    both = x.select(secret_scans.score(trees, F.col("f")).alias("a"), sql.alias("b"))
+    assert both.filter("a = b").count() == 500 and both.select("a").distinct().count() > 2
